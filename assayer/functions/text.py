@@ -93,10 +93,8 @@ def fill_template(template: Column, params: Column, names: list[str]) -> Column:
     """Replace ``{name}`` by ``params[name]`` for the names a catalog uses."""
     filled = template
     for name in names:
-        value = F.try_element_at(params, F.lit(name))
-        filled = F.when(value.isNull(), filled).otherwise(
-            F.replace(filled, F.lit("{" + name + "}"), value)
-        )
+        mark = F.lit("{" + name + "}")
+        filled = F.replace(filled, mark, F.coalesce(F.try_element_at(params, F.lit(name)), mark))
     return filled
 
 
@@ -111,7 +109,9 @@ def is_json_object(text: Column) -> Column:
 
 
 def round_to(c: Column, digits: int) -> Column:
-    return F.round(c, digits)
+    """Round binary floating point with ties to even (0.125 to 0.12), as reports do."""
+    scale = float(10**digits)
+    return F.rint(c * scale) / scale
 
 
 def valid_repo_name(c: Column | str) -> Column:

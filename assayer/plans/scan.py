@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assayer import rules
+from assayer.functions import paths as P
 from assayer.operators import KEY, coverage, documents, findings, ignore, lines, quality, secrets
 from assayer.operators.lines import SecretRule
 from assayer.operators.localize import localize_findings
@@ -68,15 +69,17 @@ def prepare_files(
     tracked = listing.tracked_paths(tree)
     eligible = coverage.with_rejection(tracked, max_size).filter(F.col("reason").isNull())
     kept = coverage.cap_files(eligible.drop("reason", "type", "truncated"), max_files)
-    payload = payloads.select(*KEY, "path", "http_status", "encoding", "content_b64")
-    attempts = listing.decode_contents(kept.join(payload, [*KEY, "path"], "left"), **guards)
+    payload = payloads.select(
+        *KEY, "path", "http_status", "encoding", F.col("size").alias("payload_size"), "content_b64"
+    )
+    attempts = listing.decode_contents(
+        kept.join(payload, [*KEY, "path"], "left"), size="payload_size", **guards
+    )
     counts = coverage.file_counts(tracked, attempts.select(*KEY, "outcome"), max_files, max_size)
-    files = listing.readable(attempts).drop("outcome", "http_status", "encoding")
-    from assayer.functions.paths import file_language
-
+    files = listing.readable(attempts).drop("outcome", "http_status", "encoding", "payload_size")
     return Prepared(
         tracked=tracked.select(*KEY, "ord", "path"),
-        files=files.withColumn("language", file_language("path")),
+        files=files.withColumn("language", P.file_language("path")),
         coverage=coverage.coverage(counts, tree),
     )
 
@@ -132,9 +135,7 @@ def quality_axis(
 
 def documented_scopes(files: DataFrame) -> DataFrame:
     """Scopes with at least one document; the documentation axis exists for these only."""
-    from assayer.functions.paths import is_markdown
-
-    return files.filter(is_markdown("path")).select(*KEY).distinct()
+    return files.filter(P.is_markdown("path")).select(*KEY).distinct()
 
 
 def docs_axis(files: DataFrame, tracked: DataFrame, hits: DataFrame | None = None) -> DataFrame:

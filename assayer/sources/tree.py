@@ -21,10 +21,11 @@ def decode_contents(
     max_lines: int = rules.MAX_FILE_LINES,
     minified_lines: int = rules.MINIFIED_MAX_LINES,
     minified_chars: int = rules.MINIFIED_MIN_CHARS,
+    size: str = "size",
 ) -> DataFrame:
     """Payloads to text, with the ``outcome`` of each read (null: read, not empty).
 
-    ``raw``: ``(…, http_status, encoding, size, content_b64)``.  Bytes that are not UTF-8 are
+    ``raw``: ``(…, http_status, encoding, size, content_b64)``; ``size`` names the payload's size.  Bytes that are not UTF-8 are
     replaced, they never fail the read.
     """
     encoded = F.coalesce("content_b64", F.lit(""))
@@ -35,7 +36,7 @@ def decode_contents(
         F.when(F.coalesce(F.col("http_status") != 200, F.lit(True)), F.lit(rules.FETCH_HTTP_ERROR))
         .when((encoded == "") & (F.col("encoding") == "none"), F.lit(rules.FETCH_CONTENT_UNAVAILABLE))
         .when(
-            (encoded == "") & (F.col("encoding") == "base64") & (F.col("size") == 0),
+            (encoded == "") & (F.col("encoding") == "base64") & (F.col(size) == 0),
             F.lit(rules.EMPTY_FILES),
         )
         .when(encoded == "", F.lit(rules.FETCH_UNEXPECTED_PAYLOAD))

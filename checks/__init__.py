@@ -1,0 +1,7 @@
+"""Registered queries over the given tables, each with its SQL twin where SQL can say it."""
+
+from checks.registry import oracles, registered
+
+from checks import axes, coverage, paths, texts  # noqa: F401  (registration by import)
+
+__all__ = ["oracles", "registered"]
