@@ -21,6 +21,11 @@ def bucket_of(column: str, buckets: int = BUCKETS):
     return F.pmod(F.xxhash64(column), F.lit(buckets)).cast("int")
 
 
+def _by_bucket(rows: DataFrame, key: str) -> DataFrame:
+    """Rows with their bucket, rebalanced: few files per bucket, and a hot bucket is split."""
+    return rows.withColumn("bucket", bucket_of(key)).hint("rebalance", "bucket")
+
+
 def table_exists(spark: SparkSession, path: str) -> bool:
     from pyspark.errors import AnalysisException
 
@@ -50,7 +55,7 @@ def cache_additions(cache: DataFrame, new: DataFrame) -> DataFrame:
 def cache_put(spark: SparkSession, path: str, new: DataFrame) -> None:
     """Insert if absent; inserting twice is no error and changes nothing."""
     rows = cache_additions(spark.read.parquet(path), new) if table_exists(spark, path) else new.dropDuplicates(CACHE_KEY)
-    rows.withColumn("bucket", bucket_of("repo_id")).write.mode("append").partitionBy("bucket").parquet(path)
+    _by_bucket(rows, "repo_id").write.mode("append").partitionBy("bucket").parquet(path)
 
 
 def cache_invalidate(cache: DataFrame, repo_ids: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -80,7 +85,8 @@ def replace_results(spark: SparkSession, path: str, new: DataFrame) -> None:
         )
         incoming = materialize(kept.unionByName(incoming), "results")
     (
-        incoming.write.mode("overwrite")
+        incoming.hint("rebalance", "bucket")
+        .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("bucket")
         .parquet(path)
@@ -117,4 +123,4 @@ def drop_index(index: DataFrame, refs: DataFrame) -> DataFrame:
 
 def build_index(spark: SparkSession, path: str, vectors: DataFrame) -> None:
     rows = index_additions(vectors, spark.read.parquet(path)) if table_exists(spark, path) else vectors
-    rows.withColumn("bucket", bucket_of("collection")).write.mode("append").partitionBy("bucket").parquet(path)
+    _by_bucket(rows, "collection").write.mode("append").partitionBy("bucket").parquet(path)

@@ -2,6 +2,16 @@
 
 from checks.registry import oracles, registered
 
-from checks import axes, coverage, paths, texts  # noqa: F401  (registration by import)
+from checks import (  # noqa: F401  (registration by import)
+    axes,
+    chunking,
+    coverage,
+    joins,
+    paths,
+    reports,
+    runs,
+    texts,
+    verdicts,
+)
 
 __all__ = ["oracles", "registered"]
