@@ -11,10 +11,13 @@ from assayer import rules
 
 # Line boundaries and whitespace as text files use them, beyond what \R and \s cover.
 LINE_BREAK = r"\r\n|[\n\r\x0B\f\x1C-\x1E\x85\u2028\u2029]"
+OTHER_BREAK = r"[\r\x0B\f\x1C-\x1E\x85\u2028\u2029]"
 SPACE = (
     r"[\t-\r\x1C-\x20\x85\xA0\u1680\u2000-\u200A"
     r"\u2028\u2029\u202F\u205F\u3000]"
 )
+NOT_SPACE = SPACE.replace("[", "[^", 1)
+SPACE_CHARACTERS = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 
 
 def _col(c: Column | str) -> Column:
@@ -23,18 +26,36 @@ def _col(c: Column | str) -> Column:
 
 def strip(c: Column | str) -> Column:
     """Remove leading and trailing whitespace (Unicode whitespace, not only blanks)."""
-    return F.regexp_replace(_col(c), f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(_col(c), F.lit(SPACE_CHARACTERS))
 
 
 def is_blank(c: Column | str) -> Column:
-    return strip(c) == ""
+    """No visible character; stops reading at the first one."""
+    return ~_col(c).rlike(NOT_SPACE)
+
+
+def stripped_longer_than(c: Column | str, n: int) -> Column:
+    """Is the stripped text longer than ``n`` characters?  Nothing is copied to find out."""
+    return _col(c).rlike(f"(?s){NOT_SPACE}.{{{n - 1},}}{NOT_SPACE}")
 
 
 def split_lines(content: Column | str) -> Column:
-    """Lines of a text; a trailing line break does not open another line."""
-    parts = F.split(_col(content), LINE_BREAK, -1)
-    last_is_empty = F.element_at(parts, -1) == ""
-    return F.when(last_is_empty, F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    """Lines of a text, with the empty piece after a final line break (see ``drop_last``).
+
+    Nearly all texts break lines by newline only, and those take the fast single-character
+    split.
+    """
+    content = _col(content)
+    return F.when(content.rlike(OTHER_BREAK), F.split(content, LINE_BREAK, -1)).otherwise(
+        F.split(content, "\n", -1)
+    )
+
+
+def drop_last(parts: Column) -> Column:
+    """A trailing line break does not open another line."""
+    return F.when(
+        F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)
+    ).otherwise(parts)
 
 
 def fingerprint(identity: Column | str) -> Column:

@@ -148,7 +148,7 @@ def window_chunks(files: DataFrame, size: Column | None = None, overlap: Column
         F.sequence(F.lit(0), last_start, step),
         lambda start: F.substring(F.col("content"), start + 1, F.col("_size")),
     )
-    kept = F.filter(windows, lambda w: F.char_length(T.strip(w)) > rules.MIN_CHUNK_CHARS)
+    kept = F.filter(windows, lambda w: T.stripped_longer_than(w, rules.MIN_CHUNK_CHARS))
     return _described(
         sized.select(*KEY, "ord", "path", "sha", "language", file_type("path").alias("file_type"), kept.alias("kept"))
         .select(

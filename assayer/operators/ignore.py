@@ -113,7 +113,7 @@ def ignore_specs(files: DataFrame) -> DataFrame:
     """One row per ignore file: ``(…, base, rules, rule_count)``."""
     parent = P.path_parent("path")
     base = F.when(parent == ".", F.lit("")).otherwise(F.concat(parent, F.lit("/")))
-    lines = T.split_lines("content")
+    lines = T.drop_last(T.split_lines("content"))
     counted = F.size(F.filter(lines, lambda line: ignore_rule_text(line).isNotNull()))
     return files.filter(P.path_name("path") == rules.IGNORE_FILE).select(
         *KEY, base.alias("base"), compile_rules(lines).alias("rules"), counted.alias("rule_count")

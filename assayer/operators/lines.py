@@ -17,11 +17,19 @@ from assayer.operators import KEY
 SecretRule = tuple[str, str, str]
 
 
+def _exploded(split: DataFrame, *kept: str) -> DataFrame:
+    """Rows with ``parts`` to lines; the split is its own projection so that it runs once."""
+    return split.select(
+        *KEY, "ord", "path", *kept, F.posexplode(T.drop_last(F.col("parts"))).alias("pos", "line")
+    )
+
+
 def explode_lines(files: DataFrame) -> DataFrame:
     """One row per line, numbered from 1."""
-    return files.select(
-        *KEY, "ord", "path", F.posexplode(T.split_lines("content")).alias("pos", "line")
-    ).select(*KEY, "ord", "path", (F.col("pos") + 1).alias("line_no"), "line")
+    split = files.select(*KEY, "ord", "path", T.split_lines("content").alias("parts"))
+    return _exploded(split).select(
+        *KEY, "ord", "path", (F.col("pos") + 1).alias("line_no"), "line"
+    )
 
 
 # --- what one line can say ----------------------------------------------------------------
@@ -42,24 +50,27 @@ def secret_severity(rule: Column, secret_rules: list[SecretRule]) -> Column:
     return chain
 
 
-def any_secret_pattern(secret_rules: list[SecretRule]) -> str:
-    return "|".join(f"(?:{pattern})" for _, pattern, _ in secret_rules)
-
-
 def _depends_on_line_ends(pattern: str) -> bool:
     bare = pattern.replace("[^", "[")
     return any(mark in bare for mark in ("^", "$", r"\A", r"\Z", r"\z", "(?", r"\b", r"\B"))
 
 
-def may_hold_secret(content: Column, secret_rules: list[SecretRule]) -> Column:
-    """False only when no line of the content can match.
+def secret_hint(text: Column, secret_rules: list[SecretRule], whole_file: bool) -> Column:
+    """False only where no rule can match: a search for fixed pieces of the patterns.
 
-    A pattern with anchors or look-around may match a line without matching the whole text, so
-    such rule tables are not pre-filtered.
+    Rules without a known piece are matched as they are, except that on a whole file a pattern
+    with anchors or look-around may miss what it would find in a line, so it lets all pass.
     """
-    if any(_depends_on_line_ends(pattern) for _, pattern, _ in secret_rules):
-        return F.lit(True)
-    return content.rlike(any_secret_pattern(secret_rules))
+    found = F.lit(False)
+    for name, pattern, _ in secret_rules:
+        piece = rules.SECRET_PIECES.get(name)
+        if piece:
+            found = found | F.contains(text, F.lit(piece))
+        elif whole_file and _depends_on_line_ends(pattern):
+            return F.lit(True)
+        else:
+            found = found | text.rlike(pattern)
+    return found
 
 
 def link_targets(line: Column) -> Column:
@@ -133,7 +144,7 @@ def line_hits(
     path, content, line = F.col("path"), F.col("content"), F.col("line")
 
     applies = {
-        "secret": ~P.is_env_template(path) & may_hold_secret(content, secret_rules),
+        "secret": ~P.is_env_template(path) & secret_hint(content, secret_rules, whole_file=True),
         "links": P.is_markdown(path) & F.contains(content, F.lit("](")),
         "env": ~P.is_markdown(path) & ~P.is_test_path(path) & content.rlike(MAY_READ_ENV),
         "declared": P.is_env_template(path),
@@ -149,7 +160,7 @@ def line_hits(
         "requirement": ("requirement", requirement_kind(line)),
     }
     in_line = {
-        "secret": line.rlike(any_secret_pattern(secret_rules)),
+        "secret": secret_hint(line, secret_rules, whole_file=False),
         "links": F.contains(line, F.lit("](")),
         "env": line.rlike(MAY_READ_ENV),
         "declared": F.contains(line, F.lit("=")),
@@ -163,13 +174,11 @@ def line_hits(
     wanted = F.lit(False)
     for kind in kinds:
         wanted = wanted | F.col(f"is_{kind}")
-    lines = flagged.filter(wanted).select(
-        *KEY,
-        "ord",
-        "path",
-        *[f"is_{k}" for k in kinds],
-        F.posexplode(T.split_lines("content")).alias("pos", "line"),
+    flags = [f"is_{k}" for k in kinds]
+    split = flagged.filter(wanted).select(
+        *KEY, "ord", "path", *flags, T.split_lines("content").alias("parts")
     )
+    lines = _exploded(split, *flags)
     # Cheap per-line tests first; the exact extraction only runs on lines that pass one.
     candidate = F.lit(False)
     for kind in kinds:

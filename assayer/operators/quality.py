@@ -121,13 +121,14 @@ def _python_functions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]
                      1 + branch_count(n))
                     for i, n in enumerate(found)
                 ]
-            except (SyntaxError, ValueError, RecursionError):
+            except (SyntaxError, ValueError, RecursionError, MemoryError):
                 continue
         yield pd.DataFrame(rows, columns=columns)
 
 
 def function_complexity(files: DataFrame) -> DataFrame:
-    """Cyclomatic complexity per Python function; files that do not parse are skipped.
+    """Cyclomatic complexity per Python function; files that do not parse, too deeply nested
+    ones included, are skipped.
 
     A map over files: no shuffle, and only Python sources cross into Python.
     """

@@ -50,6 +50,16 @@ def new_table_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def spread(df: DataFrame, limit: int = 64) -> DataFrame:
+    """Share a source out that arrives in fewer splits than there are cores.
+
+    A small file of long texts is one split, hence one task.  A large source has more splits
+    than cores and passes through untouched: it is never shuffled here.
+    """
+    cores = min(df.sparkSession.sparkContext.defaultParallelism, limit)
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 

@@ -121,13 +121,23 @@ def columns(dialect: str) -> dict[str, str]:
     }
 
 
+def _derive(spark: SparkSession, sf_dir: str, names: list[str]) -> DataFrame:
+    """The named columns, each computed once per row.
+
+    A one-element ``inline`` keeps the optimizer from copying the long expressions into every
+    filter and projection above; only columns that are asked for are computed.
+    """
+    sql = columns("spark")
+    row = F.struct(*[F.expr(sql[name]).alias(name) for name in names])
+    return table(spark, sf_dir, "documents").select(F.inline(F.array(row)))
+
+
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = table(spark, sf_dir, "documents")
-    return documents.select(*[F.expr(sql).alias(name) for name, sql in columns("spark").items()])
+    return _derive(spark, sf_dir, ["repo", "commit_sha", "ord", "path", "size", "sha", "content"])
 
 
 def tracked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return files(spark, sf_dir).select("repo", "commit_sha", "ord", "path", "size")
+    return _derive(spark, sf_dir, ["repo", "commit_sha", "ord", "path", "size"])
 
 
 FILES = (
