@@ -201,11 +201,11 @@ def expected_samples() -> list[tuple[str | None, str, str]]:
     return entries
 
 
-def missing_ignore_rules(specs: DataFrame, ecosystems: DataFrame) -> DataFrame:
-    """Expected samples that no directory with an ignore file ignores.
+def laid_samples(specs: DataFrame, ecosystems: DataFrame) -> DataFrame:
+    """``(…, position, label, path)``: expected samples under each rule file's directory.
 
-    ``ecosystems`` has ``(repo, commit_sha, ecosystems array)``.  Samples are laid under each
-    rule file's directory by exploding a fixed list, then tested like any other path.
+    ``ecosystems`` has ``(repo, commit_sha, ecosystems array)``.  Samples are laid out by
+    exploding a fixed list.
     """
     samples = F.array(
         *[
@@ -222,16 +222,23 @@ def missing_ignore_rules(specs: DataFrame, ecosystems: DataFrame) -> DataFrame:
         samples,
         lambda s: s["ecosystem"].isNull() | F.array_contains(F.col("ecosystems"), s["ecosystem"]),
     )
-    laid = (
+    return (
         specs.select(*KEY, "base")
         .join(ecosystems.select(*KEY, "ecosystems"), KEY, "left")
         .withColumn("ecosystems", F.coalesce("ecosystems", F.array().cast("array<string>")))
         .select(*KEY, "base", F.explode(applies).alias("s"))
         .select(*KEY, "s.position", "s.label", F.concat("base", "s.sample").alias("path"))
     )
-    hit = ignored_paths(laid, specs).withColumn("hit", F.lit(True))
+
+
+def missing_ignore_rules(
+    specs: DataFrame, ecosystems: DataFrame, ignored: DataFrame | None = None
+) -> DataFrame:
+    """Expected samples that no directory with an ignore file ignores."""
+    laid = laid_samples(specs, ecosystems)
+    hits = ignored_paths(laid, specs) if ignored is None else ignored
     return (
-        laid.join(hit, [*KEY, "path"], "left")
+        laid.join(hits.withColumn("hit", F.lit(True)), [*KEY, "path"], "left")
         .groupBy(*KEY, "position", "label")
         .agg(F.bool_or(F.coalesce("hit", F.lit(False))).alias("covered"))
         .filter(~F.col("covered"))

@@ -22,6 +22,10 @@ SETTINGS = {
 }
 
 
+# Remembers the folder of a local session that was given none.
+OWN_FOLDER = "assayer.shared.folder"
+
+
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings every plan of this package assumes."""
     for key, value in SETTINGS.items():
@@ -35,14 +39,14 @@ def shared_folder(spark: SparkSession) -> str:
     It has to be visible to every executor.  Only a local session, where driver and executors
     share one disk, may fall back to a folder of its own.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(OWN_FOLDER, None)
     if folder:
         return folder
     context = spark.sparkContext
     if not context.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
     folder = tempfile.mkdtemp(prefix="assayer-")
-    spark.conf.set("spark.checkpoint.dir", folder)
+    spark.conf.set(OWN_FOLDER, folder)
     return folder
 
 
