@@ -183,17 +183,19 @@ def cache_after_two_puts(spark, sf_dir):
 
 
 @query(
-    """SELECT o_custkey AS repo_id, count(*) AS removed, (SELECT count(*) FROM orders o WHERE o.o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')) AS remaining
-    FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') GROUP BY o_custkey"""
+    """WITH gone AS (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')
+    SELECT o_custkey AS repo_id, 'removed' AS what, count(*) AS n FROM orders WHERE o_custkey IN (FROM gone) GROUP BY o_custkey
+    UNION ALL SELECT o_custkey, 'remaining', count(*) FROM orders WHERE o_custkey NOT IN (FROM gone) GROUP BY o_custkey"""
 )
 def cache_invalidation(spark, sf_dir):
     customers = table(spark, sf_dir, "customer").filter(F.col("c_mktsegment") == "BUILDING")
     remaining, removed = tables.cache_invalidate(
         cache_rows(spark, sf_dir), customers.select(F.col("c_custkey").alias("repo_id"))
     )
-    left = remaining.agg(F.count("*").alias("remaining")).withColumn("one", F.lit(1))
-    # one row
-    return removed.withColumn("one", F.lit(1)).join(F.broadcast(left), "one").drop("one")
+    left = remaining.groupBy("repo_id").agg(F.count("*").alias("n"))
+    return removed.select("repo_id", F.lit("removed").alias("what"), F.col("removed").alias("n")).unionByName(
+        left.select("repo_id", F.lit("remaining").alias("what"), "n")
+    )
 
 
 @query(
