@@ -13,6 +13,7 @@ from assayer import rules
 from assayer.functions import paths as P
 from assayer.functions import text as T
 from assayer.operators import KEY
+from assayer.session import small_side
 
 CHUNKED = (
     "repo string, commit_sha string, ord long, path string, sha string, language string, "
@@ -99,7 +100,7 @@ def without_superseded_readmes(files: DataFrame) -> DataFrame:
     readmes = files.filter(P.is_readme("path")).select(*KEY, "ord")
     last = readmes.groupBy(*KEY).agg(F.max("ord").alias("last"))
     superseded = readmes.join(last, KEY).filter(F.col("ord") < F.col("last")).select(*KEY, "ord")
-    return files.join(superseded, [*KEY, "ord"], "left_anti")
+    return files.join(small_side(superseded), [*KEY, "ord"], "left_anti")
 
 
 def _described(chunks: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from assayer.functions import paths as P
 from assayer.functions import text as T
 from assayer.operators import KEY
 from assayer.operators.findings import is_complete
+from assayer.session import small_side
 
 
 def with_rejection(tracked: DataFrame, max_size: int = rules.MAX_FILE_SIZE) -> DataFrame:
@@ -46,10 +47,10 @@ def cap_files(
 
     Contents are never ranked or sorted: only the orders are, from ``eligible`` (metadata with
     the same orders, by default ``files`` itself), and the wide rows meet a cutoff that exists
-    for over-full repositories only.  Spark broadcasts that side when it measures it as small
-    and otherwise splits hot partitions of the join.
+    for over-full repositories only.  That side is broadcast when counted to be small, so the
+    wide rows stay where they were read; otherwise hot partitions of the join are split.
     """
-    cutoffs = cap_cutoffs(files if eligible is None else eligible, limit)
+    cutoffs = small_side(cap_cutoffs(files if eligible is None else eligible, limit))
     return (
         files.join(cutoffs, KEY, "left")
         .filter(F.col("cutoff").isNull() | (F.col("ord") <= F.col("cutoff")))

@@ -14,6 +14,7 @@ from assayer.functions import paths as P
 from assayer.functions import text as T
 from assayer.operators import KEY
 from assayer.operators.findings import head_per, make_findings
+from assayer.session import small_side
 
 AXIS = "quality_check"
 
@@ -256,16 +257,18 @@ def ingest_linter_reports(
 def attach_code_hint(issues: DataFrame, files: DataFrame) -> DataFrame:
     """The stripped source line an issue points at, or the empty text.
 
-    Issues are few (capped per linter), files are not: the join key is one file, so contents
-    are matched file by file and no line table is built.
+    Issues are few (capped per linter), files are not: the places asked for go to the contents,
+    and only the lines found come back to the issues.
     """
+    place = [*KEY, "file_path", "line"]
+    asked = small_side(issues.filter(F.col("line") >= 1).select(*place).distinct())
     texts = files.select(*KEY, F.col("path").alias("file_path"), "content")
     lines = F.split(F.col("content"), r"\r\n|\r|\n", -1)
-    hint = F.when(F.col("line") >= 1, T.strip(F.get(lines, F.col("line") - 1)))
-    return (
-        issues.join(texts, [*KEY, "file_path"], "left")
-        .withColumn("code_hint", F.coalesce(hint, F.lit("")))
-        .drop("content")
+    found = texts.join(asked, [*KEY, "file_path"]).select(
+        *place, T.strip(F.get(lines, F.col("line") - 1)).alias("code_hint")
+    )
+    return issues.join(found, place, "left").withColumn(
+        "code_hint", F.coalesce("code_hint", F.lit(""))
     )
 
 

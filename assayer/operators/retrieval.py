@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 
 from assayer import rules
 from assayer.functions import text as T
+from assayer.session import small_side
+
+# Queries carry a vector each: some 3 kB at 768 dimensions.
+MAX_BROADCAST_QUERIES = 10_000
 
 Encoder = Callable[[DataFrame], DataFrame]
 
@@ -72,8 +76,8 @@ def top_k(
 
     ``queries``: ``(query_id, collection, embedding)``; ``vectors``: ``(id, collection,
     embedding, …)``; ``where``: metadata equality filters.  Queries meet vectors through the
-    collection, and the rank limit is applied below the shuffle: each task forwards at most
-    ``k`` rows per query.
+    collection: broadcast when counted to be few, so vectors stay in place, else by shuffle.
+    The rank limit is applied below the shuffle: each task forwards at most ``k`` rows per query.
     """
     for column, value in (where or {}).items():
         vectors = vectors.filter(F.col(column) == value)
@@ -82,7 +86,7 @@ def top_k(
     )
     stored = vectors.withColumn("_n", norm("embedding"))
     scale = F.nullif(F.col("_qn") * F.col("_n"), F.lit(0.0))
-    scored = stored.join(asked, "collection").withColumn(
+    scored = stored.join(small_side(asked, MAX_BROADCAST_QUERIES), "collection").withColumn(
         "similarity",
         T.round_to(F.coalesce(_dot(F.col("_q"), F.col("embedding")) / scale, F.lit(0.0)), 4),
     )

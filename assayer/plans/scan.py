@@ -65,6 +65,8 @@ def prepare_files(
     """Select, cap and read files, and account for every tracked one.
 
     Selection and cap work on the listing alone; only payloads of kept files are decoded.
+    Payloads meet the kept files on ``(repo, commit_sha, path)``, a key without hot values; a
+    payload table bucketed on it is joined without moving contents.
     """
     tracked = listing.tracked_paths(tree)
     eligible = coverage.with_rejection(tracked, max_size).filter(F.col("reason").isNull())

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
@@ -75,3 +76,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = new_table_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def small_side(df: DataFrame, limit: int = 500_000) -> DataFrame:
+    """A narrow join side, for broadcast if it is counted to have at most ``limit`` rows.
+
+    For joins whose other side carries contents or vectors: planned by estimate, such a join
+    would shuffle the wide side before the small one is known to be small.  The side is written
+    once, counted up to the limit, and joined by shuffle as usual when it is larger.
+    """
+    written = materialize(df, "side")
+    return F.broadcast(written) if written.limit(limit + 1).count() <= limit else written

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayer.functions import paths as P
-from assayer.session import materialize
+from assayer.session import materialize, small_side
 
 CACHE_KEY = ["repo_id", "commit_sha", "scan_version", "config_hash", "language"]
 BUCKETS = 64
@@ -40,9 +40,14 @@ def table_exists(spark: SparkSession, path: str) -> bool:
 
 
 def cache_split(requests: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(hits with payload, misses)`` of requests on the five-column key."""
-    stored = cache.select(*CACHE_KEY, "payload").dropDuplicates(CACHE_KEY)
-    hits = requests.join(stored, CACHE_KEY)
+    """``(hits with payload, misses)`` of requests on the five-column key.
+
+    Stored payloads are wide: the keys asked for go to them, and what does not match is gone
+    before anything is shuffled.
+    """
+    asked = small_side(requests.select(*CACHE_KEY).distinct())
+    stored = cache.select(*CACHE_KEY, "payload").join(asked, CACHE_KEY, "left_semi")
+    hits = requests.join(stored.dropDuplicates(CACHE_KEY), CACHE_KEY)
     misses = requests.join(cache.select(*CACHE_KEY), CACHE_KEY, "left_anti")
     return hits, misses
 

@@ -59,12 +59,26 @@ def test_coverage_counts_every_tracked_file_once(spark):
 
 def test_cap_is_per_repository_and_in_tree_order(spark):
     rows = [("r", "c", 1000 - i, f"f{i}.py", 1) for i in range(505)] + [("q", "c", i, f"f{i}.py", 1) for i in range(500)]
-    from assayer.operators.coverage import cap_files
+    from assayer.operators.coverage import cap_cutoffs, cap_files
 
-    kept = cap_files(spark.createDataFrame(rows, "repo string, commit_sha string, ord long, path string, size long"))
+    eligible = spark.createDataFrame(rows, "repo string, commit_sha string, ord long, path string, size long")
+    kept = cap_files(eligible)
     assert {r["repo"]: r["n"] for r in kept.groupBy("repo").agg(F.count("*").alias("n")).collect()} == {"r": 500, "q": 500}
     assert kept.filter("repo = 'r'").agg(F.max("ord")).first()[0] == 1000 - 5
-    assert "WindowGroupLimit" in kept._jdf.queryExecution().toString()
+    assert "WindowGroupLimit" in cap_cutoffs(eligible)._jdf.queryExecution().toString()
+    assert "BroadcastHashJoin" in kept._jdf.queryExecution().toString()
+
+
+def test_a_side_over_the_limit_is_not_broadcast(spark):
+    from assayer.session import small_side
+
+    wide = spark.range(1000).withColumn("x", F.lit("y"))
+    for limit, expected in ((10, False), (100, True)):
+        side = small_side(spark.range(0, 1000, 10), limit)
+        joined = wide.join(side, "id", "left_semi")
+        assert joined.count() == 100
+        logical = joined._jdf.queryExecution().analyzed().toString()
+        assert ("ResolvedHint" in logical) == expected
 
 
 def test_bytes_that_are_not_text_are_replaced(spark):
