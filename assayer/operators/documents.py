@@ -74,7 +74,7 @@ def missing_env_template(used: DataFrame, flags: DataFrame) -> DataFrame:
     """Repositories that read several variables and offer no template file."""
     counts = used.groupBy(*KEY).agg(F.count("*").alias("env_used"))
     return counts.filter(F.col("env_used") >= rules.MIN_ENV_VARS_FOR_EXAMPLE).join(
-        flags.filter(F.col("has_env_example")), KEY, "left_anti"
+        flags.filter(F.col("has_env_example")).select(*KEY), KEY, "left_anti"
     )
 
 

@@ -321,10 +321,11 @@ def linter_findings(issues: DataFrame) -> DataFrame:
 
 
 def metric_findings(
-    flags: DataFrame, samples: DataFrame, facts: DataFrame, pinned: DataFrame, manifests: DataFrame
+    facts: DataFrame, samples: DataFrame, pinned: DataFrame, manifests: DataFrame
 ) -> list[DataFrame]:
+    """``facts``: existence flags, ``missing_lockfiles`` per repository."""
     count = F.coalesce("source_files_in_sample", F.lit(0).cast("long"))
-    sources = flags.filter(F.col("has_sources")).join(samples, KEY, "left")
+    sources = facts.filter(F.col("has_sources")).join(samples, KEY, "left")
     missing = facts.join(pinned, KEY, "left").select(
         *KEY, "pinned_requirements", F.explode("missing_lockfiles").alias("ecosystem")
     )

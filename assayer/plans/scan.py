@@ -100,12 +100,31 @@ def secrets_axis(
     )
 
 
-def ignore_axis(files: DataFrame, tracked: DataFrame) -> DataFrame:
+def repo_facts(files: DataFrame, tracked: DataFrame) -> DataFrame:
+    """One row per repository: existence flags, ecosystems, lockfiles, ``documented``.
+
+    The axes need these in several places; all are partial aggregates over metadata.
+    """
+    documented = files.groupBy(*KEY).agg(F.bool_or(P.is_markdown("path")).alias("documented"))
+    return (
+        coverage.repo_flags(tracked)
+        .join(quality.ecosystem_facts(tracked), KEY)
+        .join(documented, KEY, "left")
+        .withColumn("documented", F.coalesce("documented", F.lit(False)))
+    )
+
+
+def ignore_axis(
+    files: DataFrame,
+    tracked: DataFrame,
+    facts: DataFrame | None = None,
+    specs: DataFrame | None = None,
+) -> DataFrame:
     """Findings of the ignore axis; a repository without ignore file gets exactly one."""
-    specs = ignore.ignore_specs(files)
-    facts = quality.ecosystem_facts(tracked)
+    facts = repo_facts(files, tracked) if facts is None else facts
+    specs = ignore.ignore_specs(files) if specs is None else specs
     return findings.union_findings(
-        ignore.absent_findings(scopes_of(tracked), specs),
+        ignore.absent_findings(facts, specs),
         ignore.tracked_findings(ignore.path_states(tracked, specs)),
         ignore.rule_findings(ignore.missing_ignore_rules(specs, facts)),
     )
@@ -116,17 +135,15 @@ def quality_axis(
     tracked: DataFrame,
     linter_reports: DataFrame | None = None,
     hits: DataFrame | None = None,
+    facts: DataFrame | None = None,
 ) -> DataFrame:
+    facts = repo_facts(files, tracked) if facts is None else facts
     hits = lines.line_hits(files, ("requirement",)) if hits is None else hits
     manifests = quality.pinning(hits)
     parts = [
         quality.complexity_findings(quality.function_complexity(files)),
         *quality.metric_findings(
-            coverage.repo_flags(tracked),
-            coverage.sample_counts(files),
-            quality.ecosystem_facts(tracked),
-            quality.pinned_repos(manifests),
-            manifests,
+            facts, coverage.sample_counts(files), quality.pinned_repos(manifests), manifests
         ),
     ]
     if linter_reports is not None:
@@ -135,12 +152,14 @@ def quality_axis(
     return findings.union_findings(*parts)
 
 
-def documented_scopes(files: DataFrame) -> DataFrame:
-    """Scopes with at least one document; the documentation axis exists for these only."""
-    return files.filter(P.is_markdown("path")).select(*KEY).distinct()
-
-
-def docs_axis(files: DataFrame, tracked: DataFrame, hits: DataFrame | None = None) -> DataFrame:
+def docs_axis(
+    files: DataFrame,
+    tracked: DataFrame,
+    hits: DataFrame | None = None,
+    facts: DataFrame | None = None,
+) -> DataFrame:
+    """Findings of the documentation axis, for repositories with at least one document."""
+    facts = repo_facts(files, tracked) if facts is None else facts
     kinds = ("links", "env", "declared", "tokens")
     hits = lines.line_hits(files, kinds) if hits is None else hits
     used = documents.first_usage(documents.env_usage(hits))
@@ -152,10 +171,10 @@ def docs_axis(files: DataFrame, tracked: DataFrame, hits: DataFrame | None = Non
         *documents.env_findings(
             documents.undocumented_env(used, declared, mentioned),
             documents.unused_env(declared, used),
-            documents.missing_env_template(used, coverage.repo_flags(tracked)),
+            documents.missing_env_template(used, facts),
         ),
     )
-    return everything.join(documented_scopes(files), KEY, "left_semi")
+    return everything.join(facts.filter("documented").select(*KEY), KEY, "left_semi")
 
 
 @dataclass
@@ -177,24 +196,24 @@ def run_scan(
 ) -> Scan:
     """All four axes of every repository.
 
-    Contents are split into lines once: the narrow table of hits feeds three axes.  The merged
-    findings are written once as well, since statuses, ranking and summary all read them.
+    Contents are split into lines once: the narrow table of hits feeds three axes.  Ignore rules,
+    facts per repository and merged findings are written once as well, since several branches
+    read each of them.
     """
     hits = materialize(lines.line_hits(files, lines.HIT_KINDS, secret_rules), "hits")
+    specs = materialize(ignore.ignore_specs(files), "specs")
+    facts = materialize(repo_facts(files, tracked), "facts")
     found = findings.union_findings(
         secrets_axis(files, hits, secret_rules),
-        ignore_axis(files, tracked),
-        quality_axis(files, tracked, linter_reports, hits),
-        docs_axis(files, tracked, hits),
+        ignore_axis(files, tracked, facts, specs),
+        quality_axis(files, tracked, linter_reports, hits, facts),
+        docs_axis(files, tracked, hits, facts),
     )
     merged = materialize(findings.merge_findings(found), "merged")
-    documented = documented_scopes(files).withColumn("documented", F.lit(True))
-    scopes = scopes_of(tracked).join(documented, KEY, "left").withColumn(
-        "unavailable",
-        F.when(F.col("documented"), F.array().cast("array<string>")).otherwise(
-            F.array(F.lit(documents.AXIS))
-        ),
+    closed = F.when(F.col("documented"), F.array().cast("array<string>")).otherwise(
+        F.array(F.lit(documents.AXIS))
     )
+    scopes = facts.select(*KEY, closed.alias("unavailable"))
     statuses = findings.axis_statuses(scopes, findings.axis_counts(merged, limit))
     if coverage_rows is not None:
         gaps = coverage.complete(coverage_rows).select(*KEY, "complete")

@@ -9,6 +9,7 @@ from assayer.messages import catalog
 from assayer.operators import coverage as C
 from assayer.operators import documents, findings, ignore, lines, quality
 from assayer.plans import scan
+from assayer.session import materialize
 from checks.corpus import (
     FILES, IGNORE_RULES, LINES, NAME, SUFFIX, files, sql_fingerprint, sql_list, tracked,
 )
@@ -385,10 +386,10 @@ SCAN_CTE = f"""{_ALL}, {TREE}, {KEPT}, {COVERAGE}, raw AS ({SECRETS_RAW} UNION A
 
 
 def _scan(spark, sf_dir, with_catalog=False):
-    corpus, rows = files(spark, sf_dir), tracked(spark, sf_dir)
+    corpus = materialize(files(spark, sf_dir), "corpus")
     return scan.run_scan(
-        corpus, rows, coverage_rows=prepared(spark, sf_dir).coverage, secret_rules=RULES,
-        limit=SCAN_LIMIT, catalog=catalog(spark) if with_catalog else None, lang="en",
+        corpus, corpus.select(*K, "ord", "path"), coverage_rows=prepared(spark, sf_dir).coverage,
+        secret_rules=RULES, limit=SCAN_LIMIT, catalog=catalog(spark) if with_catalog else None, lang="en",
     )
 
 
