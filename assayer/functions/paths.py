@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import functools
+import weakref
+from collections.abc import Callable
 from itertools import chain
 
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,30 +15,57 @@ from assayer import rules
 from assayer.functions.text import _col, strip
 
 
+def reused(fn: Callable[..., Column]) -> Callable[..., Column]:
+    """Build the expression for a column name once per application.
+
+    The long constant lists cost a call into the JVM per entry, each time an expression is
+    written; expressions are immutable and refer to columns by name, so they can be shared.
+    """
+    built: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+
+    @functools.wraps(fn)
+    def call(path: Column | str, *args: object) -> Column:
+        if not isinstance(path, str) or any(isinstance(a, Column) for a in args):
+            return fn(path, *args)
+        known = built.setdefault(SparkContext.getOrCreate(), {})
+        key = (path, *args)
+        if key not in known:
+            known[key] = fn(path, *args)
+        return known[key]
+
+    return call
+
+
+@reused
 def path_name(path: Column | str) -> Column:
     return F.substring_index(_col(path), "/", -1)
 
 
+@reused
 def path_suffix(path: Column | str) -> Column:
     """Last dotted part of the name; a leading dot alone (``.env``) is no suffix."""
     return F.regexp_extract(_col(path), r"^(?:.*/)?[^/]+(\.[^./]+)$", 1)
 
 
+@reused
 def path_parent(path: Column | str) -> Column:
     """Directory of a path, ``.`` at the root."""
     parent = F.regexp_extract(_col(path), r"^(.*)/[^/]*$", 1)
     return F.when(parent == "", F.lit(".")).otherwise(parent)
 
 
+@reused
 def parent_dirs(path: Column | str) -> Column:
     parts = F.split(_col(path), "/", -1)
     return F.slice(parts, 1, F.size(parts) - 1)
 
 
+@reused
 def lower_suffix(path: Column | str) -> Column:
     return F.lower(path_suffix(path))
 
 
+@reused
 def file_language(path: Column | str) -> Column:
     suffix = path_suffix(path)
     return F.when(suffix == "", F.lit("text")).otherwise(F.substring(suffix, 2, 1_000_000))
@@ -48,6 +79,7 @@ def literal_map(mapping: dict[str, str]) -> Column:
     return F.create_map(*[F.lit(v) for v in chain.from_iterable(mapping.items())])
 
 
+@reused
 def rejection_reason(
     path: Column | str, size: Column | str, max_size: int = rules.MAX_FILE_SIZE
 ) -> Column:
@@ -63,6 +95,7 @@ def rejection_reason(
     )
 
 
+@reused
 def is_checkable(path: Column | str) -> Column:
     """The name or the lower-cased suffix is on the allowed lists."""
     return path_name(path).isin(rules.ALLOWED_FILENAMES) | lower_suffix(path).isin(
@@ -70,20 +103,24 @@ def is_checkable(path: Column | str) -> Column:
     )
 
 
+@reused
 def is_test_path(path: Column | str) -> Column:
     return F.arrays_overlap(parent_dirs(path), _literal_array(rules.TEST_DIR_NAMES)) | _col(
         path
     ).rlike("(?iu)" + rules.TEST_FILE_PATTERN)
 
 
+@reused
 def is_ci_path(path: Column | str) -> Column:
     return _col(path).rlike(rules.CI_FILE_PATTERN)
 
 
+@reused
 def is_env_template(path: Column | str) -> Column:
     return path_name(path).isin(rules.ENV_TEMPLATE_NAMES)
 
 
+@reused
 def classify_sensitive(path: Column | str) -> Column:
     """Rule name for files that should never be committed, else null."""
     by_name = F.try_element_at(literal_map(rules.SENSITIVE_NAMES), path_name(path))
@@ -91,18 +128,22 @@ def classify_sensitive(path: Column | str) -> Column:
     return F.when(~is_env_template(path), F.coalesce(by_name, by_suffix))
 
 
+@reused
 def is_source(path: Column | str) -> Column:
     return lower_suffix(path).isin(rules.ALL_SOURCE_EXTENSIONS)
 
 
+@reused
 def is_markdown(path: Column | str) -> Column:
     return lower_suffix(path).isin(rules.MARKDOWN_EXTENSIONS)
 
 
+@reused
 def is_readme(path: Column | str) -> Column:
     return F.lower(path_name(path)) == rules.README_NAME
 
 
+@reused
 def chunk_kind(path: Column | str) -> Column:
     suffix = lower_suffix(path)
     return (
@@ -113,6 +154,7 @@ def chunk_kind(path: Column | str) -> Column:
     )
 
 
+@reused
 def chunk_params(path: Column | str) -> Column:
     """``struct(chunk_size, chunk_overlap)`` for a file."""
     kind = chunk_kind(path)

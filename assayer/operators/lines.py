@@ -141,7 +141,7 @@ def line_hits(
     ``requirement``.  A fact that does not apply to a file's kind is null there.
     """
     secret_rules = rules.SECRET_RULES if secret_rules is None else secret_rules
-    path, content, line = F.col("path"), F.col("content"), F.col("line")
+    path, content, line = "path", F.col("content"), F.col("line")
 
     applies = {
         "secret": ~P.is_env_template(path) & secret_hint(content, secret_rules, whole_file=True),
