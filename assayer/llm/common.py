@@ -172,7 +172,7 @@ def blobs(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
 
 
 def binary_text(column: str = "text") -> Column:
-    return F.coalesce(F.col(column).cast("binary"), F.lit(b"")).alias(column)
+    return F.coalesce(F.col(column).cast("binary"), F.lit(b"")).alias("text")
 
 
 def row_key(*columns: Column) -> Column:

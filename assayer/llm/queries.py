@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.llm import exact_dedup, license_scan, url_filter, warc
+from assayer.llm import decontaminate, exact_dedup, license_scan, url_filter, warc
 from assayer.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -147,3 +147,40 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(read_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+_ALNUM = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+DECONTAMINATION_SQL = f"""
+WITH d AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {UPPER}), {_ALNUM}) AS w FROM documents
+), i AS (
+    SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), {UPPER}), {_ALNUM}) AS w FROM benchmark
+), iw AS (
+    SELECT item_id, size, array_to_string(w[s + 1 : s + size], ' ') AS phrase FROM (
+        SELECT item_id, w, least(13, len(w)) AS size, unnest(range(0, greatest(len(w) - 13, 0) + 1)) AS s
+        FROM i WHERE len(w) > 0)
+), dw AS (
+    SELECT doc_id, size, s, array_to_string(w[s + 1 : s + size], ' ') AS phrase FROM (
+        SELECT doc_id, w, size, unnest(range(0, len(w) - size + 1)) AS s
+        FROM d, (SELECT DISTINCT size FROM iw) WHERE len(w) >= size)
+), m AS (
+    SELECT doc_id, item_id, s, size FROM dw JOIN iw USING (size, phrase)
+), h AS (
+    SELECT doc_id, count(DISTINCT p) AS n_hit FROM (
+        SELECT doc_id, unnest(range(s, s + size)) AS p FROM m) GROUP BY doc_id
+), n AS (
+    SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids
+    FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item_id FROM m) GROUP BY doc_id
+)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+    sha256(coalesce(ids, '')) AS items_sha256,
+    coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN n USING (doc_id)
+"""
+
+
+@query(DECONTAMINATION_SQL)
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(
+        read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")
+    )
