@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.llm import decontaminate, exact_dedup, license_scan, url_filter, warc
+from assayer.llm import decontaminate, exact_dedup, jaccard_join, license_scan, url_filter, warc
 from assayer.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -184,3 +184,32 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.contamination(
         read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")
     )
+
+
+_SPACED = r"'[^\x20\x09-\x0D]+'"
+JACCARD_SQL = f"""
+WITH RECURSIVE d AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {UPPER}), {_SPACED}) AS w FROM documents
+), s AS (
+    SELECT DISTINCT doc_id, g FROM (
+        SELECT doc_id, array_to_string(w[i + 1 : i + 4], ' ') AS g
+        FROM (SELECT doc_id, w, unnest(range(0, greatest(len(w) - 3, 1))) AS i FROM d WHERE len(w) > 0))
+), n AS (
+    SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), l AS (
+    SELECT a, b FROM (
+        SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y USING (g)
+        WHERE x.doc_id <> y.doc_id GROUP BY ALL) JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b
+    WHERE 100 * c >= 85 * (p.n + q.n - c)
+), r AS (
+    SELECT doc_id AS a, doc_id AS root FROM d
+    UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.a
+)
+SELECT r.a AS doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(root) AS component_id
+FROM r LEFT JOIN n ON n.doc_id = r.a GROUP BY r.a
+"""
+
+
+@query(JACCARD_SQL)
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar_components(read_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
