@@ -199,3 +199,65 @@ def keep_rows(docs: DataFrame, decided: DataFrame, keys: dict[str, Column]) -> D
     order = Window.partitionBy(key).orderBy(F.lit(1))
     ranked = joined.withColumn(rank, F.row_number().over(order)).filter(F.col(rank) == 1)
     return ranked.select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
+def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Batches with a flag for each row whose first column also stands in a neighbouring row.
+
+    Rows come sorted by that column.  A row that may have its partner in the next batch is held
+    back and heads that batch, so a run of any length streams past.
+    """
+    held, last = None, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if held is not None:
+            table = pa.Table.from_batches([held, batch]).combine_chunks()
+            batch = table.to_batches(max_chunksize=table.num_rows)[0]
+        value = batch.column(0).to_numpy()
+        same = value[1:] == value[:-1]
+        flag = np.zeros(len(value), bool)
+        flag[1:] |= same
+        flag[:-1] |= same
+        if held is None and last is not None:
+            flag[0] |= value[0] == last
+        last = value[-1]
+        held = None if flag[-1] else batch.slice(batch.num_rows - 1)
+        n = batch.num_rows - (held is not None)
+        if n:
+            yield batch.slice(0, n), flag[:n]
+    if held is not None:
+        yield held, np.zeros(1, bool)
+
+
+BITMAP_BITS = 1 << 26
+
+
+def bitmap_of(keys: DataFrame, column: str) -> np.ndarray:
+    """A bitmap of fixed size over hashed keys: false only for keys that are surely absent.
+
+    It is put together from partial words, of which there are at most ``BITMAP_BITS / 64``.
+    """
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bit = _bit_of(batch.column(0).to_numpy())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(bit >> 6), pa.array(np.left_shift(np.int64(1), bit & 63))],
+                names=["word", "bits"],
+            )
+
+    marks = keys.select(F.col(column).cast("bigint")).distinct().mapInArrow(mark, "word bigint, bits bigint")
+    marks = marks.groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(BITMAP_BITS >> 6, np.uint64)
+    out[marks["word"].to_numpy()] = unsigned(marks["bits"].to_numpy())
+    return out
+
+
+def in_bitmap(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    bit = _bit_of(keys)
+    return ((bitmap[bit >> 6] >> (bit & 63).astype(np.uint64)) & np.uint64(1)).astype(bool)
+
+
+def _bit_of(keys: np.ndarray) -> np.ndarray:
+    return (mix(unsigned(keys)) % np.uint64(BITMAP_BITS)).astype(np.int64)

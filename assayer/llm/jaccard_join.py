@@ -27,7 +27,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from assayer.llm.common import SPACED, binary_text, combine, mix, prepare, signed, unsigned, words_in
+from assayer.llm.common import (
+    SPACED,
+    binary_text,
+    bitmap_of,
+    combine,
+    in_bitmap,
+    mix,
+    prepare,
+    repeated,
+    signed,
+    unsigned,
+    words_in,
+)
 from assayer.llm.components import components
 from assayer.session import materialize
 
@@ -36,7 +48,6 @@ PERCENT = 85
 MAX_FREQUENT = 1 << 16
 CHUNK = 1 << 21  # shingles counted together
 OFTEN = 8  # times in a chunk
-FILTER_BITS = 1 << 26
 STARS = 3
 PAIRS_PER_TASK = 512
 
@@ -159,24 +170,8 @@ def shared_entries(clusters: DataFrame) -> DataFrame:
             )
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # the last entry so far, while it is alone with its shingle
-        last = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            whole = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
-            token = whole.column(0).to_numpy()
-            same = token[1:] == token[:-1]
-            keep = np.zeros(len(token), bool)
-            keep[1:] |= same
-            keep[:-1] |= same
-            if held is None and last is not None:
-                keep[0] |= token[0] == last
-            # the last row may have a partner in the next batch
-            open_end = not keep[-1]
-            yield whole.filter(pa.array(keep))
-            held = whole.slice(whole.num_rows - 1) if open_end else None
-            last = token[-1]
+        for batch, twice in repeated(batches):
+            yield batch.filter(pa.array(twice))
 
     schema = "token bigint, cluster bigint, n int, pos int"
     entries = clusters.select("cluster", "n", "prefix").mapInArrow(explode, schema)
@@ -231,8 +226,9 @@ def rest_pairs(entries: DataFrame, percent: int) -> DataFrame:
     return pairs.select("cluster", F.col("cluster2").alias("other")).distinct()
 
 
-def _bit(node: np.ndarray, ids: np.ndarray, bits: int) -> np.ndarray:
-    return (combine(unsigned(node), mix(unsigned(ids))) % np.uint64(bits)).astype(np.int64)
+def _name(node: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """One name for a node and an id."""
+    return signed(combine(unsigned(node), mix(unsigned(ids))))
 
 
 def verified(texts: DataFrame, nodes: DataFrame, pairs: DataFrame, n: int, percent: int, frequent: tuple) -> DataFrame:
@@ -246,22 +242,16 @@ def verified(texts: DataFrame, nodes: DataFrame, pairs: DataFrame, n: int, perce
     sides = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     wanted = materialize(nodes.join(sides, "node", "left_semi").select("node", "least"), "wanted")
 
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bit = _bit(batch.column(0).to_numpy(), batch.column(1).to_numpy(), FILTER_BITS)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(bit >> 6), pa.array(np.left_shift(np.int64(1), bit & 63))], names=["word", "bits"]
-            )
+            names = _name(batch.column(0).to_numpy(), batch.column(1).to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(names)], names=["name"])
 
-    least = F.coalesce("least", F.lit(0)).alias("least")
-    marks = wanted.select("node", least).mapInArrow(mark, "word bigint, bits bigint")
-    marks = marks.groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
-    bitmap = np.zeros(FILTER_BITS >> 6, np.uint64)
-    bitmap[marks["word"].to_numpy()] = unsigned(marks["bits"].to_numpy())
+    least = F.coalesce("least", F.lit(0).cast("bigint")).alias("least")
+    bitmap = bitmap_of(wanted.select("node", least).mapInArrow(name, "name bigint"), "name")
     shared = texts.sparkSession.sparkContext.broadcast(bitmap)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flags = shared.value
         for batch, words in words_in(batches, "text", SPACED, lower=True):
             rows, names = shingle_sets(batch, words, n)
             names = ordered(names, frequent)
@@ -277,8 +267,7 @@ def verified(texts: DataFrame, nodes: DataFrame, pairs: DataFrame, n: int, perce
             if not found:
                 continue
             node = np.array([x for x, _ in found], np.int64)
-            bit = _bit(node, ids[[i for _, i in found]], FILTER_BITS)
-            hit = np.flatnonzero((flags[bit >> 6] >> (bit & 63).astype(np.uint64)) & np.uint64(1))
+            hit = np.flatnonzero(in_bitmap(shared.value, _name(node, ids[[i for _, i in found]])))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(node[hit]), pa.array([own[i] for i in hit], pa.binary())], names=["node", "set"]
             )

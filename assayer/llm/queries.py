@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.llm import decontaminate, exact_dedup, jaccard_join, license_scan, url_filter, warc
+from assayer.llm import decontaminate, exact_dedup, jaccard_join, license_scan, recompression, url_filter, warc
 from assayer.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -213,3 +213,29 @@ FROM r LEFT JOIN n ON n.doc_id = r.a GROUP BY r.a
 @query(JACCARD_SQL)
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similar_components(read_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+REPEATS_SQL = f"""
+WITH d AS (
+    SELECT doc_id, regexp_extract_all(coalesce(text, ''), {_SPACED}) AS w FROM documents
+), g AS (
+    SELECT doc_id, s, array_to_string(w[s + 1 : s + 13], ' ') AS g FROM (
+        SELECT doc_id, w, unnest(range(0, len(w) - 12)) AS s FROM d WHERE len(w) >= 13)
+), r AS (
+    SELECT doc_id, s FROM (SELECT doc_id, s, min(doc_id) OVER (PARTITION BY g) AS least FROM g) WHERE least < doc_id
+), p AS (
+    SELECT DISTINCT doc_id, s + k AS i FROM r, range(0, 13) t(k)
+), q AS (
+    SELECT doc_id, count(*) AS n_removed, list(i) AS gone FROM p GROUP BY doc_id
+)
+SELECT doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed,
+    sha256(array_to_string(CASE WHEN gone IS NULL THEN w
+        ELSE list_filter(w, lambda x, i: NOT list_contains(gone, i - 1)) END, ' ')) AS kept_sha256
+FROM d LEFT JOIN q USING (doc_id)
+"""
+
+
+@query(REPEATS_SQL)
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = recompression.remove_repeats(read_table(spark, sf_dir, "documents"))
+    return cut.select(F.col("id").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
