@@ -7,7 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.llm import decontaminate, exact_dedup, jaccard_join, license_scan, recompression, url_filter, warc
+from assayer.llm import (
+    decontaminate,
+    exact_dedup,
+    jaccard_join,
+    license_scan,
+    mixing,
+    quality,
+    recompression,
+    url_filter,
+    warc,
+)
 from assayer.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -239,3 +249,27 @@ FROM d LEFT JOIN q USING (doc_id)
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = recompression.remove_repeats(read_table(spark, sf_dir, "documents"))
     return cut.select(F.col("id").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
+
+
+@query()
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.classify(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return judged.select("doc_id", "posterior", "score", "kept")
+
+
+# Domains of the labelled table, and the share of tokens that each is to have.
+JUNK, TOXIC, CLEAN = 0, 1, 2
+TARGETS = (0.05, 0.05, 0.90)
+
+
+def labelled_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    domain = F.when(F.col("quality") == 0, JUNK).when(F.col("toxic") == 1, TOXIC).otherwise(CLEAN)
+    known = F.col("quality").isNotNull() & F.col("toxic").isNotNull()
+    return read_table(spark, sf_dir, "labels").filter(known).select("doc_id", domain.alias("domain"))
+
+
+@query()
+def op10_target_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    mixed = mixing.mix(docs, labelled_domains(spark, sf_dir), TARGETS)
+    return mixed.select("doc_id", "n_tokens", "posterior", "rate", "copies")
