@@ -27,6 +27,7 @@ from assayer.llm.linear import LinearModel, fit
 SAMPLE = 8192
 FEATURES = 1 << 14
 GRAM = 4
+SHRINK = 100
 GOOD, BAD, NONE = 1, 0, 2
 
 _B = np.arange(256)
@@ -92,12 +93,12 @@ def votes(batch: pa.RecordBatch, column: str) -> np.ndarray:
         [
             _bad(symbols > 0.02),
             _bad((letters >= 20) & (capitals > 0.4)),
-            _bad(enough & (echoes > 0.1)),
-            _bad(enough & (exclaims > 0.2)),
+            _bad((n >= 8) & (echoes > 0.1)),
+            _bad((n >= 4) & (exclaims > 0.2)),
             _bad(enough & (variety < 0.4)),
             _bad((n > 0) & ((mean > 16) | (mean < 2))),
-            _good(enough & (stops > 0.02) & (stops < 0.4) & (exclaims < 0.05)),
-            _good((size > 0) & (signs / printed < 0.06) & (capitals < 0.15)),
+            _good((stops > 0.02) & (exclaims < 0.05) & (symbols < 0.01)),
+            _good((size > 0) & (signs / printed < 0.15) & (capitals < 0.4) & (symbols < 0.01)),
         ],
         axis=1,
     )
@@ -150,7 +151,7 @@ def fit_labels(patterns: np.ndarray, counts: np.ndarray, steps: int = 200) -> La
 
 
 def shape_features(batch: pa.RecordBatch, column: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Document, hashed shape n-gram, and its share among the document's, for every place."""
+    """Document, hashed shape n-gram, and the weight of a place, for every place."""
     data, offsets = binary_column(batch, column)
     shape = _SHAPE[data].astype(np.uint32)
     last = max(0, len(shape) - GRAM + 1)
@@ -162,7 +163,8 @@ def shape_features(batch: pa.RecordBatch, column: str) -> tuple[np.ndarray, np.n
     inside = doc[:last] == doc[GRAM - 1 :] if last else np.zeros(0, bool)
     doc, code = doc[:last][inside], code[inside]
     size = np.bincount(doc, minlength=batch.num_rows)
-    return doc, code, 20 / np.sqrt(np.maximum(size[doc], 1)) / np.sqrt(np.maximum(size[doc], 1))
+    # a short text has few places to tell by, so its shares count for less
+    return doc, code, 20 / (size[doc] + SHRINK)
 
 
 @dataclass(frozen=True)
@@ -240,7 +242,7 @@ def score(docs: DataFrame, model: QualityModel, text_column: str = "text") -> Da
     return rows.mapInArrow(run, schema)
 
 
-def classify(docs: DataFrame, threshold: float = 0.5, sample: int = SAMPLE, text_column: str = "text") -> DataFrame:
+def classify(docs: DataFrame, threshold: float = 0.3, sample: int = SAMPLE, text_column: str = "text") -> DataFrame:
     """Train on ``docs`` and add ``posterior``, ``score`` and ``kept``: score at or above the threshold."""
     scored = score(docs, train(docs, text_column, sample), text_column)
     return scored.withColumn("kept", F.col("score") >= threshold)
