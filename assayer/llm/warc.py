@@ -274,16 +274,25 @@ def assemble(records: DataFrame) -> DataFrame:
 
 
 def resolve_revisits(captures: DataFrame) -> DataFrame:
-    """Give revisits the length of the payload they refer to, by the response's record id."""
-    sizes = captures.filter(F.col("response.refers_to").isNull()).select(
-        F.col("capture_id").alias("__id"), F.col("response.payload_bytes").alias("__bytes"),
+    """Give revisits the length of the payload they refer to, by the response's record id.
+
+    Only revisits are joined: captures without a reference would all meet under one null.
+    """
+    refers = F.col("response.refers_to")
+    full = captures.filter(refers.isNull()).withColumns({
+        "payload_bytes": F.col("response.payload_bytes"), "original_metadata": F.col("metadata"),
+    })
+    sizes = full.select(
+        F.col("capture_id").alias("__id"), F.col("payload_bytes").alias("__bytes"),
         F.col("metadata").alias("__metadata"),
     )
-    return captures.join(sizes, F.col("response.refers_to") == F.col("__id"), "left").select(
-        *captures.columns,
-        F.coalesce("response.payload_bytes", "__bytes").alias("payload_bytes"),
+    revisits = captures.filter(refers.isNotNull()).join(sizes, refers == F.col("__id"), "left")
+    revisits = revisits.select(
+        *captures.columns, F.coalesce("response.payload_bytes", "__bytes").alias("payload_bytes"),
         F.col("__metadata").alias("original_metadata"),
     )
+    none = F.lit(None).cast(full.schema["original_metadata"].dataType)
+    return full.withColumn("original_metadata", none).unionByName(revisits)
 
 
 def field(metadata: Column, name: str) -> Column:
