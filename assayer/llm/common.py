@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from assayer.session import materialize
+
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
@@ -261,3 +263,28 @@ def in_bitmap(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 def _bit_of(keys: np.ndarray) -> np.ndarray:
     return (mix(unsigned(keys)) % np.uint64(BITMAP_BITS)).astype(np.int64)
+
+
+def drop_ids(docs: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """Rows whose id is not among ``ids`` (one column ``id``); a null id is among none.
+
+    A bitmap of fixed size tells which rows can be among them.  The others, most of a corpus, stay
+    in their tasks, and only the rest moves to an exact anti-join.
+    """
+    ids = materialize(ids.select(F.col("id").cast("bigint").alias("id")).distinct(), "dropped")
+    bitmap = docs.sparkSession.sparkContext.broadcast(bitmap_of(ids, "id"))
+    place = docs.columns.index(column)
+
+    def part(wanted: bool):
+        def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keys = batch.column(place)
+                hit = in_bitmap(bitmap.value, keys.fill_null(0).to_numpy().astype(np.int64))
+                hit &= keys.is_valid().to_numpy(zero_copy_only=False)
+                yield batch.filter(pa.array(hit == wanted))
+
+        return docs.mapInArrow(pick, docs.schema)
+
+    dropped = ids.select(F.col("id").alias("__dropped")).hint("merge")
+    moved = part(True).join(dropped, F.col(f"`{column}`").cast("bigint") == F.col("__dropped"), "left_anti")
+    return part(False).unionAll(moved)

@@ -117,7 +117,8 @@ def fit_rates(
     """Gradient steps that bring the expected domain totals to ``weights`` times ``budget``.
 
     ``members`` has ``n_tokens`` and ``posterior``; totals are shares of all its tokens.  Domains
-    are scaled by their share, which bounds the largest curvature by one, so a step of one is safe.
+    are scaled by their share, which bounds the largest curvature by one, so a step of one is safe;
+    shares below one in a hundred count as that, so a domain nobody is in does not drive the rest.
     Returns the steps, the totals reached and the targets.
     """
     k = len(weights)
@@ -132,13 +133,13 @@ def fit_rates(
 
     share = totals(F.lit(1.0))
     reached = share
-    scale = np.where(share > 0, 1 / np.maximum(share, 1e-12), 0.0)
+    scale = 1 / np.maximum(share, 0.01)
     for _ in range(steps):
         miss = reached - target
-        if np.abs(np.where(share > 0, miss, 0)).max() < tolerance:
-            break
         history.append(list(miss * scale))
-        reached = totals(rate_column(posterior, history))
+        before, reached = reached, totals(rate_column(posterior, history))
+        if np.abs(reached - before).max() < tolerance:
+            break
     return history, reached, target
 
 

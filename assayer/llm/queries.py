@@ -11,6 +11,7 @@ from assayer.llm import (
     decontaminate,
     exact_dedup,
     jaccard_join,
+    katz,
     license_scan,
     mixing,
     quality,
@@ -273,3 +274,8 @@ def op10_target_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     mixed = mixing.mix(docs, labelled_domains(spark, sf_dir), TARGETS)
     return mixed.select("doc_id", "n_tokens", "posterior", "rate", "copies")
+
+
+@query()
+def op7_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.held_out_scores(read_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
