@@ -111,12 +111,18 @@ def normalize_lang(c: Column | str) -> Column:
 
 
 def fill_template(template: Column, params: Column, names: list[str]) -> Column:
-    """Replace ``{name}`` by ``params[name]`` for the names a catalog uses."""
-    filled = template
-    for name in names:
-        mark = F.lit("{" + name + "}")
-        filled = F.replace(filled, mark, F.coalesce(F.try_element_at(params, F.lit(name)), mark))
-    return filled
+    """Replace ``{name}`` by ``params[name]`` for the names a catalog uses.
+
+    The template is split at its marks once, so a mark inside a value stays as it is.
+    """
+    marks = [F.lit("{" + name + "}") for name in names]
+
+    def part(piece: Column) -> Column:
+        name = F.substr(piece, F.lit(2), F.length(piece) - 2)
+        value = F.when(piece.isin(*marks), F.try_element_at(params, name))
+        return F.coalesce(value, piece)
+
+    return F.array_join(F.transform(F.split(template, r"(?=\{)|(?<=\})"), part), "")
 
 
 def strip_fences(raw: Column | str) -> Column:

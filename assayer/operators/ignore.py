@@ -8,6 +8,7 @@ matching rule wins" is decided inside a row, without another shuffle.
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 
@@ -40,18 +41,23 @@ TOKENS = re.compile(
 )
 
 
+def _char(c: str) -> str:
+    """One character, whatever it means in an expression."""
+    return f"\\U{ord(c):08x}"
+
+
 def _character_class(negated: bool, members: str) -> str:
-    """A bracket expression in a regex dialect shared by Java and Python."""
+    """A bracket expression."""
     members = re.sub(r"\\(.)", r"\1", members)
     out, i = [], 0
     while i < len(members):
         if i + 2 < len(members) and members[i + 1] == "-":
             low, high = members[i], members[i + 2]
             if low <= high:
-                out.append(f"\\x{{{ord(low):x}}}-\\x{{{ord(high):x}}}")
+                out.append(f"{_char(low)}-{_char(high)}")
             i += 3
         else:
-            out.append(f"\\x{{{ord(members[i]):x}}}")
+            out.append(_char(members[i]))
             i += 1
     if not out:
         return "[^/]" if negated else "(?!)"
@@ -84,18 +90,20 @@ def ignore_regex(rule: str) -> tuple[str, bool] | None:
         elif kind == "rest":
             out.append(".+")
         elif kind == "star":
-            out.append("[^/]*")
+            # a part of a path is never empty: ``dir/*`` is not ``dir/`` itself
+            begins = token.start() == 0 or text[token.start() - 1] == "/"
+            out.append("(?=[^/])[^/]*" if begins else "[^/]*")
         elif kind == "one":
             out.append("[^/]")
         elif kind == "escaped":
-            out.append(f"\\x{{{ord(found[1]):x}}}")
+            out.append(_char(found[1]))
         elif token["set"] is not None:
             out.append(_character_class(bool(token["not"]), token["set"]))
         elif re.match(r"[A-Za-z0-9_/]", found, re.ASCII):
             out.append(found)
         else:
-            out.append(f"\\x{{{ord(found):x}}}")
-    return f"(?s)^{''.join(out)}{'/' if only_dirs else '/?'}$", negated
+            out.append(_char(found))
+    return f"(?s:{''.join(out)}{'/' if only_dirs else '/?'})", negated
 
 
 @F.pandas_udf(COMPILED)
@@ -129,22 +137,49 @@ def base_dirs(path: Column) -> Column:
     return F.concat(F.array(F.lit("")), below)
 
 
-def _ignored_by(relative: Column, spec: Column) -> Column:
-    """Is the path, or a directory above it, ignored by the last rule that matches it?"""
-    parts = F.split(relative, "/", -1)
-    candidates = F.transform(
-        parts,
-        lambda _, i: F.concat(
-            F.array_join(F.slice(parts, 1, i + 1), "/"),
-            F.when(i + 1 < F.size(parts), F.lit("/")).otherwise(F.lit("")),
-        ),
-    )
+@functools.lru_cache(maxsize=1 << 14)
+def _compiled(regex: str) -> re.Pattern:
+    return re.compile(regex)
+
+
+class _Rules:
+    """The rules of one file: patterns compiled once, and what they say of directories."""
 
-    def last_rule_ignores(candidate: Column) -> Column:
-        matching = F.filter(spec, lambda rule: F.rlike(candidate, rule["regex"]))
-        return F.coalesce(~F.try_element_at(matching, F.lit(-1))["negated"], F.lit(False))
+    def __init__(self, spec: tuple[tuple[str, bool], ...]) -> None:
+        self.last_first = [(_compiled(regex), negated) for regex, negated in reversed(spec)]
+        self.directories: dict[str, bool] = {"": False}
 
-    return F.exists(candidates, last_rule_ignores)
+    def matched(self, candidate: str) -> bool:
+        """Does the last rule that matches the candidate ignore it?"""
+        return next((not negated for p, negated in self.last_first if p.fullmatch(candidate)), False)
+
+    def below(self, directory: str) -> bool:
+        """Is the directory, or one above it, ignored?  Every directory is decided once."""
+        if directory not in self.directories:
+            parent = directory[: directory.rstrip("/").rfind("/") + 1]
+            if len(self.directories) > 1 << 16:
+                self.directories = {"": False}
+            self.directories[directory] = self.below(parent) or self.matched(directory)
+        return self.directories[directory]
+
+    def ignores(self, path: str) -> bool:
+        return self.below(path[: path.rfind("/") + 1]) or self.matched(path)
+
+
+@F.pandas_udf(BooleanType())
+def _ignored_by(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """Is the path, or a directory above it, ignored by the last rule that matches it?"""
+    known: dict[tuple, _Rules] = {}
+    for relative, specs in batches:
+        out = []
+        for path, spec in zip(relative, specs, strict=True):
+            key = tuple((rule["regex"], rule["negated"]) for rule in spec)
+            if key not in known:
+                if len(known) > 256:
+                    known.clear()
+                known[key] = _Rules(key)
+            out.append(known[key].ignores(path))
+        yield pd.Series(out, dtype="boolean")
 
 
 def ignored_paths(paths: DataFrame, specs: DataFrame) -> DataFrame:

@@ -11,34 +11,37 @@ from assayer.messages import PARAM_NAMES
 
 
 def with_template(
-    df: DataFrame, catalog: DataFrame, key: Column, lang: Column, name: str
+    df: DataFrame, catalog: DataFrame, key: Column, lang: Column, name: str, bounded: bool = True
 ) -> DataFrame:
     """Add column ``name``: the template of ``key`` in ``lang``, else in the default language,
     else the key itself.
 
-    The catalog's size is what decides the join: Spark broadcasts it below its own threshold.
+    One join, with one row per key.  ``bounded`` says that the catalog is a list of messages, as
+    the built-in one of about a hundred keys, which is broadcast; pass False for a catalog that
+    grows with data.
     """
-    wanted = catalog.select(
-        F.col("key").alias("_key"), F.col("lang").alias("_lang"), F.col("template").alias("_exact")
-    )
-    fallback = catalog.filter(F.col("lang") == rules.DEFAULT_LANGUAGE).select(
-        F.col("key").alias("_key"), F.col("template").alias("_default")
+    texts = catalog.groupBy(F.col("key").alias("_key")).agg(
+        F.map_from_entries(F.collect_list(F.struct("lang", "template"))).alias("_texts")
     )
+    if bounded:
+        texts = F.broadcast(texts)
     keyed = df.withColumns({"_key": key, "_lang": T.normalize_lang(lang)})
+    exact = F.try_element_at("_texts", F.col("_lang"))
+    default = F.try_element_at("_texts", F.lit(rules.DEFAULT_LANGUAGE))
     return (
-        keyed.join(wanted, ["_key", "_lang"], "left")
-        .join(fallback, "_key", "left")
-        .withColumn(name, F.coalesce("_exact", "_default", "_key"))
-        .drop("_key", "_lang", "_exact", "_default")
+        keyed.join(texts, "_key", "left")
+        .withColumn(name, F.coalesce(exact, default, "_key"))
+        .drop("_key", "_lang", "_texts")
     )
 
 
 def label(
-    df: DataFrame, catalog: DataFrame, prefix: str, value: str, lang: Column, name: str
+    df: DataFrame, catalog: DataFrame, prefix: str, value: str, lang: Column, name: str,
+    bounded: bool = True,
 ) -> DataFrame:
     """A display label for ``value``, or the raw value when the catalog has none."""
     key = F.concat(F.lit(f"{prefix}."), F.col(value))
-    shown = with_template(df, catalog, key, lang, "_label")
+    shown = with_template(df, catalog, key, lang, "_label", bounded)
     return shown.withColumn(
         name, F.when(F.col("_label") == key, F.col(value)).otherwise(F.col("_label"))
     ).drop("_label")
@@ -73,15 +76,16 @@ def localize_findings(findings: DataFrame, catalog: DataFrame, lang: Column) ->
     both = with_template(titled, catalog, description_key, lang, "description")
     # The description of a dead link names the resolved path, its title the target as written.
     resolved = F.try_element_at(F.col("params"), F.lit("resolved"))
-    pointed = F.when(resolved.isNull(), F.col("description")).otherwise(
-        F.replace(F.col("description"), F.lit("{target}"), resolved)
+    others = F.map_filter(F.col("params"), lambda name, _: name != "target")
+    pointed = F.when(resolved.isNull(), F.col("params")).otherwise(
+        F.map_concat(others, F.create_map(F.lit("target"), resolved))
     )
     return both.withColumns(
         {
             "title": F.coalesce(
                 F.col("title"), T.fill_template(F.col("_title"), F.col("params"), PARAM_NAMES)
             ),
-            "description": T.fill_template(pointed, F.col("params"), PARAM_NAMES),
+            "description": T.fill_template(F.col("description"), pointed, PARAM_NAMES),
         }
     ).drop("_title")
 

@@ -84,7 +84,7 @@ def pinned_repos(manifests: DataFrame) -> DataFrame:
 
 FUNCTIONS = (
     "repo string, commit_sha string, ord long, path string, item int, name string, "
-    "line_no int, score int"
+    "line_no int, score int, problem string"
 )
 SCOPES = (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)
 PATHS_ADDED = {
@@ -101,42 +101,54 @@ PATHS_ADDED = {
 
 
 def branch_count(node: ast.AST) -> int:
-    """Branches below a node, nested functions and classes left out."""
-    total = 0
-    for child in ast.iter_child_nodes(node):
-        if not isinstance(child, SCOPES):
-            total += PATHS_ADDED.get(type(child), lambda _: 0)(child) + branch_count(child)
+    """Branches below a node, nested functions and classes left out; nesting may be of any depth."""
+    total, level = 0, [node]
+    while level:
+        inner = [c for n in level for c in ast.iter_child_nodes(n) if not isinstance(c, SCOPES)]
+        total += sum(PATHS_ADDED[type(c)](c) for c in inner if type(c) in PATHS_ADDED)
+        level = inner
     return total
 
 
 def _python_functions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    columns = ["repo", "commit_sha", "ord", "path", "item", "name", "line_no", "score"]
+    columns = ["repo", "commit_sha", "ord", "path", "item", "name", "line_no", "score", "problem"]
     for batch in batches:
         rows = []
         for file in batch.itertuples(index=False):
+            place = (file.repo, file.commit_sha, file.ord, file.path)
             try:
                 tree = ast.parse(file.content)
-                found = [n for n in ast.walk(tree) if isinstance(n, SCOPES[:2])]
-                rows += [
-                    (file.repo, file.commit_sha, file.ord, file.path, i, n.name, n.lineno,
-                     1 + branch_count(n))
-                    for i, n in enumerate(found)
-                ]
-            except (SyntaxError, ValueError, RecursionError, MemoryError):
+            except (SyntaxError, ValueError):
+                rows.append((*place, None, None, None, None, "syntax"))
                 continue
+            except (RecursionError, MemoryError):
+                rows.append((*place, None, None, None, None, "too_deep"))
+                continue
+            found = [n for n in ast.walk(tree) if isinstance(n, SCOPES[:2])]
+            rows += [
+                (*place, i, n.name, n.lineno, 1 + branch_count(n), None) for i, n in enumerate(found)
+            ]
         yield pd.DataFrame(rows, columns=columns)
 
 
-def function_complexity(files: DataFrame) -> DataFrame:
-    """Cyclomatic complexity per Python function; files that do not parse, too deeply nested
-    ones included, are skipped.
-
-    A map over files: no shuffle, and only Python sources cross into Python.
-    """
+def _examined(files: DataFrame) -> DataFrame:
+    """A map over files: no shuffle, and only Python sources cross into Python."""
     sources = files.filter(P.lower_suffix("path").isin(rules.PYTHON_COMPLEXITY_EXTENSIONS))
     return sources.select(*KEY, "ord", "path", "content").mapInPandas(_python_functions, FUNCTIONS)
 
 
+def function_complexity(files: DataFrame) -> DataFrame:
+    """Cyclomatic complexity per Python function of every file that parses."""
+    return _examined(files).filter(F.col("problem").isNull()).drop("problem")
+
+
+def unparsed_sources(files: DataFrame) -> DataFrame:
+    """Per repository, how many Python files do not parse (``syntax``) or are nested deeper than
+    the parser goes (``too_deep``)."""
+    failed = _examined(files).filter(F.col("problem").isNotNull())
+    return failed.groupBy(*KEY, "problem").agg(F.count("*").alias("n_files"))
+
+
 def complexity_stats(files: DataFrame, functions: DataFrame) -> DataFrame:
     """Per scan; the block is null when no Python file was read."""
     suffix = P.lower_suffix("path")

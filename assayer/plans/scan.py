@@ -18,29 +18,25 @@ from assayer.session import materialize
 from assayer.sources import tree as listing
 
 
-def config_hash() -> str:
-    """Sixteen hex digits over every rule input; part of the cache key."""
-    inputs = {
-        "allowed_extensions": rules.ALLOWED_EXTENSIONS,
-        "allowed_filenames": sorted(rules.ALLOWED_FILENAMES),
-        "excluded_dirs": sorted(rules.EXCLUDED_DIRS),
-        "limits": {
-            "max_file_size": rules.MAX_FILE_SIZE,
-            "max_file_lines": rules.MAX_FILE_LINES,
-            "max_repo_files": rules.MAX_REPO_FILES,
-            "batch_size": rules.FETCH_BATCH,
-        },
-        "secret_patterns": sorted([list(rule) for rule in rules.SECRET_RULES]),
-        "max_evidence_length": rules.MAX_EVIDENCE_LENGTH,
-        "max_findings_per_axis": rules.MAX_FINDINGS_PER_AXIS,
-        "complexity_threshold": rules.COMPLEXITY_THRESHOLD,
-        "min_requirements_for_pinning": rules.MIN_REQUIREMENTS_FOR_PINNING,
-        "pinning_ratio_threshold": rules.PINNING_RATIO_THRESHOLD,
-        "min_env_vars_for_example": rules.MIN_ENV_VARS_FOR_EXAMPLE,
-        "platform_env": sorted(rules.PLATFORM_ENV),
-    }
-    text = json.dumps(inputs, sort_keys=True, separators=(",", ":"))
-    return hashlib.sha256(text.encode()).hexdigest()[: rules.CONFIG_HASH_LENGTH]
+def _plain(value: object) -> object:
+    """A rule value as JSON can write it, the same in every process."""
+    if isinstance(value, dict):
+        return [[_plain(k), _plain(v)] for k, v in value.items()]
+    if isinstance(value, (set, frozenset)):
+        return sorted(map(str, value))
+    if isinstance(value, (list, tuple)):
+        return [_plain(v) for v in value]
+    return value if isinstance(value, (str, int, float, bool, type(None))) else repr(value)
+
+
+def config_hash(source: object = rules) -> str:
+    """Part of the cache key: a digest over every rule table and limit that ``rules`` holds.
+
+    All constants count, whatever reads them, so a changed rule never serves an old scan.
+    """
+    constants = {name: _plain(value) for name, value in vars(source).items() if name.isupper()}
+    written = json.dumps(constants, sort_keys=True, ensure_ascii=True)
+    return hashlib.sha256(written.encode("ascii")).hexdigest()[: rules.CONFIG_HASH_LENGTH]
 
 
 def config_hash_column(inputs: Column) -> Column:

@@ -12,27 +12,30 @@ ISSUE = (
     "struct<severity: string, title: string, file_path: string, description: string, "
     "code_hint: string, rule: string, source: string>"
 )
-ANSWER = f"struct<status: string, issues: array<{ISSUE}>>"
+# Members stay text first, so that one of another kind spoils only itself.
+ANSWER = "struct<status: string, issues: array<string>>"
 EVENT = "struct<event: string, step: string, message: string, result: string, status: string>"
 
 
 def parse_llm_issues(raw: DataFrame) -> DataFrame:
     """Answers to ``status`` and valid ``issues``.
 
-    Text that is no JSON object gives status ``error``; an issue lacking any required field is
-    dropped (the field has to be present, an explicit null counts as lacking here).
+    Text that is no JSON object gives status ``error``.  An issue that is no object, or lacks the
+    key of a required field, is dropped; a key with null is there.
     """
     clean = T.strip_fences("raw")
     good = T.is_json_object(clean)
     parsed = F.from_json(F.when(good, clean), ANSWER)
 
-    def whole(issue):
-        present = F.lit(True)
-        for field in rules.REQUIRED_ISSUE_FIELDS:
-            present = present & issue[field].isNotNull()
-        return present
+    required = F.array(*[F.lit(field) for field in sorted(rules.REQUIRED_ISSUE_FIELDS)])
 
-    issues = F.coalesce(F.filter(parsed["issues"], whole), F.array().cast(f"array<{ISSUE}>"))
+    def whole(member):
+        return F.coalesce(F.size(F.array_except(required, F.json_object_keys(member))) == 0, F.lit(False))
+
+    members = F.filter(parsed["issues"], whole)
+    issues = F.coalesce(
+        F.transform(members, lambda member: F.from_json(member, ISSUE)), F.array().cast(f"array<{ISSUE}>")
+    )
     return raw.withColumn(
         "status", F.when(good, F.coalesce(parsed["status"], F.lit("parsed"))).otherwise(F.lit("error"))
     ).withColumn("issues", issues)

@@ -73,22 +73,38 @@ def cache_invalidate(cache: DataFrame, repo_ids: DataFrame) -> tuple[DataFrame,
 # --- results ------------------------------------------------------------------------------
 
 
-def replace_results(spark: SparkSession, path: str, new: DataFrame) -> None:
-    """Replace all results of the runs in ``new``; running it again changes nothing.
-
-    The buckets of those runs are rebuilt in the shared folder first, then overwritten as
-    partitions, so a failed job leaves the old rows in place.
+def drop_buckets(spark: SparkSession, path: str, buckets: list[int]) -> None:
+    """Remove bucket folders that a replacement left without rows."""
+    jvm = spark.sparkContext._jvm
+    for bucket in buckets:
+        folder = jvm.org.apache.hadoop.fs.Path(f"{path}/bucket={bucket}")
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def replace_results(
+    spark: SparkSession, path: str, new: DataFrame, runs: DataFrame | None = None
+) -> None:
+    """Replace all results of ``runs`` by ``new``; running it again changes nothing.
+
+    ``runs`` (``analysis_id``) names what is replaced, also runs without new rows; by default the
+    runs in ``new``.  The buckets of those runs are rebuilt in the shared folder first, then
+    overwritten as partitions, so a failed job leaves the old rows in place.
     """
     incoming = new.withColumn("bucket", bucket_of("analysis_id"))
+    emptied: list[int] = []
     if table_exists(spark, path):
-        touched = incoming.select("bucket").distinct()
+        replaced = (new if runs is None else runs).select("analysis_id")
+        replaced = materialize(replaced.unionByName(new.select("analysis_id")).distinct(), "runs")
+        # at most BUCKETS numbers: as literals they prune the folders that are read
+        touched = [r[0] for r in replaced.select(bucket_of("analysis_id")).distinct().collect()]
         kept = (
             spark.read.parquet(path)
-            # at most BUCKETS rows
-            .join(F.broadcast(touched), "bucket", "left_semi")
-            .join(incoming.select("analysis_id").distinct(), "analysis_id", "left_anti")
+            .filter(F.col("bucket").isin(touched))
+            .join(replaced, "analysis_id", "left_anti")
         )
         incoming = materialize(kept.unionByName(incoming), "results")
+        filled = {r[0] for r in incoming.select("bucket").distinct().collect()}
+        emptied = [bucket for bucket in touched if bucket not in filled]
     (
         incoming.hint("rebalance", "bucket")
         .write.mode("overwrite")
@@ -96,6 +112,7 @@ def replace_results(spark: SparkSession, path: str, new: DataFrame) -> None:
         .partitionBy("bucket")
         .parquet(path)
     )
+    drop_buckets(spark, path, emptied)
 
 
 # --- vector index -------------------------------------------------------------------------

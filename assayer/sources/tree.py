@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayer import rules
@@ -51,9 +51,25 @@ def readable(attempts: DataFrame) -> DataFrame:
     return attempts.filter(F.col("outcome").isNull() | (F.col("outcome") == rules.EMPTY_FILES))
 
 
-def repo_catalog(raw: DataFrame, max_rows: int = rules.CATALOG_MAX_ROWS) -> DataFrame:
-    """Six columns of a user's repositories, the first ``max_rows`` in listing order."""
-    return raw.orderBy("ord").limit(max_rows).select(
+def repo_catalog(
+    raw: DataFrame, max_rows: int | None = rules.CATALOG_MAX_ROWS, owner: str = "user_id"
+) -> DataFrame:
+    """Every user's repositories, the first ``max_rows`` of each in listing order (None: all).
+
+    ``overflow`` tells of a user who has more.  Ranking stops below the shuffle at one row over
+    the limit per user and task.
+    """
+    if max_rows is None:
+        kept = raw.withColumn("overflow", F.lit(False))
+    else:
+        mine = Window.partitionBy(owner)
+        ranked = raw.withColumn("place", F.row_number().over(mine.orderBy("ord")))
+        ranked = ranked.filter(F.col("place") <= max_rows + 1)
+        over = F.max("place").over(mine) > max_rows
+        kept = ranked.withColumn("overflow", over).filter(F.col("place") <= max_rows)
+    return kept.select(
+        owner,
+        "overflow",
         "id",
         F.col("full_name").alias("name"),
         "description",

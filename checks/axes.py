@@ -222,9 +222,36 @@ def pinned_repos(spark, sf_dir):
     return quality.pinned_repos(quality.pinning(hits))
 
 
-# Each text becomes a commented Python file with one function of known complexity.
-PYTHON = """concat('# ', regexp_replace(text, '[^ -~]', '?'{flag}), chr(10), 'def f', CAST(doc_id AS STRING), '(x, y):', chr(10),
-  repeat(concat('    if x and y:', chr(10), '        x = [i for i in y if i]', chr(10)), CAST(doc_id % 13 AS INT)), '    return x', chr(10))"""
+# Each text becomes a Python file: its lines as comments, and a function with one ``if`` for every
+# line of the text up to nine, then a body of a kind that the id picks.  Bodies come with their score;
+# one does not parse, one is a sum of 1,500 terms, and one holds a function of its own.
+BODIES = [
+    ("    z = x\n", 0),
+    ("    z = 1 if x else 2\n    for i in y:\n        z = i\n", 2),
+    ("    while x:\n        x = None\n", 1),
+    ("    try:\n        z = 1\n    except ValueError:\n        z = 2\n    except KeyError:\n        z = 3\n", 2),
+    ("    match x:\n        case 1:\n            z = 1\n        case _:\n            z = 2\n", 2),
+    ("    z = {i: j for i in y for j in i if i if j}\n", 4),
+    ("    z = x and y and x or y\n", 3),
+    ("    z = " + "1 + " * 1500 + "1\n", 0),
+    ("    z = = 1\n", None),
+    ("    async def g():\n        async for i in y:\n            z = [k for k in i if k]\n", 0),
+    ("    class C:\n        z = 1 if x else 2\n    z = lambda a: a if a else x\n", 1),
+]
+IFS = "least(length(text) - length(replace(text, chr(10), '')), 9)"
+
+
+def _bodies(quote) -> str:
+    picked = " ".join(f"WHEN {i} THEN {quote(body)}" for i, (body, _) in enumerate(BODIES))
+    return f"CASE doc_id % {len(BODIES)} {picked} END"
+
+
+PYTHON = (
+    "concat('# ', regexp_replace(regexp_replace(text, '[^ -~\\n]', '?'), '\\n', '\\n# '), chr(10), 'def f', CAST(doc_id AS STRING), '(x, y):', chr(10), "
+    f"repeat(concat('    if x:', chr(10), '        x = y', chr(10)), CAST({IFS} AS INT)), "
+    + _bodies(lambda body: "'" + body.replace("\n", "\\n") + "'")
+    + ", '    return x', chr(10))"
+)
 
 
 def python_files(spark, sf_dir):
@@ -234,15 +261,27 @@ def python_files(spark, sf_dir):
     return docs.select(
         F.col("source").alias("repo"), F.col("lang").alias("commit_sha"), F.col("doc_id").alias("ord"),
         F.expr("concat('src/f', CAST(doc_id AS STRING), CASE WHEN lang = 'es' THEN '.js' ELSE '.py' END)").alias("path"),
-        F.expr(PYTHON.format(flag="")).alias("content"),
+        F.expr(PYTHON).alias("content"),
     )
 
 
-SCORES = """scores AS (SELECT source AS repo, lang AS commit_sha, doc_id AS ord, concat('src/f', doc_id, CASE WHEN lang = 'es' THEN '.js' ELSE '.py' END) AS path,
-  concat('f', doc_id) AS name, CAST(1 + 4 * (doc_id % 13) AS INTEGER) AS score FROM documents)"""
+_SCORE = "CASE doc_id % {n} {cases} END".format(
+    n=len(BODIES),
+    cases=" ".join(f"WHEN {i} THEN {'NULL' if score is None else score}" for i, (_, score) in enumerate(BODIES)),
+)
+# The lines of f, and where its inner function g stands: comments, f's own line, two per if.
+SCORES = f"""bodies AS (SELECT source AS repo, lang AS commit_sha, doc_id AS ord, concat('src/f', doc_id, CASE WHEN lang = 'es' THEN '.js' ELSE '.py' END) AS path,
+    doc_id, {IFS} AS ifs, length(text) - length(replace(text, chr(10), '')) + 1 AS comments, {_SCORE} AS body FROM documents),
+  scores AS (SELECT repo, commit_sha, ord, path, concat('f', doc_id) AS name, CAST(comments + 1 AS INTEGER) AS line_no, CAST(1 + ifs + body AS INTEGER) AS score FROM bodies WHERE body IS NOT NULL
+    UNION ALL SELECT repo, commit_sha, ord, path, 'g', CAST(comments + 2 + 2 * ifs AS INTEGER), 4 FROM bodies WHERE doc_id % {len(BODIES)} = 9)"""
+
+
+@query(f"WITH {SCORES} SELECT repo, commit_sha, 'syntax' AS problem, count(*) AS n_files FROM bodies WHERE body IS NULL AND path LIKE '%.py' GROUP BY ALL")
+def unparsed_sources(spark, sf_dir):
+    return quality.unparsed_sources(python_files(spark, sf_dir))
 
 
-@query(f"WITH {SCORES} SELECT ord, path, name, 2 AS line_no, score FROM scores WHERE path LIKE '%.py'")
+@query(f"WITH {SCORES} SELECT ord, path, name, line_no, score FROM scores WHERE path LIKE '%.py'")
 def function_complexity(spark, sf_dir):
     return quality.function_complexity(python_files(spark, sf_dir)).select(
         "ord", "path", "name", "line_no", "score"
@@ -264,7 +303,7 @@ def complexity_stats(spark, sf_dir):
 
 
 COMPLEX_RAW = raw("quality_check", "'quality.complex_function'", "CASE WHEN score > 20 THEN 'high' ELSE 'medium' END",
-    "scores WHERE path LIKE '%.py' AND score > 10", path="path", line="2", evidence="concat('def ', name, '(...)')", src=1, file="ord", lineo="0")
+    "scores WHERE path LIKE '%.py' AND score > 10", path="path", line="line_no", evidence="concat('def ', name, '(...)')", src=1, file="ord", lineo="CASE name WHEN 'g' THEN 1 ELSE 0 END")
 
 
 @query(axis_sql(SCORES, COMPLEX_RAW, 5))
@@ -286,7 +325,14 @@ KNOWN_RULES = {
     "!package.json": ("^(.*/)?package[.]json/?$", True),
     ".venv/": ("^(.*/)?[.]venv/$", False),
     "config/": ("^(.*/)?config/$", False),
-    "logs/*": ("^logs/[^/]*/?$", False),
+    # a star stands for a part of a path, and parts are never empty
+    "logs/*": ("^logs/[^/]+/?$", False),
+    "!logs/f*7.log": ("^logs/f[^/]*7[.]log/?$", True),
+    "/*": ("^[^/]+/?$", False),
+    "!/src/": ("^src/$", True),
+    "!/docs/": ("^docs/$", True),
+    "build-[0-9]/": ("^(.*/)?build-[0-9]/$", False),
+    "**/tmp/": ("^(.*/)?tmp/$", False),
     "__pycache__/": ("^(.*/)?__pycache__/$", False),
 }
 _VALUES = ", ".join(f"('{rule}', '{regex}', {str(neg).upper()})" for rule, (regex, neg) in KNOWN_RULES.items())

@@ -58,7 +58,8 @@ BY_NAME = {
 IGNORE_RULES = [
     "*.log~node_modules/~.env*~!.env.example~",
     "/deploy/~*.json~!package.json~.venv/~",
-    "config/~logs/*~__pycache__/~",
+    "config/~logs/*~!logs/f*7.log~__pycache__/~",
+    "/*~!/src/~!/docs/~build-[0-9]/~**/tmp/~",
 ]
 KINDS = [BY_NAME.get(name, "") for name in NAMES] + [BY_EXTENSION[e] for e in EXTENSIONS]
 
@@ -91,7 +92,7 @@ def columns(dialect: str) -> dict[str, str]:
     extra = pick(KINDS, f"CASE WHEN {free} THEN 20 + {extension} ELSE {SLOT} END")
     hexed = f"substr(md5({ID}), 1, 32)"
     for token, value in {
-        "<rules>": pick(IGNORE_RULES, "doc_id % 3"),
+        "<rules>": pick(IGNORE_RULES, "doc_id % 4"),
         "<pins>": f"repeat('pkg==1.0~', CAST(doc_id % 12 AS INT))",
         "<path>": path,
         "<name>": last,

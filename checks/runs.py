@@ -110,10 +110,10 @@ TTL = 240
 
 
 def quota_log(spark, sf_dir):
-    """Purchases are committed units, clicks reservations that live ``TTL`` minutes."""
+    """Clicks and views are reservations that live ``TTL`` minutes, all else committed units."""
     ts = F.col("ts").cast("timestamp")
-    reserved = F.col("event_type") == "click"
-    return table(spark, sf_dir, "events").filter(F.col("event_type").isin("click", "purchase")).select(
+    reserved = F.col("event_type").isin("click", "view")
+    return table(spark, sf_dir, "events").select(
         F.col("user_id").alias("github_id"), F.col("event_id").alias("analysis_id"),
         F.when(reserved, F.lit("reserved")).otherwise(F.lit("committed")).alias("state"),
         F.when(reserved, ts + R.minutes(TTL)).alias("expires_at"),
@@ -121,8 +121,8 @@ def quota_log(spark, sf_dir):
     )
 
 
-LOG = f"""log AS (SELECT user_id AS github_id, event_id AS analysis_id, CASE event_type WHEN 'click' THEN 'reserved' ELSE 'committed' END AS state,
-  CASE event_type WHEN 'click' THEN ts + INTERVAL {TTL} MINUTE END AS expires_at, ts AS created_at FROM events WHERE event_type IN ('click', 'purchase'))"""
+LOG = f"""log AS (SELECT user_id AS github_id, event_id AS analysis_id, CASE WHEN event_type IN ('click', 'view') THEN 'reserved' ELSE 'committed' END AS state,
+  CASE WHEN event_type IN ('click', 'view') THEN ts + INTERVAL {TTL} MINUTE END AS expires_at, ts AS created_at FROM events)"""
 LIVE = f"(state = 'reserved' AND expires_at > {SQL_NOW})"
 USED = f"""used AS (SELECT github_id, count(*) FILTER (WHERE state = 'committed' OR {LIVE}) AS used FROM log WHERE created_at >= date_trunc('day', {SQL_NOW}) GROUP BY github_id)"""
 
@@ -163,15 +163,15 @@ def usage_report(spark, sf_dir):
 
 
 def reservation_log(spark, sf_dir):
-    state = F.expr("CASE event_type WHEN 'click' THEN 'reserved' WHEN 'purchase' THEN 'committed' ELSE 'released' END")
-    events = table(spark, sf_dir, "events").filter(F.col("event_type").isin("click", "purchase", "error"))
+    state = F.expr("CASE WHEN event_type IN ('click', 'view') THEN 'reserved' WHEN event_type = 'purchase' THEN 'committed' ELSE 'released' END")
+    events = table(spark, sf_dir, "events")
     return events.select(F.col("user_id").alias("key"), "event_id", F.col("ts").cast("timestamp").alias("ts"), state.alias("state"))
 
 
 @query(
-    f"""WITH ends AS (SELECT user_id, event_id, ts, CASE event_type WHEN 'purchase' THEN 'committed' ELSE 'released' END AS state FROM events WHERE event_type IN ('purchase', 'error')),
+    f"""WITH ends AS (SELECT user_id, event_id, ts, CASE event_type WHEN 'purchase' THEN 'committed' ELSE 'released' END AS state FROM events WHERE event_type NOT IN ('click', 'view')),
     paired AS (SELECT r.event_id, r.user_id, r.ts, e.state, e.ts AS ended, row_number() OVER (PARTITION BY r.event_id ORDER BY e.ts, e.event_id) AS rn
-      FROM events r LEFT JOIN ends e ON e.user_id = r.user_id AND (e.ts, e.event_id) > (r.ts, r.event_id) AND e.ts <= r.ts + INTERVAL {TTL} MINUTE WHERE r.event_type = 'click')
+      FROM events r LEFT JOIN ends e ON e.user_id = r.user_id AND (e.ts, e.event_id) > (r.ts, r.event_id) AND e.ts <= r.ts + INTERVAL {TTL} MINUTE WHERE r.event_type IN ('click', 'view'))
     SELECT user_id AS key, event_id, coalesce(state, 'expired') AS outcome, strftime(coalesce(ended, ts + INTERVAL {TTL} MINUTE), '%Y-%m-%d %H:%M:%S') AS ended_at FROM paired WHERE rn = 1"""
 )
 def reservation_outcomes(spark, sf_dir):

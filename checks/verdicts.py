@@ -145,7 +145,12 @@ def llm_answers(spark, sf_dir):
     other = F.struct(
         F.lit("high").alias("severity"), F.lit("second").alias("title"), F.lit("b.py").alias("file_path"), F.lit("d").alias("description")
     )
-    body = F.to_json(F.struct(F.lit("issues_found").alias("status"), F.array(issue, other).alias("issues")))
+    # a number, a text and an issue whose title is null stand between the two
+    null = F.lit('{"severity":"low","title":null,"file_path":"c.py","description":"n"}')
+    body = F.concat(
+        F.lit('{"status":"issues_found","issues":['), F.to_json(issue), F.lit(',7,"text",'), null, F.lit(","),
+        F.to_json(other), F.lit("]}"),
+    )
     raw = (
         F.when(n % 5 == 0, F.concat(F.lit("```json"), body, F.lit("```")))
         .when(n % 7 == 0, F.concat(F.lit("{broken "), "text"))
@@ -157,8 +162,8 @@ def llm_answers(spark, sf_dir):
 
 @query(
     """SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'issues_found' WHEN doc_id % 7 = 0 THEN 'error' WHEN doc_id % 11 = 0 THEN 'clean' ELSE 'issues_found' END AS status,
-    CAST(CASE WHEN doc_id % 5 <> 0 AND (doc_id % 7 = 0 OR doc_id % 11 = 0) THEN 0 WHEN doc_id % 3 = 0 THEN 1 ELSE 2 END AS INTEGER) AS valid_issues,
-    CASE WHEN doc_id % 5 <> 0 AND (doc_id % 7 = 0 OR doc_id % 11 = 0) THEN NULL WHEN doc_id % 3 = 0 THEN 'd' ELSE text END AS first_description FROM documents"""
+    CAST(CASE WHEN doc_id % 5 <> 0 AND (doc_id % 7 = 0 OR doc_id % 11 = 0) THEN 0 WHEN doc_id % 3 = 0 THEN 2 ELSE 3 END AS INTEGER) AS valid_issues,
+    CASE WHEN doc_id % 5 <> 0 AND (doc_id % 7 = 0 OR doc_id % 11 = 0) THEN NULL WHEN doc_id % 3 = 0 THEN 'n' ELSE text END AS first_description FROM documents"""
 )
 def parsed_answers(spark, sf_dir):
     parsed = A.parse_llm_issues(llm_answers(spark, sf_dir))
@@ -218,10 +223,11 @@ def deepened_issues(spark, sf_dir):
     return done.issues.select(*SCOPE, "id", "verdict", "severity")
 
 
-@query("SELECT conv_id, bool_and(role = 'assistant' AND turn % 2 = 1) AS all_failed FROM (SELECT * FROM conversations WHERE turn > 0) GROUP BY conv_id")
+@query("SELECT conv_id, bool_and(turn < 1 OR (role = 'assistant' AND turn % 2 = 1)) AS all_failed FROM conversations GROUP BY conv_id")
 def failed_agents(spark, sf_dir):
-    turns = table(spark, sf_dir, "conversations").filter(F.col("turn") > 0)
-    status = F.when((F.col("role") == "assistant") & (F.col("turn") % 2 == 1), F.lit("error")).otherwise(F.lit("clean"))
+    turns = table(spark, sf_dir, "conversations")
+    failed = (F.col("turn") < 1) | ((F.col("role") == "assistant") & (F.col("turn") % 2 == 1))
+    status = F.when(failed, F.lit("error")).otherwise(F.lit("clean"))
     return verdicts.all_failed(turns.withColumn("status", status), ["conv_id"])
 
 
