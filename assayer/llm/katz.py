@@ -96,8 +96,10 @@ def _counted(frames: Iterator[np.ndarray], name: str) -> Iterator[pa.RecordBatch
 
 def _store(counts: DataFrame, column: str, path: str) -> DataFrame:
     part = F.pmod(F.xxhash64(column), F.lit(PARTS)).cast("int")
-    counts.withColumn("part", part).write.partitionBy("part").parquet(path)
-    return counts.sparkSession.read.parquet(path)
+    placed = counts.withColumn("part", part)
+    placed.write.partitionBy("part").parquet(path)
+    # an empty table has no files to tell its columns
+    return counts.sparkSession.read.schema(placed.schema).parquet(path)
 
 
 def classes_of(tokens: np.ndarray, names: np.ndarray, class_of: np.ndarray, other: int) -> tuple[np.ndarray, np.ndarray]:
@@ -267,8 +269,9 @@ def score(texts: DataFrame, model: Model) -> DataFrame:
     passed = texts.select("id", "held_out", "text").mapInArrow(run, SCORED)
     passed.withColumn("row", F.monotonically_increasing_id()).write.parquet(path)
     rows = spark.read.parquet(path)
-    words = spark.read.parquet(model.tables.words).select("word", "n")
-    bigrams = spark.read.parquet(model.tables.model).select("key", "delta")
+    words = spark.read.schema("word bigint, n bigint, part int").parquet(model.tables.words)
+    bigrams = spark.read.schema("key bigint, n bigint, delta double, part int").parquet(model.tables.model)
+    words, bigrams = words.select("word", "n"), bigrams.select("key", "delta")
     asked = rows.select("row", F.explode("words").alias("word")).groupBy("row", "word").agg(F.count("*").alias("times"))
     looked = asked.join(words.hint("merge"), "word", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     by_word = looked.groupBy("row").agg(
