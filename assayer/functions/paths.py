@@ -201,7 +201,14 @@ def resolve_link(document: Column | str, target: Column | str) -> Column:
     return F.when(usable, resolved)
 
 
+def collection_key(user_id: Column, repo: Column, sha: Column) -> Column:
+    """What tells collections apart in an index: a digest over the whole user, name and commit."""
+    parts = [F.coalesce(F.concat(F.lit("="), c), F.lit("-")) for c in (user_id, repo, sha)]
+    return F.concat(F.lit(rules.COLLECTION_PREFIX + "-"), F.sha1(F.concat_ws("\n", *parts)))
+
+
 def collection_name(user_id: Column, repo: Column, sha: Column) -> Column:
+    """A short label for people; long or look-alike names can share one, so nothing is keyed by it."""
     cleaned = F.lower(F.translate(repo, "/_", "--"))
     name = F.concat_ws(
         "-",

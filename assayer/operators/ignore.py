@@ -88,7 +88,7 @@ def ignore_regex(rule: str) -> tuple[str, bool] | None:
         if kind == "deep":
             out.append("(?:.*/)?")
         elif kind == "rest":
-            out.append(".+")
+            out.append("(?=[^/]).+")
         elif kind == "star":
             # a part of a path is never empty: ``dir/*`` is not ``dir/`` itself
             begins = token.start() == 0 or text[token.start() - 1] == "/"

@@ -16,7 +16,7 @@ from assayer.operators.retrieval import Encoder
 def build_vectors(files: DataFrame, encoder: Encoder, user_id: str = "shared") -> DataFrame:
     """Chunks of all files with their embeddings, keyed by collection."""
     made = chunks.chunk_files(files)
-    name = P.collection_name(F.lit(user_id), F.col("repo"), F.col("commit_sha"))
+    name = P.collection_key(F.lit(user_id), F.col("repo"), F.col("commit_sha"))
     return retrieval.embed(made.withColumn("collection", name), encoder).withColumnRenamed("chunk_id", "id")
 
 

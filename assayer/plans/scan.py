@@ -116,9 +116,13 @@ def ignore_axis(
     facts: DataFrame | None = None,
     specs: DataFrame | None = None,
 ) -> DataFrame:
-    """Findings of the ignore axis; a repository without ignore file gets exactly one."""
-    facts = repo_facts(files, tracked) if facts is None else facts
-    specs = ignore.ignore_specs(files) if specs is None else specs
+    """Findings of the ignore axis; a repository without ignore file gets exactly one.
+
+    Facts and rules are written once where they are not given, as several branches read them:
+    the contents are read once, whatever their size.
+    """
+    facts = materialize(repo_facts(files, tracked), "facts") if facts is None else facts
+    specs = materialize(ignore.ignore_specs(files), "specs") if specs is None else specs
     return findings.union_findings(
         ignore.absent_findings(facts, specs),
         ignore.tracked_findings(ignore.path_states(tracked, specs)),
@@ -133,8 +137,8 @@ def quality_axis(
     hits: DataFrame | None = None,
     facts: DataFrame | None = None,
 ) -> DataFrame:
-    facts = repo_facts(files, tracked) if facts is None else facts
-    hits = lines.line_hits(files, ("requirement",)) if hits is None else hits
+    facts = materialize(repo_facts(files, tracked), "facts") if facts is None else facts
+    hits = materialize(lines.line_hits(files, ("requirement",)), "hits") if hits is None else hits
     manifests = quality.pinning(hits)
     parts = [
         quality.complexity_findings(quality.function_complexity(files)),
@@ -155,9 +159,9 @@ def docs_axis(
     facts: DataFrame | None = None,
 ) -> DataFrame:
     """Findings of the documentation axis, for repositories with at least one document."""
-    facts = repo_facts(files, tracked) if facts is None else facts
+    facts = materialize(repo_facts(files, tracked), "facts") if facts is None else facts
     kinds = ("links", "env", "declared", "tokens")
-    hits = lines.line_hits(files, kinds) if hits is None else hits
+    hits = materialize(lines.line_hits(files, kinds), "hits") if hits is None else hits
     used = documents.first_usage(documents.env_usage(hits))
     declared = documents.env_declared(hits)
     mentioned = documents.doc_mentions(hits)

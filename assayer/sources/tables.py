@@ -7,10 +7,11 @@ touches only.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayer.functions import paths as P
+from assayer.operators import runs
 from assayer.session import materialize, small_side
 
 CACHE_KEY = ["repo_id", "commit_sha", "scan_version", "config_hash", "language"]
@@ -73,11 +74,11 @@ def cache_invalidate(cache: DataFrame, repo_ids: DataFrame) -> tuple[DataFrame,
 # --- results ------------------------------------------------------------------------------
 
 
-def drop_buckets(spark: SparkSession, path: str, buckets: list[int]) -> None:
-    """Remove bucket folders that a replacement left without rows."""
+def drop_folders(spark: SparkSession, path: str, column: str, values: list) -> None:
+    """Remove partition folders that a rewrite left without rows."""
     jvm = spark.sparkContext._jvm
-    for bucket in buckets:
-        folder = jvm.org.apache.hadoop.fs.Path(f"{path}/bucket={bucket}")
+    for value in values:
+        folder = jvm.org.apache.hadoop.fs.Path(f"{path}/{column}={value}")
         folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
@@ -112,7 +113,35 @@ def replace_results(
         .partitionBy("bucket")
         .parquet(path)
     )
-    drop_buckets(spark, path, emptied)
+    drop_folders(spark, path, "bucket", emptied)
+
+
+# --- reservation log ----------------------------------------------------------------------
+
+
+def log_append(path: str, rows: DataFrame) -> None:
+    """Add rows to the stored quota log, which is kept by day of expiry, else of creation."""
+    day = F.to_date(F.coalesce("expires_at", "created_at"))
+    rows.withColumn("day", day).write.mode("append").partitionBy("day").parquet(path)
+
+
+def sweep_log(spark: SparkSession, path: str, as_of: Column) -> int:
+    """Delete expired reservations from the stored log; returns how many.
+
+    Only the days that hold one are rewritten, so a sweep costs what it reclaims.  Sweeping
+    again at the same time finds nothing.
+    """
+    log = spark.read.parquet(path)
+    expired = runs.is_expired(as_of)
+    found = log.filter(expired).groupBy("day").agg(F.count("*").alias("n")).collect()
+    if not found:
+        return 0
+    touched = [r["day"] for r in found]
+    kept = materialize(log.filter(F.col("day").isin(touched) & ~expired), "swept")
+    filled = {r[0] for r in kept.select("day").distinct().collect()}
+    kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
+    drop_folders(spark, path, "day", [day for day in touched if day not in filled])
+    return sum(r["n"] for r in found)
 
 
 # --- vector index -------------------------------------------------------------------------
@@ -123,7 +152,7 @@ def index_refs(runs: DataFrame) -> DataFrame:
     return (
         runs.filter(F.col("repo_sha").isNotNull())
         .select(
-            P.collection_name(F.col("user_id"), F.col("repo_name"), F.col("repo_sha")).alias("collection")
+            P.collection_key(F.col("user_id"), F.col("repo_name"), F.col("repo_sha")).alias("collection")
         )
         .distinct()
     )

@@ -10,6 +10,7 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from assayer import rules
 from assayer.operators import runs
+from assayer.sources import tables
 
 
 def with_event_time(stream: DataFrame, column: str = "ts", delay: str = rules.WATERMARK) -> DataFrame:
@@ -38,10 +39,12 @@ def rate_report(requests: DataFrame, limit: int = rules.REQUESTS_PER_MINUTE) ->
 def reservation_outcomes(
     reserved: DataFrame, ended: DataFrame, ttl_minutes: int = rules.RESERVATION_TTL_MINUTES
 ) -> DataFrame:
-    """Reservations with the commit or release that followed in time, else expired.
+    """Reservations with the first commit or release that followed in time, else expired.
 
-    A left outer interval join: state is bounded by the lifetime of a reservation, and a row
-    without partner is emitted once the watermark has passed that lifetime.
+    A left outer interval join gives every ending of a reservation, and an aggregate over the
+    reservation keeps the first by event time: a committed unit is never released again.  State
+    is bounded by the lifetime of a reservation; a row is emitted once the watermark has passed
+    that lifetime.
     """
     left = with_event_time(reserved.select("analysis_id", F.col("ts").alias("reserved_at")), "reserved_at")
     right = with_event_time(
@@ -52,20 +55,29 @@ def reservation_outcomes(
         "analysis_id = ended_id AND ended_at >= reserved_at "
         f"AND ended_at <= reserved_at + INTERVAL {ttl_minutes} MINUTES"
     )
-    return left.join(right, in_time, "leftOuter").select(
-        "analysis_id", "reserved_at", "ended_at", F.coalesce("state", F.lit("expired")).alias("outcome")
+    joined = left.join(right, in_time, "leftOuter")
+    first = F.min(F.when(F.col("ended_at").isNotNull(), F.struct("ended_at", "state"))).alias("first")
+    return joined.groupBy("analysis_id", "reserved_at").agg(first).select(
+        "analysis_id", "reserved_at", F.col("first.ended_at").alias("ended_at"),
+        F.coalesce("first.state", F.lit("expired")).alias("outcome"),
     )
 
 
-def sweep(stream: DataFrame, sink: Callable[[DataFrame, int], None]) -> DataStreamWriter:
-    """Hand every micro-batch of log rows to ``sink`` without its expired reservations.
+def sweep(
+    stream: DataFrame, log_path: str, report: Callable[[int, int], None] | None = None
+) -> DataStreamWriter:
+    """Sweep the stored log at ``log_path`` with every micro-batch of log rows as the clock.
 
-    The clock of a batch is its newest event, so a replay sweeps the same rows.
+    The time of a batch is its newest event, so a replay sweeps the same rows and then finds
+    none.  ``report`` gets the number of reclaimed reservations and the batch id.
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         now = batch.agg(F.max("created_at")).first()[0]
-        sink(runs.sweep_expired(batch, F.lit(now)), batch_id)
+        if now is not None:
+            n = tables.sweep_log(batch.sparkSession, log_path, F.lit(now))
+            if report is not None:
+                report(n, batch_id)
 
     return stream.writeStream.foreachBatch(handle).trigger(
         processingTime=f"{rules.SWEEP_SECONDS} seconds"

@@ -153,13 +153,15 @@ def vector_runs(spark, sf_dir):
     )
 
 
-_REFS = """refs AS (SELECT DISTINCT concat('cc-', substr(source, 1, 8), '-o-', lang, '-', substr(md5(CAST(n_chars AS VARCHAR)), 1, 8)) AS collection FROM documents WHERE doc_id % 4 <> 0),
-  stored AS (SELECT doc_id AS id, concat('cc-', substr(source, 1, 8), '-o-', lang, '-', substr(md5(CAST(n_chars AS VARCHAR)), 1, 8)) AS collection FROM documents)"""
+_KEY = "concat('cc-', sha1(concat('=', source, chr(10), '=o/', lang, chr(10), '=', md5(CAST(n_chars AS VARCHAR)))))"
+_REFS = f"""refs AS (SELECT DISTINCT {_KEY} AS collection FROM documents WHERE doc_id % 4 <> 0),
+  stored AS (SELECT doc_id AS id, {_KEY} AS collection FROM documents)"""
 
 
 def stored_vectors(spark, sf_dir):
-    name = F.concat_ws("-", F.lit("cc"), "source", F.lit("o"), "lang", F.substring(F.md5(F.col("n_chars").cast("string")), 1, 8))
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), name.alias("collection"))
+    return table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("id"), F.expr(_KEY.replace("VARCHAR", "STRING")).alias("collection")
+    )
 
 
 @query(f"WITH {_REFS} SELECT collection FROM refs WHERE collection IN (SELECT collection FROM stored)")
@@ -200,7 +202,7 @@ def retrieved_contexts(spark, sf_dir):
     questions = rows.groupBy(*K).agg(F.min_by("content", "ord").alias("content"))
     asked = questions.select(
         F.concat_ws("@", *K).alias("query_id"),
-        deepen.P.collection_name(F.lit("shared"), F.col("repo"), F.col("commit_sha")).alias("collection"),
+        deepen.P.collection_key(F.lit("shared"), F.col("repo"), F.col("commit_sha")).alias("collection"),
         "content",
     )
     return deepen.retrieve(asked, found, encoder, 8)

@@ -6,6 +6,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from assayer.sources import tables
 from assayer.streaming import incremental, progress, usage
 
 START = dt.datetime(2024, 1, 1)
@@ -55,11 +56,13 @@ def test_progress_in_update_mode(spark, tmp_path):
 def test_reservations_expire(spark, tmp_path):
     left_schema, right_schema = "analysis_id string, ts timestamp", "analysis_id string, ts timestamp, state string"
     reserved = [[("a", at(0)), ("b", at(1)), ("c", at(2)), ("d", at(3))], [("late", at(300))], [("later", at(600))]]
-    ended = [[("a", at(5), "committed"), ("b", at(20), "released"), ("c", at(40), "committed")], [("z", at(300), "released")], [("z", at(600), "released")]]
+    ended = [[("a", at(5), "committed"), ("a", at(6), "released"), ("b", at(21), "committed"), ("b", at(20), "released"), ("c", at(40), "committed")], [("z", at(300), "released")], [("z", at(600), "released")]]
     joined = usage.reservation_outcomes(
         stream_of(spark, f"{tmp_path}/l", reserved, left_schema), stream_of(spark, f"{tmp_path}/r", ended, right_schema)
     )
-    outcome = {r["analysis_id"]: r["outcome"] for r in run(joined, str(tmp_path))}
+    rows = run(joined, str(tmp_path))
+    outcome = {r["analysis_id"]: r["outcome"] for r in rows}
+    assert len(rows) == len(outcome)  # one outcome each, whatever ended it later
     assert {k: outcome[k] for k in "abcd"} == {"a": "committed", "b": "released", "c": "expired", "d": "expired"}
 
 
@@ -74,14 +77,25 @@ def test_windows_close_after_the_watermark(spark, tmp_path):
     assert closed == {"a": (False, 1), "b": (True, 2)}
 
 
-def test_sweep_hands_over_what_stays(spark, tmp_path):
+def test_sweep_reclaims_from_the_stored_log(spark, tmp_path):
+    """A reservation of the first batch expires two batches later, and one folder becomes empty."""
     schema = "analysis_id string, state string, expires_at timestamp, created_at timestamp"
-    rows = [("a", "reserved", at(20), at(0)), ("b", "committed", None, at(1)), ("c", "reserved", at(80), at(60))]
-    kept = []
-    writer = usage.sweep(stream_of(spark, str(tmp_path), [rows], schema), lambda df, _: kept.extend(r["analysis_id"] for r in df.collect()))
-    query = writer.trigger(availableNow=True).option("checkpointLocation", f"{tmp_path}/ck").start()
-    query.awaitTermination(120)
-    assert sorted(kept) == ["b", "c"]
+    rows = [
+        [("a", "reserved", at(20), at(0)), ("b", "committed", None, at(1)), ("c", "reserved", at(3000), at(2))],
+        [("d", "reserved", at(2000), at(60))], [("e", "committed", None, at(3100))],
+    ]
+    log = f"{tmp_path}/log"
+    for part in rows:
+        tables.log_append(log, spark.createDataFrame(part, schema))
+    reclaimed = []
+    stream = stream_of(spark, str(tmp_path), rows, schema)
+    for checkpoint, expected in (("one", [0, 1, 2]), ("two", [0, 0, 0])):
+        reclaimed.clear()
+        writer = usage.sweep(stream, log, lambda n, _: reclaimed.append(n))
+        query = writer.trigger(availableNow=True).option("checkpointLocation", f"{tmp_path}/{checkpoint}").start()
+        query.awaitTermination(120)
+        assert reclaimed == expected
+        assert sorted(r["analysis_id"] for r in spark.read.parquet(log).collect()) == ["b", "e"]
 
 
 def test_commits_are_scanned_once(spark, tmp_path):
