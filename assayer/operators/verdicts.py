@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from assayer import rules
 from assayer.functions import text as T
 from assayer.operators import KEY
 from assayer.operators.findings import head_per
+from assayer.session import materialize
 
 ENTRIES = "struct<verdicts: array<struct<finding_id: string, verdict: string, reason: string>>>"
 
@@ -43,25 +48,67 @@ def triage_line() -> Column:
     )
 
 
-def triage_prompts(issues: DataFrame, instructions: str = "") -> DataFrame:
-    """One prompt per scan and axis over its submitted issues, in report order."""
+def triage_prompts(
+    issues: DataFrame, instructions: str = "", per_call: int = rules.MAX_FINDINGS_PER_CALL
+) -> DataFrame:
+    """Prompts over the issues of each scan and axis, in report order, ``per_call`` to a prompt.
+
+    ``call`` numbers the prompts of an axis from 0; the first covers what ``submitted`` lists.
+    """
+    named = issues.filter(F.coalesce("id", F.lit("")) != "")
+    place = F.row_number().over(Window.partitionBy(*KEY, "axis").orderBy("place"))
     listed = (
-        submitted(issues)
-        .withColumn("entry", triage_line())
-        .groupBy(*KEY, "axis")
-        .agg(F.array_sort(F.collect_list(F.struct("rank", "entry"))).alias("entries"))
+        named.withColumns({"nth": place, "entry": triage_line()})
+        .withColumn("call", F.floor((F.col("nth") - 1) / per_call).cast("int"))
+        .groupBy(*KEY, "axis", "call")
+        .agg(F.array_sort(F.collect_list(F.struct("nth", "entry"))).alias("entries"))
     )
     body = F.array_join("entries.entry", "\n")
     return listed.select(
-        *KEY, "axis", F.concat_ws("\n\n", F.nullif(F.lit(instructions), F.lit("")), body).alias("prompt")
+        *KEY, "axis", "call", F.concat_ws("\n\n", F.nullif(F.lit(instructions), F.lit("")), body).alias("prompt")
     )
 
 
-def discovery_prompts(contexts: DataFrame, template: str) -> DataFrame:
-    """``template`` with ``{context}`` filled from the retrieved context of each scan."""
-    return contexts.withColumn(
-        "prompt", F.replace(F.lit(template), F.lit("{context}"), F.col("context"))
-    )
+Templates = dict[tuple[str, str], str]
+
+
+def discovery_prompts(contexts: DataFrame, templates: str | Templates) -> DataFrame:
+    """Prompts from retrieved contexts: the template with ``{context}`` filled in.
+
+    One template for all, or templates by axis and language: rows then have ``axis`` and
+    ``language``, a language without a template falls back to the default one, and an axis
+    without any has no prompt.
+    """
+    if isinstance(templates, str):
+        template = F.lit(templates)
+    else:
+        known = F.create_map(*[F.lit(x) for (axis, lang), t in templates.items() for x in (f"{axis}/{lang}", t)])
+        lang = T.normalize_lang("language")
+        own = F.try_element_at(known, F.concat_ws("/", "axis", lang))
+        template = F.coalesce(
+            own, F.try_element_at(known, F.concat_ws("/", "axis", F.lit(rules.DEFAULT_LANGUAGE)))
+        )
+    filled = contexts.withColumn("prompt", F.replace(template, F.lit("{context}"), F.col("context")))
+    return filled.filter(F.col("prompt").isNotNull())
+
+
+def score_prompts(
+    prompts: DataFrame, model: Callable[[pd.Series], pd.Series], column: str = "prompt"
+) -> DataFrame:
+    """All columns of ``prompts`` and ``raw``, the model's answers.
+
+    ``model`` maps a series of prompts to answers of the same length; it is called once per Arrow
+    batch inside the tasks.  Answers are written before they are returned, so a later action or
+    a lost executor of one never asks again for what was answered.
+    """
+
+    @F.pandas_udf(StringType())
+    def ask(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield model(batch)
+
+    return materialize(prompts.withColumn("raw", ask(F.col(column))), "answers")
+
 
 
 def validate_verdicts(answers: DataFrame, allowed: DataFrame) -> DataFrame:

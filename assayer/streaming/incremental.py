@@ -10,6 +10,15 @@ from pyspark.sql.streaming import DataStreamWriter
 from assayer.sources.tables import CACHE_KEY, cache_put, cache_split, table_exists
 
 
+def scan_batch(batch: DataFrame, cache_path: str, scan: Callable[[DataFrame], DataFrame]) -> None:
+    """Scan and cache the requests of one batch that the cache does not have."""
+    spark = batch.sparkSession
+    wanted = batch.select(*CACHE_KEY).dropDuplicates(CACHE_KEY)
+    if table_exists(spark, cache_path):
+        _, wanted = cache_split(wanted, spark.read.parquet(cache_path))
+    cache_put(spark, cache_path, scan(wanted))
+
+
 def scan_new_commits(
     requests: DataFrame, cache_path: str, scan: Callable[[DataFrame], DataFrame]
 ) -> DataStreamWriter:
@@ -18,11 +27,4 @@ def scan_new_commits(
     ``scan`` maps request rows to rows with the cache key and a ``payload``.
     """
 
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        wanted = batch.select(*CACHE_KEY).dropDuplicates(CACHE_KEY)
-        if table_exists(spark, cache_path):
-            _, wanted = cache_split(wanted, spark.read.parquet(cache_path))
-        cache_put(spark, cache_path, scan(wanted))
-
-    return requests.writeStream.foreachBatch(handle)
+    return requests.writeStream.foreachBatch(lambda batch, _: scan_batch(batch, cache_path, scan))

@@ -10,6 +10,7 @@ from assayer.plans.scan import config_hash_column
 from assayer.session import new_table_path
 from assayer.sources import tables
 from assayer.sources.tree import repo_catalog as catalog_of
+from assayer.streaming.incremental import scan_batch
 from checks.axes import K, MERGED, raw
 from checks.corpus import FILES, files, sql_strip, tracked
 from checks.registry import query, table
@@ -182,6 +183,22 @@ def cache_after_two_puts(spark, sf_dir):
     return spark.read.parquet(path).select("repo_id", "commit_sha", "config_hash", "language", "payload")
 
 
+@query(
+    """WITH asked AS (SELECT o_custkey AS repo_id, o_orderstatus AS commit_sha, o_orderpriority AS config_hash, CASE WHEN o_orderpriority < '3' THEN 1 ELSE 2 END AS round,
+      CASE WHEN o_orderkey % 4 = 0 THEN 'en' ELSE 'fr' END AS language FROM orders)
+    SELECT repo_id, commit_sha, language, concat('round ', min(round)) AS payload FROM asked GROUP BY repo_id, commit_sha, language"""
+)
+def incremental_scans(spark, sf_dir):
+    """Two rounds of requests: each scans and caches only what no round before has."""
+    path = new_table_path(spark, "incremental")
+    requests = scan_requests(spark, sf_dir)
+    urgent = F.col("config_hash") < "3"
+    for number, part in ((1, requests.filter(urgent)), (2, requests.filter(~urgent)), (3, requests)):
+        asked = part.drop("request_id").withColumns({"config_hash": F.lit("h"), "repo_id": F.col("repo_id") - 1})
+        scan_batch(asked, path, lambda df, number=number: df.withColumn("payload", F.lit(f"round {number}")))
+    return spark.read.parquet(path).select("repo_id", "commit_sha", "language", "payload")
+
+
 @query(
     """WITH gone AS (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')
     SELECT o_custkey AS repo_id, 'removed' AS what, count(*) AS n FROM orders WHERE o_custkey IN (FROM gone) GROUP BY o_custkey

@@ -123,7 +123,7 @@ _LINE = """concat('- id=f', doc_id, '-', tag, ' | regle=rule.x | severite=', CAS
 
 
 @query(
-    f"""WITH {LABELLED} SELECT repo, commit_sha, axis, concat('Sort these:', chr(10), chr(10), {_LINE.replace("tag", "'a'")}, chr(10), {_LINE.replace("tag", "'b'")}) AS prompt FROM labelled"""
+    f"""WITH {LABELLED} SELECT repo, commit_sha, axis, 0 AS call, concat('Sort these:', chr(10), chr(10), {_LINE.replace("tag", "'a'")}, chr(10), {_LINE.replace("tag", "'b'")}) AS prompt FROM labelled"""
 )
 def triage_prompts(spark, sf_dir):
     return verdicts.triage_prompts(issues(spark, sf_dir), "Sort these:")
@@ -136,6 +136,44 @@ def discovery_prompts(spark, sf_dir):
     return verdicts.discovery_prompts(contexts, template).select("doc_id", "prompt")
 
 
+@query(
+    f"""WITH {LABELLED}, calls AS (SELECT repo, commit_sha, axis, concat('- id=f', doc_id, '-', tag) AS id, rank, {_LINE} AS line FROM labelled, (VALUES ('a', 0), ('b', 1)) t(tag, rank))
+    SELECT repo, commit_sha, axis, rank AS call, line AS prompt FROM calls"""
+)
+def triage_prompts_of_one(spark, sf_dir):
+    """One issue to a call: what does not fit the first call goes into further ones."""
+    return verdicts.triage_prompts(issues(spark, sf_dir), per_call=1)
+
+
+@query(
+    """SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN concat('Qualité: ', text) WHEN lang = 'en' THEN concat('Docs: ', text, '.') ELSE concat('Docs en français: ', text) END AS prompt
+    FROM documents WHERE doc_id % 3 <> 0"""
+)
+def discovery_prompts_by_axis(spark, sf_dir):
+    """Templates by axis and language; one axis has no template and gets no prompt."""
+    n = F.col("doc_id")
+    axis = F.when(n % 3 == 0, F.lit("secrets_detection")).when(n % 2 == 0, F.lit("quality_check")).otherwise(F.lit("readme_check"))
+    contexts = table(spark, sf_dir, "documents").select(
+        "doc_id", axis.alias("axis"), F.col("lang").alias("language"), F.col("text").alias("context")
+    )
+    templates = {
+        ("quality_check", "fr"): "Qualité: {context}", ("readme_check", "en"): "Docs: {context}.",
+        ("readme_check", "fr"): "Docs en français: {context}",
+    }
+    return verdicts.discovery_prompts(contexts, templates).select("doc_id", "prompt")
+
+
+def count_letters(prompts):
+    return '{"status":"clean","issues":[],"length":' + prompts.str.len().astype(str) + "}"
+
+
+@query("""SELECT doc_id, concat('{"status":"clean","issues":[],"length":', length(text), '}') AS raw, 'clean' AS status FROM documents""")
+def scored_prompts(spark, sf_dir):
+    """Prompts through a model that counts letters, and its answers parsed."""
+    prompts = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("prompt"))
+    return A.parse_llm_issues(verdicts.score_prompts(prompts, count_letters)).select("doc_id", "raw", "status")
+
+
 def llm_answers(spark, sf_dir):
     n = F.col("doc_id")
     issue = F.struct(
