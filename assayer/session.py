@@ -25,6 +25,7 @@ SETTINGS = {
 
 # Remembers the folder of a local session that was given none.
 OWN_FOLDER = "assayer.shared.folder"
+RUN = "assayer.run.folder"
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -51,8 +52,29 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def run_folder(spark: SparkSession) -> str:
+    """The folder of this session's intermediate tables, below the shared one."""
+    top = shared_folder(spark).rstrip("/")
+    run = spark.conf.get(RUN, None)
+    if run is None:
+        run = f"run-{uuid.uuid4().hex}"
+        spark.conf.set(RUN, run)
+    return f"{top}/{run}"
+
+
 def new_table_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{run_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Delete the intermediate tables of this session.
+
+    Call it when all results have been written: a frame that was not still reads its tables.  What
+    is to last, such as an index, gets a path of its own and is not touched.
+    """
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    spark.conf.unset(RUN)
 
 
 def spread(df: DataFrame, limit: int = 64) -> DataFrame:

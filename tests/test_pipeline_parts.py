@@ -245,3 +245,17 @@ def test_events(spark):
 
 def test_rule_tables_keep_their_sizes():
     assert (len(rules.ALLOWED_EXTENSIONS), len(rules.ALLOWED_FILENAMES), len(rules.EXCLUDED_DIRS)) == (100, 87, 62)
+
+
+def test_clean_up_removes_what_a_session_wrote(spark):
+    from assayer import session
+
+    fresh = spark.newSession()
+    kept = session.materialize(spark.range(3), "kept")
+    path = session.new_table_path(fresh, "gone")
+    fresh.range(5).write.parquet(path)
+    assert session.run_folder(fresh) != session.run_folder(spark)
+    session.clean_up(fresh)
+    files = fresh.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    assert not files.getFileSystem(fresh.sparkContext._jsc.hadoopConfiguration()).exists(files)
+    assert kept.count() == 3
