@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from assayer import rules
 from assayer.functions import text as T
-from assayer.session import small_side
+from assayer.session import materialize, small_side
 
 # Queries carry a vector each: some 3 kB at 768 dimensions.
 MAX_BROADCAST_QUERIES = 10_000
@@ -44,13 +44,17 @@ def fit_encoder(texts: DataFrame, dimensions: int = 256) -> Encoder:
     return encode
 
 
-def embed(chunks: DataFrame, encoder: Encoder) -> DataFrame:
-    """Encode each distinct text once and hand the vector to every copy.
+def embed(chunks: DataFrame, encoder: Encoder, costly: bool = False) -> DataFrame:
+    """Add ``embedding`` to every chunk, in place: no text moves, and chunks are made once.
 
-    Copies fold on the map side before the shuffle; on the way back a text copied very often is
-    a skewed join partition, which adaptive execution splits.
+    For a ``costly`` encoder each distinct text is encoded once and its vector handed to every
+    copy.  Copies fold on the map side before the shuffle; on the way back a text copied very
+    often is a skewed join partition, which adaptive execution splits.
     """
     keyed = chunks.withColumn("text_key", F.sha1("content"))
+    if not costly:
+        return encoder(keyed).drop("text_key")
+    keyed = materialize(keyed, "chunks")
     distinct = keyed.select("text_key", "content").dropDuplicates(["text_key"])
     vectors = encoder(distinct).select("text_key", "embedding")
     return keyed.join(vectors, "text_key").drop("text_key")

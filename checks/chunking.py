@@ -193,6 +193,36 @@ def embedded_chunks(spark, sf_dir):
     return retrieval.embed(made, encoder).select("chunk_id", "path", F.size("embedding").alias("dimensions"))
 
 
+def measure(df):
+    """An encoder that SQL can state: letters, lines and words of a text."""
+    lines = F.length("content") - F.length(F.replace("content", F.lit("\n"), F.lit("")))
+    blanks = F.length("content") - F.length(F.replace("content", F.lit(" "), F.lit("")))
+    counts = F.array(F.length("content"), lines, blanks).cast("array<float>")
+    return df.withColumn("embedding", counts)
+
+
+MEASURED = f"""WITH {FILES}, {WINDOWS} SELECT ord, chunk_index, CAST(length(content) AS DOUBLE) AS letters, CAST(length(content) - length(replace(content, chr(10), '')) AS DOUBLE) AS lines,
+  CAST(length(content) - length(replace(content, ' ', '')) AS DOUBLE) AS blanks FROM windows"""
+
+
+def measured(spark, sf_dir, costly):
+    made = retrieval.embed(chunks.window_chunks(corpus(spark, sf_dir)), measure, costly)
+    names = ["letters", "lines", "blanks"]
+    values = [F.col("embedding")[i].cast("double").alias(name) for i, name in enumerate(names)]
+    return made.select("ord", "chunk_index", *values)
+
+
+@query(MEASURED)
+def measured_chunks(spark, sf_dir):
+    return measured(spark, sf_dir, False)
+
+
+@query(MEASURED)
+def measured_copies(spark, sf_dir):
+    """The same, every distinct text encoded once."""
+    return measured(spark, sf_dir, True)
+
+
 @query()
 def retrieved_contexts(spark, sf_dir):
     """A question per repository and commit, answered from its own collection."""
