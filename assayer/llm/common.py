@@ -8,7 +8,7 @@ from string import ascii_lowercase, ascii_uppercase
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from assayer.session import materialize
@@ -195,8 +195,6 @@ def keep_rows(docs: DataFrame, decided: DataFrame, keys: dict[str, Column]) -> D
     """
     key, rank = "__row_key", "__row_rank"
     wanted = decided.select(row_key(*(F.col(name) for name in keys)).alias(key)).distinct()
-    from pyspark.sql import Window
-
     joined = docs.withColumn(key, row_key(*keys.values())).join(wanted.hint("merge"), key)
     order = Window.partitionBy(key).orderBy(F.lit(1))
     ranked = joined.withColumn(rank, F.row_number().over(order)).filter(F.col(rank) == 1)
@@ -288,3 +286,23 @@ def drop_ids(docs: DataFrame, ids: DataFrame, column: str) -> DataFrame:
     dropped = ids.select(F.col("id").alias("__dropped")).hint("merge")
     moved = part(True).join(dropped, F.col(f"`{column}`").cast("bigint") == F.col("__dropped"), "left_anti")
     return part(False).unionAll(moved)
+
+
+def most_frequent(counts: DataFrame, limit: int, least: float | None = None) -> pa.Table:
+    """Rows of ``counts`` with the greatest ``n``, at most ``limit`` of them, and all from ``least`` on.
+
+    A histogram over fine classes of ``n`` (some thousand at most) gives the lowest class down to
+    which they are few enough.  Nothing is sorted, and no task sees more than its own rows.
+    """
+    level = F.floor(F.log2(F.col("n").cast("double")) * 64)
+    found = sorted(counts.groupBy(level.alias("level")).agg(F.count("*").alias("m")).collect(), reverse=True)
+    taken, lowest = 0, None
+    for row in found:
+        taken += row["m"]
+        if taken > limit:
+            break
+        lowest = row["level"]
+    wanted = F.lit(False) if lowest is None else level >= lowest
+    if least is not None:
+        wanted = wanted | (F.col("n") >= least)
+    return counts.filter(wanted).toArrow()

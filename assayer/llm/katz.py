@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.common import SPACED, Words, binary_text, prepare, signed, unsigned, words_in
+from assayer.llm.common import SPACED, Words, binary_text, most_frequent, prepare, signed, unsigned, words_in
 from assayer.session import new_table_path
 
 EPSILON = 1e-5
@@ -146,10 +146,11 @@ def train(texts: DataFrame, epsilon: float = EPSILON, k: int = K, cached: int =
     words = _store(summed(texts.mapInArrow(count_words, "word bigint, n bigint"), "word"), "word", tables.words)
     size = words.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     total, types = size["n"] or 0, size["v"]
-    top = words.orderBy(F.desc("n"), "word").limit(max(cached, int(1 / epsilon) + 1)).select("word", "n").toArrow()
+    least = max(1.0, epsilon * total)
+    top = most_frequent(words.select("word", "n"), cached, least)
     order = np.argsort(unsigned(top["word"].to_numpy()))
     names, counts = unsigned(top["word"].to_numpy())[order], top["n"].to_numpy()[order]
-    own = counts >= max(1.0, epsilon * total)
+    own = counts >= least
     other = int(own.sum())
     begin = other + 1
     class_of = np.where(own, np.cumsum(own) - 1, other).astype(np.int64)
@@ -205,7 +206,7 @@ def train(texts: DataFrame, epsilon: float = EPSILON, k: int = K, cached: int =
             )
 
     model = _store(bigrams.select("key", "n").mapInArrow(correct, "key bigint, n bigint, delta double"), "key", tables.model)
-    hot = model.orderBy(F.desc("n"), "key").limit(cached).select("key", "delta").toArrow()
+    hot = most_frequent(model.select("key", "n", "delta"), cached)
     order = np.argsort(hot["key"].to_numpy())
     return Model(
         tables, total, types, begin + 1, names, counts, class_of, log_class, log_alpha, rest_total,
