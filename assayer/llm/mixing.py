@@ -19,7 +19,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,7 +30,7 @@ from assayer.session import materialize
 SAMPLE = 8192
 FEATURES = 1 << 18
 STEPS = 60
-TOLERANCE = 1e-6
+TOLERANCE = 1e-5
 
 
 def word_features(batch: pa.RecordBatch, column: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -82,12 +82,15 @@ def train(
     return fit(doc, feature, np.ones(len(doc)), np.eye(domains)[domain], FEATURES, steps=80, l2=1e-3)
 
 
-def posteriors(docs: DataFrame, model: LinearModel, text_column: str = "text") -> DataFrame:
-    """All columns of ``docs``, ``n_tokens`` and ``posterior``, an array over the domains."""
-    added = ("n_tokens", "posterior")
+def posteriors(
+    docs: DataFrame, model: LinearModel, text_column: str = "text", steps: Sequence[Sequence[float]] | None = None
+) -> DataFrame:
+    """All columns of ``docs``, ``n_tokens`` and ``posterior``, an array over the domains; after
+    ``steps`` also the ``rate``."""
+    added = ("n_tokens", "posterior", "rate")[: 2 if steps is None else 3]
     rows = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c not in added))
-    kinds = (T.LongType(), T.ArrayType(T.DoubleType()))
-    schema = T.StructType([*rows.schema.fields, *(T.StructField(c, k) for c, k in zip(added, kinds, strict=True))])
+    kinds = (T.LongType(), T.ArrayType(T.DoubleType()), T.DoubleType())
+    schema = T.StructType([*rows.schema.fields, *(T.StructField(c, k) for c, k in zip(added, kinds, strict=False))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -95,22 +98,27 @@ def posteriors(docs: DataFrame, model: LinearModel, text_column: str = "text") -
             chance = model.probabilities(doc, feature, np.ones(len(doc)), batch.num_rows)
             bounds = (np.arange(batch.num_rows + 1) * chance.shape[1]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(bounds), pa.array(chance.ravel()))
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(n.astype(np.int64)), lists], names=[*batch.schema.names, *added]
-            )
+            more = [pa.array(n.astype(np.int64)), lists]
+            if steps is not None:
+                more.append(pa.array(rates_after(chance, steps)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, *added])
 
     return rows.mapInArrow(run, schema)
 
 
-def rate_column(posterior: Column, steps: Sequence[Sequence[float]]) -> Column:
-    """The rate after all steps: from one, down the gradient, never below zero."""
-    rate = F.lit(1.0)
+def rates_after(posterior: np.ndarray, steps: Sequence[Sequence[float]]) -> np.ndarray:
+    """Rates of documents after all steps: from one, down the gradient, never below zero."""
+    rate = np.ones(len(posterior))
     for step in steps:
-        move = sum((posterior[k] * float(s) for k, s in enumerate(step)), F.lit(0.0))
-        rate = F.greatest(F.lit(0.0), rate - move)
+        rate = np.maximum(0.0, rate - posterior @ np.asarray(step))
     return rate
 
 
+def _matrix(batch: pa.RecordBatch, name: str, domains: int) -> np.ndarray:
+    column = batch.column(batch.schema.get_field_index(name))
+    return column.flatten().to_numpy().reshape(-1, domains)
+
+
 def fit_rates(
     members: DataFrame, weights: Sequence[float], budget: float = 1.0, steps: int = STEPS, tolerance: float = TOLERANCE
 ) -> tuple[list[list[float]], np.ndarray, np.ndarray]:
@@ -119,25 +127,35 @@ def fit_rates(
     ``members`` has ``n_tokens`` and ``posterior``; totals are shares of all its tokens.  Domains
     are scaled by their share, which bounds the largest curvature by one, so a step of one is safe;
     shares below one in a hundred count as that, so a domain nobody is in does not drive the rest.
+    Every step is one pass that replays the steps so far on each row and gives one sum per batch.
     Returns the steps, the totals reached and the targets.
     """
     k = len(weights)
     target = np.asarray(weights, np.float64) / np.sum(weights) * budget
     history: list[list[float]] = []
-    posterior = F.col("posterior")
 
-    def totals(rate: Column) -> np.ndarray:
-        sums = [F.sum(rate * F.col("n_tokens") * posterior[i]).alias(f"s{i}") for i in range(k)]
-        row = members.agg(*sums, F.sum("n_tokens").alias("n")).first()
-        return np.array([row[f"s{i}"] or 0.0 for i in range(k)]) / max(1, row["n"] or 0)
+    def totals() -> np.ndarray:
+        so_far = list(history)
 
-    share = totals(F.lit(1.0))
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                posterior, n = _matrix(batch, "posterior", k), batch.column(0).to_numpy()
+                sums = (rates_after(posterior, so_far) * n) @ posterior
+                values = [pa.array([float(x)]) for x in (*sums, n.sum())]
+                yield pa.RecordBatch.from_arrays(values, names=[*(f"s{i}" for i in range(k)), "n"])
+
+        parts = members.select("n_tokens", "posterior").mapInArrow(
+            run, ", ".join([*(f"s{i} double" for i in range(k)), "n double"])
+        )
+        row = parts.agg(*(F.sum(c).alias(c) for c in parts.columns)).first()
+        return np.array([row[f"s{i}"] or 0.0 for i in range(k)]) / max(1.0, row["n"] or 0.0)
+
+    share = totals()
     reached = share
     scale = 1 / np.maximum(share, 0.01)
     for _ in range(steps):
-        miss = reached - target
-        history.append(list(miss * scale))
-        before, reached = reached, totals(rate_column(posterior, history))
+        history.append(list((reached - target) * scale))
+        before, reached = reached, totals()
         if np.abs(reached - before).max() < tolerance:
             break
     return history, reached, target
@@ -152,12 +170,10 @@ def mix(
     ``copies`` rounds the rate up or down by a hash of id and text, so that its expectation is the
     rate; equal rows are rounded alike.
     """
-    model = train(docs, labelled, len(weights), id_column, text_column, sample)
-    placed = posteriors(docs, model, text_column)
-    members = materialize(placed.select("n_tokens", "posterior"), "members")
-    history, _, _ = fit_rates(members, weights, budget)
-    added = ("rate", "copies")
-    placed = placed.select(*(F.col(f"`{c}`") for c in placed.columns if c not in added))
+    k = len(weights)
+    model = train(docs, labelled, k, id_column, text_column, sample)
+    members = posteriors(docs, model, text_column).select("n_tokens", "posterior")
+    history, _, _ = fit_rates(materialize(members, "members"), weights, budget)
+    rated = posteriors(docs.select(*(F.col(f"`{c}`") for c in docs.columns if c != "copies")), model, text_column, history)
     draw = F.pmod(F.xxhash64(F.col(f"`{id_column}`"), F.col(f"`{text_column}`")), F.lit(1 << 30)) / float(1 << 30)
-    rated = placed.withColumn("rate", rate_column(F.col("posterior"), history))
     return rated.withColumn("copies", F.floor(F.col("rate") + draw).cast("bigint"))

@@ -28,6 +28,7 @@ SAMPLE = 8192
 FEATURES = 1 << 14
 GRAM = 4
 SHRINK = 100
+PART = 1 << 20
 GOOD, BAD, NONE = 1, 0, 2
 
 _B = np.arange(256)
@@ -44,6 +45,16 @@ _SHAPE[_UPPER], _SHAPE[_LOWER], _SHAPE[_DIGIT], _SHAPE[_B >= 0x80] = ord("A"), o
 _SHAPE[_SPACE] = 0x20
 
 
+def parts(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
+    """Slices of about ``PART`` bytes of text: what is computed per byte stays small."""
+    _, offsets = binary_column(batch, column)
+    begin = 0
+    while begin < batch.num_rows:
+        end = max(begin + 1, int(np.searchsorted(offsets, offsets[begin] + PART, side="right")) - 1)
+        yield batch.slice(begin, end - begin)
+        begin = end
+
+
 def _sums(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     total = np.concatenate([[0], np.cumsum(flags)])
     return (total[offsets[1:]] - total[offsets[:-1]]).astype(np.float64)
@@ -184,7 +195,7 @@ def train(docs: DataFrame, text_column: str = "text", sample: int = SAMPLE) -> Q
     powers = 3 ** np.arange(len(LABELLERS))
 
     def patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in parts(whole, "text")):
             found, n = np.unique(votes(batch, "text") @ powers, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n)], names=["pattern", "n"])
 
@@ -197,7 +208,7 @@ def train(docs: DataFrame, text_column: str = "text", sample: int = SAMPLE) -> Q
     drawn = texts.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).limit(2 * sample)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in parts(whole, "text")):
             doc, code, value = shape_features(batch, "text")
             key, inverse = np.unique(doc.astype(np.int64) * FEATURES + code, return_inverse=True)
             total = np.bincount(inverse, value, len(key)).astype(np.float32)
@@ -231,7 +242,7 @@ def score(docs: DataFrame, model: QualityModel, text_column: str = "text") -> Da
     labels, scorer = model.labels, model.scorer
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in parts(whole, text_column)):
             doc, code, value = shape_features(batch, text_column)
             chance = scorer.probabilities(doc, code, value, batch.num_rows)[:, GOOD]
             posterior = labels.posterior(votes(batch, text_column))

@@ -139,9 +139,7 @@ def test_rates_against_plain_projected_gradient(spark):
     members = spark.createDataFrame([(int(a), [float(x) for x in b]) for a, b in zip(n, p, strict=True)], "n_tokens long, posterior array<double>")
     weights = (0.7, 0.3, 0.0)
     steps, reached, target = mixing.fit_rates(members, weights)
-    rate = np.ones(200)
-    for step in steps:
-        rate = np.maximum(0, rate - p @ np.array(step))
+    rate = mixing.rates_after(p, steps)
     assert np.allclose(reached, (rate * n) @ p / n.sum())
     # no nonnegative rates do better than a long plain descent
     best = np.ones(200)
