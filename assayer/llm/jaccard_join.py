@@ -34,6 +34,7 @@ from assayer.llm.common import (
     combine,
     in_bitmap,
     mix,
+    most_frequent,
     prepare,
     repeated,
     signed,
@@ -95,10 +96,10 @@ def frequent_shingles(texts: DataFrame, n: int, limit: int) -> tuple[np.ndarray,
             yield flush()
 
     counted = texts.mapInArrow(count, "name bigint, n bigint").groupBy("name").agg(F.sum("n").alias("n"))
-    top = counted.orderBy(F.desc("n"), "name").limit(limit).toPandas()
-    names = unsigned(top["name"].to_numpy(np.int64))
+    top = most_frequent(materialize(counted, "frequent"), limit)
+    names = unsigned(top["name"].to_numpy())
     order = np.argsort(names)
-    levels = np.minimum(np.log2(np.maximum(top["n"].to_numpy(np.float64), 1)), 62).astype(np.uint64)
+    levels = np.minimum(np.log2(np.maximum(top["n"].to_numpy(), 1)), 62).astype(np.uint64)
     return names[order], levels[order]
 
 
@@ -186,9 +187,21 @@ def _size_class(n: Column, percent: int) -> Column:
     return F.floor(F.log(n.cast("double")) / F.log(F.lit(100.0 / percent))).cast("int")
 
 
+def _may_reach(times: Column, n1: Column, n2: Column, percent: int) -> Column:
+    """Can two sets that share ``times`` prefix shingles reach the threshold?
+
+    Of the two prefixes one ends first in the global order.  What the sets share beyond shingles of
+    both prefixes lies behind that end, among the rest of that set.
+    """
+    rest = lambda n: F.floor((n * percent + 99) / 100) - 1  # noqa: E731  n less its prefix
+    return (times + F.greatest(rest(n1), rest(n2))) * (100 + percent) >= (n1 + n2) * percent
+
+
 def star_pairs(entries: DataFrame, percent: int, round_: int) -> DataFrame:
     """One or two pairs per cluster: with the representative of its own and of the next lower size
-    class that it shares most prefix shingles with.  ``entries`` has ``cluster, n, root``."""
+    class that it shares most prefix shingles with, if these are enough.  ``entries`` has
+    ``cluster, n, root``.  Shingles that have another representative are not counted here, so a
+    link may be passed over; ``rest_pairs`` passes over none."""
     tagged = entries.withColumn("class", _size_class(F.col("n"), percent))
     pick = F.xxhash64("cluster", F.lit(round_))
     reps = tagged.groupBy("token", "class").agg(
@@ -201,15 +214,18 @@ def star_pairs(entries: DataFrame, percent: int, round_: int) -> DataFrame:
     met = tagged.join(reps, ["token", "class"]).filter(
         (F.col("root") != F.col("rep.root")) & _compatible(F.col("n"), F.col("rep.n"), percent)
     )
-    counted = met.groupBy("cluster", (F.col("class") - F.col("rep_class")).alias("below"), F.col("rep.cluster").alias("other")).agg(
+    below = (F.col("class") - F.col("rep_class")).alias("below")
+    counted = met.groupBy("cluster", below, "n", F.col("rep.cluster").alias("other"), F.col("rep.n").alias("n2")).agg(
         F.count("*").alias("times")
     )
+    counted = counted.filter(_may_reach(F.col("times"), F.col("n"), F.col("n2"), percent))
     best = counted.groupBy("cluster", "below").agg(F.max(F.struct("times", "other")).alias("best"))
     return best.select("cluster", F.col("best.other").alias("other")).distinct()
 
 
 def rest_pairs(entries: DataFrame, percent: int) -> DataFrame:
-    """All pairs of clusters, in different components, that prefix, size and position allow.
+    """All pairs of clusters, in different components, that size, position and the number of shared
+    prefix shingles allow.
 
     ``entries`` has ``low`` and ``high``, the least and greatest root among the cluster's members.
     """
@@ -223,7 +239,9 @@ def rest_pairs(entries: DataFrame, percent: int) -> DataFrame:
     pairs = mine.join(other, "token").filter(
         (F.col("cluster") < F.col("cluster2")) & split & _compatible(F.col("n"), F.col("n2"), percent) & enough
     )
-    return pairs.select("cluster", F.col("cluster2").alias("other")).distinct()
+    counted = pairs.groupBy("cluster", "n", F.col("cluster2").alias("other"), "n2").agg(F.count("*").alias("times"))
+    kept = counted.filter(_may_reach(F.col("times"), F.col("n"), F.col("n2"), percent))
+    return kept.select("cluster", "other")
 
 
 def _name(node: np.ndarray, ids: np.ndarray) -> np.ndarray:
