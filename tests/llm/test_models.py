@@ -72,6 +72,17 @@ def test_katz(make_docs, corpus, epsilon, cached):
     assert np.allclose([r[5:] for r in found], [r[5:] for r in expected], rtol=1e-9)
 
 
+def test_katz_keeps_bigrams_of_rare_words(make_docs, corpus):
+    # of half a million tokens, words seen three times are below a share of 1e-5
+    train = [i for i in range(1000, 1100) if zlib.crc32(str(i).encode()) % 7 != 2]
+    rows = [*corpus, (train[0], "fill " * 500_000), (train[1], "rarest pair"), (train[2], "rarest pair"), (train[3], "pair rarest")]
+    found = {r.id: r.score for r in katz.held_out_scores(make_docs(rows), cached=20).collect()}
+    expected = {r[0]: r[6] for r in brute_katz(rows, 0.0)}
+    ids = [i for i, n in collections.Counter(r[0] for r in rows).items() if n == 1]
+    assert np.allclose([found[i] for i in ids], [expected[i] for i in ids], rtol=1e-9)
+    assert found[train[1]] > found[train[3]]
+
+
 def test_katz_without_training_or_rows(make_docs):
     held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
     row = katz.held_out_scores(make_docs([(held, "a b")])).first()
