@@ -165,20 +165,30 @@ def _parse(head: bytes, block: bytes, with_payload: bool) -> tuple:
 
 
 def _records(pieces: Iterator[bytes], with_payload: bool) -> Iterator[tuple]:
-    """Records from the pieces between marks; a piece too short is one whose block has a mark."""
+    """Records from the pieces between marks.
+
+    A mark begins a record at the start of a line.  One inside a line of a header, such as a url,
+    belongs to that header, unless what follows names a record anew, as after a header cut off; a
+    piece too short is one whose block has a mark.
+    """
+    mark = MARK.encode()
     held: list[bytes] = []
     missing = 0
     for piece in pieces:
         if missing > 0:
-            held += [MARK.encode(), piece]
-            missing -= len(MARK) + len(piece)
+            held += [mark, piece]
+            missing -= len(mark) + len(piece)
         else:
-            held = [piece]
-            head, found, rest = piece.partition(b"\r\n\r\n")
-            if not found:
+            held = [*held, mark, piece] if held and not held[-1].endswith(b"\n") else [piece]
+            if b"\r\n\r\n" not in piece:
                 continue
+            head, _, rest = b"".join(held).partition(b"\r\n\r\n")
+            if len(_fields(head).get("warc-record-id", [])) > 1:
+                held = [piece]
+                head, _, rest = piece.partition(b"\r\n\r\n")
             length = _fields(head).get("content-length")
             if not length or not length[0].isdigit():
+                held = []
                 continue
             missing = int(length[0]) - len(rest)
         if missing <= 0:

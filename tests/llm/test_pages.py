@@ -44,6 +44,23 @@ def test_query_against_brute_force(spark):
     assert queries.op1_warc_transactions(spark, pages_dir(spark, [])).count() == 0
 
 
+def test_urls_that_hold_the_mark(spark):
+    urls = ["http://a/WARC/1.1", "WARC/1.", "http://b/WARC/1.0/WARC/1.WARC/1.1?x", "http://c/WARC/1.0", "x WARC/1.0 y", "http://d/"]
+    rows = [(i, url, "t" * 1200 if i < 3 else TRICKY + str(i)) for i, url in enumerate(urls)]
+    got = queries.op1_warc_transactions(spark, pages_dir(spark, rows)).collect()
+    sha = lambda i: hashlib.sha1(rows[i][2].encode()).hexdigest()
+    expected = [(i, len(h), sha(i), "revisit" if i < 2 else "response", 2 if i < 2 else None) for i, _, h in rows]
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    assert sorted(tuple(r[c] for c in columns) for r in got) == expected
+
+
+def test_headers_cut_off_do_not_swallow_the_next():
+    whole = b"0\r\nWARC-Type: response\r\nWARC-Record-ID: <%s>\r\nWARC-Target-URI: http://x/\r\nContent-Length: 1\r\n\r\nz\r\n\r\n"
+    cut_at_line, cut_inside = whole[: whole.index(b"WARC-Target")] % b"a", whole[: whole.index(b"/\r\nContent")] % b"b"
+    pieces = [b"", cut_at_line, whole % b"c", cut_inside, whole % b"d", b"0\r\nno length\r\n\r\n", whole % b"e"]
+    assert [r[0] for r in warc._records(iter(pieces), True)] == ["<c>", "<d>", "<e>"]
+
+
 def test_payloads_and_records_come_back(spark):
     rows = [(1, "http://a/", TRICKY.encode()), (2, "http://b/", b"\xff\xfe\x00\r\n\r\nWARC/1.0\r\n"), (3, "http://c/", b"")]
     captures = spark.createDataFrame(rows, "key long, target_uri string, payload binary")
