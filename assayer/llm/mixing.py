@@ -1,20 +1,23 @@
 """Mixing to target weights with soft membership.
 
 A classifier trained on a labelled table gives every document a posterior over domains.  A document
-of ``n`` tokens at rate ``r`` is expected to give ``r * n * p[k]`` tokens to domain ``k``.  Projected
-gradient steps fit nonnegative rates such that the totals match the targets: in each step Spark sums
-the totals at the present rates, and the driver, which holds one number per domain, sets the next
-step.  A rate depends on the posteriors alone, so no state of documents is kept between steps.
+of ``n`` tokens at rate ``r`` is expected to give ``r * n * p[k]`` tokens to domain ``k``.  Of the
+nonnegative rates whose totals match the targets, those nearest to one are ``max(0, 1 - p . x)`` for
+one number per domain; Newton steps find these: in each step Spark sums the totals and the products
+of posteriors over documents with a positive rate, and the driver, which holds a matrix of domains,
+sets the next step.  A rate depends on the posteriors alone, so no state of documents is kept.
 
 Defined results: a null or empty text has no tokens and the posterior of the bias, and gets its rate
 like others; unlabelled documents, null labels and labels of absent documents play no part in
 training, of repeated labels the smallest domain counts; without any labelled document all posteriors
-are equal; an empty table gives no rows; a domain with a target but no tokens stays short.
+are equal; an empty table gives no rows; a domain with a target but no tokens stays short,
+and what is missed by more than ``TOLERANCE`` is logged as a warning.
 Other columns are kept, one named like an added one is replaced.
 """
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -30,7 +33,13 @@ from assayer.session import materialize
 SAMPLE = 8192
 FEATURES = 1 << 18
 STEPS = 60
-TOLERANCE = 1e-5
+TOLERANCE = 1e-6
+# How much a unit of a step weighs beside the squared miss, from level to level.
+LEVELS = (1e-3, 1e-5, 1e-7, 1e-9, 1e-11)
+# Shares of a Newton step that one pass tries.
+TRIED = (1.0, 0.5, 0.2, 0.05, 0.01)
+
+log = logging.getLogger(__name__)
 
 
 def word_features(batch: pa.RecordBatch, column: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -122,43 +131,65 @@ def _matrix(batch: pa.RecordBatch, name: str, domains: int) -> np.ndarray:
 def fit_rates(
     members: DataFrame, weights: Sequence[float], budget: float = 1.0, steps: int = STEPS, tolerance: float = TOLERANCE
 ) -> tuple[list[list[float]], np.ndarray, np.ndarray]:
-    """Gradient steps that bring the expected domain totals to ``weights`` times ``budget``.
+    """The step that brings the expected domain totals to ``weights`` times ``budget``.
 
-    ``members`` has ``n_tokens`` and ``posterior``; totals are shares of all its tokens.  Domains
-    are scaled by their share, which bounds the largest curvature by one, so a step of one is safe;
-    shares below one in a hundred count as that, so a domain nobody is in does not drive the rest.
-    Every step is one pass that replays the steps so far on each row and gives one sum per batch.
-    Returns the steps, the totals reached and the targets.
+    ``members`` has ``n_tokens`` and ``posterior``; totals are shares of all its tokens.  The step
+    ``x`` solves ``totals(x) - target = level * x``, the slope of a convex function, by Newton steps
+    over levels that fall until every total is within ``tolerance`` of its target, or, where targets
+    cannot be met together, until a lower level brings no total nearer; at most ``steps`` passes.
+    Every pass gives one sum per batch.  Returns the step in a list, the totals reached and the targets.
     """
     k = len(weights)
     target = np.asarray(weights, np.float64) / np.sum(weights) * budget
-    history: list[list[float]] = []
+    each = 1 + k + k * k
 
-    def totals() -> np.ndarray:
-        so_far = list(history)
+    def sums(points: list[np.ndarray]) -> list[tuple[float, np.ndarray, np.ndarray]]:
+        """Of every point: half the sum of squared rates, totals, products over positive rates."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 posterior, n = _matrix(batch, "posterior", k), batch.column(0).to_numpy()
-                sums = (rates_after(posterior, so_far) * n) @ posterior
-                values = [pa.array([float(x)]) for x in (*sums, n.sum())]
-                yield pa.RecordBatch.from_arrays(values, names=[*(f"s{i}" for i in range(k)), "n"])
-
-        parts = members.select("n_tokens", "posterior").mapInArrow(
-            run, ", ".join([*(f"s{i} double" for i in range(k)), "n double"])
-        )
-        row = parts.agg(*(F.sum(c).alias(c) for c in parts.columns)).first()
-        return np.array([row[f"s{i}"] or 0.0 for i in range(k)]) / max(1.0, row["n"] or 0.0)
-
-    share = totals()
-    reached = share
-    scale = 1 / np.maximum(share, 0.01)
-    for _ in range(steps):
-        history.append(list((reached - target) * scale))
-        before, reached = reached, totals()
-        if np.abs(reached - before).max() < tolerance:
+                values = [float(n.sum())]
+                for x in points:
+                    rate = rates_after(posterior, [x])
+                    active = posterior * ((rate > 0) * n)[:, None]
+                    values += [(rate * rate * n).sum() / 2, *((rate * n) @ posterior), *(active.T @ posterior).ravel()]
+                yield pa.RecordBatch.from_arrays([pa.array([float(v)]) for v in values], names=names)
+
+        names = [f"s{i}" for i in range(1 + each * len(points))]
+        parts = members.select("n_tokens", "posterior").mapInArrow(run, ", ".join(f"{c} double" for c in names))
+        row = parts.agg(*(F.sum(c).alias(c) for c in names)).first()
+        got = np.array([row[c] or 0.0 for c in names])
+        got = (got[1:] / max(1.0, got[0])).reshape(len(points), each)
+        return [(g[0], g[1 : 1 + k], g[1 + k :].reshape(k, k)) for g in got]
+
+    x = np.zeros(k)
+    at = sums([x])[0]
+    passes, before = 1, None
+    for level in LEVELS:
+        height = lambda x, at, level=level: level * (x @ x) / 2 + at[0] + target @ x
+        while passes < steps:
+            slope = level * x - at[1] + target
+            if np.abs(slope).max() < tolerance / 10:
+                break
+            move = np.linalg.solve(at[2] + level * np.eye(k), slope)
+            points = [x - share * move for share in TRIED]
+            tried = sums(points)
+            passes += 1
+            best = min(range(len(points)), key=lambda i: height(points[i], tried[i]))
+            if height(points[best], tried[best]) >= height(x, at):
+                break
+            x, at = points[best], tried[best]
+        miss, total = np.abs(at[1] - target), at[1]
+        if miss.max() < tolerance:
+            break
+        # a total counts as nearer when its miss is halved or, far from its target, it has doubled
+        if before is not None and np.all((miss < tolerance) | ((miss > before[0] / 2) & (total < 2 * before[1]))):
             break
-    return history, reached, target
+        before = miss, total
+    said = log.warning if np.abs(at[1] - target).max() > tolerance else log.info
+    said("domain totals after %d passes: reached %s, target %s", passes, at[1].tolist(), target.tolist())
+    return [x.tolist()], at[1], target
 
 
 def mix(

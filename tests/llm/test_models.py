@@ -160,6 +160,35 @@ def test_rates_against_plain_projected_gradient(spark):
     assert loss(rate) <= loss(best) + 1e-3
 
 
+def rates_for(spark, p, n, weights):
+    rows = [(int(a), [float(x) for x in b]) for a, b in zip(n, p, strict=True)]
+    return mixing.fit_rates(spark.createDataFrame(rows, "n_tokens long, posterior array<double>"), weights)
+
+
+def test_rates_reach_a_rare_domain(spark):
+    p = np.zeros((20000, 3))
+    p[:, 1] = 1.0
+    p[:2] = [1.0, 0.0, 0.0]  # one in ten thousand tokens, to become one in twenty
+    p[2:5000] = [0.0, 0.3, 0.7]
+    steps, reached, target = rates_for(spark, p, np.full(20000, 100), (0.05, 0.65, 0.3))
+    assert np.abs(reached - target).max() < 1e-6
+    assert np.allclose(mixing.rates_after(p, steps)[:2], 500, rtol=1e-4)
+
+
+def test_rates_with_soft_posteriors(spark):
+    p = np.random.default_rng(4).dirichlet([2.0, 2.0, 2.0], 3000)
+    _, reached, target = rates_for(spark, p, np.full(3000, 7), (0.2, 0.25, 0.55))
+    assert np.abs(reached - target).max() < 1e-6
+
+
+def test_a_missed_target_is_told(spark, caplog):
+    p = np.array([[0.0, 1.0, 0.0], [0.0, 0.0, 1.0]] * 50)
+    steps, reached, _ = rates_for(spark, p, np.full(100, 10), (0.2, 0.2, 0.6))
+    assert np.allclose(reached, [0.0, 0.2, 0.6], atol=1e-6)
+    assert [r.levelname for r in caplog.records if r.name == mixing.__name__] == ["WARNING"]
+    assert mixing.rates_after(p, steps).max() < 2
+
+
 def test_mixing_of_odd_tables(spark, make_docs, corpus):
     labels = spark.createDataFrame([(10, 0), (10, 1), (11, None), (None, 1), (999, 1)], "doc_id long, domain int")
     mixed = mixing.mix(make_docs(corpus), labels, (0.5, 0.5)).collect()
