@@ -35,6 +35,10 @@ class Signature:
     keyword: str  # literal part of every match
     priority: int
 
+    def __post_init__(self) -> None:
+        if not self.keyword:
+            raise ValueError(f"signature {self.label!r} has no keyword")
+
 
 BASE = [
     Signature("cc-by", "cc by", "cc by", NAMED),
@@ -93,7 +97,8 @@ _PHRASES = [
     ("public-domain", "public domain", "public domain", NAMED),
     ("unlicense", "this is free and unencumbered software", "unencumbered", EXACT),
     ("copyright", r"copyright (?:c )?(?:19|20)[0-9]{2}", "copyright", NAMED),
-    ("proprietary", "(?:proprietary and confidential|unauthorized copying)", "", VERSIONED),
+    ("proprietary", "proprietary and confidential", "proprietary and confidential", VERSIONED),
+    ("proprietary", "unauthorized copying", "unauthorized copying", VERSIONED),
     ("no-warranty", "without warranty of any kind", "warranty", NAMED),
     ("licensed", "licen[sc]ed under the [^ ]+", "ed under the", NAMED),
 ]
@@ -125,7 +130,7 @@ def signatures() -> list[Signature]:
         rules.append(Signature(label, rf"creative commons {long}", "creative commons", VERSIONED))
         rules.append(Signature(label, rf"cc {short}", "cc by", NAMED))
     rules.append(Signature("cc0", r"cc0(?: 1 0)?", "cc0", VERSIONED))
-    rules += [Signature(*phrase) for phrase in _PHRASES if phrase[2]]
+    rules += [Signature(*phrase) for phrase in _PHRASES]
     return rules
 
 

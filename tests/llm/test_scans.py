@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 import re
 
+import pytest
+
 from assayer.llm import decontaminate, license_scan
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -60,6 +62,19 @@ def test_license_scan(make_docs):
     assert license_scan.scan(make_docs([])).count() == 0
 
 
+def test_notices_of_owners(make_docs):
+    texts = [(1, "This file is PROPRIETARY and Confidential."), (2, "Unauthorized copying is prohibited."), (3, "copying")]
+    got = {r.id: (r.labels, round(r.score, 9)) for r in license_scan.scan(make_docs(texts)).collect()}
+    assert got == {1: ("proprietary", 0.8), 2: ("proprietary", 0.8), 3: ("", 0.0)}
+    labels = {r.label for r in license_scan.signatures()}
+    assert all(label in labels for label, *_ in license_scan._PHRASES)
+
+
+def test_a_signature_needs_a_keyword():
+    with pytest.raises(ValueError):
+        license_scan.Signature("x", "some words", "", license_scan.NAMED)
+
+
 def test_gate_loses_no_rule():
     rules = license_scan.signatures()
     gate = license_scan.gate_words(rules)
