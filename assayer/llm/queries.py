@@ -8,13 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayer.llm import (
+    collocations,
     decontaminate,
     exact_dedup,
     jaccard_join,
     katz,
     license_scan,
+    line_dedup,
     mixing,
     quality,
+    ranked_search,
     recompression,
     url_filter,
     warc,
@@ -279,3 +282,102 @@ def op10_target_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op7_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz.held_out_scores(read_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+COLLOCATION_SQL = rf"""
+WITH t AS (
+    SELECT coalesce(lang, 'und') AS lang, row_number() OVER () AS d, translate(coalesce(text, ''), {UPPER}) AS text
+    FROM documents
+), p AS (
+    SELECT lang, regexp_extract_all(unnest(regexp_split_to_array(text, '[.,;:!?
+]')), '[^ 	]+') AS w
+    FROM t
+), g AS (
+    SELECT lang, w[s : s + k - 1] AS g, k FROM (
+        SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS s FROM p, range(1, 6) r(k) WHERE len(w) >= k)
+), f AS (
+    SELECT lang, g, k, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= 100
+), n AS (
+    SELECT lang, sum(len(w))::BIGINT AS n FROM p GROUP BY lang
+), c AS (
+    SELECT * FROM f WHERE k > 1 AND NOT EXISTS (
+        SELECT 1 FROM f x WHERE x.lang = f.lang AND x.k > f.k AND 100 * x.a >= 100 * f.a
+        AND instr(' ' || array_to_string(x.g, ' ') || ' ', ' ' || array_to_string(f.g, ' ') || ' ') > 0)
+), s AS (
+    SELECT c.lang, c.g, c.a, x.k, x.a AS l, y.a AS r, n.n,
+        (1000::HUGEINT * c.a * n.n // (x.a::HUGEINT * y.a))::BIGINT AS score
+    FROM c JOIN f x ON x.lang = c.lang AND x.k < c.k AND x.g = c.g[1 : x.k]
+    JOIN f y ON y.lang = c.lang AND y.g = c.g[x.k + 1 : c.k] JOIN n ON n.lang = c.lang
+), b AS (
+    SELECT lang, array_to_string(g, ' ') AS phrase, a, l, r, n, score
+    FROM s QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank,
+    phrase, a, l, r, n, score
+FROM b QUALIFY rank <= 2000
+"""
+
+
+@query(COLLOCATION_SQL)
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read_table(spark, sf_dir, "documents"))
+
+
+LINE_SQL = f"""
+WITH d AS (
+    SELECT doc_id, str_split(coalesce(text, ''), chr(10)) AS lines FROM documents
+), k AS (
+    SELECT doc_id, lines, list_transform(lines, lambda x:
+        translate(trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), {UPPER})) AS keys FROM d
+), f AS (
+    SELECT key FROM (SELECT doc_id, unnest(keys) AS key FROM k) WHERE length(key) >= 1
+    GROUP BY key HAVING count(DISTINCT doc_id) >= 10
+), m AS (
+    SELECT coalesce(list(key), []) AS often FROM f
+), g AS (
+    SELECT doc_id, lines, list_transform(keys, lambda x: list_contains(often, x)) AS gone FROM k, m
+)
+SELECT doc_id, len(lines) AS n_lines, len(list_filter(gone, lambda x: x)) AS n_dropped,
+    sha256(coalesce(array_to_string(list_filter(lines, lambda x, i: NOT gone[i]), chr(10)), '')) AS kept_sha256
+FROM g
+"""
+
+
+@query(LINE_SQL)
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    found = line_dedup.cut(docs, line_dedup.keep_bitmaps(docs))
+    return found.select(
+        F.col("id").alias("doc_id"), "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
+_TERMS = r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'"
+SEARCH_SQL = f"""
+WITH d AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {UPPER}), {_TERMS}) AS w FROM documents
+), t AS (
+    SELECT doc_id, term, n, count(*) AS tf
+    FROM (SELECT doc_id, len(w) AS n, unnest(w) AS term FROM d) GROUP BY ALL
+), z AS (
+    SELECT count(*) AS docs, sum(len(w))::BIGINT AS terms FROM d WHERE len(w) > 0
+), f AS (
+    SELECT term, floor(1000 * ln((2 * docs + 2) / (2 * df + 1)))::BIGINT AS w
+    FROM (SELECT term, count(*) AS df FROM t GROUP BY term), z
+), i AS (
+    SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), {UPPER}), {_TERMS})) AS term
+    FROM benchmark
+), s AS (
+    SELECT item_id, doc_id,
+        sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * docs) // terms))))::BIGINT AS score
+    FROM i JOIN f USING (term) JOIN t USING (term), z GROUP BY item_id, doc_id
+)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+FROM s WHERE score > 0 QUALIFY rank <= 10
+"""
+
+
+@query(SEARCH_SQL)
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ranked_search.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("query_id").alias("item_id"), "rank", F.col("id").alias("doc_id"), "score")
