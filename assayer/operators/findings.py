@@ -119,15 +119,16 @@ def merge_findings(findings: DataFrame) -> DataFrame:
 
 
 def rank_findings(
-    findings: DataFrame, limit: int = rules.MAX_FINDINGS_PER_AXIS
+    findings: DataFrame, limit: int | None = rules.MAX_FINDINGS_PER_AXIS
 ) -> DataFrame:
-    """Most severe first, ties in scan order; keep ``limit`` per axis.
+    """Most severe first, ties in scan order; keep ``limit`` per axis (None: all).
 
     The limit on ``row_number`` becomes a group limit below the shuffle: every task sends at
     most ``limit`` rows per axis, however many findings one repository has.
     """
     order = Window.partitionBy(*KEY, "axis").orderBy(T.severity_rank("severity"), "ord")
-    return findings.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
+    ranked = findings.withColumn("rank", F.row_number().over(order))
+    return ranked if limit is None else ranked.filter(F.col("rank") <= limit)
 
 
 def head_per(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
@@ -143,8 +144,9 @@ def severity_counts(findings: DataFrame, keys: list[str] | None = None) -> DataF
     return findings.groupBy(*keys).agg(*counts)
 
 
-def axis_counts(merged: DataFrame, limit: int = rules.MAX_FINDINGS_PER_AXIS) -> DataFrame:
+def axis_counts(merged: DataFrame, limit: int | None = rules.MAX_FINDINGS_PER_AXIS) -> DataFrame:
     """Findings before the cap and dropped by it, per axis that has any."""
+    limit = (1 << 62) if limit is None else limit
     return merged.groupBy(*KEY, "axis").agg(F.count("*").alias("found")).select(
         *KEY,
         "axis",

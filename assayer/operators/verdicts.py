@@ -12,16 +12,19 @@ from pyspark.sql.types import StringType
 from assayer import rules
 from assayer.functions import text as T
 from assayer.operators import KEY
-from assayer.operators.findings import head_per
 from assayer.session import materialize
 
 ENTRIES = "struct<verdicts: array<struct<finding_id: string, verdict: string, reason: string>>>"
 
 
-def submitted(issues: DataFrame, limit: int = rules.MAX_FINDINGS_PER_CALL) -> DataFrame:
-    """The issues one triage call covers: the first ``limit`` with an id."""
+def submitted(issues: DataFrame, per_call: int = rules.MAX_FINDINGS_PER_CALL) -> DataFrame:
+    """Issues with an id, and the ``call`` that covers each: ``per_call`` of an axis in report order.
+
+    Calls are numbered from 0; every issue with an id is in one, however many an axis has.
+    """
     named = issues.filter(F.coalesce("id", F.lit("")) != "")
-    return head_per(named, [*KEY, "axis"], [F.col("place")], limit)
+    place = F.row_number().over(Window.partitionBy(*KEY, "axis").orderBy("place"))
+    return named.withColumn("nth", place).withColumn("call", F.floor((F.col("nth") - 1) / per_call).cast("int"))
 
 
 def triage_line() -> Column:
@@ -53,13 +56,11 @@ def triage_prompts(
 ) -> DataFrame:
     """Prompts over the issues of each scan and axis, in report order, ``per_call`` to a prompt.
 
-    ``call`` numbers the prompts of an axis from 0; the first covers what ``submitted`` lists.
+    ``call`` numbers the prompts of an axis as ``submitted`` does.
     """
-    named = issues.filter(F.coalesce("id", F.lit("")) != "")
-    place = F.row_number().over(Window.partitionBy(*KEY, "axis").orderBy("place"))
     listed = (
-        named.withColumns({"nth": place, "entry": triage_line()})
-        .withColumn("call", F.floor((F.col("nth") - 1) / per_call).cast("int"))
+        submitted(issues, per_call)
+        .withColumn("entry", triage_line())
         .groupBy(*KEY, "axis", "call")
         .agg(F.array_sort(F.collect_list(F.struct("nth", "entry"))).alias("entries"))
     )
@@ -111,74 +112,80 @@ def score_prompts(
 
 
 
+def _by_call(rows: DataFrame) -> DataFrame:
+    """Rows with the number of their call; where none is kept there was one call an axis."""
+    call = F.coalesce("call", F.lit(0)).cast("int") if "call" in rows.columns else F.lit(0)
+    return rows.withColumn("call", call)
+
+
+CALL = [*KEY, "axis", "call"]
+
+
+def _listed(allowed: DataFrame) -> DataFrame:
+    """The ids that each call was sent."""
+    sent = _by_call(allowed).select(*CALL, F.col("id").alias("finding_id")).distinct()
+    return sent.withColumn("known", F.lit(True))
+
+
+def _parsed(answers: DataFrame) -> DataFrame:
+    entries = F.from_json(T.strip_fences("raw"), ENTRIES)["verdicts"]
+    return _by_call(answers).select(*CALL, entries.alias("verdicts"))
+
+
+def _on_list() -> Column:
+    return F.coalesce("known", F.lit(False)) & F.coalesce(F.col("verdict").isin(rules.VERDICTS), F.lit(False))
+
+
 def validate_verdicts(answers: DataFrame, allowed: DataFrame) -> DataFrame:
-    """Verdicts of answers that keep to the closed list; one bad entry rejects its answer.
+    """Verdicts of answers that keep to the closed list; one bad entry rejects its answer alone.
 
-    ``answers``: ``(repo, commit_sha, axis, raw)``, one per call; ``allowed``: the submitted
-    ``(repo, commit_sha, axis, id)``.  A malformed element makes the parsed list null, which
-    rejects the answer as well.  The first verdict for an id wins.
+    ``answers``: ``(repo, commit_sha, axis, call, raw)``, one per call; ``allowed``: what was sent,
+    ``(repo, commit_sha, axis, call, id)``.  An answer may name the ids of its own call only.  A
+    malformed element makes the parsed list null, which rejects the answer as well.  The first
+    verdict for an id wins, in the order of calls.
     """
     scope = [*KEY, "axis"]
-    parsed = answers.select(
-        *scope, F.from_json(T.strip_fences("raw"), ENTRIES)["verdicts"].alias("verdicts")
-    ).filter(F.col("verdicts").isNotNull())
-    entries = parsed.select(*scope, F.posexplode("verdicts").alias("pos", "v"))
-    known = allowed.select(*scope, F.col("id").alias("finding_id")).distinct().withColumn("known", F.lit(True))
+    parsed = _parsed(answers).filter(F.col("verdicts").isNotNull())
+    entries = parsed.select(*CALL, F.posexplode("verdicts").alias("pos", "v"))
     checked = (
-        entries.select(*scope, "pos", "v.*")
-        .join(known, [*scope, "finding_id"], "left")
-        .withColumn(
-            "valid",
-            F.coalesce("known", F.lit(False))
-            & F.coalesce(F.col("verdict").isin(rules.VERDICTS), F.lit(False)),
-        )
+        entries.select(*CALL, "pos", "v.*")
+        .join(_listed(allowed), [*CALL, "finding_id"], "left")
+        .withColumn("valid", _on_list())
     )
     # What is listed per answer are the entries of one answer, itself one row.
     accepted = (
-        checked.groupBy(*scope)
+        checked.groupBy(*CALL)
         .agg(
             F.bool_and("valid").alias("accepted"),
             F.collect_list(F.struct("finding_id", "pos", "verdict", "reason")).alias("entries"),
         )
         .filter("accepted")
-        .select(*scope, F.explode("entries").alias("e"))
-        .select(*scope, "e.*")
+        .select(*CALL, F.explode("entries").alias("e"))
+        .select(*CALL, "e.*")
     )
     reason = T.truncate(F.coalesce("first.reason", F.lit("")), rules.MAX_REASON_LENGTH)
     return (
         accepted.groupBy(*scope, "finding_id")
-        .agg(F.min_by(F.struct("verdict", "reason"), "pos").alias("first"))
+        .agg(F.min_by(F.struct("verdict", "reason"), F.struct("call", "pos")).alias("first"))
         .select(*scope, "finding_id", F.col("first.verdict").alias("verdict"), reason.alias("reason"))
     )
 
 
 def answer_statuses(answers: DataFrame, allowed: DataFrame) -> DataFrame:
-    """``accepted`` or ``error`` per answer; an empty list is accepted."""
-    scope = [*KEY, "axis"]
-    parsed = answers.select(
-        *scope, F.from_json(T.strip_fences("raw"), ENTRIES)["verdicts"].alias("verdicts")
-    )
-    known = allowed.select(*scope, F.col("id").alias("finding_id")).distinct().withColumn("known", F.lit(True))
-    entry = F.col("v")
+    """``accepted`` or ``error`` per call; an empty list is accepted."""
     checked = (
-        parsed.select(*scope, "verdicts", F.explode_outer("verdicts").alias("v"))
+        _parsed(answers).select(*CALL, "verdicts", F.explode_outer("verdicts").alias("v"))
         .select(
-            *scope,
+            *CALL,
             F.col("verdicts").isNotNull().alias("is_list"),
             (F.coalesce(F.size("verdicts"), F.lit(0)) == 0).alias("is_empty"),
-            entry["finding_id"].alias("finding_id"),
-            entry["verdict"].alias("verdict"),
-        )
-        .join(known, [*scope, "finding_id"], "left")
-    )
-    valid = F.col("is_list") & (
-        F.col("is_empty")
-        | (
-            F.coalesce("known", F.lit(False))
-            & F.coalesce(F.col("verdict").isin(rules.VERDICTS), F.lit(False))
+            F.col("v.finding_id").alias("finding_id"),
+            F.col("v.verdict").alias("verdict"),
         )
+        .join(_listed(allowed), [*CALL, "finding_id"], "left")
     )
-    return checked.groupBy(*scope).agg(
+    valid = F.col("is_list") & (F.col("is_empty") | _on_list())
+    return checked.groupBy(*CALL).agg(
         F.when(F.bool_and(valid), F.lit("accepted")).otherwise(F.lit("error")).alias("status")
     )
 

@@ -43,14 +43,15 @@ def ai_merge(
     answers: DataFrame,
     discovered: DataFrame,
     tracked: DataFrame,
+    per_call: int = rules.MAX_FINDINGS_PER_CALL,
 ) -> Deepened:
     """Merge model answers into a scan: closed-list verdicts, then discoveries.
 
-    ``issues`` carry ``place``, their order inside an axis.  A rejected answer leaves the
-    issues of its axis as they are.
+    ``issues`` carry ``place``, their order inside an axis; ``per_call`` is what the prompts were
+    made with.  A rejected answer leaves the issues of its call as they are.
     """
     triage = issues.filter(F.col("axis").isin(rules.TRIAGE_AXES))
-    decided = verdicts.validate_verdicts(answers, verdicts.submitted(triage))
+    decided = verdicts.validate_verdicts(answers, verdicts.submitted(triage, per_call))
     triaged = verdicts.apply_verdicts(triage, decided)
     merged, after = verdicts.merge_ai(issues, statuses, triaged, discovered, tracked)
     return Deepened(merged, after, decided)

@@ -13,9 +13,10 @@ from assayer import rules
 from assayer.functions import paths as P
 from assayer.operators import KEY, coverage, documents, findings, ignore, lines, quality, secrets
 from assayer.operators.lines import SecretRule
-from assayer.operators.localize import localize_findings
+from assayer.operators.localize import localize_findings, with_template
 from assayer.session import materialize
 from assayer.sources import tree as listing
+from assayer.sources.bucketed import BucketedTable
 
 
 def _plain(value: object) -> object:
@@ -53,26 +54,36 @@ class Prepared:
 
 def prepare_files(
     tree: DataFrame,
-    payloads: DataFrame,
-    max_files: int = rules.MAX_REPO_FILES,
+    payloads: DataFrame | BucketedTable,
+    max_files: int | None = rules.MAX_REPO_FILES,
     max_size: int = rules.MAX_FILE_SIZE,
+    written: bool = False,
     **guards: int,
 ) -> Prepared:
     """Select, cap and read files, and account for every tracked one.
 
-    Selection and cap work on the listing alone; only payloads of kept files are decoded.
-    Payloads meet the kept files on ``(repo, commit_sha, path)``, a key without hot values; a
-    payload table bucketed on it is joined without moving contents.
+    Selection and cap (None: no cap) work on the listing alone; only payloads of kept files are
+    decoded.  Payloads meet the kept files on ``(repo, commit_sha, path)``, a key without hot
+    values: of a stored payload table (``sources.payloads``) no contents move, the listing goes to
+    them.  ``written`` keeps the decoded files in the shared folder, for plans that read them more
+    than once.
     """
+    stored = isinstance(payloads, BucketedTable)
+    payloads = payloads.frame(tree.sparkSession) if stored else payloads
     tracked = listing.tracked_paths(tree)
     eligible = coverage.with_rejection(tracked, max_size).filter(F.col("reason").isNull())
-    kept = coverage.cap_files(eligible.drop("reason", "type", "truncated"), max_files)
+    kept = eligible.drop("reason", "type", "truncated")
+    if max_files is not None:
+        kept = coverage.cap_files(kept, max_files)
     payload = payloads.select(
         *KEY, "path", "http_status", "encoding", F.col("size").alias("payload_size"), "content_b64"
     )
+    payload = payload.hint("merge") if stored else payload
     attempts = listing.decode_contents(
         kept.join(payload, [*KEY, "path"], "left"), size="payload_size", **guards
     )
+    if written:
+        attempts = materialize(attempts, "files")
     counts = coverage.file_counts(tracked, attempts.select(*KEY, "outcome"), max_files, max_size)
     files = listing.readable(attempts).drop("outcome", "http_status", "encoding", "payload_size")
     return Prepared(
@@ -136,22 +147,31 @@ def quality_axis(
     linter_reports: DataFrame | None = None,
     hits: DataFrame | None = None,
     facts: DataFrame | None = None,
+    functions: DataFrame | None = None,
+    issues: DataFrame | None = None,
 ) -> DataFrame:
+    """Findings of the quality axis; ``functions`` and ``issues`` are what is known of them already."""
     facts = materialize(repo_facts(files, tracked), "facts") if facts is None else facts
     hits = materialize(lines.line_hits(files, ("requirement",)), "hits") if hits is None else hits
+    functions = quality.function_complexity(files) if functions is None else functions
     manifests = quality.pinning(hits)
     parts = [
-        quality.complexity_findings(quality.function_complexity(files)),
+        quality.complexity_findings(functions),
         *quality.metric_findings(
             facts, coverage.sample_counts(files), quality.pinned_repos(manifests), manifests
         ),
     ]
-    if linter_reports is not None:
-        issues = quality.attach_code_hint(quality.ingest_linter_reports(linter_reports), files)
+    if issues is None and linter_reports is not None:
+        issues = linter_issues(linter_reports, files)
+    if issues is not None:
         parts.insert(0, quality.linter_findings(issues))
     return findings.union_findings(*parts)
 
 
+def linter_issues(reports: DataFrame, files: DataFrame) -> DataFrame:
+    return quality.attach_code_hint(quality.ingest_linter_reports(reports), files)
+
+
 def docs_axis(
     files: DataFrame,
     tracked: DataFrame,
@@ -177,11 +197,65 @@ def docs_axis(
     return everything.join(facts.filter("documented").select(*KEY), KEY, "left_semi")
 
 
+def axis_metrics(
+    files: DataFrame,
+    tracked: DataFrame,
+    hits: DataFrame,
+    specs: DataFrame,
+    facts: DataFrame,
+    ignored: DataFrame,
+    functions: DataFrame,
+    issues: DataFrame | None = None,
+) -> DataFrame:
+    """One row per scan: what each axis counted, as ``ignore``, ``quality`` and ``docs``.
+
+    ``ignored`` are the findings of the ignore axis before merge.  All inputs but the paths of
+    ``files`` are narrow; lists are bounded by the known ecosystems, or are a repository's pipelines.
+    """
+    zero = F.lit(0).cast("long")
+    used = documents.first_usage(documents.env_usage(hits))
+    parts = [
+        _packed(ignore.ignore_metrics(facts, specs, ignored), "ignore"),
+        _packed(documents.doc_metrics(files, facts, used, documents.env_declared(hits)).drop("available"), "docs"),
+    ]
+    counted = quality.pinned_repos(quality.pinning(hits))
+    checked = (
+        facts.select(*KEY, "ecosystems", "has_sources", "has_tests", "has_ci", "missing_lockfiles")
+        .join(coverage.sample_counts(files), KEY, "left")
+        .join(coverage.ci_files(tracked), KEY, "left")
+        .join(counted, KEY, "left")
+        .join(_packed(quality.complexity_stats(files, functions), "complexity"), KEY, "left")
+    )
+    if issues is None:
+        checked = checked.withColumn("linter_issues", zero)
+    else:
+        own = issues.filter(F.col("rule") != rules.COMPLEXITY_LINTER_RULE).groupBy(*KEY).agg(F.count("*").alias("linter_issues"))
+        checked = checked.join(own, KEY, "left")
+    checked = checked.withColumns(
+        {
+            "ci_files": F.coalesce("ci_files", F.array().cast("array<string>")),
+            "pinned_requirements": F.coalesce("pinned_requirements", F.lit(False)),
+            **{c: F.coalesce(c, zero) for c in ("source_files_in_sample", "test_files_in_sample", "linter_issues")},
+        }
+    )
+    parts.append(_packed(checked, "quality"))
+    joined = facts.select(*KEY)
+    for part in parts:
+        joined = joined.join(part, KEY, "left")
+    return joined
+
+
+def _packed(rows: DataFrame, name: str) -> DataFrame:
+    return rows.select(*KEY, F.struct(*[c for c in rows.columns if c not in KEY]).alias(name))
+
+
 @dataclass
 class Scan:
     statuses: DataFrame
     findings: DataFrame
     summary: DataFrame
+    metrics: DataFrame
+    coverage: DataFrame | None
 
 
 def run_scan(
@@ -192,21 +266,25 @@ def run_scan(
     secret_rules: list[SecretRule] | None = None,
     catalog: DataFrame | None = None,
     lang: str = rules.DEFAULT_LANGUAGE,
-    limit: int = rules.MAX_FINDINGS_PER_AXIS,
+    limit: int | None = rules.MAX_FINDINGS_PER_AXIS,
 ) -> Scan:
-    """All four axes of every repository.
+    """All four axes of every repository: statuses, findings (at most ``limit`` an axis; None: all),
+    summary, the metrics of the axes and the coverage that was given.
 
     Contents are split into lines once: the narrow table of hits feeds three axes.  Ignore rules,
-    facts per repository and merged findings are written once as well, since several branches
-    read each of them.
+    facts per repository, functions, linter issues and merged findings are written once as well, since
+    several branches read each of them.  An axis that could not run carries a ``message``.
     """
     hits = materialize(lines.line_hits(files, lines.HIT_KINDS, secret_rules), "hits")
     specs = materialize(ignore.ignore_specs(files), "specs")
     facts = materialize(repo_facts(files, tracked), "facts")
+    functions = materialize(quality.function_complexity(files), "functions")
+    issues = None if linter_reports is None else materialize(linter_issues(linter_reports, files), "issues")
+    ignored = materialize(ignore_axis(files, tracked, facts, specs), "ignored")
     found = findings.union_findings(
         secrets_axis(files, hits, secret_rules),
-        ignore_axis(files, tracked, facts, specs),
-        quality_axis(files, tracked, linter_reports, hits, facts),
+        ignored,
+        quality_axis(files, tracked, hits=hits, facts=facts, functions=functions, issues=issues),
         docs_axis(files, tracked, hits, facts),
     )
     merged = materialize(findings.merge_findings(found), "merged")
@@ -228,13 +306,29 @@ def run_scan(
     kept = findings.rank_findings(merged, limit)
     if catalog is not None:
         kept = localize_findings(kept, catalog, F.lit(lang))
-    return Scan(statuses, kept, findings.scan_summary(statuses, kept))
+        key = F.when(F.col("status") == "unavailable", F.lit("recommendation.no_readme"))
+        statuses = with_template(statuses, catalog, key, F.lit(lang), "message")
+    else:
+        statuses = statuses.withColumn("message", F.lit(None).cast("string"))
+    metrics = axis_metrics(files, tracked, hits, specs, facts, ignored, functions, issues)
+    return Scan(statuses, kept, findings.scan_summary(statuses, kept), metrics, coverage_rows)
+
+
+def scan_repositories(
+    tree: DataFrame, payloads: DataFrame | BucketedTable, max_files: int | None = rules.MAX_REPO_FILES,
+    max_size: int = rules.MAX_FILE_SIZE, guards: dict[str, int] | None = None, **options: object,
+) -> Scan:
+    """From a listing and payloads to the scan: files are selected, capped, decoded once and audited,
+    with absence judged over all tracked paths.  ``options`` go to ``run_scan``."""
+    ready = prepare_files(tree, payloads, max_files, max_size, written=True, **(guards or {}))
+    return run_scan(ready.files, ready.tracked, ready.coverage, **options)
 
 
 def scan_payloads(scan: Scan, lang: str = rules.DEFAULT_LANGUAGE) -> DataFrame:
     """``(repo, commit_sha, payload)``: one JSON document per scan, as the cache stores it.
 
-    A document holds at most four axes of capped findings.
+    It holds the coverage, four axes in their order (status, metrics, message, capped findings) and
+    the summary; what is null is left out.
     """
     body = [c for c in scan.findings.columns if c not in (*KEY, "axis", "ord")]
     listed = scan.findings.groupBy(*KEY, "axis").agg(
@@ -242,22 +336,42 @@ def scan_payloads(scan: Scan, lang: str = rules.DEFAULT_LANGUAGE) -> DataFrame:
             F.collect_list(F.struct(*body)), lambda a, b: a["rank"] - b["rank"]
         ).alias("findings")
     )
+    owner = {"ignore": ignore.AXIS, "quality": quality.AXIS, "docs": documents.AXIS}
+    shown = []
+    for name, axis in owner.items():
+        wanted = (F.col("axis") == axis) & (F.col("status") != "unavailable")
+        for field in scan.metrics.schema[name].dataType.names:
+            shown.append(F.when(wanted, F.col(name)[field]).alias(field))
+    entry = F.struct(
+        F.array_position(F.array(*[F.lit(a) for a in rules.AXES]), F.col("axis")).alias("place"),
+        F.struct(
+            "axis", "status", "dropped", F.struct(*shown).alias("metrics"), "message",
+            F.coalesce("findings", F.array()).alias("findings"),
+        ).alias("axis"),
+    )
     axes = (
         scan.statuses.join(listed, [*KEY, "axis"], "left")
+        .join(scan.metrics, KEY, "left")
         .groupBy(*KEY)
         .agg(
             F.first("complete").alias("complete"),
-            F.collect_list(F.struct("axis", "status", "dropped", "findings")).alias("axes"),
+            # maps do not compare, places do
+            F.array_sort(F.collect_list(entry), lambda a, b: (a["place"] - b["place"]).cast("int")).alias("axes"),
         )
     )
+    covered = F.lit(None).cast("struct<tracked_files: bigint>")
+    if scan.coverage is not None:
+        axes = axes.join(_packed(scan.coverage, "coverage"), KEY, "left")
+        covered = F.col("coverage")
     return axes.join(scan.summary, KEY).select(
         *KEY,
         F.to_json(
             F.struct(
                 F.lit(rules.SCAN_VERSION).alias("scan_version"),
                 F.lit(lang).alias("language"),
+                covered.alias("coverage"),
                 "complete",
-                "axes",
+                F.transform("axes", lambda a: a["axis"]).alias("axes"),
                 F.struct("findings", "dropped", *rules.SEVERITIES, "axes_with_issues").alias("summary"),
             )
         ).alias("payload"),

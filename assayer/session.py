@@ -97,7 +97,23 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_table_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written._written_to = path  # for discard
+    return written
+
+
+def discard(*frames: DataFrame | None) -> None:
+    """Delete what ``materialize`` wrote for these frames, once nothing will read them any more.
+
+    For rounds of an iteration: the next round has been written by then, so no lost executor can
+    ask for the tables of the one before.  Other frames are passed over.
+    """
+    for frame in frames:
+        path = getattr(frame, "_written_to", None)
+        if path is not None:
+            folder = frame.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            conf = frame.sparkSession.sparkContext._jsc.hadoopConfiguration()
+            folder.getFileSystem(conf).delete(folder, True)
 
 
 def small_side(df: DataFrame, limit: int = 500_000) -> DataFrame:

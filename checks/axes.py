@@ -9,11 +9,13 @@ from assayer.messages import catalog
 from assayer.operators import coverage as C
 from assayer.operators import documents, findings, ignore, lines, quality
 from assayer.plans import scan
-from assayer.session import materialize
+from assayer.session import materialize, new_table_path
+from assayer.sources import payloads as P
 from checks.corpus import (
-    FILES, IGNORE_RULES, LINES, NAME, SUFFIX, files, sql_fingerprint, sql_list, tracked,
+    BASE, FILES, IGNORE_RULES, LINES, NAME, PATHS, SUFFIX, files, sql_fingerprint, sql_list, tracked,
 )
-from checks.coverage import COVERAGE, KEPT, TREE, prepared
+from checks.coverage import CAP, COVERAGE, GUARDS, KEPT, MAX_SIZE, TREE, payloads, prepared, tree
+from checks.linters import LINT_RAW_OF, lint_sql, linter_reports
 from checks.paths import ALLOWED, CI_PATH, SENSITIVE, TEST_PATH, sql_map
 from checks.registry import query
 from checks.texts import (
@@ -101,13 +103,13 @@ def merged_locations(spark, sf_dir):
 
 DOCS_CTE = f"""{FILES}, {LINES}, {LINKS}, {RESOLVED}, {ENV_READS}, {FIRST_USE}, {DECLARED}, {MENTIONED},
   broken AS (SELECT r.* FROM (SELECT * REPLACE (resolved AS path), path AS doc FROM resolved WHERE resolved IS NOT NULL) r
-    WHERE {ALLOWED} AND NOT EXISTS (SELECT 1 FROM files f WHERE f.repo = r.repo AND f.commit_sha = r.commit_sha AND f.path = r.path)),
+    WHERE {ALLOWED} AND NOT EXISTS (SELECT 1 FROM paths f WHERE f.repo = r.repo AND f.commit_sha = r.commit_sha AND f.path = r.path)),
   undocumented AS (SELECT * FROM first_use u WHERE name NOT IN {sql_list(rules.PLATFORM_ENV)}
     AND NOT EXISTS (SELECT 1 FROM declared d WHERE (d.repo, d.commit_sha, d.name) = (u.repo, u.commit_sha, u.name))
     AND NOT EXISTS (SELECT 1 FROM mentioned d WHERE (d.repo, d.commit_sha, d.name) = (u.repo, u.commit_sha, u.name))),
   unused AS (SELECT * FROM declared u WHERE name NOT IN {sql_list(rules.PLATFORM_ENV)}
     AND NOT EXISTS (SELECT 1 FROM first_use d WHERE (d.repo, d.commit_sha, d.name) = (u.repo, u.commit_sha, u.name))),
-  templates AS (SELECT DISTINCT repo, commit_sha FROM files WHERE {NAME} IN {sql_list(rules.ENV_TEMPLATE_NAMES)}),
+  templates AS (SELECT DISTINCT repo, commit_sha FROM paths WHERE {NAME} IN {sql_list(rules.ENV_TEMPLATE_NAMES)}),
   no_template AS (SELECT repo, commit_sha, count(*) AS env_used FROM first_use ANTI JOIN templates USING (repo, commit_sha) GROUP BY ALL HAVING count(*) >= 3),
   documented AS (SELECT DISTINCT repo, commit_sha FROM files WHERE {MARKDOWN})"""
 DOCS_RAW = " UNION ALL ".join(
@@ -121,6 +123,12 @@ DOCS_RAW = " UNION ALL ".join(
 DOCS_RAW = f"SELECT * FROM ({DOCS_RAW}) SEMI JOIN documented USING (repo, commit_sha)"
 
 
+DOC_METRICS = f"""doc_metrics AS (SELECT s.*, (SELECT count(*) FROM files f WHERE (f.repo, f.commit_sha) = (s.repo, s.commit_sha) AND {MARKDOWN}) AS documents,
+      (SELECT count(*) FROM first_use u WHERE (u.repo, u.commit_sha) = (s.repo, s.commit_sha)) AS env_used,
+      (SELECT count(*) FROM declared u WHERE (u.repo, u.commit_sha) = (s.repo, s.commit_sha)) AS env_declared
+    FROM (SELECT repo, commit_sha, bool_or({NAME} IN {sql_list(rules.ENV_TEMPLATE_NAMES)}) AS has_env_example FROM paths GROUP BY ALL) s)"""
+
+
 @query(axis_sql(DOCS_CTE, DOCS_RAW, 6))
 def docs_axis(spark, sf_dir):
     return shown(scan.docs_axis(files(spark, sf_dir), tracked(spark, sf_dir)), 6)
@@ -156,10 +164,7 @@ def missing_env_template(spark, sf_dir):
 
 
 @query(
-    f"""WITH {DOCS_CTE}, scopes AS (SELECT repo, commit_sha, count(*) FILTER (WHERE {MARKDOWN}) AS documents,
-      bool_or({NAME} IN {sql_list(rules.ENV_TEMPLATE_NAMES)}) AS has_env_example FROM files GROUP BY repo, commit_sha)
-    SELECT s.*, s.documents > 0 AS available, (SELECT count(*) FROM first_use u WHERE (u.repo, u.commit_sha) = (s.repo, s.commit_sha)) AS env_used,
-      (SELECT count(*) FROM declared u WHERE (u.repo, u.commit_sha) = (s.repo, s.commit_sha)) AS env_declared FROM scopes s"""
+    f"""WITH {DOCS_CTE}, {DOC_METRICS} SELECT *, documents > 0 AS available FROM doc_metrics"""
 )
 def doc_metrics(spark, sf_dir):
     used, declared, _ = _env(spark, sf_dir)
@@ -169,20 +174,22 @@ def doc_metrics(spark, sf_dir):
 
 # --- quality ------------------------------------------------------------------------------
 
+LINT_RAW = LINT_RAW_OF(raw)
+
 
 def _owner(column: str, table: dict[str, list[str]]) -> str:
     return sql_map({entry: eco for eco, entries in table.items() for entry in entries}, column)
 
 
 QUALITY_CTE = f"""{FILES}, {LINES}, {REQUIREMENTS},
-  detected AS (SELECT DISTINCT repo, commit_sha, eco AS ecosystem FROM (SELECT repo, commit_sha, unnest([{_owner(NAME, rules.MANIFESTS)}, {_owner(SUFFIX, rules.SOURCE_EXTENSIONS)}]) AS eco FROM files) WHERE eco IS NOT NULL),
-  locked AS (SELECT DISTINCT repo, commit_sha, {_owner(NAME, rules.LOCKFILES)} AS ecosystem FROM files),
+  detected AS (SELECT DISTINCT repo, commit_sha, eco AS ecosystem FROM (SELECT repo, commit_sha, unnest([{_owner(NAME, rules.MANIFESTS)}, {_owner(SUFFIX, rules.SOURCE_EXTENSIONS)}]) AS eco FROM paths) WHERE eco IS NOT NULL),
+  locked AS (SELECT DISTINCT repo, commit_sha, {_owner(NAME, rules.LOCKFILES)} AS ecosystem FROM paths),
   unlocked AS (SELECT * FROM detected d WHERE ecosystem IN {sql_list(list(rules.LOCKFILES))}
     AND NOT EXISTS (SELECT 1 FROM locked l WHERE (l.repo, l.commit_sha, l.ecosystem) = (d.repo, d.commit_sha, d.ecosystem))),
   manifests AS (SELECT repo, commit_sha, ord, path, count(*) FILTER (WHERE requirement = 'pinned') AS pinned, count(*) AS total FROM requirements GROUP BY ALL),
   judged AS (SELECT *, total >= 3 AND pinned / total < 0.8 AS unpinned FROM manifests),
   pinned_repos AS (SELECT DISTINCT repo, commit_sha FROM judged WHERE total >= 3 AND NOT unpinned),
-  flags AS (SELECT repo, commit_sha, bool_or({SUFFIX} IN {sql_list(rules.ALL_SOURCE_EXTENSIONS)}) AS has_sources, bool_or({TEST_PATH}) AS has_tests, bool_or({CI_PATH}) AS has_ci FROM files GROUP BY ALL)"""
+  flags AS (SELECT repo, commit_sha, bool_or({SUFFIX} IN {sql_list(rules.ALL_SOURCE_EXTENSIONS)}) AS has_sources, bool_or({TEST_PATH}) AS has_tests, bool_or({CI_PATH}) AS has_ci FROM paths GROUP BY ALL)"""
 SOFT = "(ecosystem = 'python' AND EXISTS (SELECT 1 FROM pinned_repos p WHERE (p.repo, p.commit_sha) = (unlocked.repo, unlocked.commit_sha)))"
 QUALITY_RAW = " UNION ALL ".join(
     [
@@ -289,11 +296,11 @@ def function_complexity(spark, sf_dir):
 
 
 @query(
-    f"""WITH {SCORES} SELECT repo, commit_sha, 10 AS threshold, count(*) FILTER (WHERE py) AS analyzed_functions,
+    f"""WITH {SCORES} SELECT repo, commit_sha, 10 AS threshold, count(score) FILTER (WHERE py) AS analyzed_functions,
       CASE WHEN bool_or(py) THEN count(*) FILTER (WHERE score > 10) END AS over_threshold, CASE WHEN bool_or(py) THEN max(score) END AS max,
       CASE WHEN bool_or(py) THEN round_even(avg(score), 1) END AS average, CASE WHEN bool_or(py) THEN 'python' ELSE '' END AS analyzed_languages,
       CASE WHEN bool_or(NOT py) THEN 'node' ELSE '' END AS unanalyzed_languages
-    FROM (SELECT *, path LIKE '%.py' AS py FROM scores) GROUP BY ALL"""
+    FROM (SELECT b.repo, b.commit_sha, s.score, b.path LIKE '%.py' AS py FROM bodies b LEFT JOIN scores s ON s.ord = b.ord AND s.path = b.path) GROUP BY ALL"""
 )
 def complexity_stats(spark, sf_dir):
     corpus = python_files(spark, sf_dir)
@@ -357,17 +364,17 @@ _SAMPLES = ", ".join(
     f"({i}, {'NULL' if e is None else repr(e)}, '{label}', '{sample}')"
     for i, (e, label, sample) in enumerate(ignore.expected_samples())
 )
-IGNORE_FULL = f"""{IGNORE_CTE}, {ignored_cte('ignored', 'files')},
+IGNORE_FULL = f"""{IGNORE_CTE}, {ignored_cte('ignored', 'paths')},
   states AS (SELECT f.repo, f.commit_sha, f.ord, f.path, {SENSITIVE.replace('path', 'f.path')} AS sensitive, i.path IS NOT NULL AS ignored
-    FROM files f SEMI JOIN specs USING (repo, commit_sha) LEFT JOIN ignored i ON (f.repo, f.commit_sha, f.path) = (i.repo, i.commit_sha, i.path)),
+    FROM paths f SEMI JOIN specs USING (repo, commit_sha) LEFT JOIN ignored i ON (f.repo, f.commit_sha, f.path) = (i.repo, i.commit_sha, i.path)),
   samples(position, ecosystem, label, sample) AS (VALUES {_SAMPLES}),
-  detected AS (SELECT DISTINCT repo, commit_sha, eco AS ecosystem FROM (SELECT repo, commit_sha, unnest([{_owner(NAME, rules.MANIFESTS)}, {_owner(SUFFIX, rules.SOURCE_EXTENSIONS)}]) AS eco FROM files) WHERE eco IS NOT NULL),
+  detected AS (SELECT DISTINCT repo, commit_sha, eco AS ecosystem FROM (SELECT repo, commit_sha, unnest([{_owner(NAME, rules.MANIFESTS)}, {_owner(SUFFIX, rules.SOURCE_EXTENSIONS)}]) AS eco FROM paths) WHERE eco IS NOT NULL),
   laid AS (SELECT s.repo, s.commit_sha, p.position, p.label, concat(s.base, p.sample) AS path FROM specs s, samples p
     WHERE p.ecosystem IS NULL OR EXISTS (SELECT 1 FROM detected d WHERE (d.repo, d.commit_sha, d.ecosystem) = (s.repo, s.commit_sha, p.ecosystem))),
   {ignored_cte('sample_ignored', 'laid')},
   missing AS (SELECT l.repo, l.commit_sha, l.position, l.label FROM laid l LEFT JOIN sample_ignored i ON (l.repo, l.commit_sha, l.path) = (i.repo, i.commit_sha, i.path)
     GROUP BY ALL HAVING NOT bool_or(i.path IS NOT NULL)),
-  scopes AS (SELECT DISTINCT repo, commit_sha FROM files)"""
+  scopes AS (SELECT DISTINCT repo, commit_sha FROM paths)"""
 _TRACKED_RULE = f"CASE WHEN sensitive IS NOT NULL AND NOT ignored THEN 'gitignore.unprotected' ELSE 'gitignore.tracked_ignored' END"
 IGNORE_RAW = " UNION ALL ".join(
     [
@@ -401,14 +408,15 @@ def ignore_axis(spark, sf_dir):
     return shown(scan.ignore_axis(files(spark, sf_dir), tracked(spark, sf_dir)), 4)
 
 
-@query(
-    f"""WITH {IGNORE_FULL}, raw AS ({IGNORE_RAW}), rule_lines AS (SELECT repo, commit_sha, count(*) AS n FROM lines WHERE {NAME} = '.gitignore'
-      AND trim(line) <> '' AND NOT starts_with(trim(line), '#') GROUP BY ALL)
-    SELECT s.repo, s.commit_sha, (SELECT count(*) FROM specs x WHERE (x.repo, x.commit_sha) = (s.repo, s.commit_sha)) AS gitignore_files,
+IGNORE_METRICS = f"""rule_lines AS (SELECT repo, commit_sha, count(*) AS n FROM lines WHERE {NAME} = '.gitignore'
+      AND trim(line) <> '' AND NOT starts_with(trim(line), '#') GROUP BY ALL),
+    ignore_metrics AS (SELECT s.repo, s.commit_sha, (SELECT count(*) FROM specs x WHERE (x.repo, x.commit_sha) = (s.repo, s.commit_sha)) AS gitignore_files,
       coalesce((SELECT n FROM rule_lines x WHERE (x.repo, x.commit_sha) = (s.repo, s.commit_sha)), 0) AS rules,
       (SELECT count(*) FROM raw x WHERE (x.repo, x.commit_sha) = (s.repo, s.commit_sha) AND rule = 'gitignore.tracked_ignored') AS tracked_but_ignored,
-      (SELECT count(*) FROM raw x WHERE (x.repo, x.commit_sha) = (s.repo, s.commit_sha) AND rule = 'gitignore.unprotected') AS unprotected FROM scopes s"""
-)
+      (SELECT count(*) FROM raw x WHERE (x.repo, x.commit_sha) = (s.repo, s.commit_sha) AND rule = 'gitignore.unprotected') AS unprotected FROM scopes s)"""
+
+
+@query(f"WITH {IGNORE_FULL}, raw AS ({IGNORE_RAW}), {IGNORE_METRICS} SELECT * FROM ignore_metrics")
 def ignore_metrics(spark, sf_dir):
     corpus, rows = files(spark, sf_dir), tracked(spark, sf_dir)
     specs = ignore.ignore_specs(corpus)
@@ -419,29 +427,77 @@ def ignore_metrics(spark, sf_dir):
 # --- all axes -----------------------------------------------------------------------------
 
 SCAN_LIMIT = 6
+# Besides the files made of texts every document is a Python file that can be parsed, or nearly.
+MADE = 1_000_000_000
+_SQL_PYTHON = f"""concat('# ', regexp_replace(regexp_replace(text, '[^ -~' || chr(10) || ']', '?', 'g'), chr(10), chr(10) || '# ', 'g'), chr(10), 'def f', doc_id, '(x, y):', chr(10),
+    repeat(concat('    if x:', chr(10), '        x = y', chr(10)), CAST({IFS} AS INT)), replace({_bodies(lambda body: "'" + body.replace(chr(10), '~') + "'")}, '~', chr(10)), '    return x', chr(10))"""
+MIXED = f"""base_files AS (SELECT {BASE} FROM documents), files AS (SELECT repo, commit_sha, ord, path, content FROM base_files
+    UNION ALL SELECT source, lang, doc_id + {MADE}, concat('made/f', doc_id, '.py'), {_SQL_PYTHON} FROM documents), {PATHS}"""
+PREPARED_CAP = 300
+PREPARED = f"""base_files AS (SELECT {BASE} FROM documents), {TREE.replace('FROM files', 'FROM base_files')}, {KEPT.replace(f'place <= {CAP}', f'place <= {PREPARED_CAP}')},
+  files AS (SELECT repo, commit_sha, ord, path, CASE WHEN outcome = 'empty_files' THEN '' ELSE content END AS content FROM kept WHERE outcome IS NULL OR outcome = 'empty_files'),
+  paths AS (SELECT repo, commit_sha, ord, path FROM tracked)"""
+
+
+def mixed_files(spark, sf_dir):
+    made = python_files(spark, sf_dir)
+    number = F.col("ord").cast("string")
+    made = made.select(*K, (F.col("ord") + MADE).alias("ord"), F.concat(F.lit("made/f"), number, F.lit(".py")).alias("path"), "content")
+    return files(spark, sf_dir).select(*K, "ord", "path", "content").unionByName(made)
+
+
 _ALL = f"""{DOCS_CTE}, {SECRETS}, {SENSITIVE_FILES},
   {QUALITY_CTE.split(LINES + ',')[1]},
   {IGNORE_FULL.split(LINES + ',')[1].replace('detected AS', 'detected_again AS')}"""
-SCAN_CTE = f"""{_ALL}, {TREE}, {KEPT}, {COVERAGE}, raw AS ({SECRETS_RAW} UNION ALL {IGNORE_RAW} UNION ALL {QUALITY_RAW} UNION ALL {DOCS_RAW}), {MERGED},
-  gaps AS (SELECT repo, commit_sha, NOT (tree_truncated OR capped_over_limit > 0 OR failures > 0) AS complete FROM coverage),
-  totals AS (SELECT repo, commit_sha, axis, count(*) AS n FROM merged GROUP BY ALL),
+_STATUSES = f"""totals AS (SELECT repo, commit_sha, axis, count(*) AS n FROM merged GROUP BY ALL),
   statuses AS (SELECT s.repo, s.commit_sha, a.axis, least(coalesce(t.n, 0), {SCAN_LIMIT}) AS kept, greatest(coalesce(t.n, 0) - {SCAN_LIMIT}, 0) AS dropped, coalesce(g.complete, TRUE) AS complete,
       CASE WHEN a.axis = 'readme_check' AND d.repo IS NULL THEN 'unavailable' WHEN t.n > 0 THEN 'issues_found' WHEN coalesce(g.complete, TRUE) THEN 'clean' ELSE 'partial' END AS status
     FROM scopes s CROSS JOIN (SELECT unnest({rules.AXES}) AS axis) a LEFT JOIN totals t ON (t.repo, t.commit_sha, t.axis) = (s.repo, s.commit_sha, a.axis)
     LEFT JOIN gaps g ON (g.repo, g.commit_sha) = (s.repo, s.commit_sha) LEFT JOIN documented d ON (d.repo, d.commit_sha) = (s.repo, s.commit_sha))"""
+_GAPS = "gaps AS (SELECT repo, commit_sha, NOT (tree_truncated OR capped_over_limit > 0 OR failures > 0) AS complete FROM coverage)"
+_SCORED = SCORES.replace("concat('src/f', doc_id, CASE WHEN lang = 'es' THEN '.js' ELSE '.py' END)", "concat('made/f', doc_id, '.py')").replace("doc_id AS ord", f"doc_id + {MADE} AS ord")
+_LINTED = f"""{lint_sql(rules.MAX_ISSUES_PER_LINTER)},
+  numbered AS (SELECT *, row_number() OVER (PARTITION BY repo, commit_sha ORDER BY tool DESC, ord) - 1 AS idx FROM capped WHERE rule <> 'C901')"""
+SCAN_CTE = f"""{_ALL.replace(FILES, MIXED)}, {_SCORED}, {_LINTED}, {TREE.replace('FROM files', 'FROM base_files')}, {KEPT}, {COVERAGE},
+  raw AS ({SECRETS_RAW} UNION ALL {IGNORE_RAW} UNION ALL {QUALITY_RAW} UNION ALL {COMPLEX_RAW} UNION ALL {LINT_RAW} UNION ALL {DOCS_RAW}), {MERGED}, {_GAPS}, {_STATUSES}"""
+PREPARED_CTE = f"""{_ALL.replace(FILES, PREPARED)}, {COVERAGE.replace(f'eligible - {CAP}', f'eligible - {PREPARED_CAP}')},
+  raw AS ({SECRETS_RAW} UNION ALL {IGNORE_RAW} UNION ALL {QUALITY_RAW} UNION ALL {DOCS_RAW}), {MERGED}, {_GAPS}, {_STATUSES}"""
 
 
 def _scan(spark, sf_dir, with_catalog=False):
-    corpus = materialize(files(spark, sf_dir), "corpus")
+    corpus = materialize(mixed_files(spark, sf_dir), "corpus")
+    paths = corpus.select(*K, "ord", "path")
     return scan.run_scan(
-        corpus, corpus.select(*K, "ord", "path"), coverage_rows=prepared(spark, sf_dir).coverage,
+        corpus, paths, coverage_rows=prepared(spark, sf_dir).coverage, linter_reports=linter_reports(paths),
         secret_rules=RULES, limit=SCAN_LIMIT, catalog=catalog(spark) if with_catalog else None, lang="en",
     )
 
 
+def _prepared_scan(spark, sf_dir):
+    """From a listing and a stored payload table."""
+    stored = P.open_payloads(spark, new_table_path(spark, "payloads"), buckets=16)
+    rows = payloads(spark, sf_dir)
+    P.store_payloads(stored, rows.filter("http_status = 404"))
+    P.store_payloads(stored, rows)
+    return scan.scan_repositories(
+        tree(spark, sf_dir), stored, PREPARED_CAP, MAX_SIZE, GUARDS, secret_rules=RULES, limit=SCAN_LIMIT,
+    )
+
+
+@query(f"WITH {PREPARED_CTE} SELECT repo, commit_sha, axis, status, kept, dropped, complete FROM statuses")
+def repository_scans(spark, sf_dir):
+    """Listing and stored payloads to statuses: selected, capped, decoded once, audited."""
+    return _prepared_scan(spark, sf_dir).statuses.drop("message")
+
+
+@query(f"WITH {PREPARED_CTE} SELECT {SHOWN} FROM ranked WHERE rank <= {SCAN_LIMIT}")
+def repository_findings(spark, sf_dir):
+    return _prepared_scan(spark, sf_dir).findings.select(*[c.strip() for c in SHOWN.split(",")])
+
+
 @query(f"WITH {SCAN_CTE} SELECT repo, commit_sha, axis, status, kept, dropped, complete FROM statuses")
 def scan_statuses(spark, sf_dir):
-    return _scan(spark, sf_dir).statuses
+    return _scan(spark, sf_dir).statuses.drop("message")
 
 
 @query(f"WITH {SCAN_CTE} SELECT {SHOWN} FROM ranked WHERE rank <= {SCAN_LIMIT}")

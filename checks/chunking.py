@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from assayer.operators import chunks, retrieval
+from assayer.operators import chunks, near, retrieval
 from assayer.plans import deepen
 from assayer.session import new_table_path
 from assayer.sources import tables
@@ -81,6 +81,31 @@ def duplicate_lines(spark, sf_dir):
     return chunks.duplicate_blocks(lines, ["repo"]).select("block", "files", "copies")
 
 
+# Every document is a file, and so is a revision of it: whole text and some words more.
+REVISED = "concat(text, ' ', repeat(concat('rev', CAST(doc_id AS STRING), ' '), CAST(doc_id % 40 AS INT)))"
+_WORDS = f"string_split({sql_strip(f'regexp_replace(content, {chr(39)}{SPACE}+{chr(39)}, {chr(39)} {chr(39)}, {chr(39)}g{chr(39)})')}, ' ')"
+
+
+@query(
+    f"""WITH RECURSIVE b AS (SELECT concat('a/', doc_id) AS path, text AS content FROM documents UNION ALL SELECT concat('b/', doc_id), {REVISED} FROM documents),
+    w AS (SELECT path, {_WORDS} AS w FROM b), s AS (SELECT DISTINCT path, array_to_string(w[i : i + 4], ' ') AS g FROM (SELECT path, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM w WHERE w[1] <> '')),
+    n AS (SELECT path, count(*) AS n FROM s GROUP BY path),
+    l AS (SELECT a, b FROM (SELECT x.path AS a, y.path AS b, count(*) AS c FROM s x JOIN s y USING (g) WHERE x.path <> y.path GROUP BY ALL) JOIN n p ON p.path = a JOIN n q ON q.path = b WHERE 100 * c >= 80 * (p.n + q.n - c)),
+    r AS (SELECT path AS a, path AS root FROM n UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.a)
+    SELECT a AS path, min(root) AS first_path FROM r GROUP BY a HAVING count(*) > 1"""
+)
+def near_copies(spark, sf_dir):
+    """Blocks that share four fifths of their five-word shingles, all documents and their revisions."""
+    docs = table(spark, sf_dir, "documents")
+    both = docs.select(
+        F.explode(F.array(
+            F.struct(F.concat(F.lit("a/"), "doc_id").alias("path"), F.col("text").alias("content")),
+            F.struct(F.concat(F.lit("b/"), "doc_id").alias("path"), F.expr(REVISED).alias("content")),
+        )).alias("f")
+    ).select(F.lit("all").alias("repo"), "f.path", F.lit(0).alias("chunk_index"), "f.content")
+    return near.near_duplicates(both, ["repo"]).members.select("path", "first_path")
+
+
 ROUTE = chunks.ROUTE.replace("'", "''")
 
 

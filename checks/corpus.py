@@ -141,11 +141,10 @@ def tracked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _derive(spark, sf_dir, ["repo", "commit_sha", "ord", "path", "size"])
 
 
-FILES = (
-    "files AS (SELECT "
-    + ", ".join(f"{sql} AS {name}" for name, sql in columns("duckdb").items())
-    + " FROM documents)"
-)
+BASE = ", ".join(f"{sql} AS {name}" for name, sql in columns("duckdb").items())
+# Contents are read from ``files``; absence is judged over ``paths``, all that is tracked.
+PATHS = "paths AS (SELECT repo, commit_sha, ord, path FROM files)"
+FILES = f"files AS (SELECT {BASE} FROM documents), {PATHS}"
 
 # The line rules of the engine, in the other dialect.
 LINES = r"""lines AS (

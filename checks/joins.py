@@ -11,68 +11,29 @@ from assayer.session import new_table_path
 from assayer.sources import tables
 from assayer.sources.tree import repo_catalog as catalog_of
 from assayer.streaming.incremental import scan_batch
-from checks.axes import K, MERGED, raw
-from checks.corpus import FILES, files, sql_strip, tracked
+from checks.axes import LINT_RAW, MERGED, K, raw
+from checks.corpus import FILES, files, tracked
+from checks.linters import lint_sql, linter_reports
 from checks.registry import query, table
 
 # --- linter reports -----------------------------------------------------------------------
 
-CODES = ["F401", "C901", "XYZ9", "E722", "F841"]
-JS_RULES = ["eqeqeq", "no-var", "unknown-rule", "no-empty", "no-unreachable"]
-
-
-def linter_reports(spark, sf_dir):
-    """One report per file, in the shape of either tool."""
-    n = F.col("ord")
-    code = F.element_at(F.array(*[F.lit(c) for c in CODES]), (n % 5).cast("int") + 1)
-    js = F.element_at(F.array(*[F.lit(c) for c in JS_RULES]), (n % 5).cast("int") + 1)
-    line = (n % 6 + 1).cast("int")
-    message = F.concat(F.lit("m"), n.cast("string"))
-    ruff = F.array(
-        F.struct(
-            code.alias("code"), F.col("path").alias("filename"), F.struct(line.alias("row")).alias("location"), message.alias("message")
-        )
-    )
-    eslint = F.array(
-        F.struct(
-            F.col("path").alias("filePath"),
-            F.array(F.struct(js.alias("ruleId"), line.alias("line"), message.alias("message"))).alias("messages"),
-        )
-    )
-    is_ruff = F.floor(n / 20) % 2 == 0
-    return tracked(spark, sf_dir).select(
-        *K,
-        n.alias("report_ord"),
-        F.when(is_ruff, F.lit("ruff")).otherwise(F.lit("eslint")).alias("tool"),
-        F.when(is_ruff, F.to_json(ruff)).otherwise(F.to_json(eslint)).alias("report"),
-    )
-
-
-LINT = f"""issues AS (SELECT *, CASE rule {' '.join(f"WHEN '{r}' THEN '{s}'" for r, s in {**rules.RUFF_RULES, **rules.ESLINT_RULES}.items())} ELSE 'low' END AS severity FROM (
-    SELECT repo, commit_sha, ord, path, content, CAST(ord % 6 + 1 AS INTEGER) AS line, concat('m', ord) AS message,
-      CASE WHEN floor(ord / 20) % 2 = 0 THEN 'ruff' ELSE 'eslint' END AS tool,
-      CASE WHEN floor(ord / 20) % 2 = 0 THEN {CODES}[ord % 5 + 1] ELSE {JS_RULES}[ord % 5 + 1] END AS rule FROM files) WHERE rule <> 'unknown-rule'),
-  capped AS (SELECT *, coalesce({sql_strip("string_split_regex(content, '\\r\\n|\\r|\\n')[line]")}, '') AS code_hint FROM
-    (SELECT *, row_number() OVER (PARTITION BY repo, commit_sha, tool ORDER BY ord) AS rn FROM issues) WHERE rn <= 4)"""
+LINT = lint_sql(4)
 
 
 @query(f"WITH {FILES}, {LINT} SELECT repo, commit_sha, tool, rule, severity, path AS file_path, line, message, code_hint FROM capped")
 def linter_issues(spark, sf_dir):
-    issues = quality.ingest_linter_reports(linter_reports(spark, sf_dir), 4)
+    issues = quality.ingest_linter_reports(linter_reports(tracked(spark, sf_dir)), 4)
     hinted = quality.attach_code_hint(issues, files(spark, sf_dir))
     return hinted.select(*K, "tool", "rule", "severity", "file_path", "line", "message", "code_hint")
 
 
-LINT_RAW = raw("quality_check", "rule", "severity", "numbered", path="path", line="line", evidence="code_hint",
-    identity="CASE WHEN code_hint <> '' THEN code_hint ELSE concat(rule, '#', idx) END", lineo="0", item="idx")
-
-
 @query(
     f"""WITH {FILES}, {LINT}, numbered AS (SELECT *, row_number() OVER (PARTITION BY repo, commit_sha ORDER BY tool DESC, ord) - 1 AS idx FROM capped WHERE rule <> 'C901'),
     raw AS ({LINT_RAW}), {MERGED} SELECT repo, commit_sha, id, severity, line, rank FROM ranked"""
 )
 def linter_findings(spark, sf_dir):
-    issues = quality.ingest_linter_reports(linter_reports(spark, sf_dir), 4)
+    issues = quality.ingest_linter_reports(linter_reports(tracked(spark, sf_dir)), 4)
     found = quality.linter_findings(quality.attach_code_hint(issues, files(spark, sf_dir)))
     return findings.rank_findings(findings.merge_findings(found)).select(*K, "id", "severity", "line", "rank")
 

@@ -14,9 +14,12 @@ SCOPE = ["repo", "commit_sha", "axis"]
 
 
 def labelled(spark, sf_dir):
+    """All documents; one without a label counts as good and not toxic."""
     docs = table(spark, sf_dir, "documents")
-    return docs.join(table(spark, sf_dir, "labels"), "doc_id").withColumns(
+    return docs.join(table(spark, sf_dir, "labels"), "doc_id", "left").withColumns(
         {
+            "quality": F.coalesce("quality", F.lit(1)),
+            "toxic": F.coalesce("toxic", F.lit(0)),
             "repo": F.col("source"),
             "commit_sha": F.col("doc_id").cast("string"),
             "axis": F.lit("secrets_detection"),
@@ -25,7 +28,7 @@ def labelled(spark, sf_dir):
 
 
 def issues(spark, sf_dir):
-    """Three issues per labelled document, the third without an id."""
+    """Three issues per document, the third without an id."""
     n = F.col("doc_id").cast("string")
     return labelled(spark, sf_dir).select(
         *SCOPE, F.posexplode(F.array(F.lit("a"), F.lit("b"), F.lit(""))).alias("place", "tag"), "doc_id", "text", "toxic"
@@ -76,7 +79,7 @@ def answers(spark, sf_dir):
 
 
 GOOD = "toxic = 0 AND doc_id % 7 <> 0 AND doc_id % 11 <> 0 AND doc_id % 17 <> 0 AND doc_id % 19 <> 0"
-LABELLED = f"""labelled AS (SELECT d.source AS repo, CAST(d.doc_id AS VARCHAR) AS commit_sha, 'secrets_detection' AS axis, d.doc_id, d.text, l.quality, l.toxic FROM documents d JOIN labels l USING (doc_id)),
+LABELLED = f"""labelled AS (SELECT d.source AS repo, CAST(d.doc_id AS VARCHAR) AS commit_sha, 'secrets_detection' AS axis, d.doc_id, d.text, coalesce(l.quality, 1) AS quality, coalesce(l.toxic, 0) AS toxic FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id),
   good AS (SELECT * FROM labelled WHERE {GOOD}),
   decided AS (SELECT repo, commit_sha, axis, concat('f', doc_id, '-a') AS finding_id, CASE WHEN quality = 0 THEN 'false_positive' ELSE 'confirmed' END AS verdict, substr(text, 1, 400) AS reason FROM good
     UNION ALL SELECT repo, commit_sha, axis, concat('f', doc_id, '-b'), 'uncertain', substr(text, 1, 400) FROM good),
@@ -90,7 +93,7 @@ def validated_verdicts(spark, sf_dir):
     return verdicts.validate_verdicts(answers(spark, sf_dir), allowed)
 
 
-@query(f"WITH {LABELLED} SELECT repo, commit_sha, axis, CASE WHEN ({GOOD}) OR (doc_id % 17 = 0 AND doc_id % 11 <> 0) THEN 'accepted' ELSE 'error' END AS status FROM labelled")
+@query(f"WITH {LABELLED} SELECT repo, commit_sha, axis, 0 AS call, CASE WHEN ({GOOD}) OR (doc_id % 17 = 0 AND doc_id % 11 <> 0) THEN 'accepted' ELSE 'error' END AS status FROM labelled")
 def answer_statuses(spark, sf_dir):
     return verdicts.answer_statuses(answers(spark, sf_dir), verdicts.submitted(issues(spark, sf_dir)))
 
@@ -252,13 +255,83 @@ def merged_statuses(spark, sf_dir):
     return statuses.select(*SCOPE, "status", "n_issues")
 
 
-@query(f"WITH {LABELLED}, {APPLIED} SELECT repo, commit_sha, axis, id, verdict, severity FROM applied")
-def deepened_issues(spark, sf_dir):
+def answers_by_call(spark, sf_dir):
+    """Two calls an axis, one issue in each; what is wrong with one leaves the other alone."""
+    n, name = F.col("doc_id"), F.col("doc_id").cast("string")
+
+    def answer(tag, verdict):
+        entry = F.struct(
+            F.concat(F.lit("f"), name, F.lit("-"), tag).alias("finding_id"), verdict.alias("verdict"), F.col("text").alias("reason")
+        )
+        return F.to_json(F.struct(F.array(entry).alias("verdicts")))
+
+    decided = F.when(F.col("quality") == 0, F.lit("false_positive")).otherwise(F.lit("confirmed"))
+    first = F.when(n % 17 == 0, F.lit('{"verdicts": []}')).otherwise(
+        answer(F.lit("a"), F.when(F.col("toxic") == 1, F.lit("perhaps")).otherwise(decided))
+    )
+    # the second may only name its own issue
+    second = F.when(n % 11 == 0, F.col("text")).otherwise(
+        answer(F.when(n % 7 == 0, F.lit("a")).otherwise(F.lit("b")), F.lit("uncertain"))
+    )
+    return labelled(spark, sf_dir).select(*SCOPE, F.posexplode(F.array(first, second)).alias("call", "raw"))
+
+
+BY_CALL = """by_call AS (SELECT repo, commit_sha, axis, concat('f', doc_id, '-a') AS finding_id, CASE WHEN quality = 0 THEN 'false_positive' ELSE 'confirmed' END AS verdict, substr(text, 1, 400) AS reason
+    FROM labelled WHERE toxic = 0 AND doc_id % 17 <> 0
+  UNION ALL SELECT repo, commit_sha, axis, concat('f', doc_id, '-b'), 'uncertain', substr(text, 1, 400) FROM labelled WHERE doc_id % 11 <> 0 AND doc_id % 7 <> 0)"""
+
+
+@query(f"WITH {LABELLED}, {BY_CALL} SELECT * FROM by_call")
+def verdicts_by_call(spark, sf_dir):
+    sent = verdicts.submitted(issues(spark, sf_dir), per_call=1)
+    return verdicts.validate_verdicts(answers_by_call(spark, sf_dir), sent)
+
+
+@query(
+    f"""WITH {LABELLED} SELECT repo, commit_sha, axis, call, CASE WHEN call = 0 AND toxic = 1 AND doc_id % 17 <> 0 OR call = 1 AND (doc_id % 11 = 0 OR doc_id % 7 = 0) THEN 'error' ELSE 'accepted' END AS status
+    FROM labelled, (VALUES (0), (1)) t(call)"""
+)
+def statuses_by_call(spark, sf_dir):
+    sent = verdicts.submitted(issues(spark, sf_dir), per_call=1)
+    return verdicts.answer_statuses(answers_by_call(spark, sf_dir), sent)
+
+
+def discoveries(spark, sf_dir):
+    """What a model finds by itself, one issue per document; some on paths that do not exist."""
+    n = F.col("doc_id").cast("string")
+    return labelled(spark, sf_dir).select(
+        "repo", "commit_sha", F.lit("quality_check").alias("axis"), F.concat(F.lit("own"), n).alias("id"),
+        F.lit("medium").alias("severity"), F.lit("llm").alias("source"),
+        F.when(F.col("doc_id") % 3 == 0, F.lit("nowhere.py")).otherwise(F.concat(F.lit("src/"), n, F.lit(".py"))).alias("file_path"),
+    )
+
+
+def deepened(spark, sf_dir):
     found = issues(spark, sf_dir)
-    statuses = found.select(*SCOPE).distinct().withColumn("status", F.lit("issues_found"))
-    tracked = found.select("repo", "commit_sha", F.col("file_path").alias("path"))
-    done = deepen.ai_merge(found, statuses, answers(spark, sf_dir), found.limit(0), tracked)
-    return done.issues.select(*SCOPE, "id", "verdict", "severity")
+    docs = labelled(spark, sf_dir)
+    statuses = docs.select(*SCOPE, F.lit("issues_found").alias("status")).unionAll(
+        docs.select("repo", "commit_sha", F.lit("quality_check"), F.lit("clean"))
+    )
+    tracked = docs.select("repo", "commit_sha", F.concat(F.lit("src/"), F.col("doc_id").cast("string"), F.lit(".py")).alias("path"))
+    return deepen.ai_merge(found, statuses, answers_by_call(spark, sf_dir), discoveries(spark, sf_dir), tracked, per_call=1)
+
+
+@query(
+    f"""WITH {LABELLED}, {BY_CALL} SELECT i.repo, i.commit_sha, i.axis, i.id, d.verdict, CASE WHEN d.verdict = 'false_positive' THEN 'info' ELSE i.severity END AS severity
+    FROM issues i LEFT JOIN by_call d ON d.commit_sha = i.commit_sha AND d.finding_id = i.id
+    UNION ALL SELECT repo, commit_sha, 'quality_check', concat('own', doc_id), NULL, 'medium' FROM labelled WHERE doc_id % 3 <> 0"""
+)
+def deepened_issues(spark, sf_dir):
+    """Verdicts of two calls an axis and the model's own findings, merged into the scan."""
+    return deepened(spark, sf_dir).issues.select(*SCOPE, "id", "verdict", "severity")
+
+
+@query(
+    f"""WITH {LABELLED} SELECT repo, commit_sha, axis, 'issues_found' AS status, 3 AS n_issues FROM labelled
+    UNION ALL SELECT repo, commit_sha, 'quality_check', CASE WHEN doc_id % 3 <> 0 THEN 'issues_found' ELSE 'clean' END, CASE WHEN doc_id % 3 <> 0 THEN 1 ELSE 0 END FROM labelled"""
+)
+def deepened_statuses(spark, sf_dir):
+    return deepened(spark, sf_dir).statuses.select(*SCOPE, "status", "n_issues")
 
 
 @query("SELECT conv_id, bool_and(turn < 1 OR (role = 'assistant' AND turn % 2 = 1)) AS all_failed FROM conversations GROUP BY conv_id")
