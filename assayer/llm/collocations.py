@@ -2,14 +2,14 @@
 ROLLUP sums their shorter prefixes.
 
 Every word starts one window of up to ``LONGEST`` words, told by lead columns ``w1 … w5``.  A window is
-padded from the end of its piece on, and from the first word or neighbouring pair on that occurs fewer
-than ``least`` times: no phrase that is wanted, and no part of one, reaches over such a place, so every
-count of ``least`` or more is exact.  Windows are folded in their task before they move, and
+padded from the end of its piece on, and from the first word, pair or triple on that occurs fewer than
+``least`` times: no phrase that is wanted, and no part of one, reaches over such a place, so every count
+of ``least`` or more is exact.  Windows are folded in their task before they move, and
 ``ROLLUP(w1, …, w5)`` makes the counts of all their prefixes, single words included.
 
 Words are named by 64-bit hashes that include the language, so no language appears in a key; texts of
-words come back from the table of words at the end.  Which words and pairs are frequent is told to the
-tasks by bitmaps of fixed size; what a bitmap lets through in error has too low a count and goes later.
+words come back from the table of words at the end.  Which words, pairs and triples are frequent is told to
+the tasks by bitmaps of fixed size; what a bitmap lets through in error has too low a count and goes later.
 
 Score of a phrase that occurs ``a`` times: of all cuts into ``l`` and ``r`` occurrences of its parts the
 least ``floor(1000 * a * n / (l * r))``, in decimals of 38 digits; ``n`` is the number of words in its
@@ -24,7 +24,7 @@ empty table gives no rows; extra columns are ignored, ids are not looked at.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +48,7 @@ LEAST = 100
 TOP = 2000
 CHUNK = 1 << 21  # words folded together
 NO_WORD = 0
+PRUNED = 2  # orders above one word that windows are pruned by: pairs, then triples
 
 _CUTS = np.zeros(256, bool)
 _CUTS[[ord(c) for c in ".,;:!?"]] = True
@@ -97,66 +98,98 @@ def frequent_words(texts: DataFrame) -> DataFrame:
     return found.groupBy("lang", "name", "word").agg(F.sum("n").alias("n"))
 
 
-def _folded(parts: Iterator[np.ndarray], give: Callable[[np.ndarray], pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held, size = [], 0
-    for part in parts:
-        held.append(part)
-        size += part.shape[-1]
-        if size >= CHUNK:
-            yield give(np.concatenate(held, axis=-1))
-            held, size = [], 0
-    if held:
-        yield give(np.concatenate(held, axis=-1))
+def _folded(parts: Iterator[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Columns of ``parts`` (one row a place in them) that differ, with their numbers.
 
+    What a chunk folds to is folded again with the next one while it is small, so a task gives its
+    frequent rows once; what is held is bounded by two chunks.
+    """
 
-def frequent_pairs(texts: DataFrame, common, least: int) -> DataFrame:
-    """Names of neighbouring pairs of frequent words that occur ``least`` times."""
+    def fold(columns: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        name = columns[0]
+        for column in columns[1:]:
+            name = combine(name, column)
+        _, first, place = np.unique(name, return_index=True, return_inverse=True)
+        return columns[:, first], np.bincount(place, times, len(first)).astype(np.int64)
 
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    held, counts, size = [], [], 0
+    for part in parts:
+        held.append(part)
+        counts.append(np.ones(part.shape[1], np.int64))
+        size += part.shape[1]
+        if size < CHUNK:
+            continue
+        columns, n = fold(np.concatenate(held, axis=1), np.concatenate(counts))
+        if len(n) > CHUNK // 2:
+            yield columns, n
+            held, counts, size = [], [], 0
+        else:
+            held, counts, size = [columns], [n], len(n)
+    if size:
+        yield fold(np.concatenate(held, axis=1), np.concatenate(counts))
+
+
+def linked_places(words: Words, names: np.ndarray, common, linked: list) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """For every order up to ``len(linked) + 1`` whether a phrase of frequent parts stands at a word;
+    then where one of the next order may stand, and the names of those."""
+    often = in_bitmap(common.value, signed(names))
+    flags, grams = [often], names
+    same = np.zeros(len(names), bool)
+    same[:-1] = neighbours(words)
+    for k in range(2, len(linked) + 3):
+        at = np.flatnonzero(flags[-1][:-1] & flags[-1][1:] & same[:-1])
+        longer = combine(grams[at], names[at + k - 1])
+        if k == len(linked) + 2:
+            return flags, at, longer
+        hit = in_bitmap(linked[k - 2].value, signed(longer))
+        found = np.zeros(len(names), bool)
+        found[at[hit]] = True
+        grams = grams.copy()
+        grams[at[hit]] = longer[hit]
+        flags.append(found)
+    raise AssertionError
+
+
+def frequent_grams(texts: DataFrame, common, linked: list, least: int) -> DataFrame:
+    """Names of the phrases of ``len(linked) + 2`` words that occur ``least`` times."""
+
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         for batch, words in words_in(batches, "text", _KIND, lower=True):
-            names = named_words(batch, words)
-            often = in_bitmap(common.value, signed(names))
-            at = np.flatnonzero(neighbours(words) & often[1:] & often[:-1]) if len(names) else np.zeros(0, np.int64)
-            yield combine(names[at], names[at + 1])
+            if len(words):
+                yield linked_places(words, named_words(batch, words), common, linked)[2][None, :]
 
-    def give(names: np.ndarray) -> pa.RecordBatch:
-        names, n = np.unique(names, return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(signed(names)), pa.array(n)], names=["name", "n"])
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for columns, n in _folded(grams(batches)):
+            yield pa.RecordBatch.from_arrays([pa.array(signed(columns[0])), pa.array(n)], names=["name", "n"])
 
-    found = texts.mapInArrow(lambda batches: _folded(pairs(batches), give), "name bigint, n bigint")
+    found = texts.mapInArrow(count, "name bigint, n bigint")
     return found.groupBy("name").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select("name")
 
 
-def windows(texts: DataFrame, common, linked) -> DataFrame:
+def windows(texts: DataFrame, common, linked: list) -> DataFrame:
     """``w1 … w5, n``: the longest window from every frequent word on, padded with ``NO_WORD``."""
 
     def leads(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         for batch, words in words_in(batches, "text", _KIND, lower=True):
-            names = named_words(batch, words)
-            if not len(names):
+            if not len(words):
                 continue
-            often = in_bitmap(common.value, signed(names))
-            link = np.zeros(len(names), bool)  # does the window go on behind this word?
-            at = np.flatnonzero(neighbours(words) & often[1:] & often[:-1])
-            link[at] = in_bitmap(linked.value, signed(combine(names[at], names[at + 1])))
-            start = np.flatnonzero(often)
+            names = named_words(batch, words)
+            flags, _, _ = linked_places(words, names, common, linked)
+            start, last = np.flatnonzero(flags[0]), len(names) - 1
             columns, open_ = [names[start]], np.ones(len(start), bool)
-            for k in range(1, LONGEST):
-                open_ = open_ & link[np.minimum(start + k - 1, len(names) - 1)]
-                columns.append(np.where(open_, names[np.minimum(start + k, len(names) - 1)], np.uint64(NO_WORD)))
+            for k in range(2, LONGEST + 1):
+                # the window goes on to its k-th word if the phrase that ends there may be frequent
+                order = min(k, len(flags))
+                open_ = open_ & flags[order - 1][np.minimum(start + k - order, last)]
+                columns.append(np.where(open_, names[np.minimum(start + k - 1, last)], np.uint64(NO_WORD)))
             yield np.stack(columns)
 
-    def give(columns: np.ndarray) -> pa.RecordBatch:
-        name = columns[0]
-        for column in columns[1:]:
-            name = combine(name, column)
-        _, first, n = np.unique(name, return_index=True, return_counts=True)
-        return pa.RecordBatch.from_arrays(
-            [*(pa.array(signed(c[first])) for c in columns), pa.array(n)], names=[*_LEADS, "n"]
-        )
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for columns, n in _folded(leads(batches)):
+            yield pa.RecordBatch.from_arrays([*(pa.array(signed(c)) for c in columns), pa.array(n)], names=[*_LEADS, "n"])
 
     schema = ", ".join(f"{c} bigint" for c in [*_LEADS, "n"])
-    return texts.mapInArrow(lambda batches: _folded(leads(batches), give), schema)
+    return texts.mapInArrow(count, schema)
 
 
 _LEADS = [f"w{k}" for k in range(1, LONGEST + 1)]
@@ -199,7 +232,9 @@ def collocations(
     totals = words.groupBy("lang").agg(F.sum("n").alias("total"))
     often = words.filter(F.col("n") >= least)
     common = context.broadcast(bitmap_of(often.select("name"), "name"))
-    linked = context.broadcast(bitmap_of(frequent_pairs(texts, common, least), "name"))
+    linked = []
+    for _ in range(PRUNED):
+        linked.append(context.broadcast(bitmap_of(frequent_grams(texts, common, linked, least), "name")))
     counts = materialize(phrase_counts(windows(texts, common, linked), least), "phrases")
 
     found = independent(counts).withColumnRenamed("n", "a")
