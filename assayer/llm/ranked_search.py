@@ -2,12 +2,15 @@
 
 Of every text only the terms that some query has are stored, with their frequencies; a bitmap of fixed
 size tells the tasks which these are.  Query terms are taken from the rarest on, in classes of their
-document frequency (each class reaches to four times the frequency of the one before).  A round adds what its terms give to the accumulators of its queries,
-one for each query and document met so far.  Every term has a bound, the most that it gives any document.
-Where the k-th best partial score of a query passes the sum of the bounds of its terms to come, no
-document without an accumulator can be among its k best any more: the query makes no new ones.  Of its
-accumulators those that can still reach the k-th partial score survive, and one exact update with all
-remaining terms ends the search.  The long lists of common words are thus only read for survivors.
+document frequency (each class reaches to four times the frequency of the one before).  A round adds what
+its terms give to the accumulators of its queries, one for each query and document met so far.  Every
+term has a bound, the most that it gives any document.
+
+After a round the best accumulators of a query are completed with all its terms; the k-th of these scores
+is one that its k best documents reach.  Where it passes the sum of the bounds of the terms to come, no
+document without an accumulator can be among them: the query makes no new ones.  An accumulator whose
+partial score and that sum together stay below it goes.  What is left of a query is updated exactly with
+its remaining terms, all at once; the long lists of common words are thus only read for survivors.
 
 Scores are whole numbers: a term of weight ``w = floor(1000 * ln((2N + 2) / (2 df + 1)))`` that occurs
 ``tf`` times in a text of ``n`` terms gives ``w * (1000000000 tf div (1000 tf + 8 m))``, where ``m`` is
@@ -36,7 +39,7 @@ from assayer.llm.common import (
     signed,
     words_in,
 )
-from assayer.session import materialize
+from assayer.session import discard, materialize
 
 TOP = 10
 LENGTH_WEIGHT = 90  # b, of 100
@@ -102,39 +105,55 @@ def weighted_terms(asked: DataFrame, found: DataFrame, n_texts: int) -> DataFram
     return asked.join(weighed, "term").select("q", "term", "w", "level", "bound")
 
 
-def closing(summed: DataFrame, weighted: DataFrame, level: int, top: int) -> DataFrame:
-    """``q, kth, rest`` of the queries that make no new accumulators after this level.
+def completed(partial: DataFrame, stored: DataFrame, weighted: DataFrame, n_texts: int, n_terms: int) -> DataFrame:
+    """``q, row, score``: partial scores (of the terms up to ``level``) and all the terms to come."""
+    later = weighted.select("q", "term", "w", F.col("level").alias("late"))
+    met = postings(stored.join(partial.select("q", "row", "level"), "row"), n_texts, n_terms, "q", "level")
+    more = met.join(later, ["q", "term"]).filter(F.col("late") > F.col("level"))
+    more = more.select("q", "row", (F.col("w") * F.col("given")).alias("score"))
+    both = partial.select("q", "row", "score").unionAll(more)
+    return both.groupBy("q", "row").agg(F.sum("score").alias("score"))
+
 
-    Where fewer than ``top`` documents were met a query goes on to its last term.
-    """
-    best = Window.partitionBy("q").orderBy(F.desc("score"))
-    kth = summed.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= top)
-    kth = kth.groupBy("q").agg(F.count("*").alias("met"), F.min("score").alias("least"))
-    to_come = F.when(F.col("level") > level, F.col("bound")).otherwise(0)
-    rest = weighted.groupBy("q").agg(F.sum(to_come).alias("rest"))
-    kth = kth.join(rest, "q").withColumn("kth", F.when(F.col("met") >= top, F.col("least")).otherwise(0))
-    return kth.filter((F.col("rest") == 0) | (F.col("kth") > F.col("rest"))).select("q", "kth", "rest")
+def _best(scored: DataFrame, top: int) -> DataFrame:
+    order = Window.partitionBy("q").orderBy(F.desc("score"))
+    return scored.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= top)
 
 
-def survivors(found: DataFrame, weighted: DataFrame, top: int) -> DataFrame | None:
+def survivors(stored: DataFrame, weighted: DataFrame, n_texts: int, n_terms: int, top: int) -> DataFrame | None:
     """``q, row, score, level``: the accumulators that can be among the best, with the sums of their
     query's terms up to ``level``; None where no text has a term of a query."""
-    open_ = weighted.select("q").distinct()
-    accumulators, closed = None, None
+    found = postings(stored, n_texts, n_terms)
+    # open queries with the score that their best documents reach at least, once that many were met
+    open_ = weighted.select("q").distinct().withColumn("reached", F.lit(0).cast("bigint"))
+    accumulators, closed, last = None, None, None
     for level in sorted(r["level"] for r in weighted.select("level").distinct().collect()):  # 32 at most
-        listed = weighted.filter(F.col("level") == level).join(open_, "q", "left_semi")
+        listed = weighted.filter(F.col("level") == level).join(open_.select("q"), "q", "left_semi")
         added = found.join(listed, "term").select("q", "row", (F.col("w") * F.col("given")).alias("score"))
         if accumulators is not None:
             added = added.unionAll(accumulators)
-        summed = materialize(added.groupBy("q", "row").agg(F.sum("score").alias("score")), f"accumulators-{level}")
-        ended = materialize(closing(summed, weighted, level, top), f"ended-{level}")
-        left = summed.join(ended, "q").filter(F.col("score") + F.col("rest") >= F.col("kth"))
-        left = materialize(left.select("q", "row", "score", F.lit(level).alias("level")), f"survivors-{level}")
-        closed = left if closed is None else closed.unionAll(left)
-        open_ = materialize(open_.join(ended, "q", "left_anti"), f"open-{level}")
+        to_come = F.when(F.col("level") > level, F.col("bound")).otherwise(0)
+        bounds = weighted.join(open_, "q").groupBy("q", "reached").agg(F.sum(to_come).alias("rest"))
+        summed = added.groupBy("q", "row").agg(F.sum("score").alias("score"))
+        summed = summed.join(bounds, "q").filter(F.col("score") + F.col("rest") >= F.col("reached"))
+        summed = materialize(summed.select("q", "row", "score"), f"accumulators-{level}")
+        # where fewer documents than wanted were met nothing is known to be reached
+        best = _best(summed, top).select("q", "row", "score", F.lit(level).alias("level"))
+        full = _best(completed(best, stored, weighted, n_texts, n_terms), top).groupBy("q").agg(
+            F.count("*").alias("met"), F.min("score").alias("least")
+        )
+        known = bounds.join(full.filter(F.col("met") >= top), "q", "left")
+        known = known.withColumn("reached", F.greatest("reached", F.coalesce("least", F.lit(0).cast("bigint"))))
+        known = materialize(known.select("q", "reached", "rest"), f"reached-{level}")
+        ended = (F.col("rest") == 0) | (F.col("reached") > F.col("rest"))
+        left = summed.join(known, "q").filter(F.col("score") + F.col("rest") >= F.col("reached"))
+        here = materialize(left.filter(ended).select("q", "row", "score", F.lit(level).alias("level")), f"survivors-{level}")
+        closed = here if closed is None else closed.unionAll(here)
+        discard(last)
+        open_, last = known.filter(~ended).select("q", "reached"), summed
         if open_.isEmpty():
             break
-        accumulators = summed.join(open_, "q", "left_semi")
+        accumulators = left.filter(~ended).select("q", "row", "score")
     return closed
 
 
@@ -160,16 +179,10 @@ def search(
     n_texts, n_terms = size["texts"], size["terms"] or 0
     found = postings(stored, n_texts, n_terms)
     weighted = materialize(weighted_terms(terms, found, n_texts), "weighted-terms")
-    left = survivors(found, weighted, top)
+    left = survivors(stored, weighted, n_texts, n_terms, top)
     if left is None:
         left = spark.createDataFrame([], "q bigint, row bigint, score bigint, level int")
-
-    # what is still to come, all at once; a query without remaining terms keeps its sums
-    later = weighted.select("q", "term", "w", F.col("level").alias("late"))
-    met = postings(stored.join(left, "row"), n_texts, n_terms, "q", "level")
-    more = met.join(later, ["q", "term"]).filter(F.col("late") > F.col("level"))
-    more = more.select("q", "row", (F.col("w") * F.col("given")).alias("score"))
-    sums = left.select("q", "row", "score").unionAll(more).groupBy("q", "row").agg(F.sum("score").alias("score"))
+    sums = completed(left, stored, weighted, n_texts, n_terms)
     named = sums.filter("score > 0").join(stored.select("row", "id"), "row")
     order = Window.partitionBy("q").orderBy(F.desc("score"), F.asc_nulls_last("id"), "row")
     ranked = named.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)

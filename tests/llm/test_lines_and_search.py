@@ -165,7 +165,7 @@ def test_queries_stop_making_accumulators(spark, make_docs):
     stored = ranked_search.stored_terms(docs.selectExpr("doc_id as row", "doc_id as id", "cast(text as binary) as text"), asked)
     found = ranked_search.postings(stored, 400, 400 * 7)
     weighted = ranked_search.weighted_terms(terms, found, 400)
-    left = ranked_search.survivors(found, weighted, 3).collect()
+    left = ranked_search.survivors(stored, weighted, 400, 400 * 7, 3).collect()
     assert {r.row for r in left} == {0, 1, 2}
     best = ranked_search.search(docs, bench, 3).collect()
     assert [(r["rank"], r.id, r.score) for r in sorted(best, key=lambda r: r["rank"])] == [r[1:] for r in brute_search(rows, [(1, "rare unusual common")], 3)]
