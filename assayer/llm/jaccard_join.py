@@ -6,6 +6,12 @@ that two sets above the threshold share a shingle of it.  The order needs to be
 frequent shingles come from counts within chunks of the input, and at most ``MAX_FREQUENT`` of them
 are broadcast.  Which shingles are known as frequent changes the work, never the links.
 
+Prefixes are extended: with ``e`` more shingles two linked sets share ``e + 1`` of the extended ones, so
+each group may leave out those ``e`` of its shingles that most other groups have, and still meets every
+group that it is linked with at the rarest shingle that both have.  How many groups have a shingle is
+counted exactly where its entries meet.  Most texts then meet no other at all: they have enough
+shingles of their own, and a passage that many texts share is only asked for by texts made of it.
+
 What is wanted are components, so pairs inside one are not all verified.  First every group is
 compared with one representative per shared shingle and size class, which joins nearly all copies;
 then with others, chosen anew; at last all pairs of groups that still lie in different components
@@ -29,6 +35,7 @@ from pyspark.sql import functions as F
 
 from assayer.llm.common import (
     SPACED,
+    Words,
     binary_text,
     bitmap_of,
     combine,
@@ -36,7 +43,6 @@ from assayer.llm.common import (
     mix,
     most_frequent,
     prepare,
-    repeated,
     signed,
     unsigned,
     words_in,
@@ -48,12 +54,13 @@ SHINGLE = 4
 PERCENT = 85
 MAX_FREQUENT = 1 << 16
 CHUNK = 1 << 21  # shingles counted together
-OFTEN = 8  # times in a chunk
+OFTEN = 2  # times in a chunk
 STARS = 3
 PAIRS_PER_TASK = 512
+MOST = 1 << 16  # groups of one shingle are told apart up to this number
 
 
-def shingle_sets(batch: pa.RecordBatch, words, n: int) -> tuple[np.ndarray, np.ndarray]:
+def shingle_sets(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Row and 63-bit name of all shingles of a batch, in order of rows, repeats included."""
     hashes = words.hashes()
     at, names = words.grams(hashes, n)
@@ -84,7 +91,7 @@ def frequent_shingles(texts: DataFrame, n: int, limit: int) -> tuple[np.ndarray,
             )
 
         for batch, words in words_in(batches, "text", SPACED, lower=True):
-            rows, names = shingle_sets(batch, words, n)
+            rows, names = shingle_sets(words, n)
             bounds = np.searchsorted(rows, np.arange(batch.num_rows + 1))
             for a, b in zip(bounds[:-1], bounds[1:], strict=True):
                 held.append(np.unique(names[a:b]))
@@ -117,22 +124,28 @@ def prefix_size(n: int, percent: int) -> int:
     return n - (percent * n + 99) // 100 + 1
 
 
+def extension(n: int, percent: int) -> int:
+    """How many shingles a prefix is longer than it must be: as many again, where there are."""
+    prefix = prefix_size(n, percent)
+    return min(prefix, n - prefix)
+
+
 DESCRIBED = "id bigint, n bigint, node bigint, cluster bigint, prefix binary"
 
 
 def describe(texts: DataFrame, n: int, percent: int, frequent: tuple) -> DataFrame:
-    """Per row: size of its set, ``node`` (name of the set), ``cluster`` (of prefix and size), prefix."""
+    """Per row: size of its set, ``node`` (name of the set), ``cluster`` (of extended prefix and size), prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, words in words_in(batches, "text", SPACED, lower=True):
-            rows, names = shingle_sets(batch, words, n)
+            rows, names = shingle_sets(words, n)
             names = ordered(names, frequent)
             bounds = np.searchsorted(rows, np.arange(batch.num_rows + 1))
             sizes, nodes, clusters, prefixes = [], [], [], []
             for a, b in zip(bounds[:-1], bounds[1:], strict=True):
                 own = np.unique(names[a:b])
                 size = len(own)
-                head = own[: prefix_size(size, percent)].tobytes() if size else b""
+                head = own[: prefix_size(size, percent) + extension(size, percent)].tobytes() if size else b""
                 node = hashlib.blake2b(own.tobytes(), digest_size=8).digest()
                 tied = hashlib.blake2b(head + size.to_bytes(8, "little"), digest_size=8).digest()
                 sizes.append(size)
@@ -150,8 +163,50 @@ def describe(texts: DataFrame, n: int, percent: int, frequent: tuple) -> DataFra
     return texts.mapInArrow(run, DESCRIBED)
 
 
-def shared_entries(clusters: DataFrame) -> DataFrame:
-    """``token, cluster, n, pos`` of the prefix shingles that at least two clusters have.
+def counted_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by their first column, those whose value repeats, with its number (``MOST`` at most).
+
+    A run is held until it ends or has ``MOST`` rows, so one of any length streams past.
+    """
+
+    def give(part: pa.RecordBatch, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*part.columns, pa.array(n.astype(np.int32))], names=[*part.schema.names, "df"])
+
+    held, size, value = [], 0, None
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        if size > 1:
+            for part in held:
+                yield give(part, np.full(part.num_rows, min(size, MOST)))
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        values = batch.column(0).to_numpy()
+        starts = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
+        lengths = np.diff(np.append(starts, len(values)))
+        i = 0
+        if value is not None and values[0] == value:
+            held.append(batch.slice(0, int(lengths[0])))
+            size += int(lengths[0])
+            if size >= MOST:
+                yield from flush()
+                held = []
+            if len(starts) == 1:
+                continue
+            i = 1
+        yield from flush()
+        if starts[-1] > starts[i]:
+            n = np.repeat(lengths[i:-1], lengths[i:-1])
+            part = batch.slice(int(starts[i]), len(n))
+            yield give(part.filter(pa.array(n > 1)), np.minimum(n[n > 1], MOST))
+        held, size, value = [batch.slice(int(starts[-1]))], int(lengths[-1]), values[-1]
+    yield from flush()
+
+
+def shared_entries(clusters: DataFrame, percent: int) -> DataFrame:
+    """``token, cluster, n, pos``: of each cluster's prefix the shingles that other clusters have too,
+    less those that most have.
 
     Entries meet sorted by shingle and stream past: no list of them is ever held.
     """
@@ -170,13 +225,19 @@ def shared_entries(clusters: DataFrame) -> DataFrame:
                 names=["token", "cluster", "n", "pos"],
             )
 
-    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, twice in repeated(batches):
-            yield batch.filter(pa.array(twice))
-
     schema = "token bigint, cluster bigint, n int, pos int"
     entries = clusters.select("cluster", "n", "prefix").mapInArrow(explode, schema)
-    return entries.repartition("token").sortWithinPartitions("token").mapInArrow(shared, schema)
+    entries = entries.repartition("token").sortWithinPartitions("token").mapInArrow(counted_runs, f"{schema}, df int")
+    # sizes as in prefix_size and extension; the smallest set that can be linked leaves out fewest
+    must = lambda n: F.floor((n * percent + 99) / 100)
+    prefix = lambda n: n - must(n) + 1
+    more = lambda n: F.least(prefix(n), n - prefix(n))
+    n = F.col("n").cast("bigint")
+    own = Window.partitionBy("cluster")
+    alone = prefix(n) + more(n) - F.count("*").over(own)  # shingles that no other cluster has
+    place = F.row_number().over(own.orderBy("df", "token"))
+    kept = entries.withColumns({"place": place, "most": prefix(n) + more(n) - more(must(n)) - alone})
+    return kept.filter(F.col("place") <= F.col("most")).select("token", "cluster", "n", "pos")
 
 
 def _compatible(n1: Column, n2: Column, percent: int) -> Column:
@@ -224,8 +285,7 @@ def star_pairs(entries: DataFrame, percent: int, round_: int) -> DataFrame:
 
 
 def rest_pairs(entries: DataFrame, percent: int) -> DataFrame:
-    """All pairs of clusters, in different components, that size, position and the number of shared
-    prefix shingles allow.
+    """All pairs of clusters, in different components, that size and position allow.
 
     ``entries`` has ``low`` and ``high``, the least and greatest root among the cluster's members.
     """
@@ -239,55 +299,37 @@ def rest_pairs(entries: DataFrame, percent: int) -> DataFrame:
     pairs = mine.join(other, "token").filter(
         (F.col("cluster") < F.col("cluster2")) & split & _compatible(F.col("n"), F.col("n2"), percent) & enough
     )
-    counted = pairs.groupBy("cluster", "n", F.col("cluster2").alias("other"), "n2").agg(F.count("*").alias("times"))
-    kept = counted.filter(_may_reach(F.col("times"), F.col("n"), F.col("n2"), percent))
-    return kept.select("cluster", "other")
-
-
-def _name(node: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """One name for a node and an id."""
-    return signed(combine(unsigned(node), mix(unsigned(ids))))
+    return pairs.select("cluster", F.col("cluster2").alias("other")).distinct()
 
 
 def verified(texts: DataFrame, nodes: DataFrame, pairs: DataFrame, n: int, percent: int, frequent: tuple) -> DataFrame:
     """Those ``a, b`` pairs of nodes whose sets reach the threshold.
 
-    Sets are made again from the texts.  A bitmap of fixed size, over the node and one id that has
-    it, keeps most other texts from leaving their task; an exact join drops what it lets through.
-    Then every ``a`` moves to a part of its ``b``: a node in many pairs is dealt out in parts.
+    Sets are made again from the texts.  A bitmap of fixed size, over one id of every node, passes most
+    other texts by unread; an exact join drops what else it lets through.  Then every ``a`` moves to a
+    part of its ``b``: a node in many pairs is dealt out in parts.
     """
     pairs = materialize(pairs.filter("a <> b").distinct(), "pairs")
     sides = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = materialize(nodes.join(sides, "node", "left_semi").select("node", "least"), "wanted")
+    wanted = nodes.join(sides, "node", "left_semi").select(F.coalesce("least", F.lit(0).cast("bigint")).alias("least"))
+    shared = texts.sparkSession.sparkContext.broadcast(bitmap_of(wanted, "least"))
 
-    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names = _name(batch.column(0).to_numpy(), batch.column(1).to_numpy())
-            yield pa.RecordBatch.from_arrays([pa.array(names)], names=["name"])
-
-    least = F.coalesce("least", F.lit(0).cast("bigint")).alias("least")
-    bitmap = bitmap_of(wanted.select("node", least).mapInArrow(name, "name bigint"), "name")
-    shared = texts.sparkSession.sparkContext.broadcast(bitmap)
+            yield batch.filter(pa.array(in_bitmap(shared.value, batch.column(0).fill_null(0).to_numpy())))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, words in words_in(batches, "text", SPACED, lower=True):
-            rows, names = shingle_sets(batch, words, n)
+        for _, words in words_in(asked(batches), "text", SPACED, lower=True):
+            rows, names = shingle_sets(words, n)
             names = ordered(names, frequent)
-            bounds = np.searchsorted(rows, np.arange(batch.num_rows + 1))
-            ids = batch.column(0).fill_null(0).to_numpy()
+            bounds = np.searchsorted(rows, np.arange(len(words.bounds)))
             found, own = [], []
-            for i, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
+            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
                 if a < b:
-                    whole = np.unique(names[a:b]).tobytes()
-                    digest = hashlib.blake2b(whole, digest_size=8).digest()
-                    found.append((int.from_bytes(digest, "little", signed=True), i))
-                    own.append(whole)
-            if not found:
-                continue
-            node = np.array([x for x, _ in found], np.int64)
-            hit = np.flatnonzero(in_bitmap(shared.value, _name(node, ids[[i for _, i in found]])))
+                    own.append(np.unique(names[a:b]).tobytes())
+                    found.append(int.from_bytes(hashlib.blake2b(own[-1], digest_size=8).digest(), "little", signed=True))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(node[hit]), pa.array([own[i] for i in hit], pa.binary())], names=["node", "set"]
+                [pa.array(found, pa.int64()), pa.array(own, pa.binary())], names=["node", "set"]
             )
 
     made = texts.mapInArrow(sets, "node bigint, set binary")
@@ -347,7 +389,7 @@ def similar_components(
     heads = nodes.groupBy("cluster").agg(F.min("node").alias("head"), F.count("*").alias("members"))
     heads = materialize(heads, "heads")
     clusters = full.groupBy("cluster").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    entries = materialize(shared_entries(clusters), "entries")
+    entries = materialize(shared_entries(clusters, percent), "entries")
 
     check = lambda pairs: verified(texts, nodes, pairs, shingle, percent, frequent)
     named = lambda pairs: (  # noqa: E731  clusters to their first members
