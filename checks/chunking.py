@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from assayer.operators import chunks, near, retrieval
+from assayer.operators import cells, chunks, near, retrieval
 from assayer.plans import deepen
 from assayer.session import new_table_path
 from assayer.sources import tables
+from assayer.sources import vectors as V
 from checks.axes import K
 from checks.corpus import FILES, NAME, SPACE, files, sql_strip
 from checks.registry import query, table
@@ -150,6 +151,31 @@ def top_k_cosine(spark, sf_dir):
     return hits.select("query_id", "id", "similarity", "rank")
 
 
+# Every vector of the table asks in one collection of all.
+_EVERY = """asked AS (SELECT vec_id AS q, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id % 50 = 0),
+  near AS (SELECT a.q, v.vec_id AS id, round_even(list_cosine_similarity(a.e, CAST(v.embedding AS DOUBLE[])), 4) AS similarity FROM asked a, embeddings v)"""
+
+
+@query(
+    f"""WITH {_EVERY} SELECT CAST(q AS VARCHAR) AS query_id, CAST(id AS VARCHAR) AS id, similarity, rank FROM
+    (SELECT *, CAST(row_number() OVER (PARTITION BY q ORDER BY similarity DESC, id) AS INTEGER) AS rank FROM near) WHERE rank <= 10"""
+)
+def pruned_top_k(spark, sf_dir):
+    """Top-k in cells: a fiftieth of the vectors as queries against all of them."""
+    rows = vectors(spark, sf_dir).withColumn("collection", F.lit("all"))
+    asked = rows.filter(F.col("id") % 50 == 0).select(F.col("id").alias("query_id"), "collection", "embedding")
+    return cells.top_k(asked, cells.build_cells(rows), 10, "bigint").hits.select("query_id", "id", "similarity", "rank")
+
+
+@query(
+    f"""WITH {CENTROIDS} SELECT query_id, CAST(id AS VARCHAR) AS id, similarity, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS INTEGER) AS rank FROM scored) WHERE rank <= 15"""
+)
+def pruned_top_k_by_collection(spark, sf_dir):
+    rows = vectors(spark, sf_dir)
+    found = cells.top_k(centroids(spark, sf_dir), cells.build_cells(rows), id_type="bigint").hits
+    return found.select("query_id", "id", "similarity", "rank")
+
+
 @query(
     f"""WITH {CENTROIDS} SELECT query_id, id, similarity, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS INTEGER) AS rank FROM scored WHERE even) WHERE rank <= 8"""
 )
@@ -248,6 +274,47 @@ def measured_copies(spark, sf_dir):
     return measured(spark, sf_dir, True)
 
 
+def two_commits(spark, sf_dir):
+    """Every document in a first commit, and in a second where one in five has changed."""
+    docs = table(spark, sf_dir, "documents")
+    changed = F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit(" changed"))).otherwise(F.col("text"))
+    place = [F.concat(F.lit("f"), "doc_id").alias("path"), F.lit(0).alias("chunk_index")]
+    one = docs.select(F.concat(F.lit("1-"), "source").alias("collection"), F.concat(F.lit("1-"), "doc_id").alias("id"), *place, F.col("text").alias("content"))
+    two = docs.select(F.concat(F.lit("2-"), "source").alias("collection"), F.concat(F.lit("2-"), "doc_id").alias("id"), *place, changed.alias("content"))
+    return one, two
+
+
+def stored_commits(spark, sf_dir):
+    store = V.open_store(spark, new_table_path(spark, "vectors"), buckets=16)
+    one, two = two_commits(spark, sf_dir)
+    V.add_collections(store, one, measure)
+    V.add_collections(store, one.unionByName(two), measure)  # the first is there already
+    return store
+
+
+COMMITS = "commits AS (SELECT concat('1-', source) AS collection, concat('1-', doc_id) AS id, text AS content FROM documents UNION ALL SELECT concat('2-', source), concat('2-', doc_id), CASE WHEN doc_id % 5 = 0 THEN concat(text, ' changed') ELSE text END FROM documents)"
+
+
+@query(f"WITH {COMMITS} SELECT collection, id, sha1(content) AS text_key FROM commits")
+def stored_references(spark, sf_dir):
+    return stored_commits(spark, sf_dir).references.frame(spark).select("collection", "id", "text_key")
+
+
+@query(f"WITH {COMMITS} SELECT DISTINCT sha1(content) AS text_key, length(content) AS letters FROM commits")
+def stored_texts(spark, sf_dir):
+    """Every text of both commits once, with its vector."""
+    texts = stored_commits(spark, sf_dir).texts.frame(spark)
+    return texts.select("text_key", F.element_at("embedding", 1).cast("bigint").alias("letters"))
+
+
+@query(f"WITH {COMMITS} SELECT collection, id, content, CAST(length(content) AS DOUBLE) AS letters FROM commits WHERE collection LIKE '2-%'")
+def read_vectors(spark, sf_dir):
+    store = stored_commits(spark, sf_dir)
+    asked = table(spark, sf_dir, "documents").select(F.concat(F.lit("2-"), "source").alias("collection"))
+    found = V.read_collections(store, asked)
+    return found.select("collection", "id", "content", F.element_at("embedding", 1).cast("double").alias("letters"))
+
+
 @query()
 def retrieved_contexts(spark, sf_dir):
     """A question per repository and commit, answered from its own collection."""

@@ -8,7 +8,7 @@ from assayer import rules
 from assayer.operators import findings, localize, quality, runs, verdicts
 from assayer.plans.scan import config_hash_column
 from assayer.session import new_table_path
-from assayer.sources import tables
+from assayer.sources import tables, versions
 from assayer.sources.tree import repo_catalog as catalog_of
 from assayer.streaming.incremental import scan_batch
 from checks.axes import LINT_RAW, MERGED, K, raw
@@ -160,6 +160,47 @@ def incremental_scans(spark, sf_dir):
     return spark.read.parquet(path).select("repo_id", "commit_sha", "language", "payload")
 
 
+CACHE_ROW = "repo_id bigint, commit_sha string, scan_version int, config_hash string, language string, payload string"
+
+
+def versioned(spark, sf_dir):
+    """What two writers put who both saw an empty cache, then some repositories gone and put anew."""
+    stored = versions.open_versions(spark, new_table_path(spark, "versions"), CACHE_ROW, tables.CACHE_KEY, buckets=16)
+    rows = cache_rows(spark, sf_dir)
+    versions.put(stored, rows)
+    versions.put(stored, rows.withColumn("payload", F.lit("late")))
+    customers = table(spark, sf_dir, "customer")
+    gone = customers.filter(F.col("c_mktsegment").isin("BUILDING", "MACHINERY")).select(F.col("c_custkey").alias("repo_id"))
+    versions.remove(stored, gone)
+    back = customers.filter(F.col("c_mktsegment") == "MACHINERY").select(F.col("c_custkey").alias("repo_id"))
+    versions.put(stored, rows.join(back, "repo_id", "left_semi").withColumn("payload", F.lit("anew")))
+    return versions.open_versions(spark, stored.path)
+
+
+_VERSIONED = """kept AS (SELECT DISTINCT o_custkey AS repo_id, o_orderstatus AS commit_sha, o_orderpriority AS config_hash,
+    CASE WHEN c_mktsegment = 'MACHINERY' THEN 'anew' ELSE concat('p-', o_custkey, '-', o_orderstatus) END AS payload
+  FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_mktsegment <> 'BUILDING')"""
+
+
+@query(f"WITH {_VERSIONED} SELECT * FROM kept")
+def versioned_cache(spark, sf_dir):
+    """One entry a key, the first that was written and still stands."""
+    found = versions.current(spark, versioned(spark, sf_dir), first=True)
+    return found.select("repo_id", "commit_sha", "config_hash", "payload")
+
+
+@query(
+    f"""WITH {_VERSIONED}, asked AS (SELECT DISTINCT o_custkey + 1 AS repo_id FROM orders WHERE o_orderkey % 50 = 0)
+    SELECT repo_id, commit_sha, config_hash, payload FROM kept SEMI JOIN asked USING (repo_id)"""
+)
+def versioned_lookup(spark, sf_dir):
+    """The entries of the repositories asked for; other folders are not read."""
+    orders = table(spark, sf_dir, "orders").filter(F.col("o_orderkey") % 50 == 0)
+    asked = orders.select((F.col("o_custkey") + 1).alias("repo_id"))
+    found = versions.current(spark, versioned(spark, sf_dir), asked, first=True)
+    return found.select("repo_id", "commit_sha", "config_hash", "payload")
+
+
 @query(
     """WITH gone AS (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')
     SELECT o_custkey AS repo_id, 'removed' AS what, count(*) AS n FROM orders WHERE o_custkey IN (FROM gone) GROUP BY o_custkey
@@ -213,6 +254,31 @@ def replaced_results(spark, sf_dir):
     return spark.read.parquet(path).select("analysis_id", "aspect", "status")
 
 
+@query(
+    """WITH known AS (SELECT l_orderkey AS analysis_id, l_linenumber AS aspect, o_orderstatus = 'F' AND o_orderkey IS NOT NULL AS replaced
+      FROM orders JOIN lineitem ON l_orderkey = o_orderkey)
+    SELECT analysis_id, aspect, CASE WHEN replaced THEN 'second' ELSE 'first' END AS status FROM known WHERE NOT replaced OR (aspect <= 2 AND analysis_id % 3 <> 0)"""
+)
+def results_by_version(spark, sf_dir):
+    """The same replacement without rewriting: every run's rows are those of its last version."""
+    lineitem = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("analysis_id"), F.col("l_linenumber").cast("int").alias("aspect")
+    )
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("analysis_id"), "o_orderstatus")
+    known = lineitem.join(orders, "analysis_id")
+    schema = "analysis_id bigint, aspect int, status string"
+    stored = versions.open_versions(spark, new_table_path(spark, "results"), schema, ["analysis_id", "aspect"], buckets=16)
+    first = known.select("analysis_id", "aspect", F.lit("first").alias("status"))
+    versions.put_group(stored, first, first)
+    again = known.filter((F.col("o_orderstatus") == "F") & (F.col("aspect") <= 2) & (F.col("analysis_id") % 3 != 0)).select(
+        "analysis_id", "aspect", F.lit("second").alias("status")
+    )
+    finished = orders.filter(F.col("o_orderstatus") == "F").select("analysis_id")
+    versions.put_group(stored, again, finished)
+    versions.put_group(stored, again, finished)
+    return versions.newest_group(spark, versions.open_versions(spark, stored.path))
+
+
 # --- users --------------------------------------------------------------------------------
 
 
