@@ -12,6 +12,11 @@ group that it is linked with at the rarest shingle that both have.  How many gro
 counted exactly where its entries meet.  Most texts then meet no other at all: they have enough
 shingles of their own, and a passage that many texts share is only asked for by texts made of it.
 
+Pairs of groups are filtered by size, by position and by parities: a set has ``PARITY`` bits, each the
+parity of the number of its shingles that fall on it, so two sets that differ in ``d`` shingles differ in at
+most ``d`` bits.  A group knows the bits in which all its members agree.  Near copies of one text that are
+all a little too far from each other are told apart by their bits, and never move.
+
 What is wanted are components, so pairs inside one are not all verified.  First every group is
 compared with one representative per shared shingle and size class, which joins nearly all copies;
 then with others, chosen anew; at last all pairs of groups that still lie in different components
@@ -55,8 +60,10 @@ PERCENT = 85
 MAX_FREQUENT = 1 << 16
 CHUNK = 1 << 21  # shingles counted together
 OFTEN = 2  # times in a chunk
-STARS = 3
+STARS = 8  # rounds at most
+FEW = 100  # a round that links fewer than one in so many pairs is the last
 PAIRS_PER_TASK = 512
+PARITY = 512  # bits
 MOST = 1 << 16  # groups of one shingle are told apart up to this number
 
 
@@ -130,7 +137,14 @@ def extension(n: int, percent: int) -> int:
     return min(prefix, n - prefix)
 
 
-DESCRIBED = "id bigint, n bigint, node bigint, cluster bigint, prefix binary"
+BITS = [f"s{i}" for i in range(PARITY // 64)]
+DESCRIBED = "id bigint, n bigint, node bigint, cluster bigint, prefix binary, " + ", ".join(f"{s} bigint" for s in BITS)
+
+
+def parity(names: np.ndarray) -> np.ndarray:
+    """The parity bits of a set, as words of 64."""
+    falls = np.bincount((mix(names) & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY)
+    return np.packbits((falls & 1).astype(np.uint8), bitorder="little").view("<i8")
 
 
 def describe(texts: DataFrame, n: int, percent: int, frequent: tuple) -> DataFrame:
@@ -141,7 +155,7 @@ def describe(texts: DataFrame, n: int, percent: int, frequent: tuple) -> DataFra
             rows, names = shingle_sets(words, n)
             names = ordered(names, frequent)
             bounds = np.searchsorted(rows, np.arange(batch.num_rows + 1))
-            sizes, nodes, clusters, prefixes = [], [], [], []
+            sizes, nodes, clusters, prefixes, bits = [], [], [], [], []
             for a, b in zip(bounds[:-1], bounds[1:], strict=True):
                 own = np.unique(names[a:b])
                 size = len(own)
@@ -152,12 +166,14 @@ def describe(texts: DataFrame, n: int, percent: int, frequent: tuple) -> DataFra
                 nodes.append(int.from_bytes(node, "little", signed=True))
                 clusters.append(int.from_bytes(tied, "little", signed=True))
                 prefixes.append(head)
+                bits.append(parity(own))
+            words_ = np.stack(bits, axis=1)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()),
-                    pa.array(clusters, pa.int64()), pa.array(prefixes, pa.binary()),
+                    pa.array(clusters, pa.int64()), pa.array(prefixes, pa.binary()), *(pa.array(w) for w in words_),
                 ],
-                names=["id", "n", "node", "cluster", "prefix"],
+                names=["id", "n", "node", "cluster", "prefix", *BITS],
             )
 
     return texts.mapInArrow(run, DESCRIBED)
@@ -260,13 +276,14 @@ def _may_reach(times: Column, n1: Column, n2: Column, percent: int) -> Column:
 
 def star_pairs(entries: DataFrame, percent: int, round_: int) -> DataFrame:
     """One or two pairs per cluster: with the representative of its own and of the next lower size
-    class that it shares most prefix shingles with, if these are enough.  ``entries`` has
-    ``cluster, n, root``.  Shingles that have another representative are not counted here, so a
+    class that it shares most prefix shingles with, if these are enough.  Representatives come from the
+    largest component that has their shingle, where copies with few changes meet, and are drawn anew
+    every round.  ``entries`` has ``cluster, n, root, size``.  Shingles that have another representative are not counted here, so a
     link may be passed over; ``rest_pairs`` passes over none."""
     tagged = entries.withColumn("class", _size_class(F.col("n"), percent))
     pick = F.xxhash64("cluster", F.lit(round_))
     reps = tagged.groupBy("token", "class").agg(
-        F.min(F.struct(pick.alias("h"), F.col("cluster"), F.col("n"), F.col("root"))).alias("rep"),
+        F.max(F.struct("size", pick.alias("h"), "cluster", "n", "root")).alias("rep"),
     )
     reps = reps.select(
         "token", F.explode(F.array(F.col("class"), F.col("class") + 1)).alias("class"), "rep",
@@ -284,20 +301,32 @@ def star_pairs(entries: DataFrame, percent: int, round_: int) -> DataFrame:
     return best.select("cluster", F.col("best.other").alias("other")).distinct()
 
 
+def _near_enough(differ: list[Column], n1: Column, n2: Column, percent: int) -> Column:
+    """Linked sets differ in at most ``(n1 + n2) * (100 - percent) / (100 + percent)`` shingles, hence bits."""
+    count = sum((F.bit_count(d) for d in differ[1:]), F.bit_count(differ[0]))
+    return count * (100 + percent) <= (n1 + n2) * (100 - percent)
+
+
 def rest_pairs(entries: DataFrame, percent: int) -> DataFrame:
-    """All pairs of clusters, in different components, that size and position allow.
+    """All pairs of clusters, in different components, that size, position and parities allow.
 
-    ``entries`` has ``low`` and ``high``, the least and greatest root among the cluster's members.
+    ``entries`` has ``low`` and ``high``, the least and greatest root among the cluster's members, and
+    ``and_…`` and ``or_…``, the bits that all and that any of them have.
     """
     open_ = entries.groupBy("token").agg(F.min("low").alias("a"), F.max("high").alias("b")).filter("a <> b")
     mine = entries.join(open_.select("token"), "token", "left_semi")
-    other = mine.select("token", *(F.col(c).alias(f"{c}2") for c in ("cluster", "n", "pos", "low", "high")))
+    other = mine.select("token", *(F.col(c).alias(f"{c}2") for c in mine.columns if c != "token"))
+    differ = [
+        F.col(f"and_{s}").bitwiseAND(F.bitwise_not(f"or_{s}2")).bitwiseOR(F.bitwise_not(f"or_{s}").bitwiseAND(F.col(f"and_{s}2")))
+        for s in BITS
+    ]
     before = F.least("pos", "pos2") + 1
     after = F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2")) - 1
     enough = (before + after) * (100 + percent) >= (F.col("n") + F.col("n2")) * percent
     split = (F.col("low") != F.col("high2")) | (F.col("high") != F.col("low2"))
     pairs = mine.join(other, "token").filter(
         (F.col("cluster") < F.col("cluster2")) & split & _compatible(F.col("n"), F.col("n2"), percent) & enough
+        & _near_enough(differ, F.col("n"), F.col("n2"), percent)
     )
     return pairs.select("cluster", F.col("cluster2").alias("other")).distinct()
 
@@ -384,7 +413,7 @@ def similar_components(
     described = materialize(describe(texts, shingle, percent, frequent), "described")
     full = described.filter("n > 0")
     nodes = materialize(
-        full.groupBy("node", "cluster", "n").agg(F.min("id").alias("least")), "nodes"
+        full.groupBy("node", "cluster", "n").agg(F.min("id").alias("least"), *(F.max(s).alias(s) for s in BITS)), "nodes"
     )
     heads = nodes.groupBy("cluster").agg(F.min("node").alias("head"), F.count("*").alias("members"))
     heads = materialize(heads, "heads")
@@ -400,26 +429,38 @@ def similar_components(
     inner = nodes.join(heads.filter("members > 1"), "cluster").select(F.col("node").alias("a"), F.col("head").alias("b"))
     links, roots = None, None
     for round_ in range(STARS):
-        rooted = entries.join(_roots_of(heads, roots), "cluster")
+        placed = _roots_of(heads, roots)
+        sizes = placed.groupBy("root").agg(F.count("*").alias("size"))
+        rooted = entries.join(materialize(placed.join(sizes, "root"), "placed"), "cluster")
         pairs = named(star_pairs(rooted, percent, round_))
         if round_ == 0:
             pairs = pairs.unionAll(inner)
+        pairs = materialize(pairs.distinct(), "star-pairs")
         found = check(pairs)
-        if round_ and found.isEmpty():
+        compared, linked = pairs.count(), found.count()
+        if round_ and not linked:
             break
         links = found if links is None else links.unionAll(found)
         roots = materialize(components(links), "roots")
-    members = nodes.join(roots, "node", "left").select("node", "cluster", F.coalesce("root", "node").alias("root"))
-    members = materialize(members, "members")
-    spread = members.groupBy("cluster").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+        if linked * FEW < compared:
+            break
+    members = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    members = materialize(members.select("node", "cluster", "n", "root", *BITS), "members")
+    spread = members.groupBy("cluster").agg(
+        F.min("root").alias("low"), F.max("root").alias("high"),
+        *(F.bit_and(s).alias(f"and_{s}") for s in BITS), *(F.bit_or(s).alias(f"or_{s}") for s in BITS),
+    )
     pairs = rest_pairs(entries.join(spread, "cluster"), percent).unionAll(
         spread.filter("low <> high").select("cluster", F.col("cluster").alias("other"))
     )
-    left = members.select("cluster", F.col("node").alias("a"), F.col("root").alias("root_a"))
-    right = members.select(F.col("cluster").alias("other"), F.col("node").alias("b"), F.col("root").alias("root_b"))
-    expanded = pairs.join(left, "cluster").join(right, "other").filter("root_a <> root_b").select(
-        F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
+    side = lambda key, mark: members.select(
+        F.col("cluster").alias(key), F.col("node").alias(mark), *(F.col(c).alias(f"{c}_{mark}") for c in ("root", "n", *BITS))
+    )
+    differ = [F.col(f"{s}_a").bitwiseXOR(F.col(f"{s}_b")) for s in BITS]
+    expanded = pairs.join(side("cluster", "a"), "cluster").join(side("other", "b"), "other").filter(
+        (F.col("root_a") != F.col("root_b")) & _near_enough(differ, F.col("n_a"), F.col("n_b"), percent)
     )
+    expanded = expanded.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     expanded = materialize(expanded.distinct(), "rest")
     if not expanded.isEmpty():
         more = check(expanded)
