@@ -52,6 +52,32 @@ def test_exact_dedup(spark, make_docs, corpus):
     assert not exact_dedup.dedup_batch(same, make_docs([(2000, "new")])).first().kept
 
 
+def test_a_batch_sent_again_gets_the_same_rows(spark, make_docs):
+    index = exact_dedup.open_index(spark, buckets=4)
+    columns = ["id", "digest", "keep_id", "group_size", "kept"]
+    docs = make_docs([(1, "a"), (2, "b"), (3, "A")])
+    first = rows_of(exact_dedup.dedup_batch(index, docs, name="one"), *columns)
+    assert {r[0] for r in first if r[-1]} == {2, 3}
+    # the driver was lost after the append
+    assert rows_of(exact_dedup.dedup_batch(index, docs, name="one"), *columns) == first
+    assert spark.table(index.table).count() == 2
+    again = exact_dedup.dedup_batch(index, docs, name="two").collect()
+    assert not any(r.kept for r in again)
+
+
+@pytest.mark.parametrize("parts", [1, 3, 7])
+def test_ranges_meet_a_filled_index(spark, make_docs, corpus, parts):
+    columns = ["digest", "id", "keep_id", "group_size", "kept"]
+    whole = exact_dedup.open_index(spark, buckets=4)
+    expected = rows_of(exact_dedup.dedup_batch(whole, make_docs(corpus)), *columns)
+    index = exact_dedup.open_index(spark, buckets=4)
+    got = exact_dedup.dedup_ranges(index, make_docs(corpus), name="all", parts=parts)
+    assert rows_of(got, *columns) == expected
+    assert rows_of(exact_dedup.dedup_ranges(index, make_docs(corpus), name="all", parts=parts), *columns) == expected
+    assert spark.table(index.table).select("batch").distinct().count() == min(parts, 3) or parts == 7
+    assert exact_dedup.dedup_ranges(index, make_docs([])).count() == 0
+
+
 def brute_components(corpus, n, percent):
     sets = []
     for _, text in corpus:
