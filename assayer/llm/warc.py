@@ -310,9 +310,14 @@ def field(metadata: Column, name: str) -> Column:
     return F.regexp_extract(metadata[0]["fields"], rf"(?m)^{name}: ([^\r\n]*)", 1)
 
 
-def archive_and_read(captures: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
-    """Write ``key, target_uri, payload`` rows as archives in the shared folder and read them back."""
+def archive_and_read(
+    captures: DataFrame, min_bytes: int = MIN_REVISIT_BYTES, with_payload: bool = True
+) -> DataFrame:
+    """Write ``key, target_uri, payload`` rows as archives in the shared folder and read them back.
+
+    The nested rows hold the payloads, or only their length and digest.
+    """
     spark = prepare(captures.sparkSession)
     path = new_table_path(spark, "warc")
     write_warc(plan_revisits(captures, min_bytes), path)
-    return assemble(materialize(read_warc(spark, path, with_payload=False), "warc-records"))
+    return assemble(materialize(read_warc(spark, path, with_payload), "warc-records"))
