@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from string import ascii_lowercase, ascii_uppercase
 
@@ -186,6 +186,20 @@ def row_key(*columns: Column) -> Column:
     return F.concat_ws(":", *parts)
 
 
+def other_columns(df: DataFrame, added: Iterable[str]) -> list[str]:
+    """The columns of ``df`` but those that an added one replaces; Spark tells names apart without case."""
+    taken = {name.lower() for name in added}
+    return [c for c in df.columns if c.lower() not in taken]
+
+
+def unused_prefix(df: DataFrame) -> str:
+    """What no column of ``df`` begins with, for columns that come and go inside an operator."""
+    prefix = "__"
+    while any(c.lower().startswith(prefix) for c in df.columns):
+        prefix += "_"
+    return prefix
+
+
 def keep_rows(docs: DataFrame, decided: DataFrame, keys: dict[str, Column]) -> DataFrame:
     """The rows of ``docs`` whose key is in ``decided``, one row for each key.
 
@@ -193,7 +207,8 @@ def keep_rows(docs: DataFrame, decided: DataFrame, keys: dict[str, Column]) -> D
     columns of these names.  Rows with equal keys are copies, of which one stays.  Texts move
     once, to the partition of their key; the window needs no sort of its own.
     """
-    key, rank = "__row_key", "__row_rank"
+    own = unused_prefix(docs)
+    key, rank = f"{own}key", f"{own}rank"
     wanted = decided.select(row_key(*(F.col(name) for name in keys)).alias(key)).distinct()
     joined = docs.withColumn(key, row_key(*keys.values())).join(wanted.hint("merge"), key)
     order = Window.partitionBy(key).orderBy(F.lit(1))

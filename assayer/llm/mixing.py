@@ -1,11 +1,14 @@
 """Mixing to target weights with soft membership.
 
 A classifier trained on a labelled table gives every document a posterior over domains.  A document
-of ``n`` tokens at rate ``r`` is expected to give ``r * n * p[k]`` tokens to domain ``k``.  Of the
-nonnegative rates whose totals match the targets, those nearest to one are ``max(0, 1 - p . x)`` for
-one number per domain; Newton steps find these: in each step Spark sums the totals and the products
-of posteriors over documents with a positive rate, and the driver, which holds a matrix of domains,
-sets the next step.  A rate depends on the posteriors alone, so no state of documents is kept.
+of ``n`` tokens at rate ``r`` is expected to give ``r * n * p[k]`` tokens to domain ``k``.  Least
+squares fit the rates: half the squared distance of the totals from their targets falls along projected
+gradient steps ``rate <- max(0, rate - p . x)``, from rates of one on.  ``x`` is the miss, scaled by the
+inverse of the summed products of posteriors over the documents whose rate is positive, so that one step
+would meet the targets if it took no rate below zero; where that brings no total nearer, the miss scaled by
+the products over all documents or by their greatest eigenvalue, which always does.  In each pass Spark sums
+totals and products for some lengths of a step, and the driver, which holds a matrix of domains, takes the
+best.  A rate depends on the posteriors and the steps alone, so no state of documents is kept.
 
 Defined results: a null or empty text has no tokens and the posterior of the bias, and gets its rate
 like others; unlabelled documents, null labels and labels of absent documents play no part in
@@ -26,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from assayer.llm.common import SPACED, prepare, words_of
+from assayer.llm.common import SPACED, other_columns, prepare, words_of
 from assayer.llm.linear import LinearModel, fit
 from assayer.session import materialize
 
@@ -34,10 +37,8 @@ SAMPLE = 8192
 FEATURES = 1 << 18
 STEPS = 60
 TOLERANCE = 1e-6
-# How much a unit of a step weighs beside the squared miss, from level to level.
-LEVELS = (1e-3, 1e-5, 1e-7, 1e-9, 1e-11)
-# Shares of a Newton step that one pass tries.
-TRIED = (1.0, 0.5, 0.2, 0.05, 0.01)
+# Shares of a scaled step that one pass tries.
+TRIED = (1.0, 0.5, 0.1)
 
 log = logging.getLogger(__name__)
 
@@ -62,7 +63,8 @@ def train(
     """Classifier over hashed words from at most ``sample`` labelled documents.
 
     ``labelled`` has ``id_column`` and ``domain`` (0 to ``domains`` - 1).  The labelled rows are
-    drawn by hash of their id, so what is broadcast to the texts is bounded.
+    drawn by hash of their id, so what is broadcast to the texts is bounded; of texts that repeat a
+    labelled id at most as many again are taken.
     """
     prepare(docs.sparkSession)
     labels = labelled.select(F.col(f"`{id_column}`").alias("id"), F.col("domain").cast("int").alias("domain"))
@@ -97,7 +99,7 @@ def posteriors(
     """All columns of ``docs``, ``n_tokens`` and ``posterior``, an array over the domains; after
     ``steps`` also the ``rate``."""
     added = ("n_tokens", "posterior", "rate")[: 2 if steps is None else 3]
-    rows = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c not in added))
+    rows = docs.select(*(F.col(f"`{c}`") for c in other_columns(docs, added)))
     kinds = (T.LongType(), T.ArrayType(T.DoubleType()), T.DoubleType())
     schema = T.StructType([*rows.schema.fields, *(T.StructField(c, k) for c, k in zip(added, kinds, strict=False))])
 
@@ -131,65 +133,63 @@ def _matrix(batch: pa.RecordBatch, name: str, domains: int) -> np.ndarray:
 def fit_rates(
     members: DataFrame, weights: Sequence[float], budget: float = 1.0, steps: int = STEPS, tolerance: float = TOLERANCE
 ) -> tuple[list[list[float]], np.ndarray, np.ndarray]:
-    """The step that brings the expected domain totals to ``weights`` times ``budget``.
+    """The steps that bring the expected domain totals to ``weights`` times ``budget``.
 
-    ``members`` has ``n_tokens`` and ``posterior``; totals are shares of all its tokens.  The step
-    ``x`` solves ``totals(x) - target = level * x``, the slope of a convex function, by Newton steps
-    over levels that fall until every total is within ``tolerance`` of its target, or, where targets
-    cannot be met together, until a lower level brings no total nearer; at most ``steps`` passes.
-    Every pass gives one sum per batch.  Returns the step in a list, the totals reached and the targets.
+    ``members`` has ``n_tokens`` and ``posterior``; totals are shares of all its tokens.  Steps end when
+    every total is within ``tolerance`` of its target, or, where targets cannot be met together, when none
+    brings the totals nearer; at most ``steps`` passes, each of one sum per batch.  Returns the steps, the
+    totals reached and the targets.
     """
     k = len(weights)
     target = np.asarray(weights, np.float64) / np.sum(weights) * budget
-    each = 1 + k + k * k
+    each = k + k * k
 
-    def sums(points: list[np.ndarray]) -> list[tuple[float, np.ndarray, np.ndarray]]:
-        """Of every point: half the sum of squared rates, totals, products over positive rates."""
+    def sums(history: list[list[float]], moves: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """After the history and each of the moves: totals, and products over positive rates."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 posterior, n = _matrix(batch, "posterior", k), batch.column(0).to_numpy()
+                before = rates_after(posterior, history)
                 values = [float(n.sum())]
-                for x in points:
-                    rate = rates_after(posterior, [x])
+                for move in moves:
+                    rate = np.maximum(0.0, before - posterior @ move)
                     active = posterior * ((rate > 0) * n)[:, None]
-                    values += [(rate * rate * n).sum() / 2, *((rate * n) @ posterior), *(active.T @ posterior).ravel()]
+                    values += [*((rate * n) @ posterior), *(active.T @ posterior).ravel()]
                 yield pa.RecordBatch.from_arrays([pa.array([float(v)]) for v in values], names=names)
 
-        names = [f"s{i}" for i in range(1 + each * len(points))]
+        names = [f"s{i}" for i in range(1 + each * len(moves))]
         parts = members.select("n_tokens", "posterior").mapInArrow(run, ", ".join(f"{c} double" for c in names))
         row = parts.agg(*(F.sum(c).alias(c) for c in names)).first()
         got = np.array([row[c] or 0.0 for c in names])
-        got = (got[1:] / max(1.0, got[0])).reshape(len(points), each)
-        return [(g[0], g[1 : 1 + k], g[1 + k :].reshape(k, k)) for g in got]
-
-    x = np.zeros(k)
-    at = sums([x])[0]
-    passes, before = 1, None
-    for level in LEVELS:
-        height = lambda x, at, level=level: level * (x @ x) / 2 + at[0] + target @ x
-        while passes < steps:
-            slope = level * x - at[1] + target
-            if np.abs(slope).max() < tolerance / 10:
-                break
-            move = np.linalg.solve(at[2] + level * np.eye(k), slope)
-            points = [x - share * move for share in TRIED]
-            tried = sums(points)
-            passes += 1
-            best = min(range(len(points)), key=lambda i: height(points[i], tried[i]))
-            if height(points[best], tried[best]) >= height(x, at):
-                break
-            x, at = points[best], tried[best]
-        miss, total = np.abs(at[1] - target), at[1]
-        if miss.max() < tolerance:
+        got = (got[1:] / max(1.0, got[0])).reshape(len(moves), each)
+        return [(g[:k], g[k:].reshape(k, k)) for g in got]
+
+    def scaled(products: np.ndarray, miss: np.ndarray) -> np.ndarray:
+        """The miss by the inverse of the products; a domain without tokens asks for nothing."""
+        size, axes = np.linalg.eigh(products)
+        inverse = np.where(size > 1e-12 * max(size.max(), 1e-300), 1 / np.maximum(size, 1e-300), 0.0)
+        return axes @ (inverse * (axes.T @ miss))
+
+    history: list[list[float]] = []
+    total, active = sums(history, [np.zeros(k)])[0]
+    whole = active
+    widest = max(float(np.linalg.eigvalsh(whole).max()), 1e-300)
+    for _ in range(steps):
+        miss = total - target
+        if np.abs(miss).max() < tolerance:
             break
-        # a total counts as nearer when its miss is halved or, far from its target, it has doubled
-        if before is not None and np.all((miss < tolerance) | ((miss > before[0] / 2) & (total < 2 * before[1]))):
+        moves = [share * scaled(products, miss) for products in (active, whole) for share in TRIED] + [miss / widest]
+        tried = sums(history, moves)
+        losses = [float(np.square(found[0] - target).sum()) for found in tried]
+        best = int(np.argmin(losses))
+        if losses[best] >= float(np.square(miss).sum()) * (1 - 1e-6):
             break
-        before = miss, total
-    said = log.warning if np.abs(at[1] - target).max() > tolerance else log.info
-    said("domain totals after %d passes: reached %s, target %s", passes, at[1].tolist(), target.tolist())
-    return [x.tolist()], at[1], target
+        history.append(moves[best].tolist())
+        total, active = tried[best]
+    said = log.warning if np.abs(total - target).max() > tolerance else log.info
+    said("domain totals after %d steps: reached %s, target %s", len(history), total.tolist(), target.tolist())
+    return history, total, target
 
 
 def mix(
@@ -205,6 +205,6 @@ def mix(
     model = train(docs, labelled, k, id_column, text_column, sample)
     members = posteriors(docs, model, text_column).select("n_tokens", "posterior")
     history, _, _ = fit_rates(materialize(members, "members"), weights, budget)
-    rated = posteriors(docs.select(*(F.col(f"`{c}`") for c in docs.columns if c != "copies")), model, text_column, history)
+    rated = posteriors(docs.select(*(F.col(f"`{c}`") for c in other_columns(docs, ("copies",)))), model, text_column, history)
     draw = F.pmod(F.xxhash64(F.col(f"`{id_column}`"), F.col(f"`{text_column}`")), F.lit(1 << 30)) / float(1 << 30)
     return rated.withColumn("copies", F.floor(F.col("rate") + draw).cast("bigint"))

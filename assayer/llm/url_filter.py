@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.common import ascii_lower, prepare
+from assayer.llm.common import ascii_lower, other_columns, prepare, unused_prefix
 from assayer.session import materialize
 
 WORDS = 8
@@ -129,14 +129,15 @@ def build_filter(
 def may_be_listed(rows: DataFrame, column: str, bloom: BlockedBloom, flag: str) -> DataFrame:
     """Add ``flag``: false only where the URL of ``column`` is surely not on the list."""
     hash_ = F.xxhash64(column)
-    probed = rows.withColumn("__block", _block(hash_, bloom.blocks))
+    own = unused_prefix(rows)
+    probed = rows.withColumn(f"{own}block", _block(hash_, bloom.blocks))
     table = bloom.table.select(
-        F.col("block").alias("__block"), *(F.col(f"w{i}").alias(f"__w{i}") for i in range(WORDS))
+        F.col("block").alias(f"{own}block"), *(F.col(f"w{i}").alias(f"{own}w{i}") for i in range(WORDS))
     )
-    joined = probed.join(F.broadcast(table), "__block", "left")
+    joined = probed.join(F.broadcast(table), f"{own}block", "left")
     hit = F.col(column).isNotNull()
     for i, mask in enumerate(_masks(hash_)):
-        hit = hit & (F.col(f"__w{i}").bitwiseAND(mask) != 0)
+        hit = hit & (F.col(f"{own}w{i}").bitwiseAND(mask) != 0)
     kept = [F.col(f"`{c}`") for c in rows.columns]
     return joined.select(*kept, F.coalesce(hit, F.lit(False)).alias(flag))
 
@@ -156,23 +157,26 @@ def judge(
     )
     bloom = build_filter(listed, "canonical", bits_per_url, max_blocks)
     url = F.col(f"`{url_column}`")
-    rows = pages.withColumns(
-        {"host": host_of(url), "path": path_of(url), "canonical": canonical_url(url)}
+    added = ["host", "path", "canonical", "rule", "verdict"]
+    # a page's own column of such a name is replaced, whatever its case
+    kept, own = other_columns(pages, added), unused_prefix(pages)
+    rows = pages.select(
+        *(F.col(f"`{c}`") for c in kept),
+        host_of(url).alias("host"), path_of(url).alias("path"), canonical_url(url).alias("canonical"),
     )
     rows = rows.withColumn("rule", matching_rule(F.col("host"), F.col("path"), rules))
     verdicts = {rule.name: rule.verdict for rule in rules}
     by_rule = F.lit(None).cast("string")
     for name, verdict in verdicts.items():
         by_rule = F.when(F.col("rule") == name, F.lit(verdict)).otherwise(by_rule)
-    rows = may_be_listed(rows, "canonical", bloom, "__maybe")
-    ask = F.col("__maybe") & F.col("rule").isNull()
+    rows = may_be_listed(rows, "canonical", bloom, f"{own}maybe")
+    ask = F.col(f"{own}maybe") & F.col("rule").isNull()
     done = rows.filter(~ask).withColumn("verdict", F.coalesce(by_rule, F.lit("allow")))
     # Only possible hits move, and the exact hash join takes the false positives out.
-    exact = listed.withColumn("__listed", F.lit(True)).hint("shuffle_hash")
+    exact = listed.withColumn(f"{own}listed", F.lit(True)).hint("shuffle_hash")
     asked = rows.filter(ask).join(exact, "canonical", "left")
     asked = asked.withColumn(
-        "verdict", F.when(F.col("__listed"), F.lit("block")).otherwise(F.lit("allow"))
+        "verdict", F.when(F.col(f"{own}listed"), F.lit("block")).otherwise(F.lit("allow"))
     )
-    added = ["host", "path", "canonical", "rule", "verdict"]
-    out = [c for c in pages.columns if c not in added] + added
+    out = kept + added
     return done.select(*(f"`{c}`" for c in out)).unionAll(asked.select(*(f"`{c}`" for c in out)))

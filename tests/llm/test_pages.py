@@ -131,6 +131,13 @@ def test_url_filter(spark):
     assert url_filter.judge(frame, listed.limit(0), []).filter("verdict = 'block'").count() == 0
 
 
+def test_page_columns_of_any_name_stay(spark):
+    frame = spark.createDataFrame([(1, "http://b.net/p", "own", 5, "x")], "page_id long, url string, __block string, __w0 int, Host string")
+    listed = spark.createDataFrame([("b.net/p",)], "canonical string")
+    got = url_filter.judge(frame, listed, []).collect()[0].asDict()
+    assert got == {"page_id": 1, "url": "http://b.net/p", "__block": "own", "__w0": 5, "host": "b.net", "path": "/p", "canonical": "b.net/p", "rule": None, "verdict": "block"}
+
+
 def test_filter_never_misses_and_a_full_one_stays_exact(spark):
     listed = spark.range(2000).select(F.concat(F.lit("h.net/"), "id").alias("canonical"))
     asked = spark.range(1000, 4000).select(F.concat(F.lit("http://h.net/"), "id").alias("url"), "id")
