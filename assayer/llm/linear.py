@@ -27,21 +27,24 @@ def softmax(z: np.ndarray) -> np.ndarray:
 
 def fit(
     doc: np.ndarray, feature: np.ndarray, value: np.ndarray, target: np.ndarray, features: int,
-    steps: int = 150, rate: float = 0.05, l2: float = 1e-4,
+    steps: int = 150, rate: float = 0.05, l2: float = 1e-4, weight: np.ndarray | None = None,
 ) -> LinearModel:
-    """Minimise cross-entropy to soft labels ``target`` (documents x classes) by Adam over all rows.
+    """Minimise cross-entropy to soft labels ``target`` (documents x classes) by Adam over all rows,
+    each of which counts as ``weight`` says.
 
     Deterministic: nothing is drawn, and the order of rows only moves the last digits.
     """
     n, classes = target.shape
+    weight = np.ones(n) if weight is None else weight.astype(np.float64)
+    counted = (weight / weight.sum())[:, None] if n else np.zeros((0, 1))
     used, column = np.unique(feature, return_inverse=True)
-    share = target.mean(axis=0) if n else np.full(classes, 1 / classes)
+    share = (target * counted).sum(axis=0) if n else np.full(classes, 1 / classes)
     bias = np.log(np.maximum(share, 1e-6))
     w = np.zeros((len(used), classes))
     moment = [np.zeros_like(w), np.zeros_like(w), np.zeros_like(bias), np.zeros_like(bias)]
     for t in range(1, steps + 1 if n else 1):
         z = np.stack([np.bincount(doc, w[column, k] * value, n) for k in range(classes)], axis=1)
-        error = (softmax(z + bias) - target) / n
+        error = (softmax(z + bias) - target) * counted
         slope = np.stack(
             [np.bincount(column, error[doc, k] * value, len(used)) for k in range(classes)], axis=1
         ) + l2 * w / max(1, n) * 100

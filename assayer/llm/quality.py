@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.common import SPACED, binary_column, mix, prepare, words_of
+from assayer.llm.common import SPACED, binary_column, mix, other_columns, prepare, words_of
 from assayer.llm.linear import LinearModel, fit
 
 SAMPLE = 8192
@@ -185,10 +185,11 @@ class QualityModel:
 
 
 def train(docs: DataFrame, text_column: str = "text", sample: int = SAMPLE) -> QualityModel:
-    """Fit the label model on all documents and the scorer on about ``sample`` of them.
+    """Fit the label model on all documents and the scorer on at most ``sample`` different texts.
 
-    The sample is drawn by hash of the text.  The driver sees pattern counts and the sample's
-    features, at most ``2 * sample`` rows of at most ``FEATURES`` numbers.
+    The sample are the texts with the smallest hashes, each once and with the number of its copies
+    as weight.  The driver sees pattern counts and the sample's features, at most ``sample`` rows of
+    at most ``FEATURES`` numbers.
     """
     prepare(docs.sparkSession)
     texts = docs.select(F.coalesce(F.col(f"`{text_column}`").cast("binary"), F.lit(b"")).alias("text"))
@@ -204,11 +205,12 @@ def train(docs: DataFrame, text_column: str = "text", sample: int = SAMPLE) -> Q
     codes = table["pattern"].to_numpy(np.int64)
     count = table["n"].to_numpy(np.float64)
     labels = fit_labels(codes[:, None] // powers % 3, count)
-    share = min(1.0, sample / max(1.0, count.sum()))
-    drawn = texts.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).limit(2 * sample)
+    named = texts.select(F.xxhash64("text").alias("name"), "text")
+    drawn = named.groupBy("name").agg(F.count("*").alias("n")).orderBy("name").limit(sample).toArrow()
+    chosen, copies = drawn["name"].to_numpy(), drawn["n"].to_numpy()
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in parts(whole, "text")):
+        for batch in (part for whole in wanted(batches) for part in parts(whole, "text")):
             doc, code, value = shape_features(batch, "text")
             key, inverse = np.unique(doc.astype(np.int64) * FEATURES + code, return_inverse=True)
             total = np.bincount(inverse, value, len(key)).astype(np.float32)
@@ -216,18 +218,30 @@ def train(docs: DataFrame, text_column: str = "text", sample: int = SAMPLE) -> Q
             lists = lambda flat: pa.ListArray.from_arrays(pa.array(bounds), pa.array(flat))
             good = labels.posterior(votes(batch, "text"))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(good), lists((key % FEATURES).astype(np.int32)), lists(total)],
-                names=["good", "feature", "value"],
+                [batch.column(0), pa.array(good), lists((key % FEATURES).astype(np.int32)), lists(total)],
+                names=["name", "good", "feature", "value"],
             )
 
-    got = drawn.mapInArrow(features, "good double, feature array<int>, value array<float>").toArrow()
-    got = got.combine_chunks()
+    def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # each text once a task: of copies in other tasks one stays below
+        seen: set[int] = set()
+        for batch in batches:
+            names = batch.column(0).to_numpy()
+            first = np.zeros(len(names), bool)
+            for i in np.flatnonzero(np.isin(names, chosen)):
+                first[i] = names[i] not in seen
+                seen.add(int(names[i]))
+            yield batch.filter(pa.array(first))
+
+    found = named.mapInArrow(features, "name bigint, good double, feature array<int>, value array<float>")
+    got = found.dropDuplicates(["name"]).orderBy("name").toArrow().combine_chunks()
     good = got["good"].to_numpy()
+    weight = copies[np.searchsorted(chosen, got["name"].to_numpy())]
     lists = got["feature"].combine_chunks()
     doc = np.repeat(np.arange(len(good)), lists.value_lengths().to_numpy().astype(np.int64)) if len(good) else np.zeros(0, np.int64)
     scorer = fit(
         doc, lists.flatten().to_numpy().astype(np.int64), got["value"].combine_chunks().flatten().to_numpy(),
-        np.stack([1 - good, good], axis=1), FEATURES,
+        np.stack([1 - good, good], axis=1), FEATURES, weight=weight,
     )
     return QualityModel(labels, scorer)
 
@@ -237,7 +251,7 @@ def score(docs: DataFrame, model: QualityModel, text_column: str = "text") -> Da
     from pyspark.sql import types as T
 
     added = ("posterior", "score")
-    rows = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c not in added))
+    rows = docs.select(*(F.col(f"`{c}`") for c in other_columns(docs, added)))
     schema = T.StructType([*rows.schema.fields, *(T.StructField(c, T.DoubleType()) for c in added)])
     labels, scorer = model.labels, model.scorer
 
@@ -256,4 +270,18 @@ def score(docs: DataFrame, model: QualityModel, text_column: str = "text") -> Da
 def classify(docs: DataFrame, threshold: float = 0.3, sample: int = SAMPLE, text_column: str = "text") -> DataFrame:
     """Train on ``docs`` and add ``posterior``, ``score`` and ``kept``: score at or above the threshold."""
     scored = score(docs, train(docs, text_column, sample), text_column)
-    return scored.withColumn("kept", F.col("score") >= threshold)
+    others = [F.col(f"`{c}`") for c in other_columns(scored, ("kept",))]
+    return scored.select(*others, (F.col("score") >= threshold).alias("kept"))
+
+
+def keep_good(docs: DataFrame, threshold: float = 0.3, sample: int = SAMPLE, text_column: str = "text") -> DataFrame:
+    """The rows that ``classify`` keeps, with their own columns only; rows stay in their tasks."""
+    model = train(docs, text_column, sample)
+    scorer, schema = model.scorer, docs.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in parts(whole, text_column)):
+            doc, code, value = shape_features(batch, text_column)
+            yield batch.filter(pa.array(scorer.probabilities(doc, code, value, batch.num_rows)[:, GOOD] >= threshold))
+
+    return docs.mapInArrow(run, schema)

@@ -59,15 +59,17 @@ def op1_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("page_id").cast("bigint").alias("key"), F.col("url").alias("target_uri"),
         F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("payload"),
     )
+    # the payloads travel through the assembly, and are hashed as they come out of it
     captures = warc.resolve_revisits(warc.archive_and_read(pages))
+    payload = F.col("response.payload")
     key = lambda column: F.expr(f"try_cast({column} AS bigint)")
     named = captures.withColumns({
         "own": warc.field(F.col("metadata"), "captureKey"),
         "other": warc.field(F.col("original_metadata"), "captureKey"),
     })
     return named.select(
-        key("own").alias("page_id"), "payload_bytes",
-        F.col("response.payload_digest").alias("payload_digest"),
+        key("own").alias("page_id"), F.coalesce(F.octet_length(payload).cast("bigint"), "payload_bytes").alias("payload_bytes"),
+        F.coalesce(F.sha1(payload), "response.payload_digest").alias("payload_digest"),
         F.col("response.record_type").alias("record_type"), key("other").alias("refers_to"),
     )
 
@@ -150,7 +152,7 @@ FROM n
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     index = exact_dedup.open_index(spark)
-    out = exact_dedup.dedup_batch(index, docs)
+    out = exact_dedup.dedup_ranges(index, docs)
     exact_dedup.close_index(spark, index)
     return out.select(
         F.col("id").alias("doc_id"), "keep_id", "group_size", "kept",
@@ -290,7 +292,8 @@ WITH t AS (
     FROM documents
 ), p AS (
     SELECT lang, regexp_extract_all(unnest(regexp_split_to_array(text, '[.,;:!?
-]')), '[^ 	]+') AS w
+
+]')), '[^ 	]+') AS w
     FROM t
 ), g AS (
     SELECT lang, w[s : s + k - 1] AS g, k FROM (

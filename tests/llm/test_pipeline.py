@@ -19,7 +19,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def test_entry_has_all_operators():
     names = entry.queries()
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(q.startswith(f"op{n}_") for q in names) == 1
     assert "pipeline" in names and set(queries.ORACLES) <= set(entry.oracle_sql())
 
@@ -59,6 +59,12 @@ def test_stages(spark):
         assert docs.columns == COLUMNS and len(after) == docs.count()
 
 
+def test_the_first_stage_leaves_columns_alone(spark):
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").withColumns({"score": F.lit(7.5), "kept": F.lit("own")})
+    out = corpus_pipeline.quality_classifier(spark, docs, SF_DIR)
+    assert out.columns == docs.columns and out.select("score", "kept").distinct().collect() == [(7.5, "own")]
+
+
 def test_stages_on_odd_rows(spark, make_docs, corpus):
     docs = make_docs([*corpus, (5, None), (None, "Null id text")]).select("doc_id", "text", "lang", "source", "n_chars", "score")
     sf_dir = new_table_path(spark, "odd")
