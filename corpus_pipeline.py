@@ -5,6 +5,10 @@ keeps, with the columns of ``documents``; the last adds ``n_tokens, posterior, r
 Stages write what they read more than once to the shared folder; ``run`` puts every stage's result
 there too.
 
+Extra columns stay as they are, also those named like an operator's own; the last stage replaces columns
+named like those that it adds, whatever their case.  Texts of any length are read whole; null texts count as
+empty ones, and among equal candidates the id decides, as each stage says.
+
 Defined results: a null id is no name, so stages that decide by id (near copies, contamination)
 keep its rows, and of near copies only those with ids are compared; rows with equal ids share the
 decisions of these two stages; an empty table passes through.
@@ -27,14 +31,14 @@ MIXTURE = (0.0, 0.05, 0.95)
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the scorer does not reject."""
     prepare(spark)
-    return quality.classify(docs).filter("kept").select(*docs.columns)
+    return quality.keep_good(docs)
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest id."""
     prepare(spark)
     index = exact_dedup.open_index(spark)
-    kept = exact_dedup.dedup_batch(index, docs).filter("kept").select("id", "digest")
+    kept = exact_dedup.dedup_ranges(index, docs).filter("kept").select("id", "digest")
     exact_dedup.close_index(spark, index)
     keys = {"id": F.col("doc_id").cast("bigint"), "digest": exact_dedup.digest_of(F.col("text"))}
     return keep_rows(docs, kept, keys)
