@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from assayer import rules
 from assayer.functions import paths as P
-from assayer.operators import KEY, chunks, retrieval, verdicts
+from assayer.operators import KEY, cells, chunks, retrieval, verdicts
 from assayer.operators.retrieval import Encoder
+from assayer.session import materialize
+from assayer.sources.vectors import VectorStore, add_collections, read_collections
 
 
 def build_vectors(files: DataFrame, encoder: Encoder, user_id: str = "shared") -> DataFrame:
@@ -30,6 +32,29 @@ def retrieve(
     return retrieval.assemble_context(hits, ["query_id", "collection"])
 
 
+def index_commits(files: DataFrame, store: VectorStore, encoder: Encoder, user_id: str = "shared", windows: bool = False) -> None:
+    """Index the chunks of all files: texts that the store knows are not encoded again.
+
+    Chunks are separator-aware, or fixed ``windows``.
+    """
+    made = chunks.window_chunks(files) if windows else chunks.chunk_files(files)
+    name = P.collection_key(F.lit(user_id), F.col("repo"), F.col("commit_sha"))
+    named = made.select(name.alias("collection"), F.col("chunk_id").alias("id"), "path", "chunk_index", "content")
+    add_collections(store, named, encoder)
+
+
+def answer(questions: DataFrame, store: VectorStore, encoder: Encoder, k: int = rules.TOP_K) -> DataFrame:
+    """``(query_id, collection, content)`` to prompt contexts, from the stored collections.
+
+    The best chunks are found in cells, exactly; contents join the hits, at most ``k`` a question.
+    """
+    found = materialize(read_collections(store, questions), "vectors")
+    asked = encoder(questions.withColumn("text_key", F.sha1("content"))).select("query_id", "collection", "embedding")
+    hits = cells.top_k(asked, cells.build_cells(found), k).hits
+    shown = hits.join(found.select("collection", "id", "path", "content"), ["collection", "id"])
+    return retrieval.assemble_context(shown, ["query_id", "collection"])
+
+
 @dataclass
 class Deepened:
     issues: DataFrame

@@ -315,6 +315,47 @@ def read_vectors(spark, sf_dir):
     return found.select("collection", "id", "content", F.element_at("embedding", 1).cast("double").alias("letters"))
 
 
+KINDS_ = 16
+
+
+def counted_words(df):
+    """An encoder that SQL can state: words by first letter and length."""
+    words = F.filter(F.split("content", " "), lambda w: w != "")
+    kind = lambda w: (F.ascii(w) + F.length(w)) % KINDS_
+    spread = df.withColumn("kinds", F.transform(words, kind))
+    count = lambda k: F.size(F.filter("kinds", lambda x: x == k))
+    counts = [count(k) for k in range(KINDS_)]
+    return spread.withColumn("embedding", F.array(*counts).cast("array<float>")).drop("kinds")
+
+
+_KINDS = f"list_transform(list_filter(string_split(content, ' '), lambda w: w <> ''), lambda w: (unicode(w) + length(w)) % {KINDS_})"
+_COUNTED = "[" + ", ".join(f"CAST(len(list_filter(kinds, lambda x: x = {k})) AS DOUBLE)" for k in range(KINDS_)) + "]"
+_PLACED = "sha1(concat_ws(':', repo, commit_sha, path, CAST(chunk_index AS VARCHAR)))"
+
+
+@query(
+    f"""WITH {FILES}, {WINDOWS}, held AS (SELECT repo, commit_sha, path, content, {_PLACED} AS id, {_KINDS} AS kinds FROM windows),
+    stored AS (SELECT *, {_COUNTED} AS e FROM held), asked AS (SELECT repo, commit_sha, arg_min(content, ord) AS content FROM files GROUP BY ALL),
+    questions AS (SELECT repo, commit_sha, {_COUNTED} AS q FROM (SELECT repo, commit_sha, {_KINDS} AS kinds FROM asked)),
+    scored AS (SELECT s.repo, s.commit_sha, s.path, s.content, s.id, round_even(coalesce(CASE WHEN list_sum(q.q) > 0 AND list_sum(s.e) > 0 THEN list_cosine_similarity(q.q, s.e) END, 0), 4) AS similarity
+      FROM stored s JOIN questions q USING (repo, commit_sha)),
+    hits AS (SELECT *, row_number() OVER (PARTITION BY repo, commit_sha ORDER BY similarity DESC, id) AS rank FROM scored)
+    SELECT concat(repo, '@', commit_sha) AS query_id, string_agg(concat('### ', path, chr(10), content), chr(10) || chr(10) ORDER BY rank) AS context FROM hits WHERE rank <= 8 GROUP BY ALL"""
+)
+def answered_questions(spark, sf_dir):
+    """A question per repository and commit through the whole second phase: chunks, stored vectors,
+    cells, ranking, context."""
+    rows = corpus(spark, sf_dir)
+    store = V.open_store(spark, new_table_path(spark, "store"), buckets=16)
+    deepen.index_commits(rows, store, counted_words, windows=True)
+    asked = rows.groupBy(*K).agg(F.min_by("content", "ord").alias("content"))
+    questions = asked.select(
+        F.concat_ws("@", *K).alias("query_id"),
+        deepen.P.collection_key(F.lit("shared"), F.col("repo"), F.col("commit_sha")).alias("collection"), "content",
+    )
+    return deepen.answer(questions, store, counted_words, 8).select("query_id", "context")
+
+
 @query()
 def retrieved_contexts(spark, sf_dir):
     """A question per repository and commit, answered from its own collection."""

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from assayer.operators import runs as R
 from assayer.plans.usage import usage_report as usage_plan
+from assayer.session import new_table_path
 from assayer.sources.answers import parse_events
-from assayer.streaming import progress
+from assayer.streaming import admission, progress
 from checks.registry import query, table
 
 AS_OF = "2024-01-15 12:00:00"
@@ -185,6 +186,19 @@ def admitted_requests(spark, sf_dir):
     return R.admit_under_limit(requests, 2).select("event_id", "accepted")
 
 
+@query("SELECT event_id, row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id) <= 2 AS accepted FROM events")
+def admitted_in_batches(spark, sf_dir):
+    """The same in three batches by time; the second is replayed, and then the last."""
+    requests = table(spark, sf_dir, "events").select("user_id", "event_id", "ts")
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    ends = requests.agg(F.min(micros).alias("a"), F.max(micros).alias("b")).first()
+    part = F.least(F.floor((micros - ends["a"]) * 3 / max(ends["b"] - ends["a"], 1)), F.lit(2))
+    path = new_table_path(spark, "admission")
+    for batch in (0, 1, 1, 2, 1, 2):
+        admission.admit_batch(requests.filter(part == batch), batch, path, limit=2)
+    return admission.decisions(spark, path).select("event_id", "accepted")
+
+
 @query("SELECT event_type AS key, strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS minute, count(*) AS requests FROM events GROUP BY ALL HAVING count(*) > 3")
 def request_rates(spark, sf_dir):
     requests = table(spark, sf_dir, "events").select(F.col("event_type").alias("key"), F.col("ts").cast("timestamp").alias("ts"))

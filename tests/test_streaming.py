@@ -114,3 +114,70 @@ def test_commits_are_scanned_once(spark, tmp_path):
         query.awaitTermination(120)
     assert sorted(scanned) == [(1, "s1"), (1, "s2"), (2, "s1")]
     assert spark.read.parquet(cache).count() == 3
+
+
+def test_admission_as_a_stream(spark, tmp_path):
+    """Three batches and a replay from the start decide like the batch operator on all rows."""
+    from assayer.operators import runs
+    from assayer.streaming import admission
+
+    schema = "user_id long, event_id long, ts timestamp"
+    rows = [
+        [(1, 10, at(5)), (1, 11, at(1)), (2, 12, at(2)), (1, 13, at(9))],
+        [(1, 14, at(20)), (2, 15, at(30)), (3, 16, at(31))],
+        [(2, 17, at(40)), (1, 18, at(1500)), (3, 19, at(41)), (3, 20, at(42))],
+    ]
+    stream = stream_of(spark, str(tmp_path), rows, schema)
+    whole = spark.createDataFrame([r for part in rows for r in part], schema)
+    expected = {(r.event_id, r.accepted) for r in runs.admit_under_limit(whole, 2).collect()}
+    path = f"{tmp_path}/admission"
+    for checkpoint in ("one", "two"):
+        query = admission.admit_requests(stream, path, 2).trigger(availableNow=True).option("checkpointLocation", f"{tmp_path}/{checkpoint}").start()
+        query.awaitTermination(300)
+        decided = admission.decisions(spark, path).collect()
+        assert {(r.event_id, r.accepted) for r in decided} == expected and len(decided) == 11
+    # another stream meets what this one has used
+    admission.admit_batch(spark.createDataFrame([(1, 99, at(60)), (4, 98, at(60))], schema), 0, path, 2, source="other")
+    other = {r.event_id: r.accepted for r in admission.decisions(spark, path).filter("source = 'other'").collect()}
+    assert other == {99: False, 98: True}
+
+
+def test_a_killed_batch_is_neither_lost_nor_scanned_twice(spark, tmp_path, monkeypatch):
+    schema = "repo_id long, commit_sha string, scan_version int, config_hash string, language string"
+    asked = spark.createDataFrame([(1, "s1", 6, "h", "fr"), (2, "s1", 6, "h", "fr")], schema)
+    cache, ledger = f"{tmp_path}/cache", f"{tmp_path}/ledger"
+    scanned = []
+
+    def scan(requests):
+        scanned.append(requests.count())
+        return requests.withColumn("payload", F.lit("p"))
+
+    def killed(*_):
+        raise RuntimeError("killed")
+
+    # between the scan and the put
+    monkeypatch.setattr(incremental, "cache_put", killed)
+    try:
+        incremental.scan_batch_once(asked, 0, cache, ledger, scan)
+    except RuntimeError:
+        pass
+    monkeypatch.undo()
+    assert scanned == [2]
+    incremental.scan_batch_once(asked, 0, cache, ledger, scan)
+    incremental.scan_batch_once(asked, 0, cache, ledger, scan)
+    assert scanned == [2] and spark.read.parquet(cache).count() == 2
+
+    # while it scans
+    def broken(requests):
+        raise RuntimeError("killed")
+
+    more = asked.withColumn("commit_sha", F.lit("s2"))
+    try:
+        incremental.scan_batch_once(more, 1, cache, ledger, broken)
+    except RuntimeError:
+        pass
+    incremental.scan_batch_once(more, 1, cache, ledger, scan)
+    assert scanned == [2, 2] and spark.read.parquet(cache).count() == 4
+    # a batch of what the cache has scans nothing
+    incremental.scan_batch_once(asked.unionAll(more), 2, cache, ledger, scan)
+    assert scanned == [2, 2, 0] and spark.read.parquet(cache).count() == 4
