@@ -23,6 +23,7 @@ from assayer.functions import text as T
 from assayer.operators import KEY
 from assayer.operators.findings import make_findings
 from assayer.operators.lines import ignore_rule_text
+from assayer.session import materialize
 
 AXIS = "gitignore_check"
 COMPILED = ArrayType(
@@ -143,51 +144,77 @@ def _compiled(regex: str) -> re.Pattern:
 
 
 class _Rules:
-    """The rules of one file: patterns compiled once, and what they say of directories."""
+    """The rules of one file, patterns compiled once."""
 
     def __init__(self, spec: tuple[tuple[str, bool], ...]) -> None:
         self.last_first = [(_compiled(regex), negated) for regex, negated in reversed(spec)]
-        self.directories: dict[str, bool] = {"": False}
 
     def matched(self, candidate: str) -> bool:
         """Does the last rule that matches the candidate ignore it?"""
         return next((not negated for p, negated in self.last_first if p.fullmatch(candidate)), False)
 
-    def below(self, directory: str) -> bool:
-        """Is the directory, or one above it, ignored?  Every directory is decided once."""
-        if directory not in self.directories:
-            parent = directory[: directory.rstrip("/").rfind("/") + 1]
-            if len(self.directories) > 1 << 16:
-                self.directories = {"": False}
-            self.directories[directory] = self.below(parent) or self.matched(directory)
-        return self.directories[directory]
 
-    def ignores(self, path: str) -> bool:
-        return self.below(path[: path.rfind("/") + 1]) or self.matched(path)
+ENTRIES = 1000  # of a directory, in one row
 
 
-@F.pandas_udf(BooleanType())
-def _ignored_by(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """Is the path, or a directory above it, ignored by the last rule that matches it?"""
+def directory_entries(paths: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Every directory as ``(…, dir)``, and what stands in it: ``(…, dir, names)``, folders with a slash.
+
+    A directory of many entries is several rows of about ``ENTRIES``.
+    """
+    parent = P.path_parent("path")
+    placed = paths.select(*KEY, "path", F.when(parent == ".", F.lit("")).otherwise(F.concat(parent, F.lit("/"))).alias("dir"))
+    files = placed.select(*KEY, "dir", F.expr("substring(path, length(dir) + 1)").alias("name"))
+    above = base_dirs(F.concat("dir", F.lit("x")))
+    dirs = files.select(*KEY, "dir").distinct().select(*KEY, F.explode(above).alias("dir")).distinct()
+    dirs = materialize(dirs, "directories")
+    folders = dirs.filter(F.col("dir") != "").select(
+        *KEY, F.regexp_extract("dir", "^(.*/)?[^/]+/$", 1).alias("in"), F.regexp_extract("dir", "([^/]+/)$", 1).alias("name")
+    )
+    entries = files.unionAll(folders.withColumnRenamed("in", "dir")).distinct()
+    parts = entries.groupBy(*KEY, "dir").agg(F.ceil(F.count("*") / ENTRIES).alias("parts"))
+    part = F.pmod(F.xxhash64("name"), F.col("parts")).alias("part")
+    listed = entries.join(parts, [*KEY, "dir"]).groupBy(*KEY, "dir", part).agg(F.collect_list("name").alias("names"))
+    return dirs, listed
+
+
+@F.pandas_udf(ArrayType(BooleanType()))
+def _matched(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """For every name of a directory: does the last rule that matches the path ignore it?"""
     known: dict[tuple, _Rules] = {}
-    for relative, specs in batches:
+    for relative, names, specs in batches:
         out = []
-        for path, spec in zip(relative, specs, strict=True):
+        for inside, listed, spec in zip(relative, names, specs, strict=True):
             key = tuple((rule["regex"], rule["negated"]) for rule in spec)
             if key not in known:
                 if len(known) > 256:
                     known.clear()
                 known[key] = _Rules(key)
-            out.append(known[key].ignores(path))
-        yield pd.Series(out, dtype="boolean")
+            out.append([known[key].matched(inside + name) for name in listed])
+        yield pd.Series(out)
 
 
 def ignored_paths(paths: DataFrame, specs: DataFrame) -> DataFrame:
-    """Distinct ignored ``(repo, commit_sha, path)``; any rule file that ignores is enough."""
-    based = paths.select(*KEY, "path", F.explode(base_dirs(F.col("path"))).alias("base"))
+    """Distinct ignored ``(repo, commit_sha, path)``; any rule file that ignores is enough.
+
+    Rules meet directories, not paths: a rule file travels once with each directory below it.  A path
+    is ignored if it is matched itself or lies below a matched directory, which its directory knows.
+    """
+    dirs, listed = directory_entries(paths)
+    above = base_dirs(F.concat("dir", F.lit("x")))
+    based = listed.select(*KEY, "dir", "names", F.explode(above).alias("base"))
     met = based.join(specs.select(*KEY, "base", "rules"), [*KEY, "base"])
-    relative = F.expr("substring(path, length(base) + 1)")
-    return met.filter(_ignored_by(relative, F.col("rules"))).select(*KEY, "path").distinct()
+    relative = F.expr("substring(dir, length(base) + 1)")
+    flagged = met.select(*KEY, "dir", F.explode(F.arrays_zip("names", _matched(relative, F.col("names"), F.col("rules")).alias("hit"))).alias("e"))
+    hits = flagged.filter("e.hit").select(*KEY, F.concat("dir", "e.names").alias("path")).distinct()
+    hits = materialize(hits, "matched")
+    chains = dirs.select(*KEY, "dir", F.explode(above).alias("path")).filter(F.col("path") != "")
+    closed = chains.join(hits, [*KEY, "path"], "left_semi").select(*KEY, "dir").distinct()
+    parent = P.path_parent("path")
+    placed = paths.select(*KEY, "path", F.when(parent == ".", F.lit("")).otherwise(F.concat(parent, F.lit("/"))).alias("dir"))
+    below = placed.join(closed, [*KEY, "dir"], "left_semi").select(*KEY, "path")
+    own = paths.select(*KEY, "path").join(hits, [*KEY, "path"], "left_semi")
+    return below.unionAll(own).distinct()
 
 
 def path_states(tracked: DataFrame, specs: DataFrame) -> DataFrame:

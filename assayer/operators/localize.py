@@ -8,23 +8,24 @@ from pyspark.sql import functions as F
 from assayer import rules
 from assayer.functions import text as T
 from assayer.messages import PARAM_NAMES
+from assayer.session import small_side
+
+MAX_MESSAGES = 10_000
 
 
 def with_template(
-    df: DataFrame, catalog: DataFrame, key: Column, lang: Column, name: str, bounded: bool = True
+    df: DataFrame, catalog: DataFrame, key: Column, lang: Column, name: str
 ) -> DataFrame:
     """Add column ``name``: the template of ``key`` in ``lang``, else in the default language,
     else the key itself.
 
-    One join, with one row per key.  ``bounded`` says that the catalog is a list of messages, as
-    the built-in one of about a hundred keys, which is broadcast; pass False for a catalog that
-    grows with data.
+    One join, with one row per key.  The catalog is counted: a list of messages, as the built-in one of
+    about a hundred keys, is broadcast, one of more than ``MAX_MESSAGES`` meets the rows by shuffle.
     """
     texts = catalog.groupBy(F.col("key").alias("_key")).agg(
         F.map_from_entries(F.collect_list(F.struct("lang", "template"))).alias("_texts")
     )
-    if bounded:
-        texts = F.broadcast(texts)
+    texts = small_side(texts, MAX_MESSAGES)
     keyed = df.withColumns({"_key": key, "_lang": T.normalize_lang(lang)})
     exact = F.try_element_at("_texts", F.col("_lang"))
     default = F.try_element_at("_texts", F.lit(rules.DEFAULT_LANGUAGE))
@@ -37,11 +38,10 @@ def with_template(
 
 def label(
     df: DataFrame, catalog: DataFrame, prefix: str, value: str, lang: Column, name: str,
-    bounded: bool = True,
 ) -> DataFrame:
     """A display label for ``value``, or the raw value when the catalog has none."""
     key = F.concat(F.lit(f"{prefix}."), F.col(value))
-    shown = with_template(df, catalog, key, lang, "_label", bounded)
+    shown = with_template(df, catalog, key, lang, "_label")
     return shown.withColumn(
         name, F.when(F.col("_label") == key, F.col(value)).otherwise(F.col("_label"))
     ).drop("_label")

@@ -118,3 +118,16 @@ def test_findings_of_several_repositories(make_files):
     assert seen["nested"] == set()
     assert seen["partial"] == {("rule_missing", "medium", ".env")}
     assert seen["itself"] == {("tracked_ignored", "medium", "main.c")}
+
+
+def test_rules_meet_directories(spark):
+    """A directory is a row, whatever stands below it; one of many entries is cut into several."""
+    paths = [("r", "c", f"big/f{i}.log") for i in range(5000)] + [("r", "c", "a/b/c/d.txt"), ("r", "c", "top.txt")]
+    frame = spark.createDataFrame(paths, "repo string, commit_sha string, path string")
+    dirs, listed = ignore.directory_entries(frame)
+    assert {r.dir for r in dirs.collect()} == {"", "big/", "a/", "a/b/", "a/b/c/"}
+    sizes = {}
+    for r in listed.collect():
+        sizes.setdefault(r.dir, []).append(len(r.names))
+    assert sizes[""] == [3] and sizes["a/"] == [1] and sizes["a/b/c/"] == [1]
+    assert sum(sizes["big/"]) == 5000 and len(sizes["big/"]) == 5 and max(sizes["big/"]) < 1200
