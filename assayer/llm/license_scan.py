@@ -154,39 +154,24 @@ def _spaces(text: Column) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit("")))
 
 
-def _places(norm: Column, rule: Column) -> Column:
-    """Intervals of words ``(rule, start, length)`` of all matches in `` w0 w1 … ``.
+PLACES = "array<struct<gap:int,length:int>>"
 
-    Pieces between matches and the matches themselves tell how many words stand before each.
-    Every word is followed by one space, and a match begins after a space and ends before one.
-    """
-    pattern = F.concat(F.lit("(?<= )(?:"), rule["pattern"], F.lit(")(?= )"))
-    found = F.regexp_extract_all(norm, pattern, F.lit(0))
-    pieces = F.split(norm, pattern)
-    start = lambda acc, piece, match: acc["next"] + _spaces(piece)
-    zero = F.struct(
-        F.lit(-1).alias("next"),
-        F.array().cast("array<struct<rule:int,start:int,length:int>>").alias("out"),
-    )
 
-    def step(acc: Column, pair: Column) -> Column:
-        at = start(acc, pair["piece"], pair["match"])
-        span = _spaces(pair["match"]) + 1
-        made = F.struct(
-            rule["id"].alias("rule"), at.cast("int").alias("start"), span.cast("int").alias("length")
-        )
-        # the space after the match opens the next piece and is counted there
-        return F.struct(
-            (at + span - 1).cast("int").alias("next"), F.concat(acc["out"], F.array(made)).alias("out")
-        )
+def _places(norm: Column, pattern: Column) -> Column:
+    """All matches in `` w0 w1 … ``: the words between a match and the one before, and its own number.
 
-    pairs = F.zip_with(
+    Every word is followed by one space, and a match begins after a space and ends before one.  Where
+    a match begins is a running sum, taken when matches are rows: nothing grows in here.
+    """
+    bounded = F.concat(F.lit("(?<= )(?:"), pattern, F.lit(")(?= )"))
+    found = F.regexp_extract_all(norm, bounded, F.lit(0))
+    pieces = F.split(norm, bounded)
+    return F.zip_with(
         F.slice(pieces, 1, F.size(found)), found,
-        lambda piece, match: F.struct(piece.alias("piece"), match.alias("match")),
+        lambda piece, match: F.struct(
+            _spaces(piece).cast("int").alias("gap"), (_spaces(match) + 1).cast("int").alias("length")
+        ),
     )
-    return F.when(
-        F.size(found) > 0, F.aggregate(pairs, zero, step, lambda acc: acc["out"])
-    ).otherwise(F.array().cast("array<struct<rule:int,start:int,length:int>>"))
 
 
 def detect(docs: DataFrame, rules: Sequence[Signature], id_column: str, text_column: str) -> DataFrame:
@@ -210,8 +195,11 @@ def detect(docs: DataFrame, rules: Sequence[Signature], id_column: str, text_col
     for word in gate_words(rules):
         hit = hit | F.contains("norm", F.lit(word))
     tried = F.filter(table, lambda r: F.contains(F.col("norm"), r["keyword"]))
-    places = F.flatten(F.transform(tried, lambda r: _places(F.col("norm"), r)))
-    none = F.array().cast("array<struct<rule:int,start:int,length:int>>")
+    found = F.transform(
+        tried, lambda r: F.struct(r["id"].alias("rule"), _places(F.col("norm"), r["pattern"]).alias("places"))
+    )
+    places = F.filter(found, lambda t: F.size(t["places"]) > 0)
+    none = F.array().cast(f"array<struct<rule:int,places:{PLACES}>>")
     return materialize(
         gated.select(
             F.monotonically_increasing_id().alias("row"), "id", "n_words",
@@ -228,9 +216,17 @@ def surviving(detections: DataFrame, rules: Sequence[Signature]) -> DataFrame:
     follows the number of detections.
     """
     priority = F.array(*(F.lit(r.priority) for r in rules))
-    rows = detections.select("row", F.explode("found").alias("d")).select(
-        "row", "d.rule", "d.start", (F.col("d.start") + F.col("d.length")).alias("stop"),
-        F.get(priority, F.col("d.rule")).alias("priority"),
+    matches = detections.select("row", F.explode("found").alias("d")).select(
+        "row", "d.rule", F.posexplode("d.places").alias("nth", "p")
+    )
+    # the space after a match opens the next piece and is counted there
+    along = Window.partitionBy("row", "rule").orderBy("nth")
+    gaps = F.sum("p.gap").over(along.rowsBetween(Window.unboundedPreceding, 0))
+    words = F.sum(F.col("p.length") - 1).over(along.rowsBetween(Window.unboundedPreceding, -1))
+    start = (gaps + F.coalesce(words, F.lit(0)) - 1).cast("int")
+    rows = matches.withColumn("start", start).select(
+        "row", "rule", "start", (F.col("start") + F.col("p.length")).alias("stop"),
+        F.get(priority, F.col("rule")).alias("priority"),
     )
     before = (
         Window.partitionBy("row")
