@@ -102,6 +102,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return written
 
 
+def gathered(df: DataFrame, rows: int, per_task: int = 50_000) -> DataFrame:
+    """``df``, known to have about ``rows`` rows, in as many tasks as these need.
+
+    For the small tables of an iteration: what is left of a shuffle need not be as many tasks, files
+    and folders as a large one has.  Only where the tasks are, never what they hold, depends on it.
+    """
+    return df.coalesce(max(1, -(-rows // per_task)))
+
+
 def discard(*frames: DataFrame | None) -> None:
     """Delete what ``materialize`` wrote for these frames, once nothing will read them any more.
 
@@ -111,9 +120,12 @@ def discard(*frames: DataFrame | None) -> None:
     for frame in frames:
         path = getattr(frame, "_written_to", None)
         if path is not None:
-            folder = frame.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            conf = frame.sparkSession.sparkContext._jsc.hadoopConfiguration()
-            folder.getFileSystem(conf).delete(folder, True)
+            delete_table(frame.sparkSession, path)
+
+
+def delete_table(spark: SparkSession, path: str) -> None:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def small_side(df: DataFrame, limit: int = 500_000) -> DataFrame:
