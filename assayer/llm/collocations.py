@@ -46,7 +46,7 @@ from assayer.session import materialize
 LONGEST = 5
 LEAST = 100
 TOP = 2000
-CHUNK = 1 << 21  # words folded together
+CHUNK = 1 << 21  # names folded together
 NO_WORD = 0
 PRUNED = 2  # orders above one word that windows are pruned by: pairs, then triples
 
@@ -116,15 +116,15 @@ def _folded(parts: Iterator[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarra
     for part in parts:
         held.append(part)
         counts.append(np.ones(part.shape[1], np.int64))
-        size += part.shape[1]
+        size += part.size
         if size < CHUNK:
             continue
         columns, n = fold(np.concatenate(held, axis=1), np.concatenate(counts))
-        if len(n) > CHUNK // 2:
+        if columns.size > CHUNK // 2:
             yield columns, n
             held, counts, size = [], [], 0
         else:
-            held, counts, size = [columns], [n], len(n)
+            held, counts, size = [columns], [n], columns.size
     if size:
         yield fold(np.concatenate(held, axis=1), np.concatenate(counts))
 
