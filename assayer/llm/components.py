@@ -1,52 +1,7 @@
-"""Connected components of a table of links, by alternating large and small stars."""
+"""Connected components of a table of links: the library's own."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from assayer.operators.components import components
 
-from assayer.session import materialize
-
-
-def _both_ways(edges: DataFrame) -> DataFrame:
-    return edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-
-
-def _large_star(edges: DataFrame) -> DataFrame:
-    """Hang every larger neighbour of a node below the smallest in its neighbourhood."""
-    near = _both_ways(edges)
-    least = near.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return near.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-
-
-def _small_star(edges: DataFrame) -> DataFrame:
-    """Hang a node and its smaller neighbours below the smallest of them."""
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionAll(least.select("u", F.col("m").alias("v")))
-
-
-def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """``node, root`` for every node that has a link; ``root`` is the smallest node reachable.
-
-    Loops and repeated links are allowed, nulls are not.  Every round is written to the shared
-    folder, so a lost executor costs one round at most; the number of rounds grows with the
-    logarithm of the longest chain.
-    """
-    edges = links.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u <> v").distinct()
-    edges = materialize(edges, "links")
-    state = None
-    while True:
-        edges = materialize(_small_star(_large_star(edges)).filter("u <> v").distinct(), "stars")
-        now = edges.agg(
-            F.count("*").alias("n"),
-            F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h"),
-        ).first()
-        if now == state:
-            break
-        state = now
-    roots = edges.select(F.col("v").alias("node")).distinct()
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(
-        roots.select("node", F.col("node").alias("root"))
-    )
+__all__ = ["components"]

@@ -53,7 +53,7 @@ from assayer.llm.common import (
     words_in,
 )
 from assayer.llm.components import components
-from assayer.session import materialize
+from assayer.session import discard, gathered, materialize
 
 SHINGLE = 4
 PERCENT = 85
@@ -274,29 +274,30 @@ def _may_reach(times: Column, n1: Column, n2: Column, percent: int) -> Column:
     return (times + F.greatest(rest(n1), rest(n2))) * (100 + percent) >= (n1 + n2) * percent
 
 
-def star_pairs(entries: DataFrame, percent: int, round_: int) -> DataFrame:
+def star_pairs(entries: DataFrame, percent: int, round_: int, rows: int) -> DataFrame:
     """One or two pairs per cluster: with the representative of its own and of the next lower size
     class that it shares most prefix shingles with, if these are enough.  Representatives come from the
     largest component that has their shingle, where copies with few changes meet, and are drawn anew
-    every round.  ``entries`` has ``cluster, n, root, size``.  Shingles that have another representative are not counted here, so a
+    every round.  ``entries`` has ``cluster, n, root, size``, and about so many ``rows``.  Shingles that have another representative are not counted here, so a
     link may be passed over; ``rest_pairs`` passes over none."""
     tagged = entries.withColumn("class", _size_class(F.col("n"), percent))
     pick = F.xxhash64("cluster", F.lit(round_))
     reps = tagged.groupBy("token", "class").agg(
         F.max(F.struct("size", pick.alias("h"), "cluster", "n", "root")).alias("rep"),
     )
+    reps = gathered(reps, rows)
     reps = reps.select(
         "token", F.explode(F.array(F.col("class"), F.col("class") + 1)).alias("class"), "rep",
         F.col("class").alias("rep_class"),
     )
-    met = tagged.join(reps, ["token", "class"]).filter(
+    met = gathered(tagged.join(reps, ["token", "class"]), rows).filter(
         (F.col("root") != F.col("rep.root")) & _compatible(F.col("n"), F.col("rep.n"), percent)
     )
     below = (F.col("class") - F.col("rep_class")).alias("below")
     counted = met.groupBy("cluster", below, "n", F.col("rep.cluster").alias("other"), F.col("rep.n").alias("n2")).agg(
         F.count("*").alias("times")
     )
-    counted = counted.filter(_may_reach(F.col("times"), F.col("n"), F.col("n2"), percent))
+    counted = gathered(counted.filter(_may_reach(F.col("times"), F.col("n"), F.col("n2"), percent)), rows)
     best = counted.groupBy("cluster", "below").agg(F.max(F.struct("times", "other")).alias("best"))
     return best.select("cluster", F.col("best.other").alias("other")).distinct()
 
@@ -338,8 +339,10 @@ def verified(texts: DataFrame, nodes: DataFrame, pairs: DataFrame, n: int, perce
     other texts by unread; an exact join drops what else it lets through.  Then every ``a`` moves to a
     part of its ``b``: a node in many pairs is dealt out in parts.
     """
-    pairs = materialize(pairs.filter("a <> b").distinct(), "pairs")
-    sides = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    pairs = pairs.filter("a <> b").distinct()
+    few = pairs.count()
+    pairs = materialize(gathered(pairs, few), "pairs")
+    sides = gathered(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), few)
     wanted = nodes.join(sides, "node", "left_semi").select(F.coalesce("least", F.lit(0).cast("bigint")).alias("least"))
     shared = texts.sparkSession.sparkContext.broadcast(bitmap_of(wanted, "least"))
 
@@ -362,8 +365,8 @@ def verified(texts: DataFrame, nodes: DataFrame, pairs: DataFrame, n: int, perce
             )
 
     made = texts.mapInArrow(sets, "node bigint, set binary")
-    parts = pairs.groupBy("b").agg(F.ceil(F.count("*") / PAIRS_PER_TASK).alias("parts"))
-    dealt = pairs.join(parts, "b").select(
+    parts = gathered(pairs.groupBy("b").agg(F.ceil(F.count("*") / PAIRS_PER_TASK).alias("parts")), few)
+    dealt = gathered(pairs.join(parts, "b"), few).select(
         F.col("a").alias("node"), "b", F.pmod(F.xxhash64("a"), F.col("parts")).alias("part"), F.lit(True).alias("member")
     )
     heads = parts.select(
@@ -393,7 +396,8 @@ def verified(texts: DataFrame, nodes: DataFrame, pairs: DataFrame, n: int, perce
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
     lined = sent.repartition("b", "part").sortWithinPartitions("b", "part", "member")
-    return materialize(lined.mapInArrow(compare, "a bigint, b bigint"), "verified")
+    # a set is some kB, so a task takes fewer of them
+    return materialize(gathered(lined.mapInArrow(compare, "a bigint, b bigint"), few, 2_000), "verified")
 
 
 def similar_components(
@@ -419,6 +423,7 @@ def similar_components(
     heads = materialize(heads, "heads")
     clusters = full.groupBy("cluster").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     entries = materialize(shared_entries(clusters, percent), "entries")
+    n_entries, n_heads = entries.count(), heads.count()
 
     check = lambda pairs: verified(texts, nodes, pairs, shingle, percent, frequent)
     named = lambda pairs: (  # noqa: E731  clusters to their first members
@@ -429,19 +434,21 @@ def similar_components(
     inner = nodes.join(heads.filter("members > 1"), "cluster").select(F.col("node").alias("a"), F.col("head").alias("b"))
     links, roots = None, None
     for round_ in range(STARS):
-        placed = _roots_of(heads, roots)
-        sizes = placed.groupBy("root").agg(F.count("*").alias("size"))
-        rooted = entries.join(materialize(placed.join(sizes, "root"), "placed"), "cluster")
-        pairs = named(star_pairs(rooted, percent, round_))
+        placed = gathered(_roots_of(heads, roots), n_heads)
+        sizes = gathered(placed.groupBy("root").agg(F.count("*").alias("size")), n_heads)
+        placed = materialize(gathered(placed.join(sizes, "root"), n_heads), "placed")
+        rooted = gathered(entries.join(placed, "cluster"), n_entries)
+        pairs = named(star_pairs(rooted, percent, round_, n_entries))
         if round_ == 0:
             pairs = pairs.unionAll(inner)
-        pairs = materialize(pairs.distinct(), "star-pairs")
+        pairs = materialize(gathered(pairs.distinct(), n_heads), "star-pairs")
         found = check(pairs)
         compared, linked = pairs.count(), found.count()
+        discard(placed, pairs)
         if round_ and not linked:
             break
         links = found if links is None else links.unionAll(found)
-        roots = materialize(components(links), "roots")
+        roots = materialize(gathered(components(links), n_heads), "roots")
         if linked * FEW < compared:
             break
     members = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
