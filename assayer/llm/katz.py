@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assayer.llm.common import SPACED, Words, binary_text, combine, most_frequent, prepare, signed, unsigned, words_in
-from assayer.session import new_table_path
+from assayer.session import delete_table, new_table_path
 
 EPSILON = 0.0
 K = 5
@@ -277,6 +277,9 @@ def train(texts: DataFrame, epsilon: float = EPSILON, k: int = K, cached: int =
     past = histories.select(F.col("h").alias("word"), "log_alpha")
     known = words.select("word", "n").join(past.hint("merge"), "word", "left").fillna(0.0, ["log_alpha"])
     _store(known, "word", tables.known)
+    # the model holds what scoring asks for
+    for path in (tables.bigrams, tables.rare):
+        delete_table(spark, path)
     hot = most_frequent(model.select("key", "n", "delta"), cached)
     order = np.argsort(hot["key"].to_numpy())
     return Model(
