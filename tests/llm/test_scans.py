@@ -125,3 +125,30 @@ def test_index_answers_phrases_and_proximity(spark, make_docs):
     near = spark.createDataFrame([(6, "a b c")], "item_id long, text string")
     found = {(r.doc_id, r.doc_word) for r in decontaminate.proximity_matches(index, near, 2).collect()}
     assert all(doc in (1, 2) for doc, _ in found) and {doc for doc, _ in found} == {1, 2}
+
+
+@pytest.mark.parametrize("within", [1, 4, 30])
+def test_proximity_against_brute_force(spark, make_docs, within):
+    import random
+
+    draw = random.Random(13)
+    vocabulary = [f"v{i}" for i in range(12)]
+    docs = [(i, " ".join(draw.choice(vocabulary) for _ in range(draw.randint(0, 60)))) for i in range(40)]
+    docs += [(100, "r1 v1 v2"), (101, "v1 x v2 x r1"), (102, "r1 r1 v2 v1 r1"), (103, None)]
+    docs += [(200 + i, f"r2 {' x' * i} v3") for i in range(8)]
+    items = [(1, "r1 v1 v2"), (2, "v3 r2"), (3, "r1"), (4, "r1 missing"), (5, "v3 v3 r2 r2")]
+    index = decontaminate.build_index(make_docs(docs))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(int(r.item_id), r.doc_id, r.doc_word) for r in decontaminate.proximity_matches(index, bench, within).collect()}
+    split = {i: [w.decode() for w in words_of(t)] for i, t in docs}
+    expected = set()
+    for item, text in items:
+        wanted = set(text.split())
+        rarest = next(w for w in ("r1", "r2") if w in wanted)  # each occurs less often than any other word
+        if "missing" in wanted:
+            continue
+        for i, words in split.items():
+            for at, word in enumerate(words):
+                if word == rarest and wanted <= set(words[max(0, at - within) : at + within + 1]):
+                    expected.add((item, i, at))
+    assert got == expected and got
