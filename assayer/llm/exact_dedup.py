@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from assayer.llm.common import ascii_lower, prepare
 from assayer.session import materialize, new_table_path
 
-BUCKETS = 64
-PARTS = 4
+BUCKETS = 256  # no fewer than the tasks that write, so that each writes one file
+PARTS = 3
 
 
 @dataclass(frozen=True)
