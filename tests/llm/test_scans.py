@@ -52,6 +52,24 @@ LICENSED = [
 ]
 
 
+SENTENCES = [
+    (20, "You may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
+    (21, "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."),
+    (22, "The Software shall be used for Good, not Evil. Copyright 2002"), (23, "Server Side Public License, version 1"),
+    (24, "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License"),
+    (25, "Open Government Licence v3.0 contains public sector information licensed under"), (26, "mulan psl v2 licence"),
+]
+
+
+def test_sentences_of_licences(make_docs):
+    rules = license_scan.signatures()
+    got = {r.id: (r.labels, round(r.score, 9)) for r in license_scan.scan(make_docs(SENTENCES)).collect()}
+    assert got == {i: brute_scan(t, rules, 3)[-2:] for i, t in SENTENCES}
+    assert "apache-2.0" in got[20][0] and "bsd" in got[21][0] and "json" in got[22][0] and "sspl" in got[23][0] and "ogl" in got[25][0]
+    written = len(license_scan._SENTENCES) + len(license_scan._PHRASES)
+    assert written > 190 and len({r.pattern for r in rules}) > 500
+
+
 def test_license_scan(make_docs):
     rules = license_scan.signatures()
     assert 200 < len(rules) and all(r.keyword for r in rules)
