@@ -87,8 +87,8 @@ def spread(df: DataFrame, limit: int = 64) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back.
+def materialize(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back, compressed as said or as the session says.
 
     Cuts lineage for results that several branches of a plan read; unlike an in-memory cache
     it survives the loss of executors, and unlike ``checkpoint()`` it stays columnar, so
@@ -96,7 +96,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = new_table_path(spark, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     written = spark.read.schema(df.schema).parquet(path)
     written._written_to = path  # for discard
     return written
