@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from assayer.llm.common import prepare
-from assayer.session import materialize, new_table_path
+from assayer.session import delete_table, materialize, new_table_path
 
 MIN_REVISIT_BYTES = 1000
 DATE = "2024-01-01T00:00:00Z"
@@ -315,9 +315,12 @@ def archive_and_read(
 ) -> DataFrame:
     """Write ``key, target_uri, payload`` rows as archives in the shared folder and read them back.
 
-    The nested rows hold the payloads, or only their length and digest.
+    The nested rows hold the payloads, or only their length and digest.  The archives go once they are
+    read; ``write_warc`` writes ones that stay.
     """
     spark = prepare(captures.sparkSession)
     path = new_table_path(spark, "warc")
     write_warc(plan_revisits(captures, min_bytes), path)
-    return assemble(materialize(read_warc(spark, path, with_payload), "warc-records"))
+    records = materialize(read_warc(spark, path, with_payload), "warc-records", compression="zstd")
+    delete_table(spark, path)
+    return assemble(records)
