@@ -47,9 +47,42 @@ def chunk_stats(spark, sf_dir):
     return chunks.chunk_stats(rows, chunks.window_chunks(rows))
 
 
-@query()
+def _sql_texts(values):
+    return "[" + ", ".join("'" + v + "'" for v in values) + "]"
+
+
+_OWN_SEPARATORS = " ".join(
+    f"WHEN '.{name}' THEN {_sql_texts(values)}" for name, values in rules.LANGUAGE_SEPARATORS.items()
+)
+# A node is a text that is cut by the first separator it holds; pieces that are too long are nodes of the
+# next level, runs of the others are packed.  ``key`` is the path of piece numbers that leads to a node.
+_CUT = """SELECT ord, key, size_, overlap, CASE WHEN sep <> '' THEN seps[chosen + 1:] ELSE [] END AS finer,
+    CASE WHEN sep = '' THEN string_split(t, '') ELSE list_filter(list_transform(string_split(t, sep), lambda x, i: CASE WHEN i = 1 THEN x ELSE concat(sep, x) END), lambda x: x <> '') END AS pieces
+  FROM (SELECT *, seps[chosen] AS sep FROM (SELECT *, coalesce(list_position(list_transform(seps, lambda x: x = '' OR contains(t, x)), TRUE), len(seps)) AS chosen FROM node))"""
+RECURSIVE = f"""{SIZES}, whole AS (SELECT s.*, CASE WHEN lower({NAME}) = 'readme.md' THEN {_sql_texts(rules.README_SEPARATORS)} ELSE CASE lower({SUFFIX}) {_OWN_SEPARATORS} ELSE {_sql_texts(rules.DEFAULT_SEPARATORS)} END END AS seps
+    FROM sized s WHERE {sql_strip('content')} <> '' AND NOT (lower({NAME}) = 'readme.md' AND ord < (SELECT max(f.ord) FROM files f WHERE f.repo = s.repo AND f.commit_sha = s.commit_sha AND lower({NAME.replace('path', 'f.path')}) = 'readme.md'))),
+  node AS (SELECT ord, CAST([] AS INT[]) AS key, content AS t, seps, size_, overlap FROM whole
+    UNION ALL SELECT ord, list_append(key, i), piece, finer, size_, overlap FROM (SELECT *, unnest(pieces) AS piece, CAST(generate_subscripts(pieces, 1) AS INT) AS i FROM ({_CUT})) WHERE length(piece) >= size_ AND len(finer) > 0),
+  pieces AS (SELECT *, count(*) FILTER (WHERE long) OVER (PARTITION BY ord, key ORDER BY i ROWS UNBOUNDED PRECEDING) AS run
+    FROM (SELECT *, length(piece) >= size_ AS long FROM (SELECT *, unnest(pieces) AS piece, CAST(generate_subscripts(pieces, 1) AS INT) AS i FROM ({_CUT})))),
+  runs AS (SELECT ord, key, min(i) AS i, size_, overlap, list(piece ORDER BY i) AS p, list_prepend(0, list(before ORDER BY i)) AS pre
+    FROM (SELECT *, CAST(sum(length(piece)) OVER (PARTITION BY ord, key, run ORDER BY i) AS BIGINT) AS before FROM pieces WHERE NOT long) GROUP BY ord, key, run, size_, overlap),
+  packs AS (SELECT ord, key, i, size_, overlap, p, pre, 1 AS first, 0 AS nth, len(list_filter(pre[2:], lambda x: x <= size_)) AS last FROM runs
+    UNION ALL SELECT ord, key, i, size_, overlap, p, pre, first, nth, first - 1 + len(list_filter(pre[first + 1:], lambda x: x - pre[first] <= size_)) FROM
+      (SELECT ord, key, i, size_, overlap, p, pre, nth + 1 AS nth, first + len(list_filter(pre[first:last], lambda x: pre[last + 1] - x > overlap OR pre[last + 2] - x > size_)) AS first FROM packs WHERE last < len(p))),
+  made AS (SELECT ord, list_append(key, i) AS key, nth, {sql_strip("array_to_string(p[first:last], '')")} AS content FROM packs
+    UNION ALL SELECT ord, list_append(key, i), 0, {sql_strip('piece')} FROM pieces WHERE long AND len(finer) = 0),
+  chunked AS (SELECT f.repo, f.commit_sha, f.path, {README_TYPE.replace('path', 'f.path')} AS file_type, m.content,
+      CAST(row_number() OVER (PARTITION BY m.ord ORDER BY m.key, m.nth) - 1 AS INTEGER) AS chunk_index, CAST(count(*) OVER (PARTITION BY m.ord) AS INTEGER) AS total_chunks
+    FROM made m JOIN files f ON f.ord = m.ord WHERE length(m.content) > {rules.MIN_CHUNK_CHARS})"""
+
+
+@query(
+    f"""WITH RECURSIVE {FILES}, {RECURSIVE} SELECT repo, commit_sha, path, sha1(concat_ws(':', repo, commit_sha, path, CAST(chunk_index AS VARCHAR))) AS chunk_id,
+    file_type, chunk_index, total_chunks, content FROM chunked"""
+)
 def recursive_chunks(spark, sf_dir):
-    """Separator-aware chunks; checked against a plain reading of the algorithm in the tests."""
+    """Separator-aware chunks of every file."""
     return chunks.chunk_files(corpus(spark, sf_dir)).select(
         *K, "path", "chunk_id", "file_type", "chunk_index", "total_chunks", "content"
     )
