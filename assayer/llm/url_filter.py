@@ -26,6 +26,7 @@ from assayer.session import materialize
 
 WORDS = 8
 BITS_PER_URL = 16
+MAX_HASHED = 50_000_000  # listed URLs, some 100 bytes each, dealt over the shuffle's parts
 MAX_BLOCKS = 1 << 17
 TRACKING = r"^(utm_[^=]*|gclid|fbclid|ref)(=.*)?$"
 
@@ -107,6 +108,7 @@ def _masks(hash_: Column) -> list[Column]:
 
 @dataclass(frozen=True)
 class BlockedBloom:
+    listed: int
     blocks: int
     table: DataFrame  # block, w0 … w7: at most ``blocks`` rows
 
@@ -123,7 +125,7 @@ def build_filter(
         mask.alias(f"w{i}") for i, mask in enumerate(_masks(F.col("h")))
     ))
     table = parts.groupBy("block").agg(*(F.bit_or(f"w{i}").alias(f"w{i}") for i in range(WORDS)))
-    return BlockedBloom(blocks, table)
+    return BlockedBloom(n, blocks, table)
 
 
 def may_be_listed(rows: DataFrame, column: str, bloom: BlockedBloom, flag: str) -> DataFrame:
@@ -172,8 +174,10 @@ def judge(
     rows = may_be_listed(rows, "canonical", bloom, f"{own}maybe")
     ask = F.col(f"{own}maybe") & F.col("rule").isNull()
     done = rows.filter(~ask).withColumn("verdict", F.coalesce(by_rule, F.lit("allow")))
-    # Only possible hits move, and the exact hash join takes the false positives out.
-    exact = listed.withColumn(f"{own}listed", F.lit(True)).hint("shuffle_hash")
+    # Only possible hits move, and the exact hash join takes the false positives out.  A list whose
+    # parts might not fit in memory meets them sorted, which spills.
+    how = "shuffle_hash" if bloom.listed <= MAX_HASHED else "merge"
+    exact = listed.withColumn(f"{own}listed", F.lit(True)).hint(how)
     asked = rows.filter(ask).join(exact, "canonical", "left")
     asked = asked.withColumn(
         "verdict", F.when(F.col(f"{own}listed"), F.lit("block")).otherwise(F.lit("allow"))
