@@ -61,7 +61,7 @@ MAX_FREQUENT = 1 << 16
 CHUNK = 1 << 21  # shingles counted together
 OFTEN = 2  # times in a chunk
 STARS = 8  # rounds at most
-FEW = 100  # a round that links fewer than one in so many pairs is the last
+FEW = 50  # a round that links fewer than one in so many pairs is the last
 PAIRS_PER_TASK = 512
 PARITY = 512  # bits
 MOST = 1 << 16  # groups of one shingle are told apart up to this number
