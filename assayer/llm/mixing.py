@@ -85,8 +85,10 @@ def train(
     got = texts.mapInArrow(features, "domain int, feature array<int>").toArrow().combine_chunks()
     domain = got["domain"].to_numpy().astype(np.int64)
     lists = got["feature"].combine_chunks()
-    doc = np.repeat(np.arange(len(domain)), lists.value_lengths().to_numpy().astype(np.int64)) if len(domain) else np.zeros(0, np.int64)
-    feature = lists.flatten().to_numpy().astype(np.int64)
+    doc = np.repeat(np.arange(len(domain), dtype=np.int32), lists.value_lengths().to_numpy()) if len(domain) else np.zeros(0, np.int32)
+    feature = lists.flatten().to_numpy().astype(np.int32)
+    del got, lists
+    pa.default_memory_pool().release_unused()
     # a word of one document tells nothing about others
     often = np.bincount(feature, minlength=FEATURES)[feature] >= 3
     doc, feature = doc[often], feature[often]

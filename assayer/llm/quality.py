@@ -238,11 +238,11 @@ def train(docs: DataFrame, text_column: str = "text", sample: int = SAMPLE) -> Q
     good = got["good"].to_numpy()
     weight = copies[np.searchsorted(chosen, got["name"].to_numpy())]
     lists = got["feature"].combine_chunks()
-    doc = np.repeat(np.arange(len(good)), lists.value_lengths().to_numpy().astype(np.int64)) if len(good) else np.zeros(0, np.int64)
-    scorer = fit(
-        doc, lists.flatten().to_numpy().astype(np.int64), got["value"].combine_chunks().flatten().to_numpy(),
-        np.stack([1 - good, good], axis=1), FEATURES, weight=weight,
-    )
+    doc = np.repeat(np.arange(len(good), dtype=np.int32), lists.value_lengths().to_numpy()) if len(good) else np.zeros(0, np.int32)
+    feature, value = lists.flatten().to_numpy(), got["value"].combine_chunks().flatten().to_numpy()
+    scorer = fit(doc, feature, value, np.stack([1 - good, good], axis=1), FEATURES, weight=weight)
+    del got, lists, feature, value
+    pa.default_memory_pool().release_unused()
     return QualityModel(labels, scorer)
 
 
