@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayer.operators.retrieval import Encoder
-from assayer.session import materialize
+from assayer.session import materialize, small_side
 from assayer.sources import bucketed
 from assayer.sources.bucketed import BucketedTable
 
@@ -41,14 +41,14 @@ def open_store(spark: SparkSession, path: str, buckets: int = bucketed.BUCKETS)
 def add_collections(store: VectorStore, chunks: DataFrame, encoder: Encoder) -> None:
     """Index ``(collection, id, path, chunk_index, content)``; collections already there stay as they are."""
     spark = chunks.sparkSession
-    there = store.references.frame(spark).select("collection").distinct()
-    fresh = chunks.join(there.hint("merge"), "collection", "left_anti").withColumn("text_key", F.sha1("content"))
+    # names of collections go to the chunks: few hold all contents, which would else meet in as few tasks
+    there = small_side(store.references.frame(spark).select("collection").distinct())
+    fresh = chunks.join(there, "collection", "left_anti").withColumn("text_key", F.sha1("content"))
     fresh = materialize(fresh.select("collection", "id", "text_key", "path", "chunk_index", "content"), "chunks")
     # copies fold in their tasks, then whole buckets of stored digests are passed by
     texts = fresh.select("text_key", "content").dropDuplicates(["text_key"])
     known = store.texts.frame(spark).select("text_key").hint("merge")
-    unseen = materialize(texts.join(known, "text_key", "left_anti"), "unseen")
-    bucketed.append(store.texts, encoder(unseen))
+    bucketed.append(store.texts, encoder(texts.join(known, "text_key", "left_anti")))
     bucketed.append(store.references, fresh)
 
 
