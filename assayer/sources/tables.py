@@ -40,6 +40,15 @@ def table_exists(spark: SparkSession, path: str) -> bool:
 # --- scan cache ---------------------------------------------------------------------------
 
 
+def stored_keys(cache: DataFrame) -> DataFrame:
+    """The keys of a cache as a join side that is sorted and may spill.
+
+    Keys repeat most of their columns, so the files say little of how many there are: a cache that
+    is broadcast on the size of its files takes many times as much memory in every task.
+    """
+    return cache.select(*CACHE_KEY).hint("merge")
+
+
 def cache_split(requests: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(hits with payload, misses)`` of requests on the five-column key.
 
@@ -49,13 +58,13 @@ def cache_split(requests: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataF
     asked = small_side(requests.select(*CACHE_KEY).distinct())
     stored = cache.select(*CACHE_KEY, "payload").join(asked, CACHE_KEY, "left_semi")
     hits = requests.join(stored.dropDuplicates(CACHE_KEY), CACHE_KEY)
-    misses = requests.join(cache.select(*CACHE_KEY), CACHE_KEY, "left_anti")
+    misses = requests.join(stored_keys(cache), CACHE_KEY, "left_anti")
     return hits, misses
 
 
 def cache_additions(cache: DataFrame, new: DataFrame) -> DataFrame:
     """Rows to append: one per new key; keys already there are left alone."""
-    return new.dropDuplicates(CACHE_KEY).join(cache.select(*CACHE_KEY), CACHE_KEY, "left_anti")
+    return new.dropDuplicates(CACHE_KEY).join(stored_keys(cache), CACHE_KEY, "left_anti")
 
 
 def cache_put(spark: SparkSession, path: str, new: DataFrame) -> None:

@@ -37,3 +37,16 @@ def test_contents_do_not_meet_by_collection(spark, monkeypatch):
     assert store.texts.frame(spark).select("text_key").distinct().count() == store.texts.frame(spark).count() == 7
     bucketed.forget(spark, store.texts)
     bucketed.forget(spark, store.references)
+
+
+def test_a_stored_cache_is_not_broadcast(spark):
+    path = new_table_path(spark, "growth")
+    key = ["id AS repo_id", "'c' AS commit_sha", "1 AS scan_version", "'h' AS config_hash", "'fr' AS language", "'p' AS payload"]
+    tables.cache_put(spark, path, spark.range(30).selectExpr(*key))
+    new = spark.range(20, 50).selectExpr(*key)
+    stored = spark.read.parquet(path)
+    added = tables.cache_additions(stored, new)
+    _, misses = tables.cache_split(new.drop("payload"), stored)
+    for found in (added, misses):
+        assert "Broadcast" not in formatted(found)
+        assert {r["repo_id"] for r in found.collect()} == set(range(30, 50))
