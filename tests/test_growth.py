@@ -50,3 +50,16 @@ def test_a_stored_cache_is_not_broadcast(spark):
     for found in (added, misses):
         assert "Broadcast" not in formatted(found)
         assert {r["repo_id"] for r in found.collect()} == set(range(30, 50))
+
+
+def test_orders_are_not_broadcast_to_their_lines(spark, tmp_path, monkeypatch):
+    from checks import joins
+
+    spark.range(40).selectExpr("id AS o_orderkey", "if(id % 2 = 0, 'F', 'O') AS o_orderstatus").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.range(120).selectExpr("id % 40 AS l_orderkey", "id DIV 40 + 1 AS l_linenumber").write.parquet(f"{tmp_path}/lineitem.parquet")
+    plans, put = [], versions.put_group
+    monkeypatch.setattr(versions, "put_group", lambda table, rows, groups: (plans.append(formatted(rows)), put(table, rows, groups)))
+    found = joins.results_by_version(spark, str(tmp_path))
+    assert len(plans) == 3 and not any("BroadcastHashJoin" in plan for plan in plans)
+    assert found.filter("status = 'first'").count() == 60
+    assert found.filter("status = 'second'").count() == len([k for k in range(0, 40, 2) if k % 3]) * 2
