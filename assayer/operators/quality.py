@@ -98,16 +98,44 @@ PATHS_ADDED = {
     ast.BoolOp: lambda node: len(node.values) - 1,
     ast.comprehension: lambda node: 1 + len(node.ifs),
 }
+# Nothing that counts stands below these, and most nodes of a tree are one of them.
+LEAVES = frozenset(
+    [ast.Constant, ast.Name, ast.Pass, ast.Break, ast.Continue, ast.Global, ast.Nonlocal, ast.Import, ast.ImportFrom, ast.alias]
+    + [kind for base in (ast.operator, ast.unaryop, ast.cmpop, ast.boolop, ast.expr_context) for kind in base.__subclasses__()]
+)
+
 
+def scored_functions(tree: ast.AST) -> list[tuple[ast.AST, int]]:
+    """Every function with the branches below it, level by level as ``ast.walk`` meets them.
 
-def branch_count(node: ast.AST) -> int:
-    """Branches below a node, nested functions and classes left out; nesting may be of any depth."""
-    total, level = 0, [node]
+    Branches belong to the innermost function, those of a nested class to none; one walk serves all
+    functions, and nesting may be of any depth.
+    """
+    found: list[ast.AST] = []
+    totals: list[int] = []
+    level = [(tree, None)]
     while level:
-        inner = [c for n in level for c in ast.iter_child_nodes(n) if not isinstance(c, SCOPES)]
-        total += sum(PATHS_ADDED[type(c)](c) for c in inner if type(c) in PATHS_ADDED)
-        level = inner
-    return total
+        below = []
+        for node, owner in level:
+            for name in node._fields:
+                value = getattr(node, name, None)
+                for child in value if type(value) is list else (value,):
+                    kind = type(child)
+                    if kind in LEAVES or not isinstance(child, ast.AST):
+                        continue
+                    if kind in SCOPES:
+                        if kind is ast.ClassDef:
+                            below.append((child, None))
+                        else:
+                            below.append((child, len(found)))
+                            found.append(child)
+                            totals.append(0)
+                        continue
+                    if owner is not None and kind in PATHS_ADDED:
+                        totals[owner] += PATHS_ADDED[kind](child)
+                    below.append((child, owner))
+        level = below
+    return list(zip(found, totals))
 
 
 def _python_functions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -124,9 +152,9 @@ def _python_functions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]
             except (RecursionError, MemoryError):
                 rows.append((*place, None, None, None, None, "too_deep"))
                 continue
-            found = [n for n in ast.walk(tree) if isinstance(n, SCOPES[:2])]
             rows += [
-                (*place, i, n.name, n.lineno, 1 + branch_count(n), None) for i, n in enumerate(found)
+                (*place, i, n.name, n.lineno, 1 + branches, None)
+                for i, (n, branches) in enumerate(scored_functions(tree))
             ]
         yield pd.DataFrame(rows, columns=columns)
 

@@ -63,3 +63,28 @@ def test_orders_are_not_broadcast_to_their_lines(spark, tmp_path, monkeypatch):
     assert len(plans) == 3 and not any("BroadcastHashJoin" in plan for plan in plans)
     assert found.filter("status = 'first'").count() == 60
     assert found.filter("status = 'second'").count() == len([k for k in range(0, 40, 2) if k % 3]) * 2
+
+
+def test_one_walk_scores_all_functions():
+    source = """
+@deco(1 if a else 2)
+def outer(x=1 if a else 2):
+    class C:
+        y = 1 if a else 2
+        def method(self):
+            return [i for i in x if i if x]
+    async def inner():
+        while a and b and c:
+            try:
+                pass
+            except E:
+                pass
+    match x:
+        case 1:
+            pass
+    return lambda: 0 if a else 1
+"""
+    scored = quality.scored_functions(ast.parse(source))
+    assert [(n.name, branches) for n, branches in scored] == [("outer", 4), ("inner", 4), ("method", 3)]
+    deep = ast.parse("def f():\n    return " + "1 + " * 900 + "(1 if a else 2)\n")
+    assert [branches for _, branches in quality.scored_functions(deep)] == [1]
