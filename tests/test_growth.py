@@ -88,3 +88,20 @@ def outer(x=1 if a else 2):
     assert [(n.name, branches) for n, branches in scored] == [("outer", 4), ("inner", 4), ("method", 3)]
     deep = ast.parse("def f():\n    return " + "1 + " * 900 + "(1 if a else 2)\n")
     assert [branches for _, branches in quality.scored_functions(deep)] == [1]
+
+
+def test_a_file_of_one_row_group_is_shared_out(spark, tmp_path):
+    spark.range(4000).selectExpr("id", "repeat(sha2(string(id), 256), 4) AS text").coalesce(1).write.parquet(f"{tmp_path}/t")
+    size, cost = "spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"
+    before = {name: spark.conf.get(name) for name in (size, cost)}
+    spark.conf.set(size, "20000")
+    spark.conf.set(cost, "1")
+    try:
+        source = spark.read.parquet(f"{tmp_path}/t")
+        assert source.rdd.getNumPartitions() > spark.sparkContext.defaultParallelism
+        shared = spread(source)
+        assert shared.select(F.spark_partition_id()).distinct().count() == spark.sparkContext.defaultParallelism
+        assert re.search("REPARTITION", formatted(shared)) and shared.count() == 4000
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
