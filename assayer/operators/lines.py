@@ -94,7 +94,15 @@ def env_reads(line: Column) -> Column:
     )
 
 
-MAY_READ_ENV = r"os\.getenv|os\.environ|process\.env|import\.meta\.env|ENV\["
+MAY_READ_ENV = ["os.getenv", "os.environ", "process.env", "import.meta.env", "ENV["]
+
+
+def may_read_env(text: Column) -> Column:
+    """A search for fixed pieces: many times faster over whole contents than one pattern of them."""
+    found = F.contains(text, F.lit(MAY_READ_ENV[0]))
+    for piece in MAY_READ_ENV[1:]:
+        found = found | F.contains(text, F.lit(piece))
+    return found
 
 
 def env_declaration(line: Column) -> Column:
@@ -146,7 +154,7 @@ def line_hits(
     applies = {
         "secret": ~P.is_env_template(path) & secret_hint(content, secret_rules, whole_file=True),
         "links": P.is_markdown(path) & F.contains(content, F.lit("](")),
-        "env": ~P.is_markdown(path) & ~P.is_test_path(path) & content.rlike(MAY_READ_ENV),
+        "env": ~P.is_markdown(path) & ~P.is_test_path(path) & may_read_env(content),
         "declared": P.is_env_template(path),
         "tokens": P.is_markdown(path),
         "requirement": P.path_name(path) == rules.REQUIREMENTS_FILE,
@@ -162,7 +170,7 @@ def line_hits(
     in_line = {
         "secret": secret_hint(line, secret_rules, whole_file=False),
         "links": F.contains(line, F.lit("](")),
-        "env": line.rlike(MAY_READ_ENV),
+        "env": may_read_env(line),
         "declared": F.contains(line, F.lit("=")),
         "tokens": line.rlike("[A-Z]{3}|[A-Z][A-Z0-9_]{2}"),
         "requirement": F.lit(True),

@@ -105,3 +105,12 @@ def test_a_file_of_one_row_group_is_shared_out(spark, tmp_path):
     finally:
         for name, value in before.items():
             spark.conf.set(name, value)
+
+
+def test_env_pieces(spark):
+    from assayer.operators import lines
+
+    texts = ["x = os.getenv('A')", "OS.GETENV", "osxgetenv", "process.env.B", "import.meta.env", "ENV[", "ENV", "os.environ", "", None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    found = rows.select("i", lines.may_read_env(F.col("t")).alias("x")).orderBy("i").collect()
+    assert [r["x"] for r in found] == [True, False, False, True, True, True, False, True, False, None]
