@@ -114,3 +114,23 @@ def test_env_pieces(spark):
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
     found = rows.select("i", lines.may_read_env(F.col("t")).alias("x")).orderBy("i").collect()
     assert [r["x"] for r in found] == [True, False, False, True, True, True, False, True, False, None]
+
+
+def test_near_copies_move_texts_and_not_their_sets(spark, monkeypatch):
+    from assayer.operators import near
+
+    written, materialize = {}, near.materialize
+
+    def kept(df, name, **options):
+        made = materialize(df, name, **options)
+        written.setdefault(name, []).append(made)
+        return made
+
+    monkeypatch.setattr(near, "materialize", kept)
+    text = "concat_ws(' ', transform(sequence(1, 60), i -> if(i = 30 AND id % 2 = 1, 'x', concat('w', i * (id DIV 2 + 1)))))"
+    blocks = spark.range(20).selectExpr("'r' AS repo", "concat('p', id) AS path", "0 AS chunk_index", f"{text} AS content")
+    found = near.near_duplicates(blocks, ["repo"])
+    assert {r.path for r in found.members.collect()} == {f"p{i}" for i in range(20)}
+    assert not any("set" in df.columns for frames in written.values() for df in frames)
+    # what is in one group is not looked at again
+    assert [df.count() > 0 for df in written["met"]] == [True, False]
