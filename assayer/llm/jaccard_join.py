@@ -61,9 +61,10 @@ MAX_FREQUENT = 1 << 16
 CHUNK = 1 << 21  # shingles counted together
 OFTEN = 2  # times in a chunk
 STARS = 8  # rounds at most
-FEW = 50  # a round that links fewer than one in so many pairs is the last
+FEW = 20  # a round that links fewer than one in so many pairs is the last
 PAIRS_PER_TASK = 512
 PARITY = 512  # bits
+EARLIER = 8  # entries of a group that each of its entries knows
 MOST = 1 << 16  # groups of one shingle are told apart up to this number
 
 
@@ -308,14 +309,20 @@ def _near_enough(differ: list[Column], n1: Column, n2: Column, percent: int) ->
     return count * (100 + percent) <= (n1 + n2) * (100 - percent)
 
 
-def rest_pairs(entries: DataFrame, percent: int) -> DataFrame:
-    """All pairs of clusters, in different components, that size, position and parities allow.
+def meetings(entries: DataFrame, percent: int) -> DataFrame:
+    """All pairs of clusters, in different components, that size, position and parities allow; few repeat.
 
     ``entries`` has ``low`` and ``high``, the least and greatest root among the cluster's members, and
     ``and_…`` and ``or_…``, the bits that all and that any of them have.
+
+    A pair is made where it first meets, not at every shingle that both have: an entry knows the
+    ``EARLIER`` ones before it, and where two entries have one of these in common, their pair was met
+    there.  At the first of all the shingles that a pair shares no entry before is common.
     """
     open_ = entries.groupBy("token").agg(F.min("low").alias("a"), F.max("high").alias("b")).filter("a <> b")
     mine = entries.join(open_.select("token"), "token", "left_semi")
+    before = Window.partitionBy("cluster").orderBy("token").rowsBetween(-EARLIER, -1)
+    mine = mine.withColumn("earlier", F.collect_list("token").over(before))
     other = mine.select("token", *(F.col(c).alias(f"{c}2") for c in mine.columns if c != "token"))
     differ = [
         F.col(f"and_{s}").bitwiseAND(F.bitwise_not(f"or_{s}2")).bitwiseOR(F.bitwise_not(f"or_{s}").bitwiseAND(F.col(f"and_{s}2")))
@@ -327,9 +334,14 @@ def rest_pairs(entries: DataFrame, percent: int) -> DataFrame:
     split = (F.col("low") != F.col("high2")) | (F.col("high") != F.col("low2"))
     pairs = mine.join(other, "token").filter(
         (F.col("cluster") < F.col("cluster2")) & split & _compatible(F.col("n"), F.col("n2"), percent) & enough
-        & _near_enough(differ, F.col("n"), F.col("n2"), percent)
+        & _near_enough(differ, F.col("n"), F.col("n2"), percent) & ~F.arrays_overlap("earlier", "earlier2")
     )
-    return pairs.select("cluster", F.col("cluster2").alias("other")).distinct()
+    return pairs.select("cluster", F.col("cluster2").alias("other"))
+
+
+def rest_pairs(entries: DataFrame, percent: int) -> DataFrame:
+    """The pairs of ``meetings``, once each."""
+    return meetings(entries, percent).distinct()
 
 
 def verified(texts: DataFrame, nodes: DataFrame, pairs: DataFrame, n: int, percent: int, frequent: tuple) -> DataFrame:

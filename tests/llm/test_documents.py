@@ -119,6 +119,20 @@ def test_jaccard_join_of_chains(make_docs):
     assert jaccard_join.similar_components(make_docs([])).count() == 0
 
 
+def test_jaccard_join_meets_a_pair_once(spark):
+    """Groups with many shingles in common are one row, wherever the common ones stand among their own."""
+    bits = {f"{kind}_{s}": 0 for kind in ("and", "or") for s in jaccard_join.BITS}
+    row = lambda cluster, token: {"token": token, "cluster": cluster, "n": 400, "pos": 0, "low": cluster, "high": cluster} | bits
+    far = 10 * jaccard_join.EARLIER
+    rows = [row(c, t) for c in range(5) for t in range(100)]  # the same hundred
+    rows += [row(5, t) for t in range(1000, 1000 + far)] + [row(6, t) for t in range(1000 + far - 1, 1000 + 2 * far)]  # one
+    rows += [row(7, t) for t in range(2000, 2040)] + [row(8, t) for t in range(2040, 2080)]  # none
+    types = ["token bigint", "cluster bigint", "n int", "pos int", "low bigint", "high bigint", *(f"{b} bigint" for b in bits)]
+    entries = spark.createDataFrame([tuple(r.values()) for r in rows], ", ".join(types))
+    met = sorted(tuple(r) for r in jaccard_join.meetings(entries, 85).collect())
+    assert met == [(a, b) for a in range(5) for b in range(a + 1, 5)] + [(5, 6)]
+
+
 def brute_repeats(corpus, window):
     least = {}
     big = float("inf")
