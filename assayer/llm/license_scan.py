@@ -326,6 +326,15 @@ def gate_words(rules: Sequence[Signature]) -> list[str]:
     return out
 
 
+def rules_by_gate(rules: Sequence[Signature]) -> dict[str, dict[str, list[int]]]:
+    """Numbers of the rules by gate word and keyword: each keyword stands below one gate word that it contains."""
+    gates: dict[str, dict[str, list[int]]] = {word: {} for word in gate_words(rules)}
+    for i, rule in enumerate(rules):
+        gate = next(word for word in gates if word in rule.keyword)
+        gates[gate].setdefault(rule.keyword, []).append(i)
+    return gates
+
+
 def words_of_text(text: Column) -> Column:
     """Words of the text, A-Z lower-cased."""
     lowered = ascii_lower(F.coalesce(text, F.lit("")))
@@ -342,12 +351,11 @@ PLACES = "array<struct<gap:int,length:int>>"
 def _places(norm: Column, pattern: Column) -> Column:
     """All matches in `` w0 w1 … ``: the words between a match and the one before, and its own number.
 
-    Every word is followed by one space, and a match begins after a space and ends before one.  Where
+    ``pattern`` looks for a space before and after.  Every word is followed by one space, and a match begins after a space and ends before one.  Where
     a match begins is a running sum, taken when matches are rows: nothing grows in here.
     """
-    bounded = F.concat(F.lit("(?<= )(?:"), pattern, F.lit(")(?= )"))
-    found = F.regexp_extract_all(norm, bounded, F.lit(0))
-    pieces = F.split(norm, bounded)
+    found = F.regexp_extract_all(norm, pattern, F.lit(0))
+    pieces = F.split(norm, pattern)
     return F.zip_with(
         F.slice(pieces, 1, F.size(found)), found,
         lambda piece, match: F.struct(
@@ -359,14 +367,19 @@ def _places(norm: Column, pattern: Column) -> Column:
 def detect(docs: DataFrame, rules: Sequence[Signature], id_column: str, text_column: str) -> DataFrame:
     """Per document: ``row, id, n_words`` and all ``found`` intervals, before any is suppressed.
 
-    One narrow pass over whole texts, written once; no text leaves it.
+    One narrow pass over whole texts, written once; no text leaves it.  Of a text that has a gate word,
+    only the keywords of its gate words are looked for, each once for all its rules.
     """
     prepare(docs.sparkSession)
+    rule = lambda i: F.struct(
+        F.lit(i).alias("id"), F.lit(f"(?<= )(?:{rules[i].pattern})(?= )").alias("pattern")
+    )
     table = F.array(*(
-        F.struct(
-            F.lit(i).alias("id"), F.lit(r.pattern).alias("pattern"), F.lit(r.keyword).alias("keyword")
-        )
-        for i, r in enumerate(rules)
+        F.struct(F.lit(gate).alias("gate"), F.array(*(
+            F.struct(F.lit(keyword).alias("keyword"), F.array(*(rule(i) for i in numbers)).alias("rules"))
+            for keyword, numbers in keywords.items()
+        )).alias("keywords"))
+        for gate, keywords in rules_by_gate(rules).items()
     ))
     words = docs.select(
         F.col(f"`{id_column}`").alias("id"), words_of_text(F.col(f"`{text_column}`")).alias("words")
@@ -376,11 +389,12 @@ def detect(docs: DataFrame, rules: Sequence[Signature], id_column: str, text_col
     hit = F.lit(False)
     for word in gate_words(rules):
         hit = hit | F.contains("norm", F.lit(word))
-    tried = F.filter(table, lambda r: F.contains(F.col("norm"), r["keyword"]))
-    found = F.transform(
-        tried, lambda r: F.struct(r["id"].alias("rule"), _places(F.col("norm"), r["pattern"]).alias("places"))
+    asked = F.flatten(F.transform(F.filter(table, lambda g: F.contains("norm", g["gate"])), lambda g: g["keywords"]))
+    tried = F.flatten(F.transform(F.filter(asked, lambda k: F.contains("norm", k["keyword"])), lambda k: k["rules"]))
+    matched = F.filter(tried, lambda r: F.rlike("norm", r["pattern"]))
+    places = F.transform(
+        matched, lambda r: F.struct(r["id"].alias("rule"), _places(F.col("norm"), r["pattern"]).alias("places"))
     )
-    places = F.filter(found, lambda t: F.size(t["places"]) > 0)
     none = F.array().cast(f"array<struct<rule:int,places:{PLACES}>>")
     return materialize(
         gated.select(

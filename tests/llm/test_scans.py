@@ -70,6 +70,16 @@ def test_sentences_of_licences(make_docs):
     assert written > 190 and len({r.pattern for r in rules}) > 500
 
 
+def test_license_keywords_are_looked_for_once():
+    """Every rule stands once, below its keyword; every keyword once, below a gate word that it contains."""
+    rules = license_scan.signatures()
+    gates = license_scan.rules_by_gate(rules)
+    below = [(gate, keyword, i) for gate, keywords in gates.items() for keyword, own in keywords.items() for i in own]
+    assert sorted(i for _, _, i in below) == list(range(len(rules)))
+    assert all(rules[i].keyword == keyword and gate in keyword for gate, keyword, i in below)
+    assert sum(map(len, gates.values())) == len({r.keyword for r in rules}) and list(gates) == license_scan.gate_words(rules)
+
+
 def test_license_scan(make_docs):
     rules = license_scan.signatures()
     assert 200 < len(rules) and all(r.keyword for r in rules)
