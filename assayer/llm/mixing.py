@@ -86,13 +86,14 @@ def train(
     domain = got["domain"].to_numpy().astype(np.int64)
     lists = got["feature"].combine_chunks()
     doc = np.repeat(np.arange(len(domain), dtype=np.int32), lists.value_lengths().to_numpy()) if len(domain) else np.zeros(0, np.int32)
-    feature = lists.flatten().to_numpy().astype(np.int32)
+    feature = lists.flatten().to_numpy()
     del got, lists
     pa.default_memory_pool().release_unused()
     # a word of one document tells nothing about others
-    often = np.bincount(feature, minlength=FEATURES)[feature] >= 3
+    often = (np.bincount(feature, minlength=FEATURES) >= 3)[feature]
     doc, feature = doc[often], feature[often]
-    return fit(doc, feature, np.ones(len(doc)), np.eye(domains)[domain], FEATURES, steps=80, l2=1e-3)
+    pa.default_memory_pool().release_unused()
+    return fit(doc, feature, np.ones(len(doc), np.float32), np.eye(domains)[domain], FEATURES, steps=80, l2=1e-3)
 
 
 def posteriors(
@@ -158,12 +159,15 @@ def fit_rates(
                     rate = np.maximum(0.0, before - posterior @ move)
                     active = posterior * ((rate > 0) * n)[:, None]
                     values += [*((rate * n) @ posterior), *(active.T @ posterior).ravel()]
-                yield pa.RecordBatch.from_arrays([pa.array([float(v)]) for v in values], names=names)
-
-        names = [f"s{i}" for i in range(1 + each * len(moves))]
-        parts = members.select("n_tokens", "posterior").mapInArrow(run, ", ".join(f"{c} double" for c in names))
-        row = parts.agg(*(F.sum(c).alias(c) for c in names)).first()
-        got = np.array([row[c] or 0.0 for c in names])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.arange(len(values), dtype=np.int32)), pa.array(np.array(values, np.float64))], names=["at", "value"]
+                )
+
+        # a row for each sum: a plan of one column for each would be planned and kept anew in every pass
+        parts = members.select("n_tokens", "posterior").mapInArrow(run, "at int, value double")
+        got = np.zeros(1 + each * len(moves))
+        for row in parts.groupBy("at").agg(F.sum("value").alias("value")).collect():
+            got[row["at"]] = row["value"]
         got = (got[1:] / max(1.0, got[0])).reshape(len(moves), each)
         return [(g[:k], g[k:].reshape(k, k)) for g in got]
 

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import collections
 import math
+import tracemalloc
 import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from assayer.llm import katz, mixing, quality, queries
+from assayer.llm import katz, linear, mixing, quality, queries
 
 SF_DIR = "/root/testdata/sf0.01"
 
@@ -113,6 +114,46 @@ def test_label_model_recovers_accuracies():
     assert ((model.posterior(votes) > 0.5) == good).mean() > 0.97
 
 
+def plain_fit(doc, feature, value, target, features, steps, rate=0.05, l2=1e-4):
+    n, classes = target.shape
+    x = np.zeros((n, features))
+    np.add.at(x, (doc, feature), value)
+    bias, w = np.log(np.maximum(target.mean(axis=0), 1e-6)), np.zeros((features, classes))
+    moment = [np.zeros_like(w), np.zeros_like(w), np.zeros_like(bias), np.zeros_like(bias)]
+    for t in range(1, steps + 1):
+        error = (linear.softmax(x @ w + bias) - target) / n
+        for i, (p, g) in enumerate(((w, x.T @ error + l2 * w / n * 100), (bias, error.sum(axis=0)))):
+            m, v = moment[2 * i], moment[2 * i + 1]
+            m += 0.1 * (g - m)
+            v += 0.01 * (g * g - v)
+            p -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9)
+    return w, bias
+
+
+@pytest.mark.parametrize("block", [1, 7, 1 << 17])
+def test_blocks_change_no_weights(monkeypatch, block):
+    draw = np.random.default_rng(8)
+    doc = np.sort(draw.integers(0, 30, 400)).astype(np.int32)  # some documents have no places
+    feature, value = draw.integers(0, 50, 400).astype(np.int32) * 2, draw.random(400).astype(np.float32)
+    target = np.eye(3)[draw.integers(0, 3, 31)]
+    monkeypatch.setattr(linear, "BLOCK", block)
+    model = linear.fit(doc, feature, value, target, 100, steps=40)
+    w, bias = plain_fit(doc, feature, value, target, 100, 40)
+    assert np.allclose(model.weights, w, atol=1e-6) and np.allclose(model.bias, bias)
+
+
+def test_a_fit_holds_few_bytes_a_place():
+    draw = np.random.default_rng(9)
+    n = 1_000_000
+    doc, feature = np.sort(draw.integers(0, 4000, n)).astype(np.int32), draw.integers(0, 5000, n).astype(np.int32)
+    value, target = np.ones(n, np.float32), np.eye(3)[draw.integers(0, 3, 4000)]
+    tracemalloc.start()
+    linear.fit(doc, feature, value, target, 5000, steps=2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 28 * n
+
+
 def test_quality_on_labels(spark):
     judged = queries.op3_quality_classifier(spark, SF_DIR)
     labels = spark.read.parquet(f"{SF_DIR}/labels.parquet")
