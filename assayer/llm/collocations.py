@@ -1,11 +1,12 @@
-"""Phrase collocations by top-order marginalisation: only longest windows are counted, and Spark's
-ROLLUP sums their shorter prefixes.
+"""Phrase collocations by top-order marginalisation: above the orders that pruning counts only longest
+windows are counted, and grouping sets sum their shorter prefixes.
 
-Every word starts one window of up to ``LONGEST`` words, told by lead columns ``w1 … w5``.  A window is
-padded from the end of its piece on, and from the first word, pair or triple on that occurs fewer than
-``least`` times: no phrase that is wanted, and no part of one, reaches over such a place, so every count
-of ``least`` or more is exact.  Windows are folded in their task before they move, and
-``ROLLUP(w1, …, w5)`` makes the counts of all their prefixes, single words included.
+Words, then pairs, then triples are counted, each where the parts of one occur ``least`` times.  Every word
+starts one window of up to ``LONGEST`` words, told by lead columns ``w1 … w5``.  A window is padded from the
+end of its piece on, and from the first word, pair or triple on that occurs fewer than ``least`` times: no
+phrase that is wanted, and no part of one, reaches over such a place, so every count of ``least`` or more is
+exact.  A window that ends before its fourth word tells nothing new and goes no further; the others are folded
+in their task before they move, and grouping sets make the counts of their prefixes of four words and five.
 
 Words are named by 64-bit hashes that include the language, so no language appears in a key; texts of
 words come back from the table of words at the end.  Which words, pairs and triples are frequent is told to
@@ -39,6 +40,7 @@ from assayer.llm.common import (
     in_bitmap,
     prepare,
     signed,
+    unsigned,
     words_in,
 )
 from assayer.session import materialize
@@ -131,16 +133,16 @@ def _folded(parts: Iterator[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarra
 
 def linked_places(words: Words, names: np.ndarray, common, linked: list) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """For every order up to ``len(linked) + 1`` whether a phrase of frequent parts stands at a word;
-    then where one of the next order may stand, and the names of those."""
+    then where one of the next order may stand, and the names of those without their last words."""
     often = in_bitmap(common.value, signed(names))
     flags, grams = [often], names
     same = np.zeros(len(names), bool)
     same[:-1] = neighbours(words)
     for k in range(2, len(linked) + 3):
         at = np.flatnonzero(flags[-1][:-1] & flags[-1][1:] & same[:-1])
-        longer = combine(grams[at], names[at + k - 1])
         if k == len(linked) + 2:
-            return flags, at, longer
+            return flags, at, grams[at]
+        longer = combine(grams[at], names[at + k - 1])
         hit = in_bitmap(linked[k - 2].value, signed(longer))
         found = np.zeros(len(names), bool)
         found[at[hit]] = True
@@ -150,24 +152,46 @@ def linked_places(words: Words, names: np.ndarray, common, linked: list) -> tupl
     raise AssertionError
 
 
+def _counted(parts: Iterator[np.ndarray], leads: list[str]) -> Iterator[pa.RecordBatch]:
+    for columns, n in _folded(parts):
+        yield pa.RecordBatch.from_arrays([*(pa.array(signed(c)) for c in columns), pa.array(n)], names=[*leads, "n"])
+
+
 def frequent_grams(texts: DataFrame, common, linked: list, least: int) -> DataFrame:
-    """Names of the phrases of ``len(linked) + 2`` words that occur ``least`` times."""
+    """``head, word, n`` of the phrases of ``len(linked) + 2`` words that occur ``least`` times; the head is
+    the name of all words but the last."""
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         for batch, words in words_in(batches, "text", _KIND, lower=True):
             if len(words):
-                yield linked_places(words, named_words(batch, words), common, linked)[2][None, :]
+                names = named_words(batch, words)
+                _, at, heads = linked_places(words, names, common, linked)
+                yield np.stack([heads, names[at + len(linked) + 1]])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for columns, n in _folded(grams(batches)):
-            yield pa.RecordBatch.from_arrays([pa.array(signed(columns[0])), pa.array(n)], names=["name", "n"])
+        return _counted(grams(batches), ["head", "word"])
+
+    found = texts.mapInArrow(count, "head bigint, word bigint, n bigint")
+    return found.groupBy("head", "word").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
 
-    found = texts.mapInArrow(count, "name bigint, n bigint")
-    return found.groupBy("name").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select("name")
+
+def spelled_grams(grams: DataFrame, heads: DataFrame) -> DataFrame:
+    """``name, key, n`` of ``head, word, n``, whose heads are among the names of ``heads``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            name = combine(*(unsigned(batch.column(i).to_numpy()) for i in range(2)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(signed(name))], names=[*batch.schema.names, "name"])
+
+    named = grams.mapInArrow(run, "head bigint, word bigint, n bigint, name bigint")
+    key = F.concat("key", F.array("word")).alias("key")
+    return named.join(heads.select(F.col("name").alias("head"), "key"), "head").select("name", key, "n")
 
 
 def windows(texts: DataFrame, common, linked: list) -> DataFrame:
-    """``w1 … w5, n``: the longest window from every frequent word on, padded with ``NO_WORD``."""
+    """``w1 … w5, n``: the longest window from every frequent word on, padded with ``NO_WORD``, if it is
+    longer than the phrases that ``linked`` tells of."""
+    known = len(linked) + 1
 
     def leads(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         for batch, words in words_in(batches, "text", _KIND, lower=True):
@@ -175,18 +199,20 @@ def windows(texts: DataFrame, common, linked: list) -> DataFrame:
                 continue
             names = named_words(batch, words)
             flags, _, _ = linked_places(words, names, common, linked)
-            start, last = np.flatnonzero(flags[0]), len(names) - 1
+            last = len(names) - 1
+            # a window that goes on after what is counted already begins with a frequent phrase of that order
+            start = np.flatnonzero(flags[-1])
             columns, open_ = [names[start]], np.ones(len(start), bool)
             for k in range(2, LONGEST + 1):
                 # the window goes on to its k-th word if the phrase that ends there may be frequent
                 order = min(k, len(flags))
                 open_ = open_ & flags[order - 1][np.minimum(start + k - order, last)]
                 columns.append(np.where(open_, names[np.minimum(start + k - 1, last)], np.uint64(NO_WORD)))
-            yield np.stack(columns)
+            found = np.stack(columns)
+            yield found[:, found[known] != NO_WORD]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for columns, n in _folded(leads(batches)):
-            yield pa.RecordBatch.from_arrays([*(pa.array(signed(c)) for c in columns), pa.array(n)], names=[*_LEADS, "n"])
+        return _counted(leads(batches), _LEADS)
 
     schema = ", ".join(f"{c} bigint" for c in [*_LEADS, "n"])
     return texts.mapInArrow(count, schema)
@@ -195,15 +221,22 @@ def windows(texts: DataFrame, common, linked: list) -> DataFrame:
 _LEADS = [f"w{k}" for k in range(1, LONGEST + 1)]
 
 
-def phrase_counts(found: DataFrame, least: int) -> DataFrame:
-    """``key`` (array of names), ``size`` and ``n`` of every prefix that occurs ``least`` times."""
-    rolled = found.rollup(*_LEADS).agg(F.sum("n").alias("n"), F.grouping_id().alias("level"))
-    # of the columns that are not rolled up the last must be a word
+def phrase_counts(found: DataFrame, known: list[DataFrame], least: int) -> DataFrame:
+    """``key`` (array of names), ``size`` and ``n`` of every phrase that occurs ``least`` times.
+
+    ``known`` has the keys of one word, of two and so on, counted before; of windows the longer prefixes count.
+    """
+    sizes = range(LONGEST, len(known), -1)
+    rolled = found.groupingSets([[F.col(c) for c in _LEADS[:k]] for k in sizes], *_LEADS)
+    rolled = rolled.agg(F.sum("n").alias("n"), F.grouping_id().alias("level"))
+    # of the columns that are not summed over the last must be a word
     size = F.lit(LONGEST) - F.bit_count("level")
     names = F.array(*_LEADS)
-    kept = rolled.withColumn("size", size).filter((F.col("n") >= least) & (F.col("size") > 0))
-    kept = kept.filter(F.get(names, F.col("size") - 1) != NO_WORD)
-    return kept.select(F.slice(names, F.lit(1), F.col("size")).alias("key"), "size", "n")
+    kept = rolled.withColumn("size", size).filter((F.col("n") >= least) & (F.get(names, F.col("size") - 1) != NO_WORD))
+    out = kept.select(F.slice(names, F.lit(1), F.col("size")).alias("key"), "size", "n")
+    for k, frame in enumerate(known, 1):
+        out = out.unionAll(frame.select("key", F.lit(k).alias("size"), "n"))
+    return out
 
 
 def independent(counts: DataFrame) -> DataFrame:
@@ -232,10 +265,12 @@ def collocations(
     totals = words.groupBy("lang").agg(F.sum("n").alias("total"))
     often = words.filter(F.col("n") >= least)
     common = context.broadcast(bitmap_of(often.select("name"), "name"))
-    linked = []
+    linked, known = [], [often.select("name", F.array("name").alias("key"), "n")]
     for _ in range(PRUNED):
-        linked.append(context.broadcast(bitmap_of(frequent_grams(texts, common, linked, least), "name")))
-    counts = materialize(phrase_counts(windows(texts, common, linked), least), "phrases")
+        grams = spelled_grams(frequent_grams(texts, common, linked, least), known[-1])
+        known.append(materialize(grams, "grams"))
+        linked.append(context.broadcast(bitmap_of(known[-1], "name")))
+    counts = materialize(phrase_counts(windows(texts, common, linked), known, least), "phrases")
 
     found = independent(counts).withColumnRenamed("n", "a")
     cut = found.select("key", "a", F.explode(F.expr("sequence(1, size - 1)")).alias("k")).select(

@@ -10,6 +10,7 @@ import re
 import string
 
 import pytest
+from pyspark.sql import functions as F
 
 from assayer.llm import collocations, line_dedup, ranked_search
 
@@ -230,3 +231,21 @@ def test_digest_of_kept_text(spark, make_docs):
     docs = make_docs([(i, "same\nown") for i in range(3)] + [(9, "x")])
     rows = line_dedup.cut(docs, line_dedup.keep_bitmaps(docs, least=3)).selectExpr("id", "sha2(kept, 256) as s").collect()
     assert {r.id: r.s for r in rows} == {i: hashlib.sha256(b"" if i < 9 else b"x").hexdigest() for i in (0, 1, 2, 9)}
+
+
+def test_windows_carry_only_what_no_shorter_order_counts(spark):
+    """Words, pairs and triples are counted before windows are; no task gives them once more."""
+    rows = [("one two three. " * 50, "en"), ("one two. one", "en"), ("a b c d e f " * 30, "en"), ("a b c d", "de")] * 3
+    texts = spark.createDataFrame(rows, "text string, lang string").select(F.col("text").cast("binary"), "lang")
+    words = collocations.frequent_words(texts).filter("n >= 5")
+    common, linked = spark.sparkContext.broadcast(collocations.bitmap_of(words, "name")), []
+    known = [words.select("name", F.array("name").alias("key"), "n")]
+    for _ in range(collocations.PRUNED):
+        known.append(collocations.spelled_grams(collocations.frequent_grams(texts, common, linked, 5), known[-1]))
+        linked.append(spark.sparkContext.broadcast(collocations.bitmap_of(known[-1], "name")))
+    found = collocations.windows(texts, common, linked)
+    assert found.count() > 0 and found.filter("w4 = 0").count() == 0
+    assert found.agg(F.sum("n")).first()[0] == 3 * (6 * 30 - 3)
+    counts = collocations.phrase_counts(found, known, 5)
+    sizes = {r["size"]: r["m"] for r in counts.groupBy("size").agg(F.count("*").alias("m")).collect()}
+    assert sizes == {1: 9, 2: 8, 3: 7, 4: 6, 5: 6}
