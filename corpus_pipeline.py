@@ -37,7 +37,9 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest id."""
     prepare(spark)
-    index = exact_dedup.open_index(spark)
+    # digests of this stage alone: the driver commits and lists a file per bucket in every range
+    buckets = min(exact_dedup.BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    index = exact_dedup.open_index(spark, buckets=buckets)
     kept = exact_dedup.dedup_ranges(index, docs).filter("kept").select("id", "digest")
     exact_dedup.close_index(spark, index)
     keys = {"id": F.col("doc_id").cast("bigint"), "digest": exact_dedup.digest_of(F.col("text"))}

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from assayer.llm import queries
+from assayer.llm import exact_dedup, queries
 from assayer.session import materialize, new_table_path
 from tests.compare import differences, oracle_connection
 from tests.llm.test_documents import brute_components
@@ -59,6 +59,18 @@ def test_stages(spark):
         assert docs.columns == COLUMNS and len(after) == docs.count()
 
 
+def test_the_index_has_no_more_buckets_than_partitions(spark, make_docs, corpus, monkeypatch):
+    opened, plain = [], exact_dedup.open_index
+    monkeypatch.setattr(exact_dedup, "open_index", lambda *a, **k: opened.append(plain(*a, **k)) or opened[-1])
+    kept = corpus_pipeline.exact_duplicates(spark, make_docs(corpus), SF_DIR).collect()
+    last = {}
+    for i, text in corpus:
+        key = (text or "").encode().lower()
+        last[key] = max(last.get(key, -1), -1 if i is None else i)
+    assert sorted(-1 if r.doc_id is None else r.doc_id for r in kept) == sorted(last.values())
+    assert [x.buckets for x in opened] == [4]
+
+
 def test_the_first_stage_leaves_columns_alone(spark):
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").withColumns({"score": F.lit(7.5), "kept": F.lit("own")})
     out = corpus_pipeline.quality_classifier(spark, docs, SF_DIR)
